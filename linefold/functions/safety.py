@@ -40,6 +40,34 @@ SENSITIVE_PATTERNS = [
     r"openssl\s+(?:genrsa|ecparam|genpkey|pkcs12|req\s.*-key)",
     r"/etc/(?:passwd|shadow|sudoers)",
 ]
+# Lower-case text that every match of the patterns above holds.
+SENSITIVE_WORDS = [
+    ".env",
+    "id_rsa",
+    "id_ed25519",
+    ".pem",
+    ".key",
+    ".p12",
+    ".pfx",
+    "credential",
+    "secret",
+    "password",
+    "api",
+    "github_token",
+    "bearer",
+    "-----begin",
+    "-----end",
+    ".ssh/",
+    "$",
+    "private",
+    ".netrc",
+    "vault",
+    "ssh-keygen",
+    "openssl",
+    "/etc/",
+]
+# Characters that match a plain letter when case is ignored.
+FOLDED, PLAIN = "\u017f\u0131\u0130\u212a", "siik"
 SENSITIVE_COMMANDS = ["printenv", "declare", "env", "set", "history", "fc"]
 BINARY_SAMPLE_CHARS = 4096
 UNPRINTABLE = r"[\p{C}\p{Z}&&[^ \n\r\t]]"
@@ -66,11 +94,21 @@ def valid_patterns(patterns: list[str]) -> list[str]:
     return good
 
 
-def sensitive_text(text: Column, extra_patterns: list[str] | None = None) -> Column:
-    patterns = SENSITIVE_PATTERNS + valid_patterns(extra_patterns or [])
+def _any_pattern(text: Column, patterns: list[str]) -> Column:
     return text.rlike("(?iuUd)" + "|".join(f"(?:{p})" for p in patterns))
 
 
+def sensitive_text(text: Column, extra_patterns: list[str] | None = None) -> Column:
+    """A pattern matches, whatever the case. The regex runs only on texts with one of its words."""
+    folded = F.lower(F.translate(text, FOLDED, PLAIN))
+    suspect = F.lit(False)
+    for word in SENSITIVE_WORDS:
+        suspect = suspect | F.contains(folded, F.lit(word))
+    hit = suspect & _any_pattern(text, SENSITIVE_PATTERNS)
+    extra = valid_patterns(extra_patterns or [])
+    return hit | _any_pattern(text, extra) if extra else hit
+
+
 def sensitive_command(command: Column) -> Column:
     first_word = F.regexp_extract(strip(command), r"(?U)^[^\s\x1c-\x1f]+", 0)
     return first_word.isin(SENSITIVE_COMMANDS)

@@ -9,20 +9,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import SPACES, is_blank, is_upper, line_array
+from .text import is_blank, is_upper, line_array, plain_spaces
 
 # Sample size, shape order (first wins a tie), patterns, least winning score.
 SAMPLE_LINES = 200
 SHAPES = ("list", "progress", "test", "diff", "table", "keyvalue", "error")
-PERCENT = r"(?U)\d+%"
-FRACTION = r"(?U)\d+/\d+"
+PERCENT = r"\p{Nd}+%"
+FRACTION = r"\p{Nd}+/\p{Nd}+"
 PROGRESS_WORDS = r"(?iu)downloading|fetching|step|layer"
 TEST_WORDS = r"PASSED|FAILED|ERROR|ok|FAIL"
 CHANGED_LINE = r"(?md)^[+-](?![+-])"
-KEY_COLON = rf"(?Umd)^\w[\w{SPACES}]+:[{SPACES}]+[^{SPACES}]"
-KEY_EQUALS = rf"(?Umd)^\w[\w{SPACES}]+=[{SPACES}]*[^{SPACES}]"
-TABLE_RULE = rf"^[-{SPACES}|+]+\z"
-COLUMN_GAP = rf"[{SPACES}]{{2,}}|\t|\|"
+KEY_COLON = r"(?md)^[\p{L}\p{N}_][\p{L}\p{N}_ \t\n]+:[ \t\n]+[^ \t\n]"
+KEY_EQUALS = r"(?md)^[\p{L}\p{N}_][\p{L}\p{N}_ \t\n]+=[ \t\n]*[^ \t\n]"
+TABLE_RULE = r"^[- \t|+]+\z"
+COLUMN_GAP = r"[ \t]{2,}|\t|\|"
 MIN_SCORE = 0.5
 
 
@@ -49,9 +49,9 @@ def sample_frame(outputs: DataFrame, text: str = "output") -> DataFrame:
     df = df.withColumn("s_text", F.array_join("s_lines", "\n")).withColumn("s_n", F.size("s_lines"))
     total_chars = F.aggregate("s_lines", F.lit(0), lambda acc, ln: acc + F.length(ln))
     df = df.withColumn("s_avg", total_chars / F.col("s_n"))
-    s = F.col("s_text")
+    s, spaced = F.col("s_text"), plain_spaces(F.col("s_text"))
     columns = F.transform(
-        F.filter(F.slice("s_lines", 1, 10), lambda ln: ~is_blank(ln)), lambda ln: _hits(ln, COLUMN_GAP) + 1
+        F.filter(F.slice("s_lines", 1, 10), lambda ln: ~is_blank(ln)), lambda ln: _hits(plain_spaces(ln), COLUMN_GAP) + 1
     )
     followed = F.exists(
         F.arrays_zip(
@@ -72,15 +72,15 @@ def sample_frame(outputs: DataFrame, text: str = "output") -> DataFrame:
             _hits(F.lower(s), "test").alias("test_names"),
             _hits(s, "@@").alias("hunks"),
             (_hits(s, "---") + _hits(s, r"\+\+\+")).alias("file_marks"),
-            _hits(s, KEY_COLON).alias("kv_colon"),
-            _hits(s, KEY_EQUALS).alias("kv_equals"),
+            _hits(spaced, KEY_COLON).alias("kv_colon"),
+            _hits(spaced, KEY_EQUALS).alias("kv_equals"),
             (_hits(s, 'File "') + _hits(s, "at line")).alias("frames"),
             (F.contains(s, F.lit("Traceback")) | F.contains(s, F.lit("Exception"))).alias("trace_word"),
             F.exists(
                 F.slice("s_lines", F.greatest(F.lit(1), F.col("s_n") - 4), F.lit(5)),
                 lambda ln: F.contains(ln, F.lit("====")),
             ).alias("summary_rule"),
-            F.coalesce(F.get("s_lines", F.lit(1)).rlike(TABLE_RULE), F.lit(False)).alias("second_is_rule"),
+            F.coalesce(plain_spaces(F.get("s_lines", F.lit(1))).rlike(TABLE_RULE), F.lit(False)).alias("second_is_rule"),
             F.coalesce(is_upper(F.get("s_lines", F.lit(0))), F.lit(False)).alias("first_is_upper"),
             columns.alias("columns"),
             followed.alias("frame_then_code"),

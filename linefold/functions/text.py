@@ -10,13 +10,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Line terminators, whitespace and token delimiters of the text rules.
-LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+LINE_BREAK = r"\r\n|[\n-\r\x1c-\x1e\x85\u2028\u2029]"
+LINE_ENDS = "\n\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029"
 SPACES = r" \t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACE_CHARS = (
     " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
     "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
-TOKEN = rf"""[^{SPACES}/\\_.\-:=@()\[\]{{}},;!?#&|<>"'`~^*+]+"""
+ODD_SPACES = SPACE_CHARS.translate({ord(c): None for c in " \t" + LINE_ENDS})
+DELIMITERS = SPACE_CHARS + "/\\_.-:=@()[]{},;!?#&|<>\"'`~^*+"
 ANSI_SEQUENCE = r"\x1B(?:[@-Z\\-_]|\[[0-?]*[ -/]*[@-~])"
 ESCAPE = "\x1b"
 
@@ -25,7 +27,12 @@ MAX_OUTPUT_BYTES = 10_485_760
 
 def line_array(text: Column) -> Column:
     """Lines of a text; one trailing terminator closes the last line, '' has no line."""
-    body = F.regexp_replace(text, rf"(?:{LINE_BREAK})\z", "")
+    ending = (
+        F.when(F.endswith(text, F.lit("\r\n")), F.lit(2))
+        .when(F.right(text, F.lit(1)).isin(list(LINE_ENDS)), F.lit(1))
+        .otherwise(F.lit(0))
+    )
+    body = F.when(ending > 0, F.left(text, F.length(text) - ending)).otherwise(text)
     return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(body, LINE_BREAK, -1))
 
 
@@ -37,6 +44,11 @@ def is_blank(text: Column) -> Column:
     return strip(text) == ""
 
 
+def plain_spaces(text: Column) -> Column:
+    """Unusual spaces inside a line as blanks, so that patterns need only blank and tab."""
+    return F.translate(text, ODD_SPACES, " " * len(ODD_SPACES))
+
+
 def is_upper(text: Column) -> Column:
     """At least one cased character and no lower-case one."""
     return (F.upper(text) == text) & (F.lower(text) != text)
@@ -61,8 +73,13 @@ def base_command_key(command: Column) -> Column:
 
 
 def line_tokens(text: Column) -> Column:
-    """Token runs in a piece of text. Line breaks delimit, so counts add over lines."""
-    return F.regexp_count(text, F.lit(TOKEN)).cast("bigint")
+    """Token runs in a piece of text. Line breaks delimit, so counts add over lines.
+
+    Delimiters become blanks first: the count then needs a two-way class only, which is
+    several times faster than a class of all Unicode delimiters.
+    """
+    blanked = F.translate(text, DELIMITERS, " " * len(DELIMITERS))
+    return F.regexp_count(blanked, F.lit("[^ ]+")).cast("bigint")
 
 
 def count_tokens(text: Column) -> Column:
