@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -101,9 +103,12 @@ def _any_pattern(text: Column, patterns: list[str]) -> Column:
 def sensitive_text(text: Column, extra_patterns: list[str] | None = None) -> Column:
     """A pattern matches, whatever the case. The regex runs only on texts with one of its words."""
     folded = F.lower(F.translate(text, FOLDED, PLAIN))
-    suspect = F.lit(False)
-    for word in SENSITIVE_WORDS:
-        suspect = suspect | F.contains(folded, F.lit(word))
+
+    def holds_word(t: Column) -> Column:
+        return reduce(or_, [F.contains(t, F.lit(word)) for word in SENSITIVE_WORDS])
+
+    # the lambda binds the folded text, so that it is computed once, also under a CASE
+    suspect = F.exists(F.array(folded), holds_word)
     hit = suspect & _any_pattern(text, SENSITIVE_PATTERNS)
     extra = valid_patterns(extra_patterns or [])
     return hit | _any_pattern(text, extra) if extra else hit

@@ -37,12 +37,11 @@ def stall_segments(chunks: DataFrame, gap_seconds: float = 2.0) -> DataFrame:
     A run is worked on day by day, so that a run of any length spreads over tasks.
     """
     df = chunks.withColumn(SEG, F.unix_date(F.to_date("ts")).cast("bigint"))
-    df = df.withColumn("_at", F.unix_micros("ts"))
-    along = {"keys": ("run_id",), "order": ("_at", "seq")}
-    df = scan(df, last={"_before": F.col("_at")}, **along)
-    silent = F.col("_at") - F.col("_before") >= int(gap_seconds * 1_000_000)
+    along = {"keys": ("run_id",), "order": ("ts", "seq")}
+    df = scan(df, last={"_before": F.col("ts")}, **along)
+    silent = F.col("ts") - F.col("_before") >= F.make_dt_interval(secs=F.lit(gap_seconds))
     df = cut(df.withColumn("_stall", F.coalesce(silent, F.lit(False)).cast("int")))
-    return scan(df, sums={"segment": F.col("_stall")}, **along).drop("_at", "_before", "_stall", SEG)
+    return scan(df, sums={"segment": F.col("_stall")}, **along).drop("_before", "_stall", SEG)
 
 
 def segment_report(segments: DataFrame) -> DataFrame:

@@ -589,7 +589,8 @@ def segment_outputs(spark, sf):
 
 def _stream(spark, sf, name):
     source = fx.read(spark, sf, name)
-    return spark.readStream.schema(source.schema).parquet(f"{sf}/{name}.parquet")
+    reader = spark.readStream.schema(source.schema).option("pathGlobFilter", f"{name}.parquet")
+    return reader.parquet(sf)
 
 
 def _run_lines(events_df):

@@ -39,6 +39,12 @@ REGISTRY_DDL = (
 )
 
 
+def empty_registry(calls: DataFrame) -> DataFrame:
+    """No entries yet; ``last_seen`` has the type of the calls' time."""
+    ddl = REGISTRY_DDL.replace("last_seen timestamp", f"last_seen {calls.schema['ts'].dataType.simpleString()}")
+    return calls.sparkSession.createDataFrame([], ddl)
+
+
 def usable_entries(registry: DataFrame) -> DataFrame:
     """Entries a lookup may return: set by the user, confident, or seen often enough."""
     confident = F.col("confidence") >= F.lit(HOT)
@@ -194,7 +200,7 @@ def merge_registry(
     batch = learn_averages(calls).join(learn_fold(calls, registry, segment_calls), "command")
     batch = batch.select("command", F.struct(*[c for c in batch.columns if c != "command"]).alias("b"))
     if registry is None:
-        registry = calls.sparkSession.createDataFrame([], REGISTRY_DDL)
+        registry = empty_registry(calls)
     old = registry.select("command", F.struct(*[c for c in registry.columns if c != "command"]).alias("o"))
     zero = F.lit(0).cast("bigint")
     before, added = F.coalesce("o.calls", zero), F.coalesce("b.calls", zero)

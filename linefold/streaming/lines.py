@@ -28,12 +28,14 @@ def final_lines(lines: DataFrame, stall: str = "2 seconds", late: str = "0 secon
     line, since the same text would have been taken for an error.)
     """
     rows = lines.filter(is_significant(F.col("line")))
+    kind = lines.schema["ts"].dataType
     if lines.isStreaming:
-        rows = rows.withWatermark("ts", late)
+        # event time must be a zoned timestamp
+        rows = rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     return (
         rows.groupBy("run_id", F.session_window("ts", stall).alias("w"))
         .agg(F.max_by("line", "seq").alias("line"))
-        .select("run_id", F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "line")
+        .select("run_id", F.col("w.start").cast(kind).alias("started"), F.col("w.end").cast(kind).alias("ended"), "line")
     )
 
 

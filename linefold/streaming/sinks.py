@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.condense import Settings, condense_outputs
-from ..sources.registry import REGISTRY_DDL, SEGMENT_CALLS, merge_registry
+from ..sources.registry import SEGMENT_CALLS, merge_registry
 
 MERGE_SESSIONS = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
 
@@ -44,7 +44,7 @@ def stream_condense(
 
 
 def snapshot(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
-    return spark.read.schema(REGISTRY_DDL).parquet(f"{path}/batch={batch_id}")
+    return spark.read.parquet(f"{path}/batch={batch_id}")
 
 
 def stream_learn(
