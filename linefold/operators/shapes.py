@@ -119,7 +119,7 @@ def test_run(
         "kind", F.when(line.rlike(TEST_FAIL), F.lit("f")).when(line.rlike(TEST_PASS), F.lit("p")).otherwise(F.lit("o"))
     )
     opener = F.when(F.col("kind") != "o", F.struct("kind", "pos"))
-    rows = scan(rows, last={"opener": opener})
+    rows = cut(scan(rows, last={"opener": opener}))
     marks = rows.filter((F.col("kind") == "f") | ((F.col("kind") == "p") & (param(lines, "keep", keep_mode) == "all")))
     follow = rows.filter((F.col("kind") == "o") & (F.col("opener.kind") == "f")).withColumn("block", F.col("opener.pos"))
     follow = ranked_ends(follow, limit + 1, 0, keys=("doc_id", "block"))
@@ -183,7 +183,7 @@ def diff(
 ) -> DataFrame:
     """Changes in context, or one line per file when there are too many of them."""
     extra = carried(lines)
-    context = diff_context(lines, context_lines)
+    context = cut(diff_context(lines, context_lines))
     kept = context.groupBy("doc_id").agg(F.count("*").alias("kept"))
     files = diff_stat(lines)
     named = files.groupBy("doc_id").agg(F.count("*").alias("files"))

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions import safety, shape, text
 from ..operators import budget, chunks, contract, rows, shapes
-from ..session import shared_dir
+from ..session import shared_dir, spread
 from ..sources import events, history, registry, rules
 from ..streaming import lines as stream_lines
 from ..streaming import sinks
@@ -95,7 +95,7 @@ def sensitive_command(spark, sf):
 
 @query
 def sensitive_text(spark, sf):
-    return fx.read(spark, sf, "pages").select("page_id", safety.sensitive_text(F.col("html"), [r"lorem\d", "(bad"]).alias("hit"))
+    return spread(fx.read(spark, sf, "pages")).select("page_id", safety.sensitive_text(F.col("html"), [r"lorem\d", "(bad"]).alias("hit"))
 
 
 @query

@@ -8,7 +8,6 @@ route it; the routed outputs are written per strategy, and each condenser reads
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,8 +15,8 @@ from pyspark.sql import functions as F
 from ..functions.safety import gate
 from ..functions.text import MAX_OUTPUT_BYTES, count_tokens, explode_lines, normalize_command, oversize, strip_ansi
 from ..operators import budget, rows, shapes
-from ..session import staged
-from ..sources.rules import STRATEGIES, match_prefix, merge_contract, merge_params, resolve_strategy, seeds
+from ..session import staged, staged_parts
+from ..sources.rules import match_prefix, merge_contract, merge_params, resolve_strategy, seeds
 
 
 @dataclass
@@ -103,20 +102,24 @@ def route(
     )
 
 
+def condensed_part(routed: DataFrame, strategy: str, settings: Settings) -> DataFrame:
+    """``(doc_id, text, tokens)`` of the outputs routed to one strategy."""
+    docs = routed.filter((F.col("strategy") == strategy) & F.col("reason").isNull())
+    lines = explode_lines(docs, keep=("doc_id", "p"))
+    condenser = CONDENSERS.get(strategy, rows.generic)
+    text = budget.to_text(condenser(lines, keep=settings.always_keep, strip=settings.always_strip))
+    return text.filter("text <> ''").withColumn("tokens", count_tokens(F.col("text")))
+
+
 def condense(routed: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """``(doc_id, text)``: every routed output through the condenser of its strategy."""
+    """Every routed output through its condenser: one job per strategy in use, stored as one table.
+
+    A job for all strategies would be re-planned as a whole after each of its many stages.
+    """
     settings = settings or Settings()
-    parts = []
-    for name, condenser in CONDENSERS.items():
-        here = F.col("strategy") == name
-        if name == "generic":
-            here = here | ~F.col("strategy").isin(*STRATEGIES)
-        docs = routed.filter(here & F.col("reason").isNull())
-        lines = explode_lines(docs, keep=("doc_id", "p"))
-        parts.append(
-            budget.to_text(condenser(lines, keep=settings.always_keep, strip=settings.always_strip))
-        )
-    return reduce(DataFrame.unionByName, parts)
+    used = [row[0] for row in routed.select("strategy").distinct().collect() if row[0] is not None]
+    parts = [condensed_part(routed, name, settings) for name in sorted(used) or ["generic"]]
+    return staged_parts(routed.sparkSession, parts, "condensed")
 
 
 def _guarded(routed: DataFrame, condensed: DataFrame, settings: Settings) -> DataFrame:
@@ -179,8 +182,7 @@ def condense_outputs(
     through (``reason``), ``strategy``, ``source`` and token counts."""
     settings = settings or Settings()
     routed = staged(route(outputs, rules, overrides, registry, settings), "routed", partition_by="strategy")
-    condensed = condense(routed, settings).filter("text <> ''").withColumn("tokens", count_tokens(F.col("text")))
-    best = _guarded(routed, staged(condensed, "condensed"), settings)
+    best = _guarded(routed, condense(routed, settings), settings)
     df = routed.join(best, "doc_id", "left")
     passed = F.col("reason").isNotNull()
     guarded = budget.regression_guard(F.col("output"), F.col("text"), F.col("raw_tokens"), F.col("tokens"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import explode_lines, oversize
 from ..operators.ordered import number_lines, segment
+from ..session import spread, staged
 
 BUCKET = 1 << 16
 
@@ -46,7 +47,7 @@ SOURCE_COMMANDS = {
 def outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One command output per document."""
     command = F.create_map(*[F.lit(v) for kv in SOURCE_COMMANDS.items() for v in kv])[F.col("source")]
-    return read(spark, sf_dir, "documents").select(
+    return spread(read(spark, sf_dir, "documents")).select(
         "doc_id", F.coalesce(command, F.lit("unknown tool")).alias("command"), F.col("text").alias("output")
     )
 
@@ -57,7 +58,8 @@ def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _numbered(rows: DataFrame, order: list[str], bucket: Column) -> DataFrame:
-    return segment(number_lines(rows, "doc_id", order, bucket).select("doc_id", "pos", "line"))
+    """Numbered once and stored: the operators read their lines more than once."""
+    return segment(staged(number_lines(rows, "doc_id", order, bucket).select("doc_id", "pos", "line"), "lines"))
 
 
 def event_lines(spark: SparkSession, sf_dir: str, line: str = "event_type") -> DataFrame:
@@ -128,7 +130,7 @@ def table_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             )
         ),
     )
-    return segment(top.unionByName(body))
+    return segment(staged(top.unionByName(body), "lines"))
 
 
 def pair_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,12 +24,27 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a small input, say one file, a partition per core. Large inputs stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def staged(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder once and read it back (cuts lineage)."""
-    spark = df.sparkSession
+    return staged_parts(df.sparkSession, [df], name, partition_by)
+
+
+def staged_parts(
+    spark: SparkSession, parts: Iterable[DataFrame], name: str, partition_by: str | None = None
+) -> DataFrame:
+    """Write parts of one schema, one job after the other, into one stored table."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    schema = None
+    for part in parts:
+        writer = part.write.mode("append")
+        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+        schema = part.schema
+    if schema is None:
+        raise ValueError("nothing to store")
+    return spark.read.schema(schema).parquet(path)
