@@ -53,10 +53,11 @@ def sample_frame(outputs: DataFrame, text: str = "output") -> DataFrame:
     columns = F.transform(
         F.filter(F.slice("s_lines", 1, 10), lambda ln: ~is_blank(ln)), lambda ln: _hits(plain_spaces(ln), COLUMN_GAP) + 1
     )
+    pairs = F.greatest(F.lit(0), F.col("s_n") - 1)
     followed = F.exists(
         F.arrays_zip(
-            F.slice("s_lines", F.lit(1), F.col("s_n") - 1).alias("a"),
-            F.slice("s_lines", F.lit(2), F.col("s_n") - 1).alias("b"),
+            F.slice("s_lines", F.lit(1), pairs).alias("a"),
+            F.slice("s_lines", F.lit(2), pairs).alias("b"),
         ),
         lambda pair: _is_frame(pair["a"]) & F.startswith(pair["b"], F.lit("    ")),
     )

@@ -1,10 +1,10 @@
 """Registry of learned command shapes, folded from a call log.
 
 Learning is a state machine over the calls of a command, in order: (shape, confidence).
-Confidences are doubles in [0.5, 1]; there every sum is exact in units of 2^-53, so the
-machine runs on integers. A command of any length is folded in segments: each later segment
-becomes a function of its unknown start state, in a task of its own, and the functions of a
-command are then applied one after the other.
+A command of any length is folded in segments: the first one starts from a known state, each
+later one becomes a function of its unknown start state, in a task of its own, and the functions
+of a command are then applied one after the other. Confidences are doubles in [0.5, 1], all
+multiples of 2^-53, so a function can add up its gains and losses exactly in these units.
 """
 
 from __future__ import annotations
@@ -27,9 +27,11 @@ LOCKED = 0.95
 WARM_CALLS = 3
 HOT_CALLS = 10
 
+# In units of 2^-53 a gain rounds down. A loss lies half way between two units: the double
+# result is the even one of them.
 UNIT = 1 << 53
 X_INITIAL, X_LOCKED = int(INITIAL * UNIT), int(LOCKED * UNIT)
-X_GAIN, X_LOSS = round(Fraction(GAIN) * UNIT), round(Fraction(LOSS) * UNIT)
+X_GAIN, X_LOSS = int(Fraction(GAIN) * UNIT), int(Fraction(LOSS) * UNIT)
 SEGMENT_CALLS = 1 << 16
 
 REGISTRY_DDL = (
@@ -54,87 +56,94 @@ def usable_entries(registry: DataFrame) -> DataFrame:
     )
 
 
-def _state(shape: Column, x: Column) -> Column:
-    return F.struct(shape.alias("shape"), x.cast("bigint").alias("x"))
+def _state(shape: Column, confidence: Column) -> Column:
+    return F.struct(shape.alias("shape"), confidence.cast("double").alias("confidence"))
 
 
 def _learn(state: Column, shape: Column) -> Column:
     """State after one call."""
-    same = state["shape"] == shape
-    up = F.least(F.lit(UNIT), state["x"] + F.lit(X_GAIN))
-    down = state["x"] - F.lit(X_LOSS)
-    moved = F.when(same, _state(state["shape"], up)).when(
-        down < X_INITIAL, _state(shape, F.lit(X_INITIAL))
-    ).otherwise(_state(state["shape"], down))
-    return F.when(state["x"] >= X_LOCKED, state).otherwise(moved)
+    up = F.least(F.lit(1.0), state["confidence"] + F.lit(GAIN))
+    down = state["confidence"] - F.lit(LOSS)
+    return (
+        F.when(state["confidence"] >= F.lit(LOCKED), state)
+        .when(state["shape"] == shape, _state(state["shape"], up))
+        .when(down < F.lit(INITIAL), _state(shape, F.lit(INITIAL)))
+        .otherwise(_state(state["shape"], down))
+    )
 
 
-PIECES_DDL = "command string, seg bigint, pieces array<struct<start:string,lo:bigint,hi:bigint,shape:string,x:bigint,shift:boolean>>"
+PIECE_DDL = "start:string,odd:bigint,lo:bigint,hi:bigint,shape:string,offset:bigint,confidence:double"
+PIECES_DDL = f"command string, seg bigint, pieces array<struct<{PIECE_DDL}>>"
 
 
-def _segment_pieces(shapes: list[str]) -> list[tuple]:
-    """The function of one segment on unlocked start states, as (start shape, lo, hi) ->
-    (shape, value) pieces; ``shift`` pieces add the value to the start, the others replace it.
+def _segment_pieces(shapes: list[str]) -> list[dict]:
+    """The function of one segment on unlocked start states, in pieces.
 
-    Starts of one shape move together by one offset until the top locks or the bottom is
-    reset. A reset forgets the start, so all starts reset by a call go on as one.
+    A piece takes starts of one shape and parity with ``lo <= x < hi`` units, and either adds
+    ``offset`` units or sets ``confidence``. Starts of one shape and parity move together until
+    the top locks or the bottom is reset. A reset forgets the start, so all starts that
+    a call resets go on as one.
     """
-    pieces: list[tuple] = []
-    groups = {start: [X_INITIAL, X_LOCKED, 0] for start in {*shapes, ""}}
-    reset: dict[tuple[str, int], list[tuple[str, int, int]]] = {}
+    pieces: list[dict] = []
+    groups = {(start, odd): (X_INITIAL, X_LOCKED, 0) for start in {*shapes, ""} for odd in (0, 1)}
+    reset: dict[tuple[str, float], list[dict]] = {}
     for call in shapes:
-        after: dict[tuple[str, int], list[tuple[str, int, int]]] = {}
-        for (shape, x), starts in reset.items():
+        after: dict[tuple[str, float], list[dict]] = {}
+        for (shape, confidence), starts in reset.items():
             if shape == call:
-                x = min(UNIT, x + X_GAIN)
-            elif x - X_LOSS < X_INITIAL:
-                shape, x = call, X_INITIAL
+                confidence = min(1.0, confidence + GAIN)
+            elif confidence - LOSS < INITIAL:
+                shape, confidence = call, INITIAL
             else:
-                x -= X_LOSS
-            if x >= X_LOCKED:
-                pieces += [(s, lo, hi, shape, x, False) for s, lo, hi in starts]
+                confidence -= LOSS
+            if confidence >= LOCKED:
+                pieces += [{**s, "shape": shape, "confidence": confidence} for s in starts]
             else:
-                after.setdefault((shape, x), []).extend(starts)
-        for start, group in list(groups.items()):
-            lo, hi, offset = group
+                after.setdefault((shape, confidence), []).extend(starts)
+        still = {}
+        for (start, odd), (lo, hi, offset) in groups.items():
             if call == start:
                 offset += X_GAIN
                 edge = max(lo, min(hi, X_LOCKED - offset))
                 if edge < hi:
-                    pieces.append((start, edge, hi, start, offset, True))
-                group[:] = lo, edge, offset
+                    pieces.append({"start": start, "odd": odd, "lo": edge, "hi": hi, "shape": start, "offset": offset})
+                hi = edge
             else:
-                offset -= X_LOSS
-                edge = min(hi, max(lo, X_INITIAL - offset))
+                edge = min(hi, max(lo, X_INITIAL + X_LOSS - offset + 1))
                 if lo < edge:
-                    after.setdefault((call, X_INITIAL), []).append((start, lo, edge))
-                group[:] = edge, hi, offset
-            if group[0] >= group[1]:
-                del groups[start]
-        reset = after
+                    after.setdefault((call, INITIAL), []).append({"start": start, "odd": odd, "lo": lo, "hi": edge})
+                lo = edge
+                offset -= X_LOSS + (odd + offset) % 2
+            if lo < hi:
+                still[start, odd] = lo, hi, offset
+        groups, reset = still, after
         if not groups and not reset:
             break
-    pieces += [(start, lo, hi, start, offset, True) for start, (lo, hi, offset) in groups.items()]
-    pieces += [(s, lo, hi, shape, x, False) for (shape, x), starts in reset.items() for s, lo, hi in starts]
+    for (start, odd), (lo, hi, offset) in groups.items():
+        pieces.append({"start": start, "odd": odd, "lo": lo, "hi": hi, "shape": start, "offset": offset})
+    for (shape, confidence), starts in reset.items():
+        pieces += [{**s, "shape": shape, "confidence": confidence} for s in starts]
     return pieces
 
 
 def _fold_segment(calls: pd.DataFrame) -> pd.DataFrame:
     calls = calls.sort_values("pos")
-    names = ["start", "lo", "hi", "shape", "x", "shift"]
-    pieces = [dict(zip(names, piece)) for piece in _segment_pieces(calls["shape"].tolist())]
+    pieces = [{"offset": None, "confidence": None, **p} for p in _segment_pieces(calls["shape"].tolist())]
     return pd.DataFrame({"command": [calls["command"].iloc[0]], "seg": [calls["seg"].iloc[0]], "pieces": [pieces]})
 
 
 def _apply_pieces(state: Column, segment: Column) -> Column:
+    x = (state["confidence"] * F.lit(float(UNIT))).cast("bigint")
     known = F.exists(segment["pieces"], lambda p: p["start"] == state["shape"])
     start = F.when(known, state["shape"]).otherwise(F.lit(""))
     hit = F.filter(
-        segment["pieces"], lambda p: (p["start"] == start) & (p["lo"] <= state["x"]) & (state["x"] < p["hi"])
+        segment["pieces"],
+        lambda p: (p["start"] == start) & (p["odd"] == x % 2) & (p["lo"] <= x) & (x < p["hi"]),
     )[0]
-    shape = F.when(hit["shift"], state["shape"]).otherwise(hit["shape"])
-    x = F.when(hit["shift"], F.least(F.lit(UNIT), state["x"] + hit["x"])).otherwise(hit["x"])
-    return F.when(state["x"] >= X_LOCKED, state).otherwise(_state(shape, x))
+    moved = F.least(F.lit(UNIT), x + hit["offset"]) / F.lit(float(UNIT))
+    shape = F.when(hit["confidence"].isNull(), state["shape"]).otherwise(hit["shape"])
+    locked = state["confidence"] >= F.lit(LOCKED)
+    return F.when(locked, state).otherwise(_state(shape, F.coalesce(hit["confidence"], moved)))
 
 
 def learn_fold(
@@ -147,20 +156,20 @@ def learn_fold(
     ordered = F.array_sort(F.collect_list(F.struct("pos", "shape")))
     first = ranked.filter("seg = 0").groupBy("command").agg(F.transform(ordered, lambda c: c["shape"]).alias("shapes"))
     if registry is None:
-        first = first.withColumn("prior", F.lit(None).cast("struct<shape:string,x:bigint,frozen:boolean>"))
+        first = first.withColumn("prior", F.lit(None).cast("struct<shape:string,confidence:double,frozen:boolean>"))
     else:
         prior = registry.select(
             "command",
             F.struct(
                 F.col("strategy").alias("shape"),
-                (F.col("confidence") * F.lit(float(UNIT))).cast("bigint").alias("x"),
+                "confidence",
                 ((F.col("source") == "user") | F.col("user_override")).alias("frozen"),
             ).alias("prior"),
         )
         first = first.join(prior, "command", "left")
     new = F.col("prior").isNull()
-    start = F.when(new, _state(F.get("shapes", F.lit(0)), F.lit(X_INITIAL))).otherwise(
-        _state(F.col("prior.shape"), F.col("prior.x"))
+    start = F.when(new, _state(F.get("shapes", F.lit(0)), F.lit(INITIAL))).otherwise(
+        _state(F.col("prior.shape"), F.col("prior.confidence"))
     )
     todo = F.when(new, F.slice("shapes", F.lit(2), F.size("shapes"))).otherwise(F.col("shapes"))
     first = first.withColumn("state", F.aggregate(todo, start, _learn))
@@ -171,11 +180,11 @@ def learn_fold(
     segments = F.coalesce("segments", F.array().cast(later.schema["segments"].dataType))
     end = F.aggregate(segments, F.col("state"), _apply_pieces)
     frozen = F.coalesce(F.col("prior.frozen"), F.lit(False))
-    final = F.when(frozen, _state(F.col("prior.shape"), F.col("prior.x"))).otherwise(end)
+    final = F.when(frozen, _state(F.col("prior.shape"), F.col("prior.confidence"))).otherwise(end)
     return folded.select("command", final.alias("final")).select(
         "command",
         F.col("final.shape").alias("strategy"),
-        (F.col("final.x") / F.lit(float(UNIT))).alias("confidence"),
+        F.col("final.confidence").alias("confidence"),
     )
 
 
