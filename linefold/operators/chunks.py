@@ -34,10 +34,10 @@ def assemble_chunks(chunks: DataFrame) -> DataFrame:
 def stall_segments(chunks: DataFrame, gap_seconds: float = 2.0) -> DataFrame:
     """Add ``segment`` to chunks: it rises after every silence of at least the gap.
 
-    A run is worked on day by day, so that a run of any length spreads over tasks.
+    Chunks of a run come in ``seq`` order. A run of any length is worked on in buckets of ``seq``.
     """
-    df = chunks.withColumn(SEG, F.unix_date(F.to_date("ts")).cast("bigint"))
-    along = {"keys": ("run_id",), "order": ("ts", "seq")}
+    df = chunks.withColumn(SEG, F.floor(F.col("seq") / BUCKET).cast("bigint"))
+    along = {"keys": ("run_id",), "order": ("seq",)}
     df = scan(df, last={"_before": F.col("ts")}, **along)
     silent = F.col("ts") - F.col("_before") >= F.make_dt_interval(secs=F.lit(gap_seconds))
     df = cut(df.withColumn("_stall", F.coalesce(silent, F.lit(False)).cast("int")))
@@ -55,11 +55,17 @@ def segment_report(segments: DataFrame) -> DataFrame:
 
 
 def segment_outputs(segments: DataFrame, max_bytes: int = MAX_OUTPUT_BYTES) -> DataFrame:
-    """Texts of the segments below the size limit, ready to condense (larger ones pass through)."""
+    """Texts of the segments below the size limit, ready to condense (larger ones pass through).
+
+    A segment of any size is matched bucket by bucket before the small ones are put together.
+    """
+    keys = ["run_id", "segment", SEG]
+    rows = segments.withColumn(SEG, F.floor(F.col("seq") / BUCKET).cast("bigint"))
     small = segment_report(segments).filter(F.col("n_bytes") <= max_bytes).select("run_id", "segment")
-    parts = F.array_sort(F.collect_list(F.struct("ts", "seq", "chunk")))
+    buckets = rows.select(*keys).distinct().join(small, ["run_id", "segment"])
+    parts = F.array_sort(F.collect_list(F.struct("seq", "chunk")))
     return (
-        segments.join(small, ["run_id", "segment"])
+        rows.join(buckets, keys)
         .groupBy("run_id", "segment")
         .agg(F.array_join(F.transform(parts, lambda p: p["chunk"]), "").alias("output"))
     )

@@ -217,6 +217,25 @@ def number_lines(df: DataFrame, key: str, order: Sequence[str], bucket: Column)
     return ranked.withColumn("pos", F.col("pos") - 1).drop(SEG)
 
 
+def number_all(df: DataFrame, order: Sequence[str], name: str = "row_no") -> DataFrame:
+    """Add the rank of each row in the whole table, from 0.
+
+    The sorted rows are stored with their partition and place in it, which fixes both; the
+    offsets are one row per partition.
+    """
+    from ..session import staged
+
+    placed = df.orderBy(*order).withColumns(
+        {"_part": F.spark_partition_id(), "_place": F.monotonically_increasing_id()}
+    )
+    placed = staged(placed, "sorted")
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_place").alias("_low"))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(*_UPTO)) - F.col("_n")
+    offsets = sizes.select("_part", (before - F.col("_low")).alias("_offset"))
+    numbered = placed.join(F.broadcast(offsets), "_part")
+    return numbered.withColumn(name, F.col("_offset") + F.col("_place")).drop("_part", "_place", "_offset")
+
+
 def emit(df: DataFrame, pieces: Sequence[tuple[Column, Column, Column]], keys: Sequence[str] = ("doc_id",)) -> DataFrame:
     """Turn each row into its result rows ``(ord, line)``: one per piece whose condition holds."""
     items = F.array(

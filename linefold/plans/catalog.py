@@ -482,18 +482,14 @@ def _results(spark, sf):
     )
 
 
-def _day():
-    return F.unix_date(F.to_date("created_at"))
-
-
 def _history(spark, sf, entries=0):
-    return history.history_append(None, _results(spark, sf), _day(), entries)
+    return history.history_append(None, _results(spark, sf), entries)
 
 
 @query
 def history_append(spark, sf):
-    old = history.history_append(None, _results(spark, sf).filter("doc_id % 2 = 0"), _day(), 0)
-    return history.history_append(old, _results(spark, sf).filter("doc_id % 2 = 1"), _day(), 100)
+    old = history.history_append(None, _results(spark, sf).filter("doc_id % 2 = 0"), 0)
+    return history.history_append(old, _results(spark, sf).filter("doc_id % 2 = 1"), 100)
 
 
 @query

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.ordered import number_lines
+from ..operators.ordered import number_all
 
 RECENT_COLUMNS = ["id", "command", "strategy", "source", "raw_tokens", "compressed_tokens", "created_at"]
 HISTORY_COLUMNS = [
@@ -21,10 +21,10 @@ HISTORY_COLUMNS = [
 ]
 
 
-def numbered(results: DataFrame, bucket: Column, first_id: int = 1) -> DataFrame:
-    """Give results ids in (created_at, doc_id) order; ``bucket`` rises with that order."""
-    ranked = number_lines(results.withColumn("_all", F.lit(0)), "_all", ["created_at", "doc_id"], bucket)
-    return ranked.withColumn("id", F.col("pos") + first_id).select(*HISTORY_COLUMNS)
+def numbered(results: DataFrame, first_id: int = 1) -> DataFrame:
+    """Give results ids in (created_at, doc_id) order."""
+    ranked = number_all(results, ["created_at", "doc_id"], "_no")
+    return ranked.withColumn("id", F.col("_no") + first_id).select(*HISTORY_COLUMNS)
 
 
 def newest(history: DataFrame, max_entries: int) -> DataFrame:
@@ -34,15 +34,17 @@ def newest(history: DataFrame, max_entries: int) -> DataFrame:
     return history.orderBy(F.col("id").desc()).limit(max_entries)
 
 
-def history_append(
-    history: DataFrame | None, results: DataFrame, bucket: Column, max_entries: int = 100
-) -> DataFrame:
-    """Old and new entries, cut to the newest ones."""
-    if history is None:
-        return newest(numbered(results, bucket), max_entries)
-    top = history.agg(F.max("id")).first()[0] or 0
-    both = history.select(*HISTORY_COLUMNS).unionByName(numbered(results, bucket, top + 1))
-    return newest(both, max_entries)
+def history_append(history: DataFrame | None, results: DataFrame, max_entries: int = 100) -> DataFrame:
+    """Old and new entries, cut to the newest ones. With a limit only that many results are
+    sorted and numbered; their ids still count all of them."""
+    top = 0 if history is None else history.agg(F.max("id")).first()[0] or 0
+    if max_entries > 0:
+        skipped = max(0, results.count() - max_entries)
+        last = results.orderBy(F.col("created_at").desc(), F.col("doc_id").desc()).limit(max_entries)
+        new = numbered(last, top + skipped + 1)
+    else:
+        new = numbered(results, top + 1)
+    return newest(new if history is None else history.select(*HISTORY_COLUMNS).unionByName(new), max_entries)
 
 
 def history_latest(history: DataFrame, command: str | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ multiples of 2^-53, so a function can add up its gains and losses exactly in the
 from __future__ import annotations
 
 from fractions import Fraction
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -33,6 +34,7 @@ UNIT = 1 << 53
 X_INITIAL, X_LOCKED = int(INITIAL * UNIT), int(LOCKED * UNIT)
 X_GAIN, X_LOSS = int(Fraction(GAIN) * UNIT), int(Fraction(LOSS) * UNIT)
 SEGMENT_CALLS = 1 << 16
+SEGMENTS_JOINED = 1 << 10
 
 REGISTRY_DDL = (
     "command string, source string, strategy string, calls bigint, confidence double, "
@@ -132,6 +134,54 @@ def _fold_segment(calls: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"command": [calls["command"].iloc[0]], "seg": [calls["seg"].iloc[0]], "pieces": [pieces]})
 
 
+def _after(pieces: list[dict], start: str, odd: int) -> list[dict]:
+    """Pieces for starts of one shape and parity."""
+    known = any(p["start"] == start for p in pieces)
+    return [p for p in pieces if p["start"] == (start if known else "") and p["odd"] == odd]
+
+
+def _value(pieces: list[dict], shape: str, confidence: float) -> tuple[str, float]:
+    """A function applied to one unlocked state."""
+    x = int(confidence * UNIT)
+    piece = next(p for p in _after(pieces, shape, x % 2) if p["lo"] <= x < p["hi"])
+    if piece["confidence"] is None:
+        return shape, min(UNIT, x + piece["offset"]) / UNIT
+    return piece["shape"], piece["confidence"]
+
+
+def _compose(first: list[dict], then: list[dict]) -> list[dict]:
+    """The function of two neighbouring segments."""
+    out = []
+    for start in {p["start"] for p in first} | {p["start"] for p in then}:
+        for piece in [p for odd in (0, 1) for p in _after(first, start, odd)]:
+            piece = {**piece, "start": start, "shape": start if piece["confidence"] is None else piece["shape"]}
+            if piece["confidence"] is not None:
+                if piece["confidence"] < LOCKED:
+                    shape, confidence = _value(then, piece["shape"], piece["confidence"])
+                    piece = {**piece, "shape": shape, "confidence": confidence}
+                out.append(piece)
+            elif piece["lo"] + piece["offset"] >= X_LOCKED:
+                out.append(piece)
+            else:
+                shift = piece["offset"]
+                for more in _after(then, start, (piece["odd"] + shift) % 2):
+                    lo, hi = max(piece["lo"], more["lo"] - shift), min(piece["hi"], more["hi"] - shift)
+                    if lo < hi and more["confidence"] is None:
+                        out.append({**piece, "lo": lo, "hi": hi, "offset": shift + more["offset"]})
+                    elif lo < hi:
+                        out.append({**more, "start": start, "odd": piece["odd"], "lo": lo, "hi": hi})
+    return out
+
+
+def _join_segments(segments: pd.DataFrame) -> pd.DataFrame:
+    """The functions of neighbouring segments as one."""
+    segments = segments.sort_values("seg")
+    joined = reduce(_compose, [list(pieces) for pieces in segments["pieces"]])
+    return pd.DataFrame(
+        {"command": [segments["command"].iloc[0]], "seg": [segments["up"].iloc[0]], "pieces": [joined]}
+    )
+
+
 def _apply_pieces(state: Column, segment: Column) -> Column:
     x = (state["confidence"] * F.lit(float(UNIT))).cast("bigint")
     known = F.exists(segment["pieces"], lambda p: p["start"] == state["shape"])
@@ -147,7 +197,10 @@ def _apply_pieces(state: Column, segment: Column) -> Column:
 
 
 def learn_fold(
-    calls: DataFrame, registry: DataFrame | None = None, segment_calls: int = SEGMENT_CALLS
+    calls: DataFrame,
+    registry: DataFrame | None = None,
+    segment_calls: int = SEGMENT_CALLS,
+    segments_joined: int = SEGMENTS_JOINED,
 ) -> DataFrame:
     """``(command, strategy, confidence)`` after folding the calls ``(command, seq, shape)``."""
     bucket = F.floor(F.col("seq") / F.lit(segment_calls))
@@ -174,7 +227,9 @@ def learn_fold(
     todo = F.when(new, F.slice("shapes", F.lit(2), F.size("shapes"))).otherwise(F.col("shapes"))
     first = first.withColumn("state", F.aggregate(todo, start, _learn))
     later = ranked.filter("seg > 0").groupBy("command", "seg").applyInPandas(_fold_segment, PIECES_DDL)
-    # one row per segment_calls calls
+    later = later.withColumn("up", F.floor(F.col("seg") / F.lit(segments_joined)).cast("bigint"))
+    later = later.groupBy("command", "up").applyInPandas(_join_segments, PIECES_DDL)
+    # one small row per segment_calls * segments_joined calls
     later = later.groupBy("command").agg(F.array_sort(F.collect_list(F.struct("seg", "pieces"))).alias("segments"))
     folded = first.join(later, "command", "left")
     segments = F.coalesce("segments", F.array().cast(later.schema["segments"].dataType))

@@ -34,8 +34,9 @@ def test_fold_equals_the_sequential_rule(spark):
     log["drift"] = ["a"] * 5 + ["b"] + (["a"] * 5 + ["b", "b"]) * 60
     rows = [(c, i * 3, s) for c, shapes in log.items() for i, s in enumerate(shapes)]
     calls = spark.createDataFrame(rows, "command string, seq long, shape string")
-    for size in (4, 16, 1 << 16):
-        found = {r.command: (r.strategy, r.confidence) for r in registry.learn_fold(calls, None, size).collect()}
+    for size, joined in ((4, 3), (16, 1024), (1 << 16, 1024)):
+        learned = registry.learn_fold(calls, None, size, joined)
+        found = {r.command: (r.strategy, r.confidence) for r in learned.collect()}
         assert found == {c: fold(shapes) for c, shapes in log.items()}
 
 
@@ -114,10 +115,9 @@ def test_history(spark):
     results = spark.createDataFrame(rows, "doc_id long, command string, raw_output string, compressed_output string").selectExpr(
         "*", "'list' as strategy", "'seed' as source", "10L as raw_tokens", "2L as compressed_tokens", "timestamp_seconds(doc_id) as created_at"
     )
-    day = F.unix_date(F.to_date("created_at"))
-    first = history.history_append(None, results.filter("doc_id < 6"), day, 4)
+    first = history.history_append(None, results.filter("doc_id < 6"), 4)
     assert sorted(r.id for r in first.collect()) == [3, 4, 5, 6]
-    both = history.history_append(first, results.filter("doc_id >= 6"), day, 5)
+    both = history.history_append(first, results.filter("doc_id >= 6"), 5)
     assert sorted((r.id, r.raw_output) for r in both.collect()) == [(i, f"raw {i - 1}") for i in range(6, 11)]
     assert history.history_latest(both, "c0").first().id == 9
     assert [r.id for r in history.history_recent(both, 0).collect()] == [10]
