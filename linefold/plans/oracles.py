@@ -177,20 +177,20 @@ FOLD = f"""recursive {CALLS},
 EVENT_COMMANDS = "asked as (select event_id as doc_id, 'cmd ' || (event_id % 200) || case when event_id % 4 = 0 then ' -v' else '' end as command from events)"
 ENTRY = "command, source, strategy, calls, confidence, hot, last_seen"
 
-PROGRESS_MARKS = f"""{_events(fx.PROGRESS_LINE)}, kinds as (select *, regexp_matches(line, '(?i)error|fail|exception') as is_error,
+PROGRESS_MARKS = f"""kinds as (select *, regexp_matches(line, '(?i)error|fail|exception') as is_error,
     (regexp_matches(line, '^\\s*\\d+%\\s*$') or (contains(line, '%') and length(line) < 15)
       or regexp_matches(line, '(?i)eta|speed|\\d+\\s*[kmg]b/s')) as is_noise from lines)"""
 
 
 def _progress(all_lines: bool) -> str:
     plain = "union all select doc_id, line, pos as ord from kinds where not is_error and not is_noise" if all_lines else ""
-    return f"""with {PROGRESS_MARKS}, parts as (select doc_id, line, pos + {SECTION} as ord from kinds where is_error {plain}
+    return f"""{PROGRESS_MARKS}, parts as (select doc_id, line, pos + {SECTION} as ord from kinds where is_error {plain}
     union all select doc_id, arg_max(line, pos), max(pos) + {2 * SECTION} from kinds group by doc_id)
   select doc_id, min(ord) as ord, line from parts group by doc_id, line"""
 
 
-TEST = f"""with {_events(fx.TEST_LINE)},
-  tails as (select *, row_number() over (partition by doc_id order by pos desc) as back from lines),
+def _test(limit: int) -> str:
+    return f"""tails as (select *, row_number() over (partition by doc_id order by pos desc) as back from lines),
   hits as (select *, regexp_matches(line, '(?i)^={{3,}}|^-{{3,}}\\s*$|\\btotal:|\\bpassed:|\\bfailed:')
     or ((contains(lower(line), 'failed') or contains(lower(line), 'passed')) and contains(line, '====')) as hit from tails where back <= 5),
   summary as (select doc_id, pos, line from hits h where hit or (back = 1 and not exists (select 1 from hits g where g.doc_id = h.doc_id and g.hit))),
@@ -198,12 +198,12 @@ TEST = f"""with {_events(fx.TEST_LINE)},
   kinds as (select *, case when regexp_matches(line, '\\b(FAILED|FAIL|ERROR)\\b') then 'f' when regexp_matches(line, '\\b(PASSED|ok)\\b') then 'p' else 'o' end as kind from rest),
   blocks as (select *, sum(case when kind <> 'o' then 1 else 0 end) over (partition by doc_id order by pos rows unbounded preceding) as block from kinds),
   placed as (select *, row_number() over (partition by doc_id, block order by pos) - 1 as i, first_value(kind) over (partition by doc_id, block order by pos) as opener from blocks),
-  body as (select doc_id, pos, case when i = 3 then '... [traceback truncated]' else line end as line from placed where block > 0 and opener = 'f' and i <= 3),
+  body as (select doc_id, pos, case when i = {limit + 1} then '... [traceback truncated]' else line end as line from placed where block > 0 and opener = 'f' and i <= {limit + 1}),
   once as (select *, contains(line, 'AssertionError:') or contains(line, 'expect(') as said, row_number() over (partition by doc_id, line order by pos) as k from body)
   select doc_id, pos as ord, line from once where not said or k = 1
   union all select doc_id, pos + {SECTION}, line from summary"""
 
-DIFF_FLAGS = f"""{DIFF}, flags as (select *, starts_with(line, '+++') or starts_with(line, '---') or starts_with(line, '@@') as header,
+DIFF_FLAGS = """flags as (select *, starts_with(line, '+++') or starts_with(line, '---') or starts_with(line, '@@') as header,
     (starts_with(line, '+') or starts_with(line, '-')) and not (starts_with(line, '+++') or starts_with(line, '---')) as changed from lines)"""
 
 
@@ -218,8 +218,16 @@ DIFF_FILES = """numbered as (select *, sum(starts_with(line, '+++ b/')::int) ove
     sum((starts_with(line, '-') and not starts_with(line, '---'))::int) as deleted from numbered where no > 0 group by doc_id, no),
   files as (select doc_id, file, min(pos) as pos, arg_max(added, no) as added, arg_max(deleted, no) as deleted from per_file where file <> '' group by doc_id, file)"""
 
-ERROR = f"""with {_events(fx.TRACE_LINE)},
-  kinds as (select *, case when contains(line, 'Traceback') or contains(line, 'Exception') then 'h'
+def _diff(most: int) -> str:
+    return f"""{DIFF_FLAGS}, {_diff_near(2)}, {DIFF_FILES}, sizes as (select doc_id, count(*) as kept from context group by doc_id),
+        long as (select doc_id from sizes where kept > {most} and doc_id in (select doc_id from files))
+        select doc_id, pos as ord, line from context where doc_id not in (select doc_id from long)
+        union all select doc_id, -1, '[Diff too large, summarized by file]' from long
+        union all select doc_id, pos, file || ': +' || added || ' -' || deleted from files where doc_id in (select doc_id from long)"""
+
+
+def _error(limit: int) -> str:
+    return f"""kinds as (select *, case when contains(line, 'Traceback') or contains(line, 'Exception') then 'h'
     when contains(line, 'File "') or contains(line, 'at line') or starts_with(trim(line), 'at ') then 'f'
     when starts_with(line, '    ') then 'c' else 'm' end as kind from lines where trim(line) <> ''),
   states as (select *, last_value(case when kind in ('h', 'm') then kind end ignore nulls) over
@@ -228,8 +236,8 @@ ERROR = f"""with {_events(fx.TRACE_LINE)},
   cands as (select doc_id, pos, line, case when line = lag(line) over (partition by doc_id order by pos) then 0 else 1 end as chg
     from inside where is_in and kind = 'f' and not regexp_matches(line, '{LIBRARY_FRAME.replace('(?iu)', '(?i)')}')),
   ranks as (select *, sum(chg) over (partition by doc_id order by pos rows unbounded preceding) as rank from cands),
-  frames as (select doc_id, pos, line from ranks where chg = 1 and rank <= 3
-    union all select doc_id, min(pos), '... [additional frames omitted]' from ranks where rank - chg >= 3 group by doc_id),
+  frames as (select doc_id, pos, line from ranks where chg = 1 and rank <= {limit}
+    union all select doc_id, min(pos), '... [additional frames omitted]' from ranks where rank - chg >= {limit} group by doc_id),
   rows_ as (select doc_id, pos, line, true as lead from inside where not is_in or kind = 'm' union all select doc_id, pos, line, true from frames
     union all select doc_id, pos, line, false from inside where is_in and kind = 'c'),
   cuts as (select *, last_value(case when lead or contains(line, 'omitted') then contains(line, 'omitted') end ignore nulls) over
@@ -249,6 +257,98 @@ EVENTS_IN = f"""{OUTPUTS}, tools as (select doc_id, command,
       when 3 then output || chr(10) || 'tail' else output end as output
     from outputs where doc_id % 10 in (0, 1, 2, 3, 4, 7, 9) and output <> '')"""
 
+# the whole rule: gate, resolve, condense by strategy, second chance, regression guard
+
+LIST_PARAMS = """case prefix when 'git log' then {'m': 20, 'h': 16, 't': 4} when 'git stash' then {'m': 10, 'h': 8, 't': 2}
+    when 'docker logs' then {'m': 30, 'h': 12, 't': 18} when 'cat' then {'m': 50, 'h': 20, 't': 5} else {'m': 30, 'h': 20, 't': 5} end"""
+LISTS = f"""filled as (select * from lines where regexp_matches(line, '\\S')),
+  repeats as (select doc_id, pos, line from filled where doc_id in (select doc_id from live where prefix = 'docker logs')),
+  {_runs('repeats')},
+  dirs as (select *, regexp_replace(line, '/[^/]*$', '') as dir from filled
+    where doc_id in (select doc_id from live where prefix = 'find') and contains(line, '/')),
+  folders as (select doc_id, dir, count(*) as files, min(pos) as grp from dirs group by doc_id, dir),
+  shown_rows as (
+    select doc_id, 0 as part, 0 as grp, pos, case when cnt > 1 then line || ' [repeated ' || cnt || 'x]' else line end as line from runs
+    union all select d.doc_id, 1, grp, pos, line from dirs d join folders f on d.doc_id = f.doc_id and d.dir = f.dir where files <= 3
+    union all select doc_id, 1, grp, grp, dir || '/... [' || files || ' files]' from folders where files > 3
+    union all select doc_id, 0, 0, pos, line from filled where doc_id in (select doc_id from live where prefix = 'find') and not contains(line, '/')
+    union all select doc_id, 0, 0, pos, line from filled where doc_id in (select doc_id from live where prefix not in ('find', 'docker logs'))),
+  ranked as (select s.doc_id, line, {LIST_PARAMS} as k, row_number() over (partition by s.doc_id order by part, grp, pos) as i,
+    count(*) over (partition by s.doc_id) as n from shown_rows s join live on s.doc_id = live.doc_id)
+  select doc_id, 2 * i as ord, line from ranked where n <= k.m or i <= k.h or i > n - k.t
+  union all select doc_id, 2 * k.h + 1, '... [' || (n - k.h - k.t) || ' more items]' from ranked where i = 1 and n > k.m"""
+TABLES = """below as (select *, lead(line) over (partition by doc_id order by pos) as nx from lines),
+  heads as (select doc_id, coalesce(min(case when (upper(line) = line and lower(line) <> line)
+    or regexp_full_match(coalesce(nx, ''), '[-\\s|+]+') then pos end), 0) as header from below group by doc_id),
+  placed as (select l.*, pos <= header or regexp_full_match(line, '[-\\s|+]+') as as_is from lines l join heads using (doc_id)),
+  data as (select *, row_number() over (partition by doc_id order by pos) as i, string_split_regex(line, '\\s{2,}|\\t') as c,
+    regexp_extract_all(line, '\\s{2,}|\\t') as g from placed where not as_is and regexp_matches(line, '\\S')),
+  limits as (select doc_id, case prefix when 'docker ps' then 15 else 20 end as m from live)
+  select doc_id, pos as ord, line from placed where as_is
+  union all select d.doc_id, pos, case when i = m + 1 then '... [additional rows omitted]' else array_to_string([case when length(c[x]) > 40
+    then c[x][:37] || '...' else c[x] end || coalesce(g[x], '') for x in range(1, least(len(c), 5) + 1)], '') end
+    from data d join limits using (doc_id) where i <= m + 1"""
+WORD = "[\\p{L}\\p{N}_]"
+PAIR_ROWS = f"""keyed as (select *, case when regexp_matches(line, '^\\s*{WORD}[\\p{{L}}\\p{{N}}_\\s]*:\\s+\\S') then regexp_extract(line, '^(\\s*{WORD}[\\p{{L}}\\p{{N}}_\\s]*):\\s+\\S', 1)
+    when regexp_matches(line, '^\\s*{WORD}[\\p{{L}}\\p{{N}}_\\s]*=\\s*\\S') then regexp_extract(line, '^(\\s*{WORD}[\\p{{L}}\\p{{N}}_\\s]*)=\\s*\\S', 1) end as key from lines),
+  rest as (select *, key is null or not regexp_matches(key, '(?i)time|date|at') as important from keyed),
+  ranked as (select r.*, case prefix when 'git status' then 15 else 20 end as most, row_number() over (partition by r.doc_id order by pos) as i,
+    row_number() over (partition by r.doc_id, important order by pos) as j, count(*) over (partition by r.doc_id) as n,
+    sum(important::int) over (partition by r.doc_id) as m from rest r join live on r.doc_id = live.doc_id)
+  select doc_id, pos as ord, line from ranked where n <= most or (important and j <= most)
+  union all select distinct doc_id, {SECTION}, case when m > most then '... [additional pairs omitted]' else '... [timestamp pairs omitted]' end from ranked where n > most"""
+CLEAN = "clean as (select doc_id, pos, regexp_replace(line, '^\\s+|\\s+$', '', 'g') as line from lines where regexp_matches(line, '\\S'))"
+
+
+def _part(strategy: str, body: str, filled: bool = False) -> str:
+    blank = " and regexp_matches(line, '\\S')" if filled else ""
+    return f"""select doc_id, string_agg(line, chr(10) order by ord) as text from (with
+  lines as (select doc_id, pos, line from all_lines where doc_id in (select doc_id from live where strategy = '{strategy}'){blank}), {body})
+  group by doc_id"""
+
+
+def _generic(most: int, head: int, tail: int) -> str:
+    return f"{CLEAN}, {_collapsed('clean', 3)}, {_head_tail('folded', most, head, tail)} select doc_id, ord, line from shown"
+
+
+PARTS = " union all ".join(
+    [
+        _part("generic", _generic(50, 20, 10)),
+        _part("list", LISTS),
+        _part("progress", _progress(False), filled=True),
+        _part("test", _test(8), filled=True),
+        _part("diff", _diff(80)),
+        _part("table", TABLES),
+        _part("keyvalue", PAIR_ROWS),
+        _part("error", _error(10)),
+    ]
+)
+CONDENSED = f"""{SAMPLE}, {SEED_ROWS}, {_matched('seeds', 'found')},
+  gated as (select doc_id, case when {_is_sensitive('command')} or {_is_sensitive('output')} then 'security sensitive content detected'
+    when len(parts) < 15 then 'minimal output' end as reason from arrays),
+  live as (select a.doc_id, a.command, a.output, a.parts, coalesce(f.r.strategy, d.shape) as strategy, coalesce(f.r.prefix, '') as prefix,
+    case when f.r.strategy is null then 'classifier' else 'seed' end as source, greatest(1, {_tokens('a.output')}) as raw_tokens
+    from arrays a join gated using (doc_id) join found f using (doc_id) join detected d using (doc_id) where reason is null),
+  all_lines as (select doc_id, unnest(range(len(parts))) as pos, unnest(parts) as line from live),
+  condensed as (select doc_id, text, greatest(1, {_tokens('text')}) as tokens from ({PARTS}) where text <> ''),
+  sized as (select doc_id, raw_tokens, coalesce(tokens, raw_tokens) as tokens from live left join condensed using (doc_id)),
+  low as (select * from sized where raw_tokens > 200 and 1 - tokens / raw_tokens < 0.1::double),
+  again as (select doc_id, text, greatest(1, {_tokens('text')}) as tokens from (select doc_id, string_agg(line, chr(10) order by ord) as text from (with
+    lines as (select * from all_lines where doc_id in (select doc_id from low)), {_generic(20, 12, 6)}) group by doc_id) where text <> ''),
+  chosen as (select l.doc_id, case when a.tokens < z.tokens then a.text else c.text end as text,
+    case when a.tokens < z.tokens then a.tokens else c.tokens end as tokens
+    from live l left join condensed c using (doc_id) left join again a using (doc_id) left join low z using (doc_id)),
+  judged as (select l.*, b.text, b.tokens, b.text is null or length(b.text) > length(l.output) or b.tokens > l.raw_tokens as grew from live l join chosen b using (doc_id)),
+  results as (select o.doc_id, j.command as live_command, reason, strategy, source, raw_tokens, case when grew then raw_tokens else tokens end as compressed_tokens,
+    case when reason is not null or grew then o.output else j.text end as result
+    from outputs o join gated using (doc_id) left join judged j using (doc_id))"""
+RESULT_COLUMNS = "doc_id, reason, strategy, source, raw_tokens, compressed_tokens, result"
+
+LADDER = " union all ".join(
+    f"select doc_id, {i} as rung, string_agg(line, chr(10) order by ord) as text from (with lines as (select * from all_lines where doc_id in (select doc_id from over)), {_generic(n, h, t)}) group by doc_id"
+    for i, (n, h, t) in enumerate([(60, 36, 18), (40, 24, 12), (30, 18, 9), (20, 12, 6), (15, 9, 4), (10, 6, 3)])
+)
+
 ESCAPED = """escaped as (select event_id, case when event_id % 3 = 0 then event_type || ' ' || event_id
     else chr(27) || '[3' || (event_id % 8) || 'm' || event_type || chr(27) || '[0m ' || event_id end as line from events)"""
 LOOSE = "regexp_replace(trim('  ' || p_brand || '   ' || p_type || chr(9) || p_name || ' '), '\\s+', ' ', 'g')"
@@ -321,16 +421,12 @@ ORACLES: dict[str, str] = {
         grouped as (select d.doc_id, 1 as part, grp, pos, line from dirs d join folders f on d.doc_id = f.doc_id and d.dir = f.dir where files <= 3
           union all select doc_id, 1, grp, grp, dir || '/... [' || files || ' files]' from folders where files > 3),
         {_head_tail('grouped', 40, 20, 5, 'items', True, 'part, grp, pos')} select doc_id, ord, line from shown""",
-    "progress": _progress(False),
-    "progress_all": _progress(True),
-    "test_run": TEST,
-    "diff_context": f"with {DIFF_FLAGS}, {_diff_near(1)} select doc_id, pos, line from context",
+    "progress": f"with {_events(fx.PROGRESS_LINE)}, {_progress(False)}",
+    "progress_all": f"with {_events(fx.PROGRESS_LINE)}, {_progress(True)}",
+    "test_run": f"with {_events(fx.TEST_LINE)}, {_test(2)}",
+    "diff_context": f"with {DIFF}, {DIFF_FLAGS}, {_diff_near(1)} select doc_id, pos, line from context",
     "diff_stat": f"with {DIFF}, {DIFF_FILES} select doc_id, file, pos, added, deleted from files",
-    "diff": f"""with {DIFF_FLAGS}, {_diff_near(2)}, {DIFF_FILES}, sizes as (select doc_id, count(*) as kept from context group by doc_id),
-        long as (select doc_id from sizes where kept > 560 and doc_id in (select doc_id from files))
-        select doc_id, pos as ord, line from context where doc_id not in (select doc_id from long)
-        union all select doc_id, -1, '[Diff too large, summarized by file]' from long
-        union all select doc_id, pos, file || ': +' || added || ' -' || deleted from files where doc_id in (select doc_id from long)""",
+    "diff": f"with {DIFF}, {_diff(560)}",
     "table": f"""with {TABLE}, data as (select *, row_number() over (partition by doc_id order by pos) as i from lines where pos > 1),
         cells as (select doc_id, pos, i, string_split(line, '   ') as c from data)
         select doc_id, pos as ord, line from lines where pos <= 1
@@ -342,7 +438,7 @@ ORACLES: dict[str, str] = {
           count(*) over (partition by doc_id) as n, sum(important::int) over (partition by doc_id) as m from rest)
         select doc_id, pos as ord, line from ranked where (n <= 42) or (n > 42 and important and j <= 42)
         union all select distinct doc_id, {SECTION}, case when m > 42 then '... [additional pairs omitted]' else '... [timestamp pairs omitted]' end from ranked where n > 42""",
-    "error_trace": ERROR,
+    "error_trace": f"with {_events(fx.TRACE_LINE)}, {_error(3)}",
     "always_keep": f"with {_events()}, {_head_tail('lines', 12, 4, 2)} select doc_id, ord, line from shown {_kept('^sign|error$')}",
     "always_strip": f"with {_events()} select doc_id, pos, line from lines where not regexp_matches(line, '^view$|chase')",
     "fit_lines": f"""with {DOC_LINES}, used as (select *, sum({_tokens('line')}) over (partition by doc_id order by pos rows unbounded preceding) as t from lines)
@@ -394,4 +490,22 @@ ORACLES: dict[str, str] = {
         select run_id, started, ended, line from wins where ended <= (select date_trunc('millisecond', max(ts)) from sig)""",
     "stream_safe_emit": "select user_id as run_id, event_id as seq, ts, event_type as line from events where event_id % 5 >= 2",
     "stream_learn": f"with {FOLD} select {ENTRY} from registry",
+    "condense_outputs": f"with {CONDENSED} select {RESULT_COLUMNS} from results",
+    "stream_condense": f"with {CONDENSED} select {RESULT_COLUMNS} from results",
+    "savings": f"""with {CONDENSED} select live_command as command, strategy, count(*) as n_outputs, sum(raw_tokens) as raw_tokens, sum(compressed_tokens) as compressed_tokens,
+        sum(greatest(0, raw_tokens - compressed_tokens)) as saved, 1 - sum(compressed_tokens) / sum(raw_tokens) as ratio from results where reason is null group by 1, 2""",
+    "budget_ladder": f"""with {DOC_LINES.replace('lines as', 'all_lines as')}, over as (select doc_id, {_tokens('output')} as now from outputs where {_tokens('output')} > 300),
+        rungs as (select doc_id, rung, text, greatest(1, {_tokens('text')}) as tokens from ({LADDER}) where text <> ''),
+        stops as (select doc_id, min(case when tokens <= 300 then rung end) as stop from rungs group by doc_id),
+        tried as (select r.* from rungs r join stops s using (doc_id) where stop is null or rung <= stop),
+        best as (select *, row_number() over (partition by doc_id order by tokens, rung) as k from tried)
+        select doc_id, text, tokens from best join over using (doc_id) where k = 1 and tokens < now""",
+    "regression_guard": f"""with {DOC_LINES}, {_head_tail('lines', 4, 1, 1)},
+        texts as (select doc_id, string_agg(line, chr(10) order by ord) as text from shown group by doc_id)
+        select doc_id, case when text is null or text = '' or length(text) > length(output) or greatest(1, {_tokens('text')}) > greatest(1, {_tokens('output')})
+          then output else text end as result from outputs left join texts using (doc_id)""",
+    "error_passthrough": f"""with {OUTPUTS}, {ARRAYS.replace('arrays as', 'flat as')}
+        select doc_id, case when {_is_sensitive('command')} or {_is_sensitive('output')} then 'security sensitive content detected'
+          when doc_id % 2 = 0 and 3 + case when output = '' then 0 else 2 * len(parts) - (not regexp_matches(output, '\\n$'))::int end >= 15 then 'error output pass-through'
+          when doc_id % 2 = 0 or len(parts) < 15 then 'minimal output' end as reason from flat""",
 }
