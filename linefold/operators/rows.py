@@ -14,6 +14,8 @@ from .ordered import SEG, carried, emit, group_keys, is_segmented, ranked_ends,
 
 # A directory with more files than this becomes one row.
 FILES_SHOWN = 3
+# More repeats than any run has: the run is left as it is.
+NO_FOLD = (1 << 31) - 1
 
 
 def _as_column(value: int | Column) -> Column:
@@ -112,42 +114,52 @@ def dirname(path: Column) -> Column:
     return F.when(head.rlike(r"^/*\z"), head).otherwise(F.regexp_replace(head, r"/+\z", ""))
 
 
-def group_by_directory(rows: DataFrame) -> DataFrame:
+def group_by_directory(rows: DataFrame, wanted: Column | None = None) -> DataFrame:
     """Rows without a slash first, then directories in first-seen order; a directory of more
-    than three files becomes one row. Adds ``part`` and ``grp`` to the sort key."""
-    extra = carried(rows)
+    than three files becomes one row. Adds ``part`` and ``grp`` to the sort key. Documents that are
+    not ``wanted`` keep their rows (whole documents only)."""
     is_path = F.contains("line", F.lit("/")) | F.contains("line", F.lit("\\"))
+    if is_segmented(rows):
+        return _group_segmented(rows, is_path)
+    if wanted is not None:
+        is_path = is_path & F.coalesce(wanted, F.lit(False))
+    # the documents are together already: look around inside each directory
+    rows = rows.withColumn("dir", F.when(is_path, dirname(F.col("line"))))
+    near = Window.partitionBy("doc_id", "dir")
+    rows = rows.withColumns({"files": F.count("*").over(near), "first": F.min("pos").over(near)})
+    in_dir = F.col("dir").isNotNull()
+    many = in_dir & (F.col("files") > FILES_SHOWN)
+    rows = rows.filter(~many | (F.col("pos") == F.col("first")))
+    rows = rows.withColumns(
+        {
+            "line": F.when(many, _folder_line()).otherwise(F.col("line")),
+            "part": in_dir.cast("int"),
+            "grp": F.when(in_dir, F.col("first")).otherwise(F.lit(0).cast("bigint")),
+        }
+    )
+    return rows.drop("dir", "files", "first")
+
+
+def _folder_line() -> Column:
+    return F.concat("dir", F.lit("/... ["), F.col("files").cast("string"), F.lit(" files]"))
+
+
+def _group_segmented(rows: DataFrame, is_path: Column) -> DataFrame:
+    """Count files per directory first; only directories with few files are matched with rows."""
     zero = F.lit(0).cast("bigint")
     others = rows.filter(~is_path).withColumns({"part": F.lit(0), "grp": zero})
     paths = rows.filter(is_path).withColumn("dir", dirname(F.col("line")))
-    segmented = is_segmented(rows)
     folders = paths.groupBy("doc_id", "dir").agg(
-        F.count("*").alias("files"),
-        F.min("pos").alias("grp"),
-        *([F.min(SEG).alias("dir_seg")] if segmented else []),
-        *[F.any_value(c).alias(c) for c in extra],
+        F.count("*").alias("files"), F.min("pos").alias("grp"), (F.min(SEG) + F.lit(1 << 40)).alias(SEG)
     )
-    if segmented:
-        near = Window.partitionBy(*group_keys(paths, ("doc_id",)), "dir")
-        paths = paths.withColumn("_n", F.count("*").over(near)).filter(F.col("_n") <= FILES_SHOWN).drop("_n", SEG)
-        folders = folders.withColumn(SEG, F.col("dir_seg") + F.lit(1 << 40)).drop("dir_seg")
-    few = folders.filter(F.col("files") <= FILES_SHOWN).drop("files", *extra)
+    near = Window.partitionBy(*group_keys(paths, ("doc_id",)), "dir")
+    paths = paths.withColumn("_n", F.count("*").over(near)).filter(F.col("_n") <= FILES_SHOWN).drop("_n", SEG)
+    few = folders.filter(F.col("files") <= FILES_SHOWN).drop("files")
     listed = paths.join(few, ["doc_id", "dir"]).withColumn("part", F.lit(1)).drop("dir")
-    many = (
-        folders.filter(F.col("files") > FILES_SHOWN)
-        .withColumn("line", F.concat("dir", F.lit("/... ["), F.col("files").cast("string"), F.lit(" files]")))
-        .withColumns({"part": F.lit(1), "pos": F.col("grp")})
-        .drop("dir", "files")
+    many = folders.filter(F.col("files") > FILES_SHOWN).withColumns(
+        {"line": _folder_line(), "part": F.lit(1), "pos": F.col("grp")}
     )
-    return others.unionByName(listed).unionByName(many)
-
-
-def _where(df: DataFrame, flag: bool | Column, change) -> DataFrame:
-    """Apply ``change`` to the rows whose flag is set."""
-    if isinstance(flag, bool):
-        return change(df) if flag else df
-    flag = F.coalesce(flag, F.lit(False))
-    return change(df.filter(flag)).unionByName(df.filter(~flag), allowMissingColumns=True)
+    return others.unionByName(listed).unionByName(many.drop("dir", "files"))
 
 
 def list_lines(
@@ -163,17 +175,14 @@ def list_lines(
     """Drop blanks, fold repeats and directories where asked, show both ends."""
     per_row = "p" in lines.columns
     rows = lines.filter(~is_blank(F.col("line")))
-    rows = _where(
-        rows,
-        param(lines, "dedup", dedup) if per_row else dedup,
-        lambda d: collapse_runs(d, 2, trim=False),
-    )
-    rows = _where(rows, param(lines, "group_by_directory", group_dirs) if per_row else group_dirs, group_by_directory)
-    order = ("pos",)
-    if "part" in rows.columns:
-        zero = F.lit(0).cast("bigint")
-        rows = rows.withColumns({"part": F.coalesce("part", F.lit(0)), "grp": F.coalesce("grp", zero)})
-        order = ("part", "grp", "pos")
+    if per_row:
+        repeats = F.when(param(lines, "dedup", dedup), F.lit(2)).otherwise(F.lit(NO_FOLD))
+        rows = collapse_runs(rows, repeats, trim=False)
+        rows = group_by_directory(rows, param(lines, "group_by_directory", group_dirs))
+    else:
+        rows = collapse_runs(rows, 2, trim=False) if dedup else rows
+        rows = group_by_directory(rows) if group_dirs else rows
+    order = ("part", "grp", "pos") if "part" in rows.columns else ("pos",)
     shown = head_tail(
         rows,
         param(lines, "max_lines", max_lines),

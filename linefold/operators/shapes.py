@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import SPACES, is_blank, is_upper, strip as strip_text
@@ -101,6 +101,15 @@ def test_summary(lines: DataFrame) -> DataFrame:
     )
 
 
+def _first_of_text(rows: DataFrame, repeated: Column) -> DataFrame:
+    """Rows whose ``repeated`` test holds stay once per text."""
+    if not is_segmented(rows):
+        first = F.min("pos").over(Window.partitionBy("doc_id", "line"))
+        return rows.withColumn("_first", first).filter(~repeated | (F.col("pos") == F.col("_first"))).drop("_first")
+    once = rows.filter(repeated).groupBy("doc_id", "line").agg(F.min("pos").alias("pos"))
+    return rows.filter(~repeated).select("doc_id", "pos", "line").unionByName(once.select("doc_id", "pos", "line"))
+
+
 def test_run(
     lines: DataFrame,
     max_traceback_lines: int = 8,
@@ -119,19 +128,16 @@ def test_run(
         "kind", F.when(line.rlike(TEST_FAIL), F.lit("f")).when(line.rlike(TEST_PASS), F.lit("p")).otherwise(F.lit("o"))
     )
     opener = F.when(F.col("kind") != "o", F.struct("kind", "pos"))
-    rows = cut(scan(rows, last={"opener": opener}))
-    marks = rows.filter((F.col("kind") == "f") | ((F.col("kind") == "p") & (param(lines, "keep", keep_mode) == "all")))
-    follow = rows.filter((F.col("kind") == "o") & (F.col("opener.kind") == "f")).withColumn("block", F.col("opener.pos"))
-    follow = ranked_ends(follow, limit + 1, 0, keys=("doc_id", "block"))
-    follow = follow.filter(F.col("idx") <= limit + 1).withColumn(
-        "line", F.when(F.col("idx") > limit, F.lit(TRACE_CUT)).otherwise(line)
-    )
-    body = marks.select("doc_id", *extra, "pos", "line").unionByName(follow.select("doc_id", *extra, "pos", "line"))
+    rows = scan(rows, last={"opener": opener})
+    is_open = (F.col("kind") == "o") & (F.col("opener.kind") == "f")
+    passed = (F.col("kind") == "p") & (param(lines, "keep", keep_mode) == "all")
+    rows = rows.filter((F.col("kind") == "f") | is_open | passed)
+    # a block is a failure and what follows it; its first row is the failure itself
+    rows = rows.withColumn("block", F.when(is_open, F.col("opener.pos")).otherwise(F.col("pos")))
+    rows = ranked_ends(rows, limit + 2, 0, keys=("doc_id", "block")).filter(F.col("idx") <= limit + 2)
+    rows = rows.withColumn("line", F.when(F.col("idx") > limit + 1, F.lit(TRACE_CUT)).otherwise(line))
     asserts = _has("line", "AssertionError:") | _has("line", "expect(")
-    once = body.filter(asserts).groupBy("doc_id", "line").agg(
-        F.min("pos").alias("pos"), *[F.any_value(c).alias(c) for c in extra]
-    )
-    body = body.filter(~asserts).unionByName(once.select(*body.columns))
+    body = _first_of_text(rows.select("doc_id", *extra, "pos", "line", *group_keys(rows, ())), asserts)
     closing = summary.select("doc_id", *extra, F.inline("summary")).select(
         "doc_id", *extra, (F.col("pos") + SECTION).alias("ord"), "line"
     )
