@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from ..functions import safety, shape, text
 from ..operators import budget, chunks, contract, rows, shapes
 from ..session import shared_dir, spread
-from ..sources import events, history, registry, rules
+from ..sources import events, history, outputs, registry, rules
 from ..streaming import lines as stream_lines
 from ..streaming import sinks
 from . import condense as plan
@@ -27,6 +27,17 @@ def query(make: Query) -> Query:
     return make
 
 
+# sources
+
+
+@query
+def read_outputs(spark, sf):
+    """Conversation turns as outputs of their role."""
+    turn = F.col("conv_id") * 1000 + F.col("turn")
+    path = f"{sf}/conversations.parquet"
+    return outputs.read_outputs(spark, path, doc_id=turn, command="role", output="text")
+
+
 # text
 
 
@@ -389,6 +400,12 @@ def regression_guard(spark, sf):
     return both.select("doc_id", budget.regression_guard(F.col("output"), F.col("text"), raw, new).alias("result"))
 
 
+@query
+def min_savings(spark, sf):
+    found = plan.condense_outputs(fx.outputs(spark, sf), settings=plan.Settings(min_savings_ratio=0.9))
+    return found.select("doc_id", "compressed_tokens", "result")
+
+
 @query
 def savings(spark, sf):
     return budget.savings(plan.condense_outputs(fx.outputs(spark, sf)).filter("reason is null"))
@@ -562,6 +579,14 @@ def tool_envelopes(spark, sf):
     return events.tool_envelopes(df.select("doc_id", "dialect", "result")).select("doc_id", "value")
 
 
+@query
+def condense_tool_events(spark, sf):
+    answers = plan.condense_tool_events(tool_events(spark, sf))
+    text = F.coalesce(F.get_json_object("value", "$.content"), F.get_json_object("value", "$.reason"))
+    mark = F.coalesce(F.get_json_object("value", "$.type"), F.get_json_object("value", "$.decision"))
+    return answers.select("doc_id", mark.alias("mark"), text.alias("text"))
+
+
 # chunks
 
 

@@ -16,6 +16,7 @@ from ..functions.safety import gate
 from ..functions.text import MAX_OUTPUT_BYTES, count_tokens, explode_lines, normalize_command, oversize, strip_ansi
 from ..operators import budget, rows, shapes
 from ..session import staged, staged_parts
+from ..sources.events import already_transformed, fast_exit, normalize_tool_events, tool_envelopes
 from ..sources.rules import match_prefix, merge_contract, merge_params, resolve_strategy, seeds
 
 
@@ -194,6 +195,15 @@ def condense_outputs(
     return df.drop("text", "tokens", "p")
 
 
+def condense_tool_events(events: DataFrame, **options) -> DataFrame:
+    """``(doc_id, value)``: the JSON answer to every shell event worth condensing, and envelopes that
+    are answers already, unchanged. ``events(doc_id, value)`` in any dialect; others get no answer."""
+    calls = normalize_tool_events(events).filter(~fast_exit(F.col("output")))
+    results = condense_outputs(calls.select("doc_id", "dialect", "command", "output"), **options)
+    answers = tool_envelopes(results.select("doc_id", "dialect", "result")).select("doc_id", "value")
+    return answers.unionByName(already_transformed(events).select("doc_id", "value"))
+
+
 def call_log(results: DataFrame) -> DataFrame:
     """Calls to learn from: condensed outputs that no seed decided."""
     return results.filter(F.col("reason").isNull() & (F.col("source") != "seed")).select(

@@ -349,6 +349,10 @@ LADDER = " union all ".join(
     for i, (n, h, t) in enumerate([(60, 36, 18), (40, 24, 12), (30, 18, 9), (20, 12, 6), (15, 9, 4), (10, 6, 3)])
 )
 
+TOOL_OUTPUTS = f"""{EVENTS_IN.replace('outputs', 'documents_out')}, outputs as (select doc_id, command, output from tools
+    where not (length(output) < 200 and length(output) - length(replace(output, chr(10), '')) < 3))"""
+TOOL_CONDENSED = CONDENSED.replace(OUTPUTS, TOOL_OUTPUTS)
+
 ESCAPED = """escaped as (select event_id, case when event_id % 3 = 0 then event_type || ' ' || event_id
     else chr(27) || '[3' || (event_id % 8) || 'm' || event_type || chr(27) || '[0m ' || event_id end as line from events)"""
 LOOSE = "regexp_replace(trim('  ' || p_brand || '   ' || p_type || chr(9) || p_name || ' '), '\\s+', ' ', 'g')"
@@ -360,6 +364,7 @@ SEGMENTS = f"""{CHUNKS}, gaps as (select *, case when epoch_us(ts) - lag(epoch_u
 ENTRIES = """entries as (select 'f' || (p_partkey % 3) || '.json' as file, 'tool ' || (p_partkey // 3) as prefix, p_partkey % 7 as kind, p_size from part)"""
 
 ORACLES: dict[str, str] = {
+    "read_outputs": "select conv_id * 1000 + turn as doc_id, role as command, text as output from conversations",
     "split_lines": f"with {DOC_LINES} select doc_id, pos, line from lines",
     "has_ansi": f"with {ESCAPED} select event_id, contains(line, chr(27)) as has_ansi from escaped",
     "strip_ansi": "select event_id, event_type || ' ' || event_id as line from events",
@@ -492,6 +497,9 @@ ORACLES: dict[str, str] = {
     "stream_learn": f"with {FOLD} select {ENTRY} from registry",
     "condense_outputs": f"with {CONDENSED} select {RESULT_COLUMNS} from results",
     "stream_condense": f"with {CONDENSED} select {RESULT_COLUMNS} from results",
+    "min_savings": f"with {CONDENSED.replace('< 0.1::double)', '< 0.9::double)')} select doc_id, compressed_tokens, result from results",
+    "condense_tool_events": f"""with {TOOL_CONDENSED} select r.doc_id, t.dialect as mark, r.result as text from results r join tools t using (doc_id)
+        union all select doc_id, 'tool_result', text from documents where doc_id % 10 = 6""",
     "savings": f"""with {CONDENSED} select live_command as command, strategy, count(*) as n_outputs, sum(raw_tokens) as raw_tokens, sum(compressed_tokens) as compressed_tokens,
         sum(greatest(0, raw_tokens - compressed_tokens)) as saved, 1 - sum(compressed_tokens) / sum(raw_tokens) as ratio from results where reason is null group by 1, 2""",
     "budget_ladder": f"""with {DOC_LINES.replace('lines as', 'all_lines as')}, over as (select doc_id, {_tokens('output')} as now from outputs where {_tokens('output')} > 300),

@@ -4,6 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from linefold.sources import events, history, registry, rules
+from linefold.sources.outputs import read_outputs
 
 
 def fold(shapes, shape=None, confidence=None):
@@ -152,3 +153,13 @@ def test_tool_events(spark):
     by_id = {r.doc_id: json.loads(r.value) for r in replies}
     assert by_id[0] == {"type": "tool_result", "content": "r"}
     assert by_id[5] == {"decision": "block", "reason": "r"} and by_id[6] == {"decision": "deny", "reason": "r"}
+
+
+def test_outputs_from_files(spark, tmp_path):
+    for name, text in (("a.log", "one\r\ntwo\n"), ("b.log", "three")):
+        (tmp_path / name).write_bytes(text.encode())
+    found = read_outputs(spark, str(tmp_path), "text", "make").collect()
+    assert sorted((r.command, r.output) for r in found) == [("make", "one\r\ntwo\n"), ("make", "three")]
+    rows = tmp_path / "rows"
+    spark.createDataFrame([(1, "ls", "x")], "id long, command string, output string").write.json(str(rows))
+    assert read_outputs(spark, str(rows), "json", doc_id="id").collect() == [(1, "ls", "x")]
