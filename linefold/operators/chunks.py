@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import MAX_OUTPUT_BYTES, strip as strip_text
-from .ordered import SEG, cut, scan
+from .ordered import SEG, cut, in_segments, scan
 
 BUCKET = 1 << 16
 
@@ -15,9 +15,8 @@ def assemble_chunks(chunks: DataFrame) -> DataFrame:
     """``(run_id, seq, chunk)`` to ``(run_id, pos, line)``. Only ``\\n`` ends a line; the rest of a
     chunk goes on in the next one, and a blank rest at the end of the run is dropped."""
     pieces = F.split("chunk", "\n", -1)
-    df = chunks.select(
-        "run_id", "seq", pieces.alias("pieces"), F.floor(F.col("seq") / BUCKET).cast("bigint").alias(SEG)
-    )
+    df = chunks.select("run_id", "seq", pieces.alias("pieces"))
+    df = in_segments(df, F.floor(F.col("seq") / BUCKET), ("run_id",))
     breaks = F.size("pieces") - 1
     df = scan(df, sums={"ended": breaks}, totals={"all_ended": breaks}, keys=("run_id",), order=("seq",))
     rows = df.select(
@@ -36,7 +35,7 @@ def stall_segments(chunks: DataFrame, gap_seconds: float = 2.0) -> DataFrame:
 
     Chunks of a run come in ``seq`` order. A run of any length is worked on in buckets of ``seq``.
     """
-    df = chunks.withColumn(SEG, F.floor(F.col("seq") / BUCKET).cast("bigint"))
+    df = in_segments(chunks, F.floor(F.col("seq") / BUCKET), ("run_id",))
     along = {"keys": ("run_id",), "order": ("seq",)}
     df = scan(df, last={"_before": F.col("ts")}, **along)
     silent = F.col("ts") - F.col("_before") >= F.make_dt_interval(secs=F.lit(gap_seconds))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import carried
+from .ordered import carried, cut, is_segmented
 
 KEEP_ORD = 1 << 61
 PYTHON_LIKE = "(?Ud)"
@@ -64,6 +64,8 @@ def always_keep(
         .groupBy(*keys, "line")
         .agg((F.min("pos") + F.lit(KEEP_ORD)).alias("ord"), *[F.any_value(c).alias(c) for c in carried(lines)])
     )
+    # the result is read twice from here
+    result = cut(result, is_segmented(lines))
     lost = wanted.join(result.select(*keys, "line").distinct(), [*keys, "line"], "left_anti")
     return result.unionByName(lost.select(*result.columns))
 

@@ -25,7 +25,16 @@ _UPTO = (Window.unboundedPreceding, Window.currentRow)
 
 def segment(lines: DataFrame, width: int = WIDTH) -> DataFrame:
     """Mark documents as unbounded: split them by position."""
-    return lines.withColumn(SEG, F.floor(F.col("pos") / F.lit(width)).cast("bigint"))
+    return in_segments(lines, F.floor(F.col("pos") / F.lit(width)))
+
+
+def in_segments(df: DataFrame, segment_no: Column, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """Add the segment column. Rows belong to a document and a place; saying so here gives both sides
+    of the later join on them the same filter, so that they share one shuffle."""
+    df = df.withColumn(SEG, segment_no.cast("bigint"))
+    for key in (*keys, SEG):
+        df = df.filter(F.col(key).isNotNull())
+    return df
 
 
 def is_segmented(df: DataFrame) -> bool:
@@ -101,7 +110,7 @@ def scan(
     return joined.drop(*names)
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, segmented: bool | None = None) -> DataFrame:
     """Between chained scans of segmented lines: store them once in the shared folder.
 
     Each segmented scan reads its input twice; without the cut a chain would read it 2^n times.
@@ -109,7 +118,7 @@ def cut(df: DataFrame) -> DataFrame:
     """
     from ..session import shared_dir
 
-    if not is_segmented(df):
+    if not (is_segmented(df) if segmented is None else segmented):
         return df
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
@@ -213,7 +222,7 @@ def number_lines(df: DataFrame, key: str, order: Sequence[str], bucket: Column)
     ``bucket`` must rise with ``order`` and bound the rows of one (key, bucket), so that a key
     of any size is ranked in many tasks.
     """
-    ranked = scan(df.withColumn(SEG, bucket.cast("bigint")), sums={"pos": F.lit(1)}, keys=(key,), order=order)
+    ranked = scan(in_segments(df, bucket, (key,)), sums={"pos": F.lit(1)}, keys=(key,), order=order)
     return ranked.withColumn("pos", F.col("pos") - 1).drop(SEG)
 
 
