@@ -8,10 +8,30 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linefold.llm import minhash, suffix_tree, toxicity
 from linefold.llm import token_counts as tokens
-from linefold.llm.store import table
+from linefold.llm.store import crc_mod, table
 
 CONTEXT_TOKENS = 512
+TOXIC_SCORE = 0.3
+
+
+def op2_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suffix-tree scores of all documents, learnt from nine tenths of them."""
+    found = suffix_tree.scores(table(spark, sf_dir, "documents"), crc_mod("doc_id", 10) != 0)
+    return found.withColumn("held_out", ~F.col("learn")).drop("learn")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from the labels of three quarters of them."""
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    found = toxicity.toxicity(documents.select("doc_id", "text"), labels, crc_mod("doc_id", 4) != 2)
+    return found.select(
+        "doc_id",
+        (crc_mod("doc_id", 4) == 2).alias("held_out"),
+        "score",
+        (F.col("score") >= TOXIC_SCORE).cast("int").alias("predicted"),
+    )
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,7 +40,15 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > CONTEXT_TOKENS)
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates on 4-word shingles."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op10_minhash": op10_minhash,
+    "op2_suffix_tree": op2_suffix_tree,
+    "op8_toxicity": op8_toxicity,
     "op5_token_counts": op5_token_counts,
 }
 
