@@ -1 +1,10 @@
-"""Operators for preparing training data."""
+"""Operators for preparing training data.
+
+Their functions travel to executors by value, so executors need not have this package installed.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

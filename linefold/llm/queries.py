@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linefold.llm import minhash, suffix_tree, toxicity
+from linefold.llm import decontamination, minhash, multi_index, substring_dedup, suffix_tree, toxicity
 from linefold.llm import token_counts as tokens
 from linefold.llm.store import crc_mod, table
 
@@ -22,6 +22,12 @@ def op2_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("held_out", ~F.col("learn")).drop("learn")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words left when repeated windows of 13 words are removed from all documents."""
+    found = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), width=13)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learnt from the labels of three quarters of them."""
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -34,18 +40,39 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth vector."""
+    return multi_index.search(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, k=10)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, and whether they overflow the context."""
     counts = tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return counts.withColumn("over_limit", F.col("n_tokens") > CONTEXT_TOKENS)
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the documents that 13-word windows of the benchmark hit."""
+    found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near duplicates on 4-word shingles."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op9_decontamination": op9_decontamination,
+    "op4_multi_index": op4_multi_index,
+    "op7_substring_dedup": op7_substring_dedup,
     "op10_minhash": op10_minhash,
     "op2_suffix_tree": op2_suffix_tree,
     "op8_toxicity": op8_toxicity,

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from linefold.llm.store import stage
+from linefold.llm.store import shared, stage
 
 ALPHA, DISCOUNT = 0.1, 0.5
 #: The end token: a value of something that is no word.
@@ -139,10 +139,10 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 def encoded(docs: DataFrame, tree: Tree) -> DataFrame:
     """(row, id, learn, ids, cold): places of the hot words or -1, and the values of the others; the texts, read once more."""
-    shared = docs.sparkSession.sparkContext.broadcast(tree.words)
+    held = shared(docs.sparkSession, tree.words)
 
     def run(batches):
-        words = shared.value
+        words = held()
         for batch in batches:
             ids, cold = [], []
             for text in batch.column(2):
@@ -159,10 +159,10 @@ def encoded(docs: DataFrame, tree: Tree) -> DataFrame:
 
 def follower_counts(corpus: DataFrame, tree: Tree) -> DataFrame:
     """(code, n): code of a context of the last level and its hot follower, and -1 - context for all followers."""
-    shared = corpus.sparkSession.sparkContext.broadcast(tree)
+    held = shared(corpus.sparkSession, tree)
 
     def run(batches):
-        tree = shared.value
+        tree = held()
         for batch in batches:
             ids, first = flat(batch, "ids")
             if not len(ids):
@@ -267,10 +267,10 @@ def scores(
     corpus = encoded(rows, tree)
     if tree.total:
         grow(tree, corpus.where("learn"), depth, context_share, follower_share)
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
+    held = shared(docs.sparkSession, tree)
 
     def run(batches):
-        tree = shared.value
+        tree = held()
         root = np.append(np.log10(tree.root()), 0.0)
         for batch in batches:
             ids, first = flat(batch, "ids")

@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest
 
+from linefold.llm.store import shared
+
 #: Letters that digits and signs are read as.
 LOOK_ALIKE = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
@@ -191,10 +193,10 @@ def labelled_sample(labels: DataFrame, may_learn: Column, max_labelled: int) ->
 
 def learn_weights(docs: DataFrame, sample: DataFrame, decoder: Decoder, least: int, odds: float) -> tuple[dict[str, float], float]:
     """Weights of telling features, and the prior log-odds, from the documents of ``sample``."""
-    reader = docs.sparkSession.sparkContext.broadcast(decoder)
+    held = shared(docs.sparkSession, decoder)
 
     def run(batches):
-        read = Reader(reader.value)
+        read = Reader(held())
         counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
         seen: set[tuple[int, int]] = set()
 
@@ -243,10 +245,10 @@ def toxicity(
     decoder = learn_letters(training)
     sample = labelled_sample(labels, may_learn, max_labelled)
     weights, prior = learn_weights(training, sample, decoder, least, odds)
-    model = spark.sparkContext.broadcast((decoder, weights, prior))
+    model = shared(spark, (decoder, weights, prior))
 
     def run(batches):
-        decoder, weights, prior = model.value
+        decoder, weights, prior = model()
         read = Reader(decoder)
         for batch in batches:
             scores = []
