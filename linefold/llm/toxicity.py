@@ -5,7 +5,7 @@ words out. For a suspicious token (or a run of single characters) the possible r
 lattice; ``Decoder`` finds the likeliest one by Viterbi under a character trigram model learnt from all training texts.
 
 Score: words and word beginnings of the restored text that are significantly more frequent in toxic documents carry a
-log-odds weight. Copies would fake that significance, so labelled documents count once per sketch. Labels are learnt
+log-odds weight, less its standard error. Copies would fake that significance, so most are left out by sketches. Labels are learnt
 from a bounded sample of labelled rows (``max_labelled``); all else is computed over all rows.
 
 Null and empty texts score as a text without any such word: the prior. Every row gives a row, repeated rows
@@ -24,9 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from xxhash import xxh3_64_intdigest
-
-from linefold.llm.store import shared
+from linefold.llm.minhash import hash_params, mixed, shingles
+from linefold.llm.store import shared, stage
 
 #: Letters that digits and signs are read as.
 LOOK_ALIKE = {
@@ -44,6 +43,7 @@ SWAP, AGAIN, SIGN, GAP = math.log(0.2), math.log(0.3), math.log(0.5), math.log(0
 REMEMBERED = 200_000
 #: Features that a task holds before it hands their counts on.
 HELD = 500_000
+SKETCHES = 3
 
 WORD = re.compile(r"[^\W\d_]+")
 EDGES = re.compile(r"^\W+|\W+$")
@@ -158,9 +158,26 @@ class Reader:
         return out
 
 
-def sketch(words: set[str]) -> int:
-    """Near copies mostly share it: the least value of a word."""
-    return min(map(xxh3_64_intdigest, words), default=0) >> 1
+def without_copies(texts: DataFrame) -> DataFrame:
+    """(id, toxic) of ``texts(id, toxic, text)`` without most near copies: those that share a sketch with a smaller id.
+
+    A sketch is the least value of a word shingle under one of ``SKETCHES`` hash functions.
+    """
+
+    def run(batches):
+        factors, offsets = hash_params(SKETCHES)
+        for batch in batches:
+            keys = []
+            for text in batch.column(2):
+                found = shingles(text.as_py(), 3)
+                keys.append([int((mixed(found * a + b)).min() >> np.uint64(1)) if len(found) else -1 for a, b in zip(factors, offsets)])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(keys, pa.list_(pa.int64()))], ["id", "toxic", "keys"])
+
+    rows = texts.mapInArrow(run, "id long, toxic int, keys array<long>").distinct()
+    keys = stage(rows.select("id", "toxic", F.posexplode("keys").alias("at", "key")), "sketches")
+    low = keys.groupBy("toxic", "at", "key").agg(F.min("id").alias("low"))
+    marked = keys.join(low, ["toxic", "at", "key"]).groupBy("id", "toxic").agg(F.min(F.col("low") == F.col("id")).alias("first"))
+    return stage(marked.where("first").select("id", "toxic"), "sample")
 
 
 def learn_letters(docs: DataFrame) -> Decoder:
@@ -183,7 +200,8 @@ def learn_letters(docs: DataFrame) -> Decoder:
 def labelled_sample(labels: DataFrame, may_learn: Column, max_labelled: int) -> DataFrame:
     """At most about ``max_labelled`` labelled ids, chosen by a hash of the id."""
     rows = labels.where(may_learn & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
-    rows = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    toxic = F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("toxic")
+    rows = rows.groupBy("doc_id").agg(toxic)
     many = rows.count()
     if many > max_labelled:
         parts = 1 << 20
@@ -198,7 +216,6 @@ def learn_weights(docs: DataFrame, sample: DataFrame, decoder: Decoder, least: i
     def run(batches):
         read = Reader(held())
         counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
-        seen: set[tuple[int, int]] = set()
 
         def table() -> pa.RecordBatch:
             features = list(counts[0].keys() | counts[1].keys())
@@ -210,24 +227,21 @@ def learn_weights(docs: DataFrame, sample: DataFrame, decoder: Decoder, least: i
 
         for batch in batches:
             for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                words = read.features(text.as_py())
-                if (key := (toxic, sketch(words))) in seen:
-                    continue
-                seen.add(key)
-                counts[toxic].update(words)
+                counts[toxic].update(read.features(text.as_py()))
                 counts[toxic][""] += 1
                 if len(counts[0]) + len(counts[1]) > HELD:
                     yield table()
         yield table()
 
-    toxic = F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic")
-    rows = docs.join(F.broadcast(sample), "id").select("text", toxic)
+    rows = docs.join(F.broadcast(sample), "id")
+    rows = docs.join(F.broadcast(without_copies(rows.select("id", "toxic", "text"))), "id").select("text", "toxic")
     found = rows.mapInArrow(run, "feature string, toxic long, clean long").groupBy("feature")
     found = found.agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     all_rows = found.where("feature = ''").first()
     n_toxic, n_clean = (all_rows.toxic, all_rows.clean) if all_rows else (0, 0)
     prior = math.log((n_toxic + 1) / (n_clean + 1))
-    weight = F.log((F.col("toxic") + 0.5) / (F.col("clean") + 0.5)) - prior
+    t, c = F.col("toxic") + 0.5, F.col("clean") + 0.5
+    weight = F.log(t / c) - prior - F.sqrt(1 / t + 1 / c)
     chosen = found.where((F.col("feature") != "") & (F.col("toxic") >= least)).withColumn("weight", weight)
     return {r.feature: r.weight for r in chosen.where(F.col("weight") >= odds).collect()}, prior
 
@@ -238,7 +252,7 @@ def toxicity(
     """``docs`` with ``score`` (0 to 1): the chance of label 1 given the restored text.
 
     ``may_learn`` says, by ``doc_id``, which rows of documents and labels may be learnt from. A feature needs ``least`` toxic
-    sketches and log-odds of ``odds`` against the prior.
+    documents and a weight of ``odds``.
     """
     spark, docs = docs.sparkSession, docs.drop("score")
     training = docs.where(may_learn).select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
