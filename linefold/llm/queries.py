@@ -8,14 +8,48 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linefold.llm import decontamination, minhash, multi_index, substring_dedup, suffix_tree, toxicity
+from linefold.llm import (
+    decontamination,
+    minhash,
+    multi_index,
+    packing,
+    sharding,
+    substring_dedup,
+    suffix_tree,
+    surrogates,
+    toxicity,
+)
 from linefold.llm import token_counts as tokens
 from linefold.llm.store import crc_mod, table
 
+TOKENIZER = "byte_bpe_50k.json"
 CONTEXT_TOKENS = 512
+BUCKETS, BATCH_TOKENS = 16, 32_768
+SHARDS = [f"shard-{i:03d}" for i in range(64)]
+#: Stands in for a secret that a deployment sets.
+PII_KEY = "a key of the deployment"
 TOXIC_SCORE = 0.3
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length buckets and token-budget batches of all documents."""
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counts = tokens.token_counts(texts, public_tokenizers.path(TOKENIZER)).select("doc_id", "n_tokens")
+    return packing.pack(counts, "n_tokens", BUCKETS, BATCH_TOKENS)
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of every document."""
+    placed = sharding.place(table(spark, sf_dir, "documents"), "doc_id", SHARDS)
+    return placed.select("doc_id", "slot", "shard")
+
+
+def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with personal data and secrets replaced."""
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return surrogates.pseudonymised(texts, PII_KEY)
+
+
 def op2_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suffix-tree scores of all documents, learnt from nine tenths of them."""
     found = suffix_tree.scores(table(spark, sf_dir, "documents"), crc_mod("doc_id", 10) != 0)
@@ -47,7 +81,8 @@ def op4_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, and whether they overflow the context."""
-    counts = tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counts = tokens.token_counts(texts, public_tokenizers.path(TOKENIZER)).drop("text")
     return counts.withColumn("over_limit", F.col("n_tokens") > CONTEXT_TOKENS)
 
 
@@ -70,13 +105,16 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op9_decontamination": op9_decontamination,
+    "op1_packing": op1_packing,
+    "op2_suffix_tree": op2_suffix_tree,
+    "op3_sharding": op3_sharding,
     "op4_multi_index": op4_multi_index,
+    "op5_token_counts": op5_token_counts,
+    "op6_surrogates": op6_surrogates,
     "op7_substring_dedup": op7_substring_dedup,
-    "op10_minhash": op10_minhash,
-    "op2_suffix_tree": op2_suffix_tree,
     "op8_toxicity": op8_toxicity,
-    "op5_token_counts": op5_token_counts,
+    "op9_decontamination": op9_decontamination,
+    "op10_minhash": op10_minhash,
 }
 
 ORACLES: dict[str, str] = {}

@@ -6,7 +6,7 @@ texts into pre-tokens, count 1 for a proven string, and run the merges only for
 bounded table). No shuffle; the only broadcast is the tokenizer itself.
 
 Null and empty texts have 0 tokens. Every row gives a row, repeated rows too. Texts of any length are cut as a
-stream beyond ``STREAM_CHARS`` characters. Columns of the input other than the id and the text aren't read.
+stream beyond ``STREAM_CHARS`` characters. Columns of the input stay; those named like new ones are replaced.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import unicodedata
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 #: Fixed value: how byte-level BPE cuts text before its merges.
@@ -109,24 +109,25 @@ def check_spec(spec: str) -> None:
         raise ValueError("the shortcut needs a byte-level BPE without normalizer")
 
 
-def token_counts(docs: DataFrame, tokenizer_file: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: its id, ``n_bytes`` (UTF-8) and ``n_tokens``."""
+def token_counts(docs: DataFrame, tokenizer_file: str, text_column: str = "text") -> DataFrame:
+    """``docs`` with ``n_bytes`` (UTF-8) and ``n_tokens`` of the text."""
+    docs = docs.drop("n_bytes", "n_tokens")
     with open(tokenizer_file, encoding="utf-8") as file:
         spec = file.read()
     check_spec(spec)
-    shared = docs.sparkSession.sparkContext.broadcast((spec, prove_whole_tokens(spec)))
-    id_type = docs.schema[id_column].dataType.simpleString()
+    held = docs.sparkSession.sparkContext.broadcast((spec, prove_whole_tokens(spec)))
+    place = docs.columns.index(text_column)
 
     def run(batches):
-        counter = TokenCounter(*shared.value)
+        counter = TokenCounter(*held.value)
         for batch in batches:
             n_bytes, n_tokens = [], []
-            for text in batch.column(1):
+            for text in batch.column(place):
                 text = text.as_py()
                 n_bytes.append(len(text.encode()) if text else 0)
                 n_tokens.append(counter.count(text))
-            columns = [batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, [id_column, "n_bytes", "n_tokens"])
+            columns = [*batch.columns, pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "n_bytes", "n_tokens"])
 
-    rows = docs.select(F.col(id_column), F.col(text_column).cast("string"))
-    return rows.mapInArrow(run, f"`{id_column}` {id_type}, n_bytes long, n_tokens long")
+    added = [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())]
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))

@@ -239,7 +239,7 @@ def learn_weights(docs: DataFrame, sample: DataFrame, decoder: Decoder, least: i
     found = found.agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     all_rows = found.where("feature = ''").first()
     n_toxic, n_clean = (all_rows.toxic, all_rows.clean) if all_rows else (0, 0)
-    prior = math.log((n_toxic + 1) / (n_clean + 1))
+    prior = math.log((n_toxic + 0.1) / (n_clean + 1))
     t, c = F.col("toxic") + 0.5, F.col("clean") + 0.5
     weight = F.log(t / c) - prior - F.sqrt(1 / t + 1 / c)
     chosen = found.where((F.col("feature") != "") & (F.col("toxic") >= least)).withColumn("weight", weight)
