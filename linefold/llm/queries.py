@@ -116,5 +116,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_minhash": op10_minhash,
 }
-
-ORACLES: dict[str, str] = {}

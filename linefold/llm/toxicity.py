@@ -32,8 +32,6 @@ LOOK_ALIKE = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i",
 }
-#: Signs that may stand between the letters of a word.
-BETWEEN = set(" .-_*~'·,/\\")
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿßœ"
 SIZE = len(LETTERS) + 1
 LONGEST = 40
@@ -92,7 +90,7 @@ class Decoder:
             letters = [(self.of[char], char, 0.0)] if char in self.of else []
             letters += [(self.of[c], c, SWAP) for c in LOOK_ALIKE.get(char, "")]
             for (x, y), (score, text) in states.items():
-                if char in BETWEEN or not letters:
+                if not letters or not char.isalnum():
                     reach((x, y), score + SIGN, text)
                     if y and (char != " " or not gaps):
                         reach((y, 0), score + log[x][y][0], text + " ")
