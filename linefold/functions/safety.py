@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .patterns import java_patterns
 from .shape import detect
 from .text import line_array, strip
 
@@ -84,18 +84,6 @@ BLOCKED, SENSITIVE, BINARY, MINIMAL, ERROR_SHAPE = (
 )
 
 
-def valid_patterns(patterns: list[str]) -> list[str]:
-    """User patterns that compile; a bad one is skipped."""
-    good = []
-    for pattern in patterns:
-        try:
-            re.compile(pattern)
-        except re.error:
-            continue
-        good.append(pattern)
-    return good
-
-
 def _any_pattern(text: Column, patterns: list[str]) -> Column:
     return text.rlike("(?iuUd)" + "|".join(f"(?:{p})" for p in patterns))
 
@@ -110,8 +98,9 @@ def sensitive_text(text: Column, extra_patterns: list[str] | None = None) -> Col
     # the lambda binds the folded text, so that it is computed once, also under a CASE
     suspect = F.exists(F.array(folded), holds_word)
     hit = suspect & _any_pattern(text, SENSITIVE_PATTERNS)
-    extra = valid_patterns(extra_patterns or [])
-    return hit | _any_pattern(text, extra) if extra else hit
+    for pattern in java_patterns(extra_patterns or []).values():  # a bad one is skipped, as a rule of the gate
+        hit = hit | text.rlike("(?iuUd)" + pattern)
+    return hit
 
 
 def sensitive_command(command: Column) -> Column:

@@ -23,6 +23,7 @@ ANSI_SEQUENCE = r"\x1B(?:[@-Z\\-_]|\[[0-?]*[ -/]*[@-~])"
 ESCAPE = "\x1b"
 
 MAX_OUTPUT_BYTES = 10_485_760
+OVERSIZE = "output exceeds the size limit"
 
 
 def line_array(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import MAX_OUTPUT_BYTES, strip as strip_text
+from ..functions.text import MAX_OUTPUT_BYTES, OVERSIZE, strip as strip_text
 from .ordered import SEG, cut, in_segments, scan
 
 BUCKET = 1 << 16
@@ -54,17 +54,23 @@ def segment_report(segments: DataFrame) -> DataFrame:
 
 
 def segment_outputs(segments: DataFrame, max_bytes: int = MAX_OUTPUT_BYTES) -> DataFrame:
-    """Texts of the segments below the size limit, ready to condense (larger ones pass through).
+    """Texts of the segments below the size limit, ready to condense. Larger ones have a ``reason`` and no
+    text; their chunks are in ``segments``.
 
     A segment of any size is matched bucket by bucket before the small ones are put together.
     """
     keys = ["run_id", "segment", SEG]
     rows = segments.withColumn(SEG, F.floor(F.col("seq") / BUCKET).cast("bigint"))
-    small = segment_report(segments).filter(F.col("n_bytes") <= max_bytes).select("run_id", "segment")
+    report = segment_report(segments).select("run_id", "segment", "n_bytes")
+    small = report.filter(F.col("n_bytes") <= max_bytes).drop("n_bytes")
+    large = report.filter(F.col("n_bytes") > max_bytes).drop("n_bytes")
     buckets = rows.select(*keys).distinct().join(small, ["run_id", "segment"])
     parts = F.array_sort(F.collect_list(F.struct("seq", "chunk")))
-    return (
+    texts = (
         rows.join(buckets, keys)
         .groupBy("run_id", "segment")
         .agg(F.array_join(F.transform(parts, lambda p: p["chunk"]), "").alias("output"))
+        .withColumn("reason", F.lit(None).cast("string"))
     )
+    without = large.withColumns({"output": F.lit(None).cast("string"), "reason": F.lit(OVERSIZE)})
+    return texts.unionByName(without)

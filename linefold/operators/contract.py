@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.patterns import bad_patterns, java_patterns
 from .ordered import carried, cut, is_segmented
 
 KEEP_ORD = 1 << 61
@@ -14,10 +15,14 @@ PYTHON_LIKE = "(?Ud)"
 
 
 def matches_any(line: Column, patterns: list[str], column: Column | None = None) -> Column:
-    """``line`` matches a literal pattern (one compiled regex) or one of a pattern column."""
+    """``line`` matches a literal pattern, each tested by itself, or one of a pattern column.
+
+    A literal pattern that does not compile is an error of the call, before any job runs."""
+    if bad := bad_patterns(patterns):
+        raise ValueError(f"patterns do not compile: {bad}")
     hit = F.lit(False)
-    if patterns:
-        hit = line.rlike(PYTHON_LIKE + "|".join(f"(?:{p})" for p in patterns))
+    for pattern in java_patterns(patterns).values():
+        hit = hit | line.rlike(PYTHON_LIKE + pattern)
     if column is not None:
         in_column = F.exists(column, lambda p: F.rlike(line, F.concat(F.lit(PYTHON_LIKE), p)))
         hit = hit | F.coalesce(in_column, F.lit(False))

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions import safety, shape, text
 from ..operators import budget, chunks, contract, rows, shapes
+from ..operators.ordered import segment
 from ..session import shared_dir, spread
 from ..sources import events, history, outputs, registry, rules
 from ..streaming import lines as stream_lines
@@ -289,7 +290,10 @@ def generic(spark, sf):
 
 @query
 def generic_documents(spark, sf):
-    return rows.generic(fx.document_lines(spark, sf), max_lines=20)
+    docs = fx.outputs(spark, sf)
+    large = text.oversize(F.col("output"))
+    whole = rows.generic(text.explode_lines(docs.filter(~large)), max_lines=20)
+    return whole.unionByName(rows.generic(segment(text.explode_lines(docs.filter(large))), max_lines=20))
 
 
 @query
@@ -384,17 +388,23 @@ def fit_to_budget(spark, sf):
 
 @query
 def budget_ladder(spark, sf):
-    docs = fx.outputs(spark, sf).filter(~text.oversize(F.col("output")))
+    docs = fx.outputs(spark, sf)
     sizes = docs.select("doc_id", text.count_tokens(F.col("output")).alias("tokens")).filter("tokens > 300")
-    lines = text.explode_lines(docs.join(sizes.select("doc_id"), "doc_id", "left_semi"))
-    found = budget.budget_ladder(budget.ladder_candidates(lines), sizes, 300)
+    docs = docs.join(sizes.select("doc_id"), "doc_id", "left_semi")
+    large = text.oversize(F.col("output"))
+    whole = budget.ladder_candidates(text.explode_lines(docs.filter(~large)))
+    rungs = whole.unionByName(budget.ladder_candidates(segment(text.explode_lines(docs.filter(large)))))
+    found = budget.budget_ladder(rungs, sizes, 300)
     return found.select("doc_id", "text", "tokens")
 
 
 @query
 def regression_guard(spark, sf):
-    docs = fx.outputs(spark, sf).filter(~text.oversize(F.col("output")))
-    shown = budget.to_text(rows.head_tail(text.explode_lines(docs), 4, 1, 1))
+    docs = fx.outputs(spark, sf)
+    large = text.oversize(F.col("output"))
+    parts = [text.explode_lines(docs.filter(~large)), segment(text.explode_lines(docs.filter(large)))]
+    whole, segmented = (rows.head_tail(lines, 4, 1, 1) for lines in parts)
+    shown = budget.to_text(whole.unionByName(segmented))
     both = docs.join(shown, "doc_id", "left")
     raw, new = text.count_tokens(F.col("output")), text.count_tokens(F.col("text"))
     return both.select("doc_id", budget.regression_guard(F.col("output"), F.col("text"), raw, new).alias("result"))
@@ -605,6 +615,12 @@ def segment_outputs(spark, sf):
     return chunks.segment_outputs(chunks.stall_segments(fx.chunks(spark, sf), 6 * 3600))
 
 
+@query
+def segment_outputs_large(spark, sf):
+    """With a limit that many segments exceed: they stay, with a reason."""
+    return chunks.segment_outputs(chunks.stall_segments(fx.chunks(spark, sf), 6 * 3600), max_bytes=14)
+
+
 # streams
 
 
@@ -633,7 +649,10 @@ def stream_progress_filter(spark, sf):
 
 @query
 def stream_final_line(spark, sf):
-    return _sink(spark, stream_lines.final_lines(_run_lines(_stream(spark, sf, "events")), "6 hours"))
+    base, stall = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}", 6 * 3600.0
+    job = sinks.stream_final_lines(_run_lines(_stream(spark, sf, "events")), f"{base}/out", f"{base}/checkpoint", stall)
+    job.awaitTermination()
+    return sinks.final_lines_of(spark, f"{base}/out", job.lastProgress["batchId"], stall)
 
 
 @query

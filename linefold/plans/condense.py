@@ -7,19 +7,24 @@ route it; the routed outputs are written per strategy, and each condenser reads
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.safety import gate
-from ..functions.text import MAX_OUTPUT_BYTES, count_tokens, explode_lines, normalize_command, oversize, strip_ansi
+from ..functions.patterns import bad_patterns, java_patterns
+from ..functions.text import MAX_OUTPUT_BYTES, OVERSIZE, count_tokens, explode_lines, normalize_command, oversize, strip_ansi
 from ..operators import budget, rows, shapes
+from ..operators.ordered import number_all
 from ..session import staged, staged_parts
 from ..sources.events import already_transformed, fast_exit, normalize_tool_events, tool_envelopes
 from ..sources.rules import match_prefix, merge_contract, merge_params, resolve_strategy, seeds
 
 
+CONTRACT = ("always_keep", "always_strip")
+
+
 @dataclass
 class Settings:
     min_lines: int = 15
@@ -47,7 +52,7 @@ CONDENSERS = {
     "keyvalue": shapes.keyvalue,
     "error": shapes.error_trace,
 }
-OVERSIZE, BYPASS = "output exceeds the size limit", "bypass"
+BYPASS, BAD_PATTERN = "bypass", "contract pattern does not compile"
 
 
 def gated(outputs: DataFrame, settings: Settings) -> DataFrame:
@@ -70,6 +75,20 @@ def gated(outputs: DataFrame, settings: Settings) -> DataFrame:
     return df.withColumn("reason", F.coalesce("_passed", "reason")).drop("_passed", "bypass")
 
 
+def runnable(overrides: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Overrides with their patterns as Java writes them, and the patterns that don't compile.
+
+    The distinct patterns of the table, which users write by hand, are checked on the driver."""
+    used = overrides.select(F.explode(F.array_distinct(F.concat(*[F.coalesce(c, F.array().cast("array<string>")) for c in CONTRACT]))).alias("p"))
+    patterns = [r.p for r in used.distinct().collect() if r.p is not None]
+    bad, java = bad_patterns(patterns), java_patterns(patterns)
+    changed = {p: q for p, q in java.items() if p != q}
+    if changed:
+        names = F.create_map(*[F.lit(x) for pair in changed.items() for x in pair])
+        overrides = overrides.withColumns({c: F.transform(c, lambda p: F.coalesce(names[p], p)) for c in CONTRACT})
+    return overrides, bad
+
+
 def route(
     outputs: DataFrame,
     rules: DataFrame | None = None,
@@ -87,14 +106,20 @@ def route(
     df = df.withColumn("command", F.when(F.col("reason").isNull(), normalize_command(F.col("command"))).otherwise(F.col("command")))
     df = resolve_strategy(df, rules, registry, settings.base_keys)
     df = df.withColumn("output", F.col("text")).drop("text")
+    live = F.col("reason").isNull()
+    if bad_patterns([*settings.always_keep, *settings.always_strip]):
+        df = df.withColumn("reason", F.coalesce("reason", F.lit(BAD_PATTERN)))
     if overrides is None:
         df = df.withColumn("p", merge_params(F.col("params"), None))
     else:
+        overrides, bad = runnable(overrides)
         df = match_prefix(df, overrides, into="user")
+        if bad:
+            broken = [F.arrays_overlap(F.coalesce(F.col(f"user.{name}"), F.array().cast("array<string>")), F.lit(bad)) for name in CONTRACT]
+            df = df.withColumn("reason", F.coalesce("reason", F.when(broken[0] | broken[1], F.lit(BAD_PATTERN))))
         merged = df.withColumn("q", merge_params(F.col("params"), F.col("user.params")))
-        contract = [merge_contract([], F.col(f"user.{name}")).alias(name) for name in ("always_keep", "always_strip")]
+        contract = [merge_contract([], F.col(f"user.{name}")).alias(name) for name in CONTRACT]
         df = merged.withColumn("p", F.struct("q.*", *contract)).drop("q", "user")
-    live = F.col("reason").isNull()
     return df.select(
         *[c for c in df.columns if c not in ("params", "strategy", "source")],
         F.when(live, F.col("strategy")).alias("strategy"),
@@ -153,6 +178,9 @@ def _guarded(routed: DataFrame, condensed: DataFrame, settings: Settings) -> Dat
         )
         best = staged(_replace(best, better.select("doc_id", "text", F.col("new").alias("tokens"))), "second")
     if target > 0:
+        # a rule that leaves nothing falls back to the output, which has to meet the target too
+        empty = live.filter(F.col("raw_tokens") > least).join(best.select("doc_id"), "doc_id", "left_anti")
+        best = best.unionByName(empty.select("doc_id", F.col("output").alias("text"), F.col("raw_tokens").alias("tokens")))
         wide = best.filter(F.col("tokens") > target).join(
             live.filter((F.col("raw_tokens") > target) & (F.col("raw_tokens") > least)).select("doc_id"),
             "doc_id",
@@ -183,6 +211,9 @@ def condense_outputs(
     through (``reason``), ``strategy``, ``source`` and token counts."""
     settings = settings or Settings()
     routed = staged(route(outputs, rules, overrides, registry, settings), "routed", partition_by="strategy")
+    bad = bad_patterns([*settings.always_keep, *settings.always_strip])
+    if bad:  # all outputs pass through by now
+        settings = replace(settings, **{c: [p for p in getattr(settings, c) if p not in bad] for c in CONTRACT})
     best = _guarded(routed, condense(routed, settings), settings)
     df = routed.join(best, "doc_id", "left")
     passed = F.col("reason").isNotNull()
@@ -205,10 +236,12 @@ def condense_tool_events(events: DataFrame, **options) -> DataFrame:
 
 
 def call_log(results: DataFrame) -> DataFrame:
-    """Calls to learn from: condensed outputs that no seed decided."""
-    return results.filter(F.col("reason").isNull() & (F.col("source") != "seed")).select(
+    """Calls to learn from: condensed outputs that no seed decided, numbered in order of time and id."""
+    order = [c for c in ("ts", "doc_id") if c in results.columns]
+    calls = results.filter(F.col("reason").isNull() & (F.col("source") != "seed"))
+    return number_all(calls.select("command", "strategy", "raw_tokens", "compressed_tokens", *order), order, "seq").select(
         "command",
-        F.col("doc_id").alias("seq"),
+        "seq",
         F.col("strategy").alias("shape"),
         F.col("raw_tokens").alias("raw"),
         F.col("compressed_tokens").alias("comp"),

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import explode_lines, oversize
+from ..functions.text import explode_lines
 from ..operators.ordered import number_lines, segment
 from ..session import spread, staged
 
@@ -53,8 +53,8 @@ def outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = outputs(spark, sf_dir)
-    return explode_lines(docs.filter(~oversize(F.col("output"))))
+    """Lines of all documents, of any size."""
+    return explode_lines(outputs(spark, sf_dir))
 
 
 def _numbered(rows: DataFrame, order: list[str], bucket: Column) -> DataFrame:

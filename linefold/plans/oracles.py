@@ -486,13 +486,14 @@ ORACLES: dict[str, str] = {
         parts as (select run_id, string_split(text, chr(10)) as p from runs)
         select run_id, pos, line from (select run_id, len(p) as n, unnest(range(len(p))) as pos, unnest(p) as line from parts) where pos < n - 1 or trim(line) <> ''""",
     "stall_segments": f"with {SEGMENTS} select run_id, segment, count(*) as n_chunks, sum(strlen(chunk)) as n_bytes, min(ts) as started, max(ts) as ended from segments group by run_id, segment",
-    "segment_outputs": f"with {SEGMENTS} select run_id, segment, string_agg(chunk, '' order by ts, seq) as output from segments group by run_id, segment",
+    "segment_outputs": f"with {SEGMENTS} select run_id, segment, string_agg(chunk, '' order by ts, seq) as output, cast(null as varchar) as reason from segments group by run_id, segment",
+    "segment_outputs_large": f"with {SEGMENTS}, texts as (select run_id, segment, string_agg(chunk, '' order by ts, seq) as output from segments group by run_id, segment) select run_id, segment, case when strlen(output) <= 14 then output end as output, case when strlen(output) > 14 then 'output exceeds the size limit' end as reason from texts",
     "stream_progress_filter": f"select user_id as run_id, event_id as seq, ts, {fx.PROGRESS_LINE} as line from events where event_type = 'error'",
-    "stream_final_line": f"""with sig as (select user_id as run_id, event_id as seq, ts, {fx.PROGRESS_LINE} as line from events where event_type not in ('error', 'view', 'click')),
-        gaps as (select *, case when ts - lag(ts) over (partition by run_id order by ts, seq) <= interval 6 hour then 0 else 1 end as is_new from sig),
+    "stream_final_line": f"""with every as (select user_id as run_id, event_id as seq, ts, {fx.PROGRESS_LINE} as line, event_type not in ('error', 'view', 'click') as sig from events),
+        gaps as (select *, case when ts - lag(ts) over (partition by run_id order by ts, seq) < interval 6 hour then 0 else 1 end as is_new from every),
         parts as (select *, sum(is_new) over (partition by run_id order by ts, seq rows unbounded preceding) as part from gaps),
-        wins as (select run_id, part, min(ts) as started, max(ts) + interval 6 hour as ended, arg_max(line, seq) as line from parts group by run_id, part)
-        select run_id, started, ended, line from wins where ended <= (select date_trunc('millisecond', max(ts)) from sig)""",
+        wins as (select run_id, part, min(ts) as started, max(ts) + interval 6 hour as ended, arg_max(line, seq) filter (where sig) as line from parts group by run_id, part)
+        select run_id, started, ended, line from wins where line is not null""",
     "stream_safe_emit": "select user_id as run_id, event_id as seq, ts, event_type as line from events where event_id % 5 >= 2",
     "stream_learn": f"with {FOLD} select {ENTRY} from registry",
     "condense_outputs": f"with {CONDENSED} select {RESULT_COLUMNS} from results",

@@ -28,20 +28,24 @@ def numbered(results: DataFrame, first_id: int = 1) -> DataFrame:
 
 
 def newest(history: DataFrame, max_entries: int) -> DataFrame:
-    """The last ``max_entries`` entries by id (all of them for 0): one bounded top-n, no full sort."""
+    """The last ``max_entries`` entries (all of them for 0). Ids have no gaps, so a filter does it."""
     if max_entries <= 0:
         return history
-    return history.orderBy(F.col("id").desc()).limit(max_entries)
+    last = history.agg(F.max("id")).first()[0] or 0
+    return history.filter(F.col("id") > last - max_entries)
 
 
 def history_append(history: DataFrame | None, results: DataFrame, max_entries: int = 100) -> DataFrame:
     """Old and new entries, cut to the newest ones. With a limit only that many results are
-    sorted and numbered; their ids still count all of them."""
+    sorted and numbered, chosen by their keys; their ids still count all of them."""
     top = 0 if history is None else history.agg(F.max("id")).first()[0] or 0
     if max_entries > 0:
-        skipped = max(0, results.count() - max_entries)
-        last = results.orderBy(F.col("created_at").desc(), F.col("doc_id").desc()).limit(max_entries)
-        new = numbered(last, top + skipped + 1)
+        many = results.count()
+        if many > max_entries:
+            key = F.struct("created_at", "doc_id")
+            first = results.select(key.alias("key")).orderBy(F.col("key").desc()).limit(max_entries).agg(F.min("key").alias("first"))
+            results = results.join(F.broadcast(first), key >= F.col("first")).drop("first")
+        new = numbered(results, top + max(0, many - max_entries) + 1)
     else:
         new = numbered(results, top + 1)
     return newest(new if history is None else history.select(*HISTORY_COLUMNS).unionByName(new), max_entries)

@@ -126,11 +126,15 @@ def seed_table(builtin: DataFrame, extensions: DataFrame | None = None) -> DataF
 
 
 def match_prefix(df: DataFrame, rules: DataFrame, command: str = "command", into: str = "rule") -> DataFrame:
-    """Add ``into``: the rule with the longest prefix of whole words, or null.
+    """Add ``into``: the rule with the longest prefix of whole words, or null. Of rules that repeat a
+    prefix one counts, the greatest.
 
     One equi-join per prefix length, longest first, in place of a ``startswith`` join. The
     rule table is broadcast only below a checked number of rules.
     """
+    others = [c for c in rules.columns if c != "prefix"]
+    single = rules.groupBy("prefix").agg(F.max(F.struct(*others)).alias("_rule"))
+    rules = single.select(*[F.col(c) if c == "prefix" else F.col(f"_rule.{c}") for c in rules.columns])
     words = F.size(F.split("prefix", " "))
     size = rules.agg(F.count("*").alias("n"), F.max(words).alias("words")).first()
     found = []

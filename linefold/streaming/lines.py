@@ -20,23 +20,60 @@ def is_significant(line: Column, strip_percentage: bool = True) -> Column:
     return ~is_blank(line) & ~is_progress_error(line) & ~noise
 
 
-def final_lines(lines: DataFrame, stall: str = "2 seconds", late: str = "0 seconds") -> DataFrame:
-    """Last significant line of each run up to a silence of ``stall``.
+def seconds(value: float) -> Column:
+    return F.make_dt_interval(secs=F.lit(value))
 
-    A session window per run: the state is one line per open run, and partial aggregation keeps
-    a busy run from reaching one task line by line. (A significant line cannot equal an error
-    line, since the same text would have been taken for an error.)
+
+def silences(lines: DataFrame, stall: float) -> DataFrame:
+    """``(run_id, started, last, line)``: each run cut at every silence of ``stall`` seconds or more.
+
+    Every line counts for the silence, swallowed ones too; ``line`` is the last significant one or null.
+    Partial aggregation of session windows keeps a busy run from reaching one task line by line.
     """
-    rows = lines.filter(is_significant(F.col("line")))
+    micros = round(stall * 1_000_000)
+    # windows that just touch are merged, so a window a microsecond shorter splits at the full silence
+    window = F.session_window("ts", f"{micros - 1} microseconds")
+    significant = is_significant(F.col("line"))
     kind = lines.schema["ts"].dataType
-    if lines.isStreaming:
-        # event time must be a zoned timestamp
-        rows = rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
-    return (
-        rows.groupBy("run_id", F.session_window("ts", stall).alias("w"))
-        .agg(F.max_by("line", "seq").alias("line"))
-        .select("run_id", F.col("w.start").cast(kind).alias("started"), F.col("w.end").cast(kind).alias("ended"), "line")
+    found = lines.groupBy("run_id", window.alias("w")).agg(
+        F.max_by(F.when(significant, F.col("line")), F.when(significant, F.col("seq"))).alias("line"),
+        F.max("ts").alias("last"),
+    )
+    return found.select("run_id", F.col("w.start").cast(kind).alias("started"), "last", "line")
+
+
+def with_end(sessions: DataFrame, stall: float) -> DataFrame:
+    """The runs' final lines: ``(run_id, started, ended, line)``."""
+    ended = (F.col("last") + seconds(stall)).alias("ended")
+    return sessions.filter("line is not null").select("run_id", "started", ended, "line")
+
+
+def final_lines(lines: DataFrame, stall: float = 2.0) -> DataFrame:
+    """Last significant line of each run up to a silence of ``stall`` seconds or its end.
+
+    (A significant line cannot equal an error line, since the same text would have been taken for an error.)
+    """
+    return with_end(silences(lines, stall), stall)
+
+
+def carry_on(open_runs: DataFrame, sessions: DataFrame, stall: float) -> DataFrame:
+    """Sessions of new lines, put together with the runs left open before, one row each.
+
+    An open run goes on in the first of its new sessions unless the silence between is too long. Lines of
+    a run arrive in time order.
+    """
+    first = sessions.groupBy("run_id").agg(F.min("started").alias("started"))
+    old = open_runs.select("run_id", *[F.col(c).alias(f"old_{c}") for c in ("started", "last", "line")])
+    goes_on = F.coalesce(F.col("started") - F.col("old_last") < seconds(stall), F.lit(False))
+    joined = old.join(first, "run_id").filter(goes_on)
+    new = sessions.join(joined, ["run_id", "started"], "left")
+    new = new.select(
+        "run_id",
+        F.coalesce("old_started", "started").alias("started"),
+        F.greatest("last", "old_last").alias("last"),
+        F.coalesce("line", "old_line").alias("line"),
     )
+    return new.unionByName(open_runs.join(joined, "run_id", "left_anti"))
 
 
 def safe_lines(lines: DataFrame, extra_patterns: list[str] | None = None) -> DataFrame:

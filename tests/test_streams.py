@@ -35,13 +35,18 @@ def test_line_rules(spark, tmp_path):
 def test_final_lines(spark, tmp_path):
     batch, stream = events_in_files(spark, str(tmp_path / "in"))
     out = str(tmp_path / "final")
-    sinks.write_stream(stream_lines.final_lines(progress_lines(stream), "6 hours", "1 hour"), out, out + "-c").awaitTermination()
-    found = {tuple(r) for r in spark.read.parquet(out).collect()}
-    every = {tuple(r) for r in stream_lines.final_lines(progress_lines(batch), "6 hours").collect()}
-    last = batch.agg(F.max("ts")).first()[0]
-    assert found and found <= every
-    open_at_end = {r for r in every - found if (last - r[2]).total_seconds() > 3600}
-    assert not open_at_end
+    job = sinks.stream_final_lines(progress_lines(stream), out, out + "-c", 6 * 3600.0)
+    job.awaitTermination()
+    assert job.lastProgress["batchId"] >= 3
+    found = sorted(tuple(r) for r in sinks.final_lines_of(spark, out, job.lastProgress["batchId"], 6 * 3600.0).collect())
+    assert found == sorted(tuple(r) for r in stream_lines.final_lines(progress_lines(batch), 6 * 3600.0).collect())
+
+
+def test_swallowed_lines_are_no_silence(spark):
+    texts = ["Step a", "10%", "20%", "30%", "40%", "Step b", "50%", "60%", "70%", "done"]
+    rows = [(1, i, f"2026-01-01 00:00:{i:02d}", t) for i, t in enumerate(texts)] + [(2, 0, "2026-01-01 00:00:00", "x y"), (2, 1, "2026-01-01 00:00:02", "z")]
+    lines = spark.createDataFrame(rows, "run_id int, seq int, ts string, line string").withColumn("ts", F.col("ts").cast("timestamp"))
+    assert sorted((r.run_id, r.line) for r in stream_lines.final_lines(lines, 2.0).collect()) == [(1, "done"), (2, "x y"), (2, "z")]
 
 
 def test_learning(spark, tmp_path):
