@@ -23,20 +23,34 @@ def among_lower(links: DataFrame) -> DataFrame:
     return others.unionByName(low.withColumnRenamed("low", "b")).distinct()
 
 
+def settled(links: DataFrame) -> bool:
+    """Whether every node points at one that points nowhere."""
+    ends = links.select(F.col("a").alias("id"), F.lit(1).alias("up")).unionByName(links.select(F.col("b").alias("id"), F.lit(0).alias("up")))
+    return ends.groupBy("id").agg(F.sum("up").alias("ups"), F.min("up").alias("least")).where("ups > 1 or ups = 1 and least = 0").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component) of every node of ``links(a, b)``; the component is its smallest id.
 
-    Rounds over staged tables, each cut from its history; about log2 of the longest path are needed. Only two numbers
-    a round come to the driver. Self-links and nulls are left out.
+    Rounds over staged tables, each cut from its history; about log2 of the longest path are needed. Self-links and nulls
+    are left out. Nothing but one yes or no a round comes to the driver.
     """
     downwards = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    now, before = stage(downwards.distinct(), "stars"), None
-    while True:
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if seen == before:
-            break
-        before, last = seen, now
-        now = stage(among_lower(to_lowest(last)), "stars")
+    now = stage(downwards.distinct(), "stars")
+    while not settled(now):
+        last, now = now, stage(among_lower(to_lowest(now)), "stars")
         drop(last)
     nodes = now.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return nodes.unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component"))).distinct()
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels(id, component)`` after more links: only components are put together, not all nodes again."""
+    of_a = labels.select(F.col("id").alias("a"), F.col("component").alias("x"))
+    of_b = labels.select(F.col("id").alias("b"), F.col("component").alias("y"))
+    between = links.select("a", "b").join(of_a, "a", "left").join(of_b, "b", "left")
+    between = between.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")).where("a <> b")
+    joined = components(between)
+    moved = joined.select(F.col("id").alias("component"), F.col("component").alias("now"))
+    nodes = labels.join(moved, "component", "left").select("id", F.coalesce("now", "component").alias("component"))
+    return stage(nodes.unionByName(joined.join(labels.select("id"), "id", "left_anti")), "labels")

@@ -9,8 +9,9 @@ SIDES * TABLES * ROWS minhashes where separate tables would take TABLES^2 * SIDE
 3. Each class proposes one link, to the smallest class of all its buckets; links are confirmed on the full sets and
    joined to components.
 4. Buckets that still hold several components: all their members are compared with the bucket's smallest class.
-5. What is left of a bucket then: pairs of two classes of different components. A pair is passed over only if the
-   distances to the bucket's smallest class rule it out: 1 - Jaccard is a metric, so d(a, b) >= d(a, r) - d(b, r).
+5. What is left of a bucket then: pairs of two classes of different components. A pair is passed over only if it is ruled out
+   exactly: by the sizes; by the distances to the bucket's smallest class (1 - Jaccard is a metric, so
+   d(a, b) >= d(a, r) - d(b, r)); or, for small sets, by rare shingles of which similar sets must share one.
 
 So every pair that meets in a bucket is confirmed on full sets, is ruled out exactly, or already is in one component;
 no bucket is capped. A group of n near copies costs about n comparisons.
@@ -29,15 +30,17 @@ from collections import OrderedDict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from linefold.llm.components import components
+from linefold.llm.components import components, merged
 from linefold.llm.store import stage
 
 TABLES, ROWS, SIDES = 12, 3, 2
 REMEMBERED_SETS = 64
+#: Sets up to here are also compared by their rarest shingles before a pair is made.
+SHORT = 200
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -111,7 +114,7 @@ def buckets(classes: DataFrame) -> DataFrame:
     return pairs.select("id", F.xxhash64("a", "b").alias("bucket"))
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+def confirmed(texts: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """``pairs(a, b)`` with the exact ``distance`` 1 - Jaccard of the full sets and ``linked``."""
 
     def run(batches):
@@ -135,8 +138,6 @@ def confirmed(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Da
             columns = [batch.column(0), batch.column(1), pa.array(distance, pa.float64()), pa.array(linked, pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, ["a", "b", "distance", "linked"])
 
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = docs.join(ends, "id", "left_semi")
     left = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     rows = left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     rows = rows.select("a", "b", "text_a", "text_b")
@@ -151,34 +152,69 @@ def with_component(members: DataFrame, labels: DataFrame) -> DataFrame:
     return named.join(split, "bucket")
 
 
+def rare_shingles(texts: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    """(id, rare) of classes of at most ``SHORT`` shingles: their rarest ones, so many that two similar sets share one.
+
+    In any one order of all shingles, sets that have ``percent`` % in common share one of the first
+    n - ceil(n * percent / 100) + 1. Rarity is counted over the classes given.
+    """
+
+    def run(batches):
+        for batch in batches:
+            found = [shingles(t.as_py(), width).view(np.int64) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["id", "shingles"])
+
+    short = texts.join(classes.where(F.col("n") <= SHORT).select("id"), "id", "left_semi").select("id", "text")
+    sets = stage(short.mapInArrow(run, "id long, shingles array<long>"), "sets").select("id", F.explode("shingles").alias("shingle")).distinct()
+    counted = sets.join(sets.groupBy("shingle").agg(F.count("*").alias("n")), "shingle")
+    ordered = counted.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("s"))
+    many = F.size("s") - F.ceil(F.size("s") * percent / 100 - 1e-9) + 1
+    return ordered.select("id", F.transform(F.slice("s", F.lit(1), many.cast("int")), lambda x: x["shingle"]).alias("rare"))
+
+
+def crossing_pairs(left: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of ``left(bucket, id, c, n, distance, keys, rare)`` to compare: members of a bucket in different components that sizes,
+    distances to the bucket's smallest class and rare shingles don't rule out; each pair in one bucket only."""
+    right = left.select("bucket", *(F.col(x).alias(f"{x}_b") for x in ("id", "c", "n", "distance", "keys", "rare")))
+    apart = F.abs(F.col("distance") - F.col("distance_b")) <= 1 - percent / 100 + 1e-9
+    alike = (100 * F.col("n") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n"))
+    rare = F.coalesce(F.arrays_overlap("rare", "rare_b"), F.lit(True))  # unknown for long texts
+
+    def first_common(start: int) -> Column:
+        both = F.array_intersect(F.slice("keys", start, TABLES), F.slice("keys_b", start, TABLES))
+        return F.array_min(both)
+
+    first = F.col("bucket") == F.xxhash64(first_common(1), first_common(TABLES + 1))
+    pairs = left.join(right, "bucket").where((F.col("id") > F.col("id_b")) & (F.col("c") != F.col("c_b")) & alike & apart & rare & first)
+    return pairs.select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct()
+
+
 def links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
     """(id, component) of the classes that are linked with another one."""
     members = stage(buckets(classes), "buckets")
     lows = members.groupBy("bucket").agg(F.min("id").alias("low"))
+    texts = stage(docs.join(members.select("id").distinct(), "id", "left_semi"), "texts")
 
     proposed = members.join(lows, "bucket").groupBy("id").agg(F.min("low").alias("b")).where("b < id")
-    known = stage(confirmed(docs, proposed.withColumnRenamed("id", "a"), width, percent), "links")
-    labels = components(known.where("linked").select("a", "b"))
+    known = stage(confirmed(texts, proposed.withColumnRenamed("id", "a"), width, percent), "links")
+    labels = stage(components(known.where("linked").select("a", "b")), "labels")
 
     held = stage(with_component(members, labels).drop("c"), "held")
     if held.isEmpty():
         return labels
     to_low = held.join(lows, "bucket").where("low < id").select(F.col("id").alias("a"), F.col("low").alias("b"))
-    more = stage(confirmed(docs, to_low.distinct().join(known, ["a", "b"], "left_anti"), width, percent), "links")
-    known = known.unionByName(more)
-    labels = components(known.where("linked").select("a", "b"))
-
-    distances = known.select(F.col("a").alias("id"), F.col("b").alias("low"), "distance")
-    left = with_component(held, labels).join(lows, "bucket").join(distances, ["id", "low"])
-    left = left.select("bucket", "id", "c", "distance")
-    right = left.select("bucket", *(F.col(x).alias(f"{x}_b") for x in ("id", "c", "distance")))
-    apart = F.abs(F.col("distance") - F.col("distance_b")) <= 1 - percent / 100 + 1e-9
-    pairs = left.join(right, "bucket").where((F.col("id") > F.col("id_b")) & (F.col("c") != F.col("c_b")) & apart)
-    pairs = stage(pairs.select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct(), "pairs")
+    more = stage(confirmed(texts, to_low.distinct().join(known, ["a", "b"], "left_anti"), width, percent), "links")
+    labels = merged(labels, more.where("linked"))
+
+    distances = known.unionByName(more).select(F.col("a").alias("id"), F.col("b").alias("low"), "distance")
+    left = with_component(held, labels).join(lows, "bucket").join(distances, ["id", "low"]).drop("low")
+    left = stage(left.join(classes.select("id", "n", "keys"), "id"), "left")
+    one = left.select("id", "n", "keys").distinct().groupBy("id").agg(F.max("n").alias("n"), F.count("*").alias("sets")).where("sets = 1")
+    rare = rare_shingles(texts, one, width, percent)
+    pairs = stage(crossing_pairs(left.join(rare, "id", "left"), percent), "pairs")
     if pairs.isEmpty():
         return labels
-    known = known.unionByName(stage(confirmed(docs, pairs, width, percent), "links"))
-    return components(known.where("linked").select("a", "b"))
+    return merged(labels, confirmed(texts, pairs, width, percent).where("linked"))
 
 
 def near_duplicates(
@@ -188,16 +224,21 @@ def near_duplicates(
     docs = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
     rows = stage(sketches(docs, width), "sketches")
     full = rows.where("id is not null and n > 0")
-    classes = full.groupBy("same").agg(F.min("id").alias("id"), F.first("keys").alias("keys"))
-    of_class = full.select("same", F.col("id").alias("member")).join(classes.select("same", "id"), "same")
-    copies = of_class.where("id < member").select(F.col("member").alias("a"), F.col("id").alias("b")).distinct()
-    classes = stage(classes.groupBy("id", "keys").count().select("id", "keys"), "classes")
-    linked = links(docs.where("id is not null"), classes, width, percent)
-    both = copies.unionByName(linked.where("id > component").select(F.col("id").alias("a"), F.col("component").alias("b")))
-    labels = components(both)
-    found = rows.select("id", F.col("n").alias("n_shingles")).join(labels, "id", "left")
-    component = F.coalesce("component", "id")
-    return found.select(
+    classes = full.groupBy("same").agg(F.min("id").alias("class"), F.first("keys").alias("keys"), F.first("n").alias("n"))
+    classes = stage(classes, "classes")
+    # an id whose texts are several smallest ones is one class with the keys of each
+    single = classes.select(F.col("class").alias("id"), "keys", "n").dropDuplicates(["id", "keys"])
+    labels = links(docs.where("id is not null"), single, width, percent)
+    named = rows.select("id", "n", "same").join(classes.select("same", "class"), "same", "left")
+    own = F.when(F.col("id").isNotNull(), F.coalesce("class", "id")).alias("class")
+    named = stage(named.select("id", F.col("n").alias("n_shingles"), own), "named")
+    several = named.groupBy("id").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
+    if not several.isEmpty():  # ids with texts of several classes link these
+        across = named.join(several, "id").select(F.col("class").alias("a"), F.col("low").alias("b"))
+        labels = merged(labels, across.distinct())
+    labels = labels.select(F.col("id").alias("class"), "component")
+    component = F.coalesce("component", "class")
+    return named.join(labels, "class", "left").select(
         F.col("id").alias(id_column), "n_shingles", component.alias("component_id"),
         F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"),
-    )
+    )
