@@ -31,6 +31,8 @@ from xxhash import xxh3_64_intdigest
 from linefold.llm.store import shared, stage
 
 ALPHA, DISCOUNT = 0.1, 0.5
+#: Tokens that a task works on at a time.
+HELD = 1_000_000
 #: The end token: a value of something that is no word.
 END = np.uint64(xxh3_64_intdigest(b" end ")).view(np.int64)
 
@@ -115,6 +117,16 @@ def flat(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
     return values, (offsets - offsets[0])[:-1]
 
 
+def pieces(batch: pa.RecordBatch, name: str):
+    """The batch in slices of about ``HELD`` values of a list column, at least a row each."""
+    offsets = batch.column(batch.schema.get_field_index(name)).offsets.to_numpy()
+    start = 0
+    while start < batch.num_rows:
+        stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + HELD, "right")) - 1)
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def summed(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, first) if len(first) else np.zeros(0)
 
@@ -128,10 +140,16 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n) of all texts, ends included."""
 
     def run(batches):
+        held, many = [], 0
         for batch in batches:
-            values = [word_values(t.as_py()) for t in batch.column(0)]
-            if values:
-                yield counted(np.concatenate(values))
+            for text in batch.column(0):
+                held.append(word_values(text.as_py()))
+                many += len(held[-1])
+                if many >= HELD:
+                    yield counted(np.concatenate(held))
+                    held, many = [], 0
+        if held:
+            yield counted(np.concatenate(held))
 
     found = docs.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
     return stage(found.withColumnRenamed("code", "word"), "words")
@@ -143,15 +161,20 @@ def encoded(docs: DataFrame, tree: Tree) -> DataFrame:
 
     def run(batches):
         words = held()
+        names = ["id", "learn", "ids", "cold"]
         for batch in batches:
-            ids, cold = [], []
-            for text in batch.column(2):
+            start, ids, cold, many = 0, [], [], 0
+            for stop, text in enumerate(batch.column(2), 1):
                 values = word_values(text.as_py())
                 at = find(words, values)
                 ids.append(at.astype(np.int32))
                 cold.append(values[at < 0])
-            arrays = [*batch.columns[:2], pa.array(ids, pa.list_(pa.int32())), pa.array(cold, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["id", "learn", "ids", "cold"])
+                many += len(at)
+                if many >= HELD or stop == batch.num_rows:
+                    own = batch.slice(start, stop - start).columns[:2]
+                    arrays = [*own, pa.array(ids, pa.list_(pa.int32())), pa.array(cold, pa.list_(pa.int64()))]
+                    yield pa.RecordBatch.from_arrays(arrays, names)
+                    start, ids, cold, many = stop, [], [], 0
 
     found = docs.mapInArrow(run, "id long, learn boolean, ids array<int>, cold array<long>")
     return stage(found.withColumn("row", F.monotonically_increasing_id()), "encoded")
@@ -164,13 +187,12 @@ def follower_counts(corpus: DataFrame, tree: Tree) -> DataFrame:
     def run(batches):
         tree = held()
         for batch in batches:
-            ids, first = flat(batch, "ids")
-            if not len(ids):
-                continue
-            ids = ids.astype(np.int64)
-            state = tree.states(ids, first)[-1]
-            codes = tree.follower_codes(state, ids)
-            yield counted(np.concatenate([codes[codes >= 0], -1 - state[state >= 0]]))
+            for piece in pieces(batch, "ids"):
+                ids, first = flat(piece, "ids")
+                ids = ids.astype(np.int64)
+                state = tree.states(ids, first)[-1]
+                codes = tree.follower_codes(state, ids)
+                yield counted(np.concatenate([codes[codes >= 0], -1 - state[state >= 0]]))
 
     return corpus.select("ids").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
@@ -273,14 +295,15 @@ def scores(
         tree = held()
         root = np.append(np.log10(tree.root()), 0.0)
         for batch in batches:
-            ids, first = flat(batch, "ids")
-            ids = ids.astype(np.int64)
-            sizes = np.diff(np.append(first, len(ids)))
-            known = summed((ids >= 0).astype(np.int64), first)
-            base = summed(root[ids], first)
-            score = summed(np.log10(tree.probabilities(ids, first)), first) if tree.total else base
-            arrays = [*batch.columns[:3], *map(pa.array, (sizes.astype(np.int64), known.astype(np.int64), base, score))]
-            yield pa.RecordBatch.from_arrays(arrays, ["row", "id", "learn", "n_tokens", "hot", "base", "full"])
+            for piece in pieces(batch, "ids"):
+                ids, first = flat(piece, "ids")
+                ids = ids.astype(np.int64)
+                sizes = np.diff(np.append(first, len(ids))).astype(np.int64)
+                known = summed((ids >= 0).astype(np.int64), first).astype(np.int64)
+                base = summed(root[ids], first)
+                score = summed(np.log10(tree.probabilities(ids, first)), first) if tree.total else base
+                arrays = [*piece.columns[:3], *map(pa.array, (sizes, known, base, score))]
+                yield pa.RecordBatch.from_arrays(arrays, ["row", "id", "learn", "n_tokens", "hot", "base", "full"])
 
     hot = corpus.select("row", "id", "learn", "ids").mapInArrow(
         run, "row long, id long, learn boolean, n_tokens long, hot long, base double, full double"
