@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
 from linefold.llm.minhash import mixed
-from linefold.llm.store import stage
+from linefold.llm.store import drop, stage
 
 GROUP = 5
 PIECE, SHARD_WORDS, STREAM_WORDS = 4096, 100_000, 200_000
@@ -104,7 +104,8 @@ def repeated_windows(docs: DataFrame, wanted: DataFrame, width: int) -> DataFram
 def owned(windows: DataFrame) -> DataFrame:
     """(doc, at): places of windows that two documents have, with the first owner's id and place."""
     owner = windows.groupBy("window").agg(F.min(F.struct("id", "pos")).alias("owner"), F.max("id").alias("last"))
-    owner = owner.where(F.col("owner.id") < F.col("last")).select("window", "owner")
+    # stored, so that both sides of the join are dealt anew and a frequent window can be split
+    owner = stage(owner.where(F.col("owner.id") < F.col("last")).select("window", "owner"), "owners")
     found = windows.join(owner, "window").where((F.col("id") > F.col("owner.id")) | (F.col("pos") == F.col("owner.pos")))
     place = F.struct("pos", F.col("owner.id").alias("owner"), F.col("owner.pos").alias("owner_pos"))
     return found.groupBy("doc").agg(F.array_sort(F.collect_list(place)).alias("at"))
@@ -226,16 +227,19 @@ def repeated_spans(docs: DataFrame, width: int) -> DataFrame:
     """(doc, spans): the spans [start, stop) of words to remove from ``docs(doc, id, text)``."""
     rows = stage(surveyed(docs.where("id is not null"), width).where(F.col("n") >= width), "survey")
     lowest = rows.groupBy("same").agg(F.min("id").alias("low"))
-    marked = rows.select("doc", "id", "n", "same").join(lowest, "same")
+    marked = stage(rows.select("doc", "id", "n", "same").join(lowest, "same"), "marked")
     copies = marked.where("id > low").select("doc", F.lit(0).cast("long").alias("start"), F.col("n").alias("stop")).distinct()
     single = marked.where("id = low").select("doc").distinct()
 
-    filed = rows.select("doc", "keys").join(single, "doc").dropDuplicates(["doc"])
-    filed = stage(filed, "filed").select("doc", F.explode("keys").alias("key"))
-    shared = filed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    wanted = stage(filed.join(shared, "key").groupBy("doc").agg(F.collect_list("key").alias("keys")), "wanted")
+    filed = stage(rows.select("doc", "keys").join(single, "doc").dropDuplicates(["doc"]), "filed")
+    drop(rows)
+    keys = filed.select("doc", F.explode("keys").alias("key"))
+    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    wanted = stage(keys.join(shared, "key").groupBy("doc").agg(F.collect_list("key").alias("keys")), "wanted")
+    drop(filed)
     windows = repeated_windows(docs, wanted, width)
     plan = stage(owned(windows), "plan")
+    drop(windows, wanted)
 
     words = plan.select(F.explode("at").alias("x")).agg(F.count("*")).first()[0]
     shards = max(1, -(-words // SHARD_WORDS))
