@@ -238,6 +238,24 @@ def resolve_strategy(spark, sf):
     return rules.resolve_strategy(fx.outputs(spark, sf), _rules(spark)).select("doc_id", "strategy", "source")
 
 
+def _called(spark, sf):
+    """Documents as outputs of learned commands, of longer ones with the same base key, and of seeded ones."""
+    command = """case doc_id % 3 when 0 then concat('cmd ', cast(doc_id % 200 as string))
+        when 1 then concat('cmd ', cast(doc_id % 200 as string), ' -v') else command end"""
+    return fx.outputs(spark, sf).withColumn("command", F.expr(command))
+
+
+@query
+def resolve_with_registry(spark, sf):
+    return rules.resolve_strategy(_called(spark, sf), _rules(spark), _registry(spark, sf)).select("doc_id", "strategy", "source")
+
+
+@query
+def resolve_with_base_keys(spark, sf):
+    found = rules.resolve_strategy(_called(spark, sf), _rules(spark), _registry(spark, sf), base_keys=True)
+    return found.select("doc_id", "strategy", "source")
+
+
 @query
 def streamable_rule(spark, sf):
     return rules.streamable(fx.outputs(spark, sf), _rules(spark)).select("doc_id", "command")
@@ -427,6 +445,12 @@ def condense_outputs(spark, sf):
     return found.select("doc_id", "reason", "strategy", "source", "raw_tokens", "compressed_tokens", "result")
 
 
+@query
+def condense_with_registry(spark, sf):
+    found = plan.condense_outputs(_called(spark, sf), registry=_registry(spark, sf))
+    return found.select("doc_id", "reason", "strategy", "source", "raw_tokens", "compressed_tokens", "result")
+
+
 @query
 def condense_with_overrides(spark, sf):
     settings = plan.Settings(target_max_tokens=120, always_keep=["^Error"])

@@ -215,15 +215,15 @@ def condense_outputs(
     if bad:  # all outputs pass through by now
         settings = replace(settings, **{c: [p for p in getattr(settings, c) if p not in bad] for c in CONTRACT})
     best = _guarded(routed, condense(routed, settings), settings)
-    df = routed.join(best, "doc_id", "left")
-    passed = F.col("reason").isNotNull()
+    # outputs that pass through need no join, so their text isn't shuffled
+    passed = routed.filter("reason is not null").withColumn("result", F.col("output"))
+    passed = passed.withColumn("compressed_tokens", F.lit(None).cast("bigint"))
+    live = routed.filter("reason is null").join(best, "doc_id", "left")
     guarded = budget.regression_guard(F.col("output"), F.col("text"), F.col("raw_tokens"), F.col("tokens"))
-    df = df.withColumn("result", F.when(passed, F.col("output")).otherwise(guarded))
+    live = live.withColumn("result", guarded)
     kept = F.col("text").isNull() | (F.col("result") != F.col("text"))
-    df = df.withColumn(
-        "compressed_tokens", F.when(~passed, F.when(kept, F.col("raw_tokens")).otherwise(F.col("tokens")))
-    )
-    return df.drop("text", "tokens", "p")
+    live = live.withColumn("compressed_tokens", F.when(kept, F.col("raw_tokens")).otherwise(F.col("tokens")))
+    return passed.unionByName(live.drop("text", "tokens")).drop("p")
 
 
 def condense_tool_events(events: DataFrame, **options) -> DataFrame:

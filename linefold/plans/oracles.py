@@ -349,6 +349,17 @@ LADDER = " union all ".join(
     for i, (n, h, t) in enumerate([(60, 36, 18), (40, 24, 12), (30, 18, 9), (20, 12, 6), (15, 9, 4), (10, 6, 3)])
 )
 
+CALLED = OUTPUTS.replace("case source", """case when doc_id % 3 = 0 then 'cmd ' || (doc_id % 200)
+    when doc_id % 3 = 1 then 'cmd ' || (doc_id % 200) || ' -v' else case source""").replace("end as command", "end end as command")
+REGISTRY_CONDENSED = (
+    CONDENSED.replace(OUTPUTS, CALLED)
+    .replace("coalesce(f.r.strategy, d.shape)", "coalesce(f.r.strategy, u.strategy, d.shape)")
+    .replace("case when f.r.strategy is null then", "case when f.r.strategy is null and u.strategy is not null then 'learned' when f.r.strategy is null then")
+    .replace("join detected d using (doc_id) where", "join detected d using (doc_id) left join usable u on u.command = a.command where")
+)
+BASES = """bases as (select split_part(command, ' ', 1) || ' ' || split_part(command, ' ', 2) as base_key,
+    arg_max(strategy, {'t': last_seen, 'c': command}) as strategy from usable where hot group by 1)"""
+
 TOOL_OUTPUTS = f"""{EVENTS_IN.replace('outputs', 'documents_out')}, outputs as (select doc_id, command, output from tools
     where not (length(output) < 200 and length(output) - length(replace(output, chr(10), '')) < 3))"""
 TOOL_CONDENSED = CONDENSED.replace(OUTPUTS, TOOL_OUTPUTS)
@@ -401,6 +412,16 @@ ORACLES: dict[str, str] = {
     "resolve_strategy": f"""with {SAMPLE}, {SEED_ROWS}, {_matched('seeds', 'found')}
         select d.doc_id, coalesce(f.r.strategy, d.shape) as strategy, case when f.r.strategy is null then 'classifier' else 'seed' end as source
         from detected d join found f on d.doc_id = f.doc_id""",
+    "resolve_with_registry": f"""with {FOLD}, {SAMPLE.replace(OUTPUTS, CALLED)}, {SEED_ROWS}, {_matched('seeds', 'found')}
+        select d.doc_id, coalesce(f.r.strategy, u.strategy, d.shape) as strategy,
+          case when f.r.strategy is not null then 'seed' when u.strategy is not null then 'learned' else 'classifier' end as source
+        from detected d join found f on d.doc_id = f.doc_id join outputs o on o.doc_id = d.doc_id left join usable u on u.command = o.command""",
+    "resolve_with_base_keys": f"""with {FOLD}, {SAMPLE.replace(OUTPUTS, CALLED)}, {SEED_ROWS}, {_matched('seeds', 'found')}, {BASES}
+        select d.doc_id, coalesce(b.strategy, f.r.strategy, u.strategy, d.shape) as strategy,
+          case when b.strategy is not null then 'learned' when f.r.strategy is not null then 'seed' when u.strategy is not null then 'learned' else 'classifier' end as source
+        from detected d join found f on d.doc_id = f.doc_id join outputs o on o.doc_id = d.doc_id left join usable u on u.command = o.command
+          left join bases b on split_part(o.command, ' ', 1) || ' ' || split_part(o.command, ' ', 2) = b.base_key""",
+    "condense_with_registry": f"with {FOLD}, {REGISTRY_CONDENSED} select {RESULT_COLUMNS} from results",
     "streamable_rule": f"""with {OUTPUTS}, {SEED_ROWS}, {_matched('seeds', 'found')} select o.doc_id, o.command from outputs o join found f on o.doc_id = f.doc_id
         where f.r.streamable and f.r.strategy = 'progress'""",
     "valid_extensions": f"""with {ENTRIES} select file, prefix, case kind when 1 then 'unknown strategy' when 2 then 'unknown keys' when 3 then 'params must be a mapping'
