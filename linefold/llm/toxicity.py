@@ -34,7 +34,8 @@ LOOK_ALIKE = {
 }
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿßœ"
 SIZE = len(LETTERS) + 1
-LONGEST = 40
+SINGLE = {*LETTERS, *LOOK_ALIKE}
+LONGEST = 24
 BEGINNINGS = (4, 5)
 #: Costs (log e) of the channel: a sign for a letter, a letter written again, a sign between letters, a dropped gap.
 SWAP, AGAIN, SIGN, GAP = math.log(0.2), math.log(0.3), math.log(0.5), math.log(0.05)
@@ -44,9 +45,14 @@ HELD = 500_000
 SKETCHES = 3
 
 WORD = re.compile(r"[^\W\d_]+")
-EDGES = re.compile(r"^\W+|\W+$")
+PUNCTUATION = ".,;:?()[]{}\"'*#%&"
+#: The same sign twice or more at either end, or one exclamation mark after a word.
+DECORATION = re.compile(r"^(?:([^\w\s])\1+)+|(?:(?:([^\w\s])\2+)+|!)$")
+THRICE = re.compile(r"([^\W\d_])\1\1")
 #: What may hide letters: a look-alike next to a letter, a letter three times, signs between single letters.
-ODD = re.compile(r"[^\W\d_][\d@$!|+(€£¡]|[\d@$!|+(€£¡][^\W\d_]|([^\W\d_])\1\1|(?<![^\W_])\w[^\w\s]\w[^\w\s]\w(?![^\W_])|_")
+ODD = re.compile(
+    r"[^\W\d_][\d@$!|+(€£¡]|[\d@$!|+(€£¡][^\W\d_]|([^\W\d_])\1\1|(?<![^\W_])\w[^\w\s]\w[^\w\s]\w(?![^\W_])|_"
+)
 
 
 def trigram_counts(texts: list[str]) -> np.ndarray:
@@ -106,30 +112,42 @@ class Decoder:
         return best[1].strip()
 
 
-class Reader:
-    """Features of a text: its restored words, and their beginnings."""
+class Known(dict):
+    """Features of tokens, found when first asked for and remembered up to a bound."""
+
+    def __init__(self, find) -> None:
+        super().__init__()
+        self.find = find
+
+    def __missing__(self, token: str) -> tuple[str, ...]:
+        found = self.find(token)
+        if len(self) < REMEMBERED:
+            self[token] = found
+        return found
 
-    def __init__(self, decoder: Decoder) -> None:
-        self.decoder = decoder
-        self.known: dict[str, tuple[str, ...]] = {}
 
-    def words(self, token: str) -> tuple[str, ...]:
-        bare = EDGES.sub("", token)
-        found = WORD.findall(bare)
-        core = token.strip(".,;:?()[]{}\"'")
+class Reader:
+    """Features of a text: its restored words, and their beginnings. With ``wanted`` only those in it."""
+
+    def __init__(self, decoder: Decoder, wanted: dict[str, float] | None = None) -> None:
+        self.decoder, self.wanted = decoder, wanted
+        self.known = Known(self.features_of)
+
+    def words(self, token: str) -> list[str]:
+        core = token.strip(PUNCTUATION)
+        if not core.isalpha():
+            core = DECORATION.sub("", core)
+        if core.isalpha() and not THRICE.search(core):
+            return [core]
+        found = WORD.findall(core)
         if len(core) <= LONGEST and ODD.search(core):
             found += self.decoder.restore(core).split()
-        return tuple(found)
+        return found
 
     def features_of(self, token: str) -> tuple[str, ...]:
-        found = self.known.get(token)
-        if found is None:
-            words = self.words(token)
-            starts = [f"{w[:n]}*" for w in words for n in BEGINNINGS if len(w) > n]
-            found = tuple(dict.fromkeys([*words, *starts]))
-            if len(self.known) < REMEMBERED:
-                self.known[token] = found
-        return found
+        words, wanted = self.words(token), self.wanted
+        found = words + [f"{w[:n]}*" for w in words for n in BEGINNINGS if len(w) > n]
+        return tuple(found) if wanted is None else tuple([f for f in found if f in wanted])
 
     def spelt(self, tokens: list[str]) -> list[str]:
         """Words that runs of three or more single characters spell."""
@@ -146,13 +164,10 @@ class Reader:
 
     def features(self, text: str | None) -> set[str]:
         tokens = (text or "").lower().split()
-        out: set[str] = set()
-        seen = set(tokens)
-        for token in seen:
-            out.update(self.features_of(token))
-        if sum(len(t) == 1 for t in seen) >= 2:
-            for word in self.spelt(tokens):
-                out.update(self.features_of(word))
+        seen, find = set(tokens), self.known.__getitem__
+        out: set[str] = set().union(*map(find, seen))
+        if len(seen & SINGLE) >= 2:
+            out.update(*map(find, self.spelt(tokens)))
         return out
 
 
@@ -261,11 +276,11 @@ def toxicity(
 
     def run(batches):
         decoder, weights, prior = model()
-        read = Reader(decoder)
+        read = Reader(decoder, weights)
         for batch in batches:
             scores = []
             for text in batch.column(batch.schema.get_field_index("text")):
-                hits = sorted((weights[f] for f in read.features(text.as_py()) if f in weights), reverse=True)
+                hits = sorted((weights[f] for f in read.features(text.as_py())), reverse=True)
                 odds = prior + sum(hits[:3])
                 scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, odds)))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "score"])
