@@ -11,12 +11,12 @@ from .ordered import SEG, cut, in_segments, scan
 BUCKET = 1 << 16
 
 
-def assemble_chunks(chunks: DataFrame) -> DataFrame:
+def assemble_chunks(chunks: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """``(run_id, seq, chunk)`` to ``(run_id, pos, line)``. Only ``\\n`` ends a line; the rest of a
     chunk goes on in the next one, and a blank rest at the end of the run is dropped."""
     pieces = F.split("chunk", "\n", -1)
     df = chunks.select("run_id", "seq", pieces.alias("pieces"))
-    df = in_segments(df, F.floor(F.col("seq") / BUCKET), ("run_id",))
+    df = in_segments(df, F.floor(F.col("seq") / bucket), ("run_id",))
     breaks = F.size("pieces") - 1
     df = scan(df, sums={"ended": breaks}, totals={"all_ended": breaks}, keys=("run_id",), order=("seq",))
     rows = df.select(
@@ -30,12 +30,12 @@ def assemble_chunks(chunks: DataFrame) -> DataFrame:
     return lines.filter((F.col("pos") < F.col("n")) | (strip_text(F.col("line")) != "")).select("run_id", "pos", "line")
 
 
-def stall_segments(chunks: DataFrame, gap_seconds: float = 2.0) -> DataFrame:
+def stall_segments(chunks: DataFrame, gap_seconds: float = 2.0, bucket: int = BUCKET) -> DataFrame:
     """Add ``segment`` to chunks: it rises after every silence of at least the gap.
 
     Chunks of a run come in ``seq`` order. A run of any length is worked on in buckets of ``seq``.
     """
-    df = in_segments(chunks, F.floor(F.col("seq") / BUCKET), ("run_id",))
+    df = in_segments(chunks, F.floor(F.col("seq") / bucket), ("run_id",))
     along = {"keys": ("run_id",), "order": ("seq",)}
     df = scan(df, last={"_before": F.col("ts")}, **along)
     silent = F.col("ts") - F.col("_before") >= F.make_dt_interval(secs=F.lit(gap_seconds))
@@ -53,14 +53,14 @@ def segment_report(segments: DataFrame) -> DataFrame:
     )
 
 
-def segment_outputs(segments: DataFrame, max_bytes: int = MAX_OUTPUT_BYTES) -> DataFrame:
+def segment_outputs(segments: DataFrame, max_bytes: int = MAX_OUTPUT_BYTES, bucket: int = BUCKET) -> DataFrame:
     """Texts of the segments below the size limit, ready to condense. Larger ones have a ``reason`` and no
     text; their chunks are in ``segments``.
 
     A segment of any size is matched bucket by bucket before the small ones are put together.
     """
     keys = ["run_id", "segment", SEG]
-    rows = segments.withColumn(SEG, F.floor(F.col("seq") / BUCKET).cast("bigint"))
+    rows = segments.withColumn(SEG, F.floor(F.col("seq") / bucket).cast("bigint"))
     report = segment_report(segments).select("run_id", "segment", "n_bytes")
     small = report.filter(F.col("n_bytes") <= max_bytes).drop("n_bytes")
     large = report.filter(F.col("n_bytes") > max_bytes).drop("n_bytes")

@@ -14,22 +14,23 @@ from .ordered import SEG, carried, emit, group_keys, is_segmented, ranked_ends,
 
 # A directory with more files than this becomes one row.
 FILES_SHOWN = 3
-# More repeats than any run has: the run is left as it is.
-NO_FOLD = (1 << 31) - 1
 
 
 def _as_column(value: int | Column) -> Column:
     return value if isinstance(value, Column) else F.lit(value)
 
 
-def collapse_runs(lines: DataFrame, min_repeats: int | Column = 3, trim: bool = True) -> DataFrame:
+def collapse_runs(
+    lines: DataFrame, min_repeats: int | Column = 3, trim: bool = True, fold: Column | None = None
+) -> DataFrame:
     """Runs of at least ``min_repeats`` equal lines become ``line [repeated Nx]``; shorter
-    runs stay as they are. Blank lines are dropped, ``trim`` compares stripped lines."""
+    runs, and those of documents that are not to ``fold``, stay as they are. Blank lines are dropped, ``trim`` compares stripped lines."""
     rows = lines.filter(~is_blank(F.col("line")))
     if trim:
         rows = rows.withColumn("line", strip_text(F.col("line")))
     found = runs(rows)
     folded = F.col("cnt") >= _as_column(min_repeats)
+    folded = folded if fold is None else folded & fold
     copies = F.when(folded, F.array(F.lit(0).cast("bigint"))).otherwise(F.sequence(F.lit(0).cast("bigint"), F.col("cnt") - 1))
     text = F.when(folded, F.concat("line", F.lit(" [repeated "), F.col("cnt").cast("string"), F.lit("x]")))
     extra = [SEG] if is_segmented(found) else []
@@ -176,8 +177,7 @@ def list_lines(
     per_row = "p" in lines.columns
     rows = lines.filter(~is_blank(F.col("line")))
     if per_row:
-        repeats = F.when(param(lines, "dedup", dedup), F.lit(2)).otherwise(F.lit(NO_FOLD))
-        rows = collapse_runs(rows, repeats, trim=False)
+        rows = collapse_runs(rows, 2, trim=False, fold=param(lines, "dedup", dedup))
         rows = group_by_directory(rows, param(lines, "group_by_directory", group_dirs))
     else:
         rows = collapse_runs(rows, 2, trim=False) if dedup else rows

@@ -22,8 +22,8 @@ TEST_SUMMARY = rf"(?iuUd)^={{3,}}|^-{{3,}}[{SPACES}]*\z|\btotal:|\bpassed:|\bfai
 SUMMARY_LINES = 5
 TABLE_RULE = rf"^[-{SPACES}|+]+\z"
 CELL_GAP = rf"[{SPACES}]{{2,}}|\t"
-KEY_COLON = rf"(?Ud)^([{SPACES}]*\w[\w{SPACES}]*):[{SPACES}]+([^{SPACES}].*)\z"
-KEY_EQUALS = rf"(?Ud)^([{SPACES}]*\w[\w{SPACES}]*)=[{SPACES}]*([^{SPACES}].*)\z"
+KEY_COLON = rf"(?Ud)^([{SPACES}]*[\p{{L}}\p{{N}}_][\p{{L}}\p{{N}}_{SPACES}]*):[{SPACES}]+([^{SPACES}].*)\z"
+KEY_EQUALS = rf"(?Ud)^([{SPACES}]*[\p{{L}}\p{{N}}_][\p{{L}}\p{{N}}_{SPACES}]*)=[{SPACES}]*([^{SPACES}].*)\z"
 TIME_KEY = r"(?iu)time|date|at"
 LIBRARY_FRAME = (
     r"(?iu)site-packages|dist-packages|/usr/lib/python|/usr/local/lib/python|/python\d+\.\d+/|"

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions import safety, shape, text
 from ..operators import budget, chunks, contract, rows, shapes
-from ..operators.ordered import segment
+from ..operators.ordered import SEG, segment
 from ..session import shared_dir, spread
 from ..sources import events, history, outputs, registry, rules
 from ..streaming import lines as stream_lines
@@ -645,6 +645,63 @@ def segment_outputs_large(spark, sf):
     return chunks.segment_outputs(chunks.stall_segments(fx.chunks(spark, sf), 6 * 3600), max_bytes=14)
 
 
+# the same over many short segments, so that borders are crossed
+
+
+def _short(lines):
+    return segment(lines.drop(SEG), 16)
+
+
+@query
+def collapse_runs_segments(spark, sf):
+    return rows.collapse_runs(_short(fx.event_lines(spark, sf)), 2).select("doc_id", "pos", "line")
+
+
+@query
+def generic_segments(spark, sf):
+    return rows.generic(_short(fx.event_lines(spark, sf)), keep=["^purch"], strip=["repeated 3x"])
+
+
+@query
+def progress_segments(spark, sf):
+    return shapes.progress(_short(fx.event_lines(spark, sf, fx.PROGRESS_LINE)))
+
+
+@query
+def test_run_segments(spark, sf):
+    return shapes.test_run(_short(fx.event_lines(spark, sf, fx.TEST_LINE)), max_traceback_lines=2)
+
+
+@query
+def diff_segments(spark, sf):
+    return shapes.diff(_short(fx.diff_lines(spark, sf)), max_lines=560)
+
+
+@query
+def table_segments(spark, sf):
+    return shapes.table(_short(fx.table_lines(spark, sf)), max_cell_length=8)
+
+
+@query
+def keyvalue_segments(spark, sf):
+    return shapes.keyvalue(_short(fx.pair_lines(spark, sf)), max_lines=42, always_strip_keys=["^Na"])
+
+
+@query
+def error_trace_segments(spark, sf):
+    return shapes.error_trace(_short(fx.event_lines(spark, sf, fx.TRACE_LINE)), max_traceback_lines=3)
+
+
+@query
+def assemble_chunks_segments(spark, sf):
+    return chunks.assemble_chunks(fx.chunks(spark, sf), bucket=64)
+
+
+@query
+def segment_outputs_segments(spark, sf):
+    return chunks.segment_outputs(chunks.stall_segments(fx.chunks(spark, sf), 6 * 3600, bucket=64), bucket=64)
+
+
 # streams
 
 

@@ -539,3 +539,9 @@ ORACLES: dict[str, str] = {
           when doc_id % 2 = 0 and 3 + case when output = '' then 0 else 2 * len(parts) - (not regexp_matches(output, '\\n$'))::int end >= 15 then 'error output pass-through'
           when doc_id % 2 = 0 or len(parts) < 15 then 'minimal output' end as reason from flat""",
 }
+ORACLES |= {
+    f"{name}_segments": ORACLES[name]
+    for name in (
+        "collapse_runs", "generic", "progress", "test_run", "diff", "table", "keyvalue", "error_trace", "assemble_chunks", "segment_outputs"
+    )
+}

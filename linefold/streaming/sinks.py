@@ -12,12 +12,9 @@ from ..plans.condense import Settings, condense_outputs
 from ..sources.registry import SEGMENT_CALLS, merge_registry
 from .lines import carry_on, silences, with_end
 
-MERGE_SESSIONS = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
-
 
 def write_stream(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append everything available now to a parquet table."""
-    df.sparkSession.conf.set(MERGE_SESSIONS, "true")
     return (
         df.writeStream.format("parquet")
         .outputMode("append")
