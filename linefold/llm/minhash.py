@@ -5,13 +5,13 @@ the TABLES x TABLES hash tables are all pairs of a key of the first and one of t
 SIDES * TABLES * ROWS minhashes where separate tables would take TABLES^2 * SIDES * ROWS.
 
 1. Documents with equal shingle sets form a class, its smallest id stands for it (aggregation, no pairs).
-2. Short keys that only one class has can't lead to a bucket and go; the rest are paired into buckets.
+2. Short keys that only one class has can't lead to a bucket and go; the rest are paired into buckets. Shingles are counted over the
+   classes in buckets: one of which less than ``percent`` % is found in others has no link.
 3. Each class proposes one link, to the smallest class of all its buckets; links are confirmed on the full sets and
    joined to components.
 4. Buckets that still hold several components: all their members are compared with the bucket's smallest class.
 5. What is left of a bucket then: pairs of two classes of different components. A pair is passed over only if it is ruled out
-   exactly: by the sizes; by the distances to the bucket's smallest class (1 - Jaccard is a metric, so
-   d(a, b) >= d(a, r) - d(b, r)); or, for small sets, by rare shingles of which similar sets must share one.
+   exactly, by the most that two sets can have in common inside and outside of the bucket's smallest class.
 
 So every pair that meets in a bucket is confirmed on full sets, is ruled out exactly, or already is in one component;
 no bucket is capped. A group of n near copies costs about n comparisons.
@@ -39,8 +39,6 @@ from linefold.llm.store import stage
 
 TABLES, ROWS, SIDES = 12, 3, 2
 REMEMBERED_SETS = 64
-#: Sets up to here are also compared by their rarest shingles before a pair is made.
-SHORT = 200
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -115,7 +113,7 @@ def buckets(classes: DataFrame) -> DataFrame:
 
 
 def confirmed(texts: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """``pairs(a, b)`` with the exact ``distance`` 1 - Jaccard of the full sets and ``linked``."""
+    """``pairs(a, b)`` with the size of the intersection of the full sets, ``common``, and whether they are ``linked``."""
 
     def run(batches):
         known: OrderedDict[str, np.ndarray] = OrderedDict()
@@ -128,21 +126,21 @@ def confirmed(texts: DataFrame, pairs: DataFrame, width: int, percent: int) -> D
             return known[text]
 
         for batch in batches:
-            distance, linked = [], []
+            common, linked = [], []
             for text_a, text_b in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = of(text_a.as_py()), of(text_b.as_py())
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                either = max(1, len(x) + len(y) - both)
-                distance.append(1 - both / either)
+                either = len(x) + len(y) - both
+                common.append(both)
                 linked.append(0 < both and 100 * both >= percent * either)
-            columns = [batch.column(0), batch.column(1), pa.array(distance, pa.float64()), pa.array(linked, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "distance", "linked"])
+            columns = [batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(linked, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "common", "linked"])
 
     left = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     rows = left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     rows = rows.select("a", "b", "text_a", "text_b")
-    found = rows.mapInArrow(run, "a long, b long, distance double, linked boolean")
-    return found.groupBy("a", "b").agg(F.min("distance").alias("distance"), F.max("linked").alias("linked"))
+    found = rows.mapInArrow(run, "a long, b long, common long, linked boolean")
+    return found.groupBy("a", "b").agg(F.max("common").alias("common"), F.max("linked").alias("linked"))
 
 
 def with_component(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -152,11 +150,10 @@ def with_component(members: DataFrame, labels: DataFrame) -> DataFrame:
     return named.join(split, "bucket")
 
 
-def rare_shingles(texts: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    """(id, rare) of classes of at most ``SHORT`` shingles: their rarest ones, so many that two similar sets share one.
+def shared_sizes(texts: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """(id, shared): how many shingles of each class some other class has too, null for an id with several texts.
 
-    In any one order of all shingles, sets that have ``percent`` % in common share one of the first
-    n - ceil(n * percent / 100) + 1. Rarity is counted over the classes given.
+    Shingles are counted over all ``texts(id, text)``.
     """
 
     def run(batches):
@@ -164,36 +161,45 @@ def rare_shingles(texts: DataFrame, classes: DataFrame, width: int, percent: int
             found = [shingles(t.as_py(), width).view(np.int64) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["id", "shingles"])
 
-    short = texts.join(classes.where(F.col("n") <= SHORT).select("id"), "id", "left_semi").select("id", "text")
-    sets = stage(short.mapInArrow(run, "id long, shingles array<long>"), "sets").select("id", F.explode("shingles").alias("shingle")).distinct()
-    counted = sets.join(sets.groupBy("shingle").agg(F.count("*").alias("n")), "shingle")
-    ordered = counted.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("s"))
-    many = F.size("s") - F.ceil(F.size("s") * percent / 100 - 1e-9) + 1
-    return ordered.select("id", F.transform(F.slice("s", F.lit(1), many.cast("int")), lambda x: x["shingle"]).alias("rare"))
+    sets = texts.select("id", "text").mapInArrow(run, "id long, shingles array<long>")
+    counted = sets.select("id", F.explode("shingles").alias("shingle")).groupBy("shingle")
+    own = counted.agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1").groupBy("id").agg(F.count("*").alias("own"))
+    sizes = classes.groupBy("id").agg(F.max("n").alias("n"), F.count("*").alias("sets"))
+    shared = F.when(F.col("sets") == 1, F.col("n") - F.coalesce("own", F.lit(0)))
+    return sizes.join(texts.select("id").distinct(), "id").join(own, "id", "left").select("id", shared.alias("shared"))
 
 
 def crossing_pairs(left: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of ``left(bucket, id, c, n, distance, keys, rare)`` to compare: members of a bucket in different components that sizes,
-    distances to the bucket's smallest class and rare shingles don't rule out; each pair in one bucket only."""
-    right = left.select("bucket", *(F.col(x).alias(f"{x}_b") for x in ("id", "c", "n", "distance", "keys", "rare")))
-    apart = F.abs(F.col("distance") - F.col("distance_b")) <= 1 - percent / 100 + 1e-9
-    alike = (100 * F.col("n") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n"))
-    rare = F.coalesce(F.arrays_overlap("rare", "rare_b"), F.lit(True))  # unknown for long texts
+    """(a, b) of ``left(bucket, id, c, n, shared, common, keys)`` to compare: members of a bucket in different components that could be
+    linked; each pair in one bucket only.
+
+    Inside the bucket's smallest class two sets have at most the smaller of what each has in common with it; outside,
+    at most the smaller of what else each shares with any class.
+    """
+    right = left.select("bucket", *(F.col(x).alias(f"{x}_b") for x in ("id", "c", "n", "shared", "common", "keys")))
+    outside = F.least(F.col("shared") - F.col("common"), F.col("shared_b") - F.col("common_b"))
+    most = F.least("common", "common_b") + outside
+    possible = 100 * most >= percent * (F.col("n") + F.col("n_b") - most)
+    known = F.col("shared").isNotNull() & F.col("shared_b").isNotNull()
 
     def first_common(start: int) -> Column:
         both = F.array_intersect(F.slice("keys", start, TABLES), F.slice("keys_b", start, TABLES))
         return F.array_min(both)
 
     first = F.col("bucket") == F.xxhash64(first_common(1), first_common(TABLES + 1))
-    pairs = left.join(right, "bucket").where((F.col("id") > F.col("id_b")) & (F.col("c") != F.col("c_b")) & alike & apart & rare & first)
+    pairs = left.join(right, "bucket").where((F.col("id") > F.col("id_b")) & (F.col("c") != F.col("c_b")) & (~known | possible) & first)
     return pairs.select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
 def links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
     """(id, component) of the classes that are linked with another one."""
-    members = stage(buckets(classes), "buckets")
+    met = stage(buckets(classes), "met")
+    texts = stage(docs.join(met.select("id").distinct(), "id", "left_semi"), "texts")
+    shared = stage(shared_sizes(texts, classes, width), "shared")
+    # a class of which too little is shared has no link at all
+    able = classes.select("id", "n").join(shared, "id").where(F.coalesce(100 * F.col("shared") >= percent * F.col("n"), F.lit(True)))
+    members = stage(met.join(able.select("id").distinct(), "id", "left_semi"), "members")
     lows = members.groupBy("bucket").agg(F.min("id").alias("low"))
-    texts = stage(docs.join(members.select("id").distinct(), "id", "left_semi"), "texts")
 
     proposed = members.join(lows, "bucket").groupBy("id").agg(F.min("low").alias("b")).where("b < id")
     known = stage(confirmed(texts, proposed.withColumnRenamed("id", "a"), width, percent), "links")
@@ -206,12 +212,10 @@ def links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> Data
     more = stage(confirmed(texts, to_low.distinct().join(known, ["a", "b"], "left_anti"), width, percent), "links")
     labels = merged(labels, more.where("linked"))
 
-    distances = known.unionByName(more).select(F.col("a").alias("id"), F.col("b").alias("low"), "distance")
-    left = with_component(held, labels).join(lows, "bucket").join(distances, ["id", "low"]).drop("low")
-    left = stage(left.join(classes.select("id", "n", "keys"), "id"), "left")
-    one = left.select("id", "n", "keys").distinct().groupBy("id").agg(F.max("n").alias("n"), F.count("*").alias("sets")).where("sets = 1")
-    rare = rare_shingles(texts, one, width, percent)
-    pairs = stage(crossing_pairs(left.join(rare, "id", "left"), percent), "pairs")
+    common = known.unionByName(more).select(F.col("a").alias("id"), F.col("b").alias("low"), "common")
+    left = with_component(held, labels).join(lows, "bucket").join(common, ["id", "low"]).drop("low")
+    left = left.join(classes.select("id", "n", "keys"), "id").join(shared, "id")
+    pairs = stage(crossing_pairs(left, percent), "pairs")
     if pairs.isEmpty():
         return labels
     return merged(labels, confirmed(texts, pairs, width, percent).where("linked"))
