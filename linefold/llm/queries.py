@@ -34,7 +34,7 @@ TOXIC_SCORE = 0.3
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Length buckets and token-budget batches of all documents."""
     texts = table(spark, sf_dir, "documents").select("doc_id", "text")
-    counts = tokens.token_counts(texts, public_tokenizers.path(TOKENIZER)).select("doc_id", "n_tokens")
+    counts = tokens.token_counts(texts, public_tokenizers.path(TOKENIZER), keep=["doc_id"]).drop("n_bytes")
     return packing.pack(counts, "n_tokens", BUCKETS, BATCH_TOKENS)
 
 
@@ -82,7 +82,7 @@ def op4_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, and whether they overflow the context."""
     texts = table(spark, sf_dir, "documents").select("doc_id", "text")
-    counts = tokens.token_counts(texts, public_tokenizers.path(TOKENIZER)).drop("text")
+    counts = tokens.token_counts(texts, public_tokenizers.path(TOKENIZER), keep=["doc_id"])
     return counts.withColumn("over_limit", F.col("n_tokens") > CONTEXT_TOKENS)
 
 

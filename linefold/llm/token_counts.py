@@ -109,14 +109,17 @@ def check_spec(spec: str) -> None:
         raise ValueError("the shortcut needs a byte-level BPE without normalizer")
 
 
-def token_counts(docs: DataFrame, tokenizer_file: str, text_column: str = "text") -> DataFrame:
-    """``docs`` with ``n_bytes`` (UTF-8) and ``n_tokens`` of the text."""
+def token_counts(
+    docs: DataFrame, tokenizer_file: str, text_column: str = "text", keep: list[str] | None = None
+) -> DataFrame:
+    """``docs``, or its columns ``keep``, with ``n_bytes`` (UTF-8) and ``n_tokens`` of the text."""
     docs = docs.drop("n_bytes", "n_tokens")
     with open(tokenizer_file, encoding="utf-8") as file:
         spec = file.read()
     check_spec(spec)
     held = docs.sparkSession.sparkContext.broadcast((spec, prove_whole_tokens(spec)))
     place = docs.columns.index(text_column)
+    kept = [i for i, name in enumerate(docs.columns) if keep is None or name in keep]
 
     def run(batches):
         counter = TokenCounter(*held.value)
@@ -126,8 +129,8 @@ def token_counts(docs: DataFrame, tokenizer_file: str, text_column: str = "text"
                 text = text.as_py()
                 n_bytes.append(len(text.encode()) if text else 0)
                 n_tokens.append(counter.count(text))
-            columns = [*batch.columns, pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "n_bytes", "n_tokens"])
+            columns = [batch.column(i) for i in kept] + [pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, [*(batch.schema.names[i] for i in kept), "n_bytes", "n_tokens"])
 
     added = [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())]
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
+    return docs.mapInArrow(run, T.StructType([*(docs.schema.fields[i] for i in kept), *added]))
