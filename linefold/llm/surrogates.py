@@ -1,14 +1,16 @@
 """Keyed, type-consistent surrogates for personal data and secrets.
 
 Every entity is rewritten as a string of the same mask: digits stay digits, vowels vowels, consonants consonants of
-the same script and case, signs stay. For each type and mask the rewriting is a keyed permutation without
+the same script and case, signs stay. Letters and digits outside ``CLASSES`` are permuted within their kind in a block
+of 256 characters (``block_classes``), or within ``RANGES``; values of signs only are no entities. For each type and mask the rewriting is a keyed permutation without
 fixed points (a shift conjugated by a Feistel network over the mask's mixed radix), so different entities
 get different surrogates and an entity gets the same one everywhere, whatever its format. Known first names
 are permuted within the names of their gender and script.
 
 Surrogates of different masks or types could only meet by way of names from a list. ``collisions`` checks all entities of
 the corpus; entities that clash are permuted again with another key (``attempt``) until no two share a
-surrogate. There are few or none, at most ``MOST_CLASHES``, else the job stops with an error.
+surrogate; from attempt ``CROWDED`` on their surrogates get longer, so that room is never short. Up to
+``MOST_CLASHES`` such entities are broadcast; more are joined to the texts that hold them.
 
 Finding and rewriting are done per text inside tasks; only distinct entities are shuffled, for the check. Null texts
 stay null, empty ones empty. Every row gives a row with its columns, repeated rows equal results. Columns of the
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections import Counter
 from dataclasses import dataclass
 
@@ -31,6 +34,8 @@ from linefold.llm.store import shared, stage
 
 ROUNDS = 8
 MOST_CLASHES = 10_000
+#: Attempts after which surrogates of names, secrets and mail addresses get longer.
+CROWDED = 8
 REMEMBERED = 100_000
 
 #: What finds entities. Signs between the parts of a phone number may be decorated.
@@ -65,6 +70,10 @@ CLASSES = [
     "αεηιουω", "βγδζθκλμνξπρστφχψ", "άέήίόύώ",
 ]
 CLASS_OF = {c: letters for letters in CLASSES for c in letters}
+#: First and last character of large classes.
+RANGES = {"han": ("\u4e00", "\u9fa5"), "hangul": ("\uac00", "\ud7a3")}
+#: Classes of the blocks seen so far.
+BLOCKS: dict[int, dict[str, str]] = {}
 
 #: What stays of a host: a reserved domain, or else the last label.
 RESERVED = re.compile(r"(.*?)(\.?example\.(?:com|org|net)|\.[^.]+)$")
@@ -77,27 +86,53 @@ NAMED = re.compile(rf"\b({'|'.join(GENDER)})((?: {CAPITAL}){{1,2}})")
 WORD = re.compile(r"[^\W\d_]+")
 
 
+def block_classes(block: int) -> dict[str, str]:
+    """Classes of letters and digits of 256 characters: of one kind, case and form. Kinds of one character are put together."""
+    groups: dict[tuple, str] = {}
+    for c in map(chr, range(block << 8, block + 1 << 8)):
+        kind = unicodedata.category(c)
+        if c.isalnum() and c.lower() == c and c not in CLASS_OF and c != "ς":
+            turns = c.upper() != c and c.upper().lower() == c and len(c.upper()) == 1
+            at = (kind, turns, unicodedata.normalize("NFKC", c) == c, *unicodedata.name(c, "").split()[:2])
+            groups[at] = groups.get(at, "") + c
+    for size in (1, 3, 0):  # ever wider kinds for characters that are alone in theirs
+        for at in [a for a, letters in groups.items() if len(letters) == 1]:
+            letters = groups.pop(at)
+            groups[at[:size]] = groups.get(at[:size], "") + letters
+    if len(groups.get((), "")) == 1 and len(groups) > 1:
+        alone = groups.pop(())
+        groups[max(groups, key=lambda a: len(groups[a]))] += alone
+    return {c: letters for letters in groups.values() if len(letters) > 1 for c in letters}
+
+
 def class_of(char: str) -> str:
-    """The lower-case letters or digits that may stand for ``char``; empty if it stays."""
+    """The lower-case letters or digits that may stand for ``char``, or the name of their range; empty if it stays."""
     low = char.lower()
     if low in CLASS_OF:
         return CLASS_OF[low]
-    if "\u4e00" <= char <= "\u9fa5":
-        return "han"
-    return ""
+    if char.isascii():
+        return ""
+    for name, (first, last) in RANGES.items():
+        if first <= char <= last:
+            return name
+    low = low if len(low) == 1 else char
+    block = ord(low) >> 8
+    if block not in BLOCKS:
+        BLOCKS[block] = block_classes(block)
+    return BLOCKS[block].get(low, "")
 
 
 def radix(letters: str) -> int:
-    return 0x9FA5 - 0x4E00 + 1 if letters == "han" else len(letters)
+    return ord(RANGES[letters][1]) - ord(RANGES[letters][0]) + 1 if letters in RANGES else len(letters)
 
 
 def digit_of(char: str, letters: str) -> int:
-    return ord(char) - 0x4E00 if letters == "han" else letters.index(char.lower())
+    return ord(char) - ord(RANGES[letters][0]) if letters in RANGES else letters.index(char.lower())
 
 
 def char_of(digit: int, letters: str, like: str) -> str:
-    if letters == "han":
-        return chr(0x4E00 + digit)
+    if letters in RANGES:
+        return chr(ord(RANGES[letters][0]) + digit)
     out = letters[digit]
     return out.upper() if like != like.lower() and len(out.upper()) == 1 else out
 
@@ -175,7 +210,7 @@ def find(text: str) -> list[Entity]:
     taken: list[tuple[int, int]] = []
 
     def add(kind: str, canonical: str, start: int, stop: int) -> None:
-        if canonical and all(stop <= a or b <= start for a, b in taken):
+        if any(map(class_of, canonical)) and all(stop <= a or b <= start for a, b in taken):
             taken.append((start, stop))
             found.append(Entity(kind, canonical, start, stop))
 
@@ -210,6 +245,9 @@ LISTED = {name.lower(): (place, i) for place, names in NAMES.items() for i, name
 def replacement(key: bytes, kind: str, canonical: str, attempt: int = 0) -> str:
     """The surrogate of an entity's canonical form."""
     key = key + b"|%d" % attempt
+    if attempt > CROWDED and kind in ("person", "secret", "email"):
+        first = next(c for c in canonical if class_of(c))
+        canonical = first * (attempt - CROWDED) + canonical
     if kind == "person" and canonical in LISTED:
         place, i = LISTED[canonical]
         return NAMES[place][Permutation(key, f"name|{place}", 1, len(NAMES[place]))(i)].lower()
@@ -255,21 +293,24 @@ def dressed(surrogate: str, kind: str, mention: str) -> str:
 class Rewriter:
     def __init__(self, key: bytes, attempts: dict[tuple[str, str], int]) -> None:
         self.key, self.attempts = key, attempts
-        self.known: dict[tuple[str, str], str] = {}
+        self.known: dict[tuple[str, str, int], str] = {}
 
-    def surrogate(self, kind: str, canonical: str) -> str:
-        at = (kind, canonical)
+    def surrogate(self, kind: str, canonical: str, attempt: int) -> str:
+        at = (kind, canonical, attempt)
         if (out := self.known.get(at)) is None:
-            out = replacement(self.key, kind, canonical, self.attempts.get(at, 0))
+            out = replacement(self.key, *at)
             if len(self.known) < REMEMBERED:
                 self.known[at] = out
         return out
 
-    def rewrite(self, text: str) -> tuple[str, Counter]:
+    def rewrite(self, text: str, attempts: dict[tuple[str, str], int] | None = None) -> tuple[str, Counter]:
+        """The text with surrogates and its entities by kind. ``attempts``: those of this text, in place of the common ones."""
+        attempts = self.attempts if attempts is None else attempts
         out, at, kinds = [], 0, Counter()
         for e in find(text):
             mention = text[e.start : e.stop]
-            out += [text[at : e.start], dressed(self.surrogate(e.kind, e.canonical), e.kind, mention)]
+            surrogate = self.surrogate(e.kind, e.canonical, attempts.get((e.kind, e.canonical), 0))
+            out += [text[at : e.start], dressed(surrogate, e.kind, mention)]
             at = e.stop
             kinds[e.kind] += 1
         return "".join([*out, text[at:]]), kinds
@@ -282,7 +323,7 @@ def entities(docs: DataFrame, key: bytes, attempts: dict, text_column: str = "te
         writer = Rewriter(key, attempts)
         for batch in batches:
             found = {(e.kind, e.canonical) for t in batch.column(0) if t.as_py() for e in find(t.as_py())}
-            rows = [(k, c, writer.surrogate(k, c)) for k, c in sorted(found)]
+            rows = [(k, c, writer.surrogate(k, c, attempts.get((k, c), 0))) for k, c in sorted(found)]
             arrays = [pa.array([r[i] for r in rows], pa.string()) for i in range(3)]
             yield pa.RecordBatch.from_arrays(arrays, ["kind", "canonical", "surrogate"])
 
@@ -297,45 +338,79 @@ def collisions(found: DataFrame) -> DataFrame:
     return found.join(first, ["kind", "surrogate"]).where(clash).select("kind", "canonical")
 
 
-def attempts_for(docs: DataFrame, key: bytes, text_column: str) -> dict[tuple[str, str], int]:
-    """Entities that need another key than the first, and which."""
-    attempts: dict[tuple[str, str], int] = {}
-    found = stage(entities(docs, key, attempts, text_column), "entities")
-    for attempt in range(1, 20):
-        clashes = collisions(found).limit(MOST_CLASHES + 1).collect()
-        if not clashes:
-            return attempts
-        if len(clashes) + len(attempts) > MOST_CLASHES:
-            break
-        attempts |= {(r.kind, r.canonical): attempt for r in clashes}
-        names = found.sparkSession.createDataFrame(
-            [(k, c, replacement(key, k, c, n)) for (k, c), n in attempts.items()], "kind string, canonical string, surrogate string"
-        )
-        found = found.join(names.select("kind", "canonical"), ["kind", "canonical"], "left_anti").unionByName(names)
-    raise ValueError("too many surrogates clash: choose another key")
+def again(clashes: DataFrame, key: bytes, attempt: int) -> DataFrame:
+    """(kind, canonical, surrogate, attempt) of entities under another key."""
+
+    def run(batches):
+        for batch in batches:
+            rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
+            new = pa.array([replacement(key, k, c, attempt) for k, c in rows], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, new], ["kind", "canonical", "surrogate"])
+
+    found = clashes.mapInArrow(run, "kind string, canonical string, surrogate string")
+    return found.withColumn("attempt", F.lit(attempt))
+
+
+def attempts_for(docs: DataFrame, key: bytes, text_column: str) -> dict[tuple[str, str], int] | DataFrame:
+    """Entities that need another key than the first, and which: (kind, canonical, attempt), as a dictionary if they are few."""
+    found = stage(entities(docs, key, {}, text_column).withColumn("attempt", F.lit(0)), "entities")
+    attempt, clashes = 0, stage(collisions(found), "clashes")
+    while not clashes.isEmpty():
+        attempt += 1
+        kept = found.join(clashes, ["kind", "canonical"], "left_anti")
+        found = stage(kept.unionByName(again(clashes, key, attempt)), "entities")
+        clashes = stage(collisions(found), "clashes")
+    found = found.where("attempt > 0").select("kind", "canonical", "attempt")
+    few = found.limit(MOST_CLASHES + 1).collect()
+    return {(r.kind, r.canonical): r.attempt for r in few} if len(few) <= MOST_CLASHES else found
+
+
+def with_attempts(docs: DataFrame, attempts: DataFrame, text_column: str) -> DataFrame:
+    """``docs`` and, last, the ``attempts`` of the entities in their text."""
+    mark, held = "mark of the text", "attempts of the text"
+    docs = docs.withColumn(mark, F.sha2(F.col(text_column).cast("string").cast("binary"), 256))
+
+    def run(batches):
+        for batch in batches:
+            rows = set()
+            for m, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                rows |= {(m, e.kind, e.canonical) for e in find(t.as_py() or "")}
+            arrays = [pa.array(c, pa.string()) for c in (zip(*rows, strict=True) if rows else [[]] * 3)]
+            yield pa.RecordBatch.from_arrays(arrays, [mark, "kind", "canonical"])
+
+    texts = docs.select(mark, F.col(text_column).cast("string"))
+    found = texts.mapInArrow(run, f"`{mark}` string, kind string, canonical string").distinct()
+    found = found.join(attempts, ["kind", "canonical"])
+    found = found.groupBy(mark).agg(F.collect_list(F.struct("kind", "canonical", "attempt")).alias(held))
+    return docs.join(stage(found, "attempts"), mark, "left").drop(mark)
 
 
 def pseudonymised(docs: DataFrame, key: str, text_column: str = "text") -> DataFrame:
     """``docs`` with entities in the text replaced, ``n_entities`` and ``kinds`` (name=count, ordered)."""
     docs = docs.drop("n_entities", "kinds")
     secret = key.encode()
-    held = shared(docs.sparkSession, (secret, attempts_for(docs, secret, text_column)))
-    place = docs.columns.index(text_column)
+    attempts = attempts_for(docs, secret, text_column)
+    joined = not isinstance(attempts, dict)
+    held = shared(docs.sparkSession, (secret, {} if joined else attempts))
+    place, many = docs.columns.index(text_column), len(docs.columns)
     fields = [*docs.schema.fields, T.StructField("n_entities", T.LongType()), T.StructField("kinds", T.StringType())]
+    names = [f.name for f in fields]
 
     def run(batches):
         writer = Rewriter(*held())
         for batch in batches:
             texts, counts, kinds = [], [], []
-            for text in batch.column(place):
+            for i, text in enumerate(batch.column(place)):
                 text = text.as_py()
-                new, found = writer.rewrite(text) if text else (text, Counter())
+                own = {(a["kind"], a["canonical"]): a["attempt"] for a in batch.column(many)[i].as_py() or []} if joined else None
+                new, found = writer.rewrite(text, own) if text else (text, Counter())
                 texts.append(new)
                 counts.append(sum(found.values()))
                 kinds.append(",".join(f"{k}={n}" for k, n in sorted(found.items())))
-            columns = list(batch.columns)
+            columns = list(batch.columns[:many])
             columns[place] = pa.array(texts, pa.string())
             arrays = [*columns, pa.array(counts, pa.int64()), pa.array(kinds, pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names, "n_entities", "kinds"])
+            yield pa.RecordBatch.from_arrays(arrays, names)
 
-    return docs.mapInArrow(run, T.StructType(fields))
+    rows = with_attempts(docs, attempts, text_column) if joined else docs
+    return rows.mapInArrow(run, T.StructType(fields))

@@ -76,3 +76,34 @@ def test_table(spark, docs_of, odd_rows):
     assert "a@b.org" not in next(r.text for r in out if r.doc_id == 10)
     assert {r.text for r in out if r.n_entities == 0} == {t for i, t in odd_rows}
     assert pseudonymised(docs_of([]), "key").collect() == []
+
+
+def test_blank_fields_and_other_scripts(spark, docs_of):
+    blank = ["Password: ________________", "Password = ................", "token: ----------------"]
+    named = {"Dr. محمد": "محمد", "Dr 김철수": "김철수", "Prof. たなか": "たなか", "token: ½½½½½½": "½½½½½½"}
+    out = [r.text for r in pseudonymised(docs_of(list(enumerate([*blank, *named]))), "key").orderBy("doc_id").collect()]
+    assert out[:3] == blank
+    for new, (old, name) in zip(out[3:], named.items(), strict=True):
+        assert name not in new and len(new) == len(old)
+    for block in range(0x323):
+        for c, letters in surrogates.block_classes(block).items():
+            assert c in letters and len(letters) > 1
+
+
+def test_any_number_of_clashes(spark, docs_of, monkeypatch):
+    plain = replacement
+    monkeypatch.setattr(surrogates, "replacement", lambda k, kind, c, n=0: "zz@z.com" if n < 2 else plain(k, kind, c, n))
+    docs = docs_of([(i, f"a{i}@b.com and a{i % 7}@b.com") for i in range(40)] + [(50, None), (51, "none")])
+    want = sorted((r.doc_id, r.text or "") for r in pseudonymised(docs, "key").collect())
+    monkeypatch.setattr(surrogates, "MOST_CLASHES", 10)
+    got = pseudonymised(docs, "key")
+    assert got.columns == [*docs.columns, "n_entities", "kinds"]
+    assert sorted((r.doc_id, r.text or "") for r in got.collect()) == want
+    assert len({t.split()[0] for i, t in want if i < 40}) == 40
+
+
+def test_crowded_lists_find_room(spark, docs_of):
+    names = surrogates.NAMES["greek", "m"]
+    docs = docs_of([(1, " ".join(f"Κύριος {n}," for n in names))])
+    assert collisions(entities(docs, KEY, surrogates.attempts_for(docs, KEY, "text"))).count() == 0
+    assert len(replacement(KEY, "person", "νίκος", surrogates.CROWDED + 2)) == len("νίκος") + 2
