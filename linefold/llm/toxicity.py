@@ -10,7 +10,7 @@ from a bounded sample of labelled rows (``max_labelled``); all else is computed
 
 Null and empty texts score as a text without any such word: the prior. Every row gives a row, repeated rows
 too. A document with several labels counts as toxic if one says so; null labels are left out. Rows without an id are
-scored and never learnt from. Tokens of over ``LONGEST`` characters aren't restored, only read as they are.
+scored and never learnt from. Tokens and runs of single characters are restored whole, whatever their length.
 """
 
 from __future__ import annotations
@@ -35,7 +35,8 @@ LOOK_ALIKE = {
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿßœ"
 SIZE = len(LETTERS) + 1
 SINGLE = {*LETTERS, *LOOK_ALIKE}
-LONGEST = 24
+#: Characters after which the decoder joins the pieces of its readings.
+JOINED = 1024
 BEGINNINGS = (4, 5)
 #: Costs (log e) of the channel: a sign for a letter, a letter written again, a sign between letters, a dropped gap.
 SWAP, AGAIN, SIGN, GAP = math.log(0.2), math.log(0.3), math.log(0.5), math.log(0.05)
@@ -69,6 +70,28 @@ def trigram_counts(texts: list[str]) -> np.ndarray:
     return out
 
 
+#: Back pointer and last piece of a reading.
+Reading = tuple
+
+
+def written(reading: Reading) -> str:
+    """The text of a reading."""
+    pieces = []
+    while reading is not None:
+        pieces.append(reading[1])
+        reading = reading[0]
+    return "".join(reversed(pieces))
+
+
+def shortened(reading: Reading, joined: set[int]) -> Reading:
+    """The reading with the pieces since one of ``joined`` in one."""
+    pieces = []
+    while id(reading) not in joined:
+        pieces.append(reading[1])
+        reading = reading[0]
+    return (reading, "".join(reversed(pieces))) if pieces else reading
+
+
 class Decoder:
     """Viterbi decoding under log probabilities of letters after two letters."""
 
@@ -84,12 +107,14 @@ class Decoder:
 
     def restore(self, token: str, gaps: bool = False) -> str:
         """The likeliest words behind ``token``; with ``gaps``, blanks inside are spelling and words may end anywhere."""
-        states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        start: Reading = (None, "")
+        states: dict[tuple[int, int], tuple[float, Reading]] = {(0, 0): (0.0, start)}
+        joined = {id(start)}
         log = self.log
-        for char in token:
-            after: dict[tuple[int, int], tuple[float, str]] = {}
+        for n, char in enumerate(token, 1):
+            after: dict[tuple[int, int], tuple[float, Reading]] = {}
 
-            def reach(state: tuple[int, int], score: float, text: str) -> None:
+            def reach(state: tuple[int, int], score: float, text: Reading) -> None:
                 if state not in after or after[state][0] < score:  # noqa: B023
                     after[state] = (score, text)  # noqa: B023
 
@@ -99,17 +124,21 @@ class Decoder:
                 if not letters or not char.isalnum():
                     reach((x, y), score + SIGN, text)
                     if y and (char != " " or not gaps):
-                        reach((y, 0), score + log[x][y][0], text + " ")
+                        reach((y, 0), score + log[x][y][0], (text, " "))
                 for z, letter, cost in letters:
-                    reach((y, z), score + cost + log[x][y][z], text + letter)
+                    reach((y, z), score + cost + log[x][y][z], (text, letter))
                     if y == z:
                         reach((x, y), score + AGAIN, text)
                     if gaps and y:
                         end = score + log[x][y][0] + GAP
-                        reach((0, z), end + cost + log[y][0][z], f"{text} {letter}")
+                        reach((0, z), end + cost + log[y][0][z], (text, f" {letter}"))
             states = after
-        best = max(((s + (self.log[x][y][0] if y else 0), t) for (x, y), (s, t) in states.items()), default=(0, ""))
-        return best[1].strip()
+            if n % JOINED == 0:
+                states = {at: (score, shortened(text, joined)) for at, (score, text) in states.items()}
+                joined = {id(text) for _, text in states.values()}
+        ends = [(s + (self.log[x][y][0] if y else 0), t) for (x, y), (s, t) in states.items()]
+        best = max((s for s, _ in ends), default=0)
+        return max((written(t) for s, t in ends if s == best), default="").strip()
 
 
 class Known(dict):
@@ -140,7 +169,7 @@ class Reader:
         if core.isalpha() and not THRICE.search(core):
             return [core]
         found = WORD.findall(core)
-        if len(core) <= LONGEST and ODD.search(core):
+        if ODD.search(core):
             found += self.decoder.restore(core).split()
         return found
 
@@ -157,8 +186,7 @@ class Reader:
                 run.append(token)
                 continue
             if len(run) >= 3:
-                for start in range(0, len(run), LONGEST):
-                    out += self.decoder.restore(" ".join(run[start : start + LONGEST]), gaps=True).split()
+                out += self.decoder.restore(" ".join(run), gaps=True).split()
             run = []
         return out
 

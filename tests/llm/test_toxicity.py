@@ -71,3 +71,16 @@ def test_odd_rows(spark, docs_of, odd_rows):
     unlabelled = toxicity(docs_of(odd_rows), table.limit(0), F.lit(True)).collect()
     assert len({r.score for r in unlabelled}) == 1 and unlabelled[0].score < 0.3
     assert toxicity(docs_of([]), table, F.lit(True)).collect() == []
+
+
+@pytest.mark.parametrize("text", ["st" + "u" * 40 + "pid", "1d10t.y0u.4r3.4.cl0wn.s7up1d", " ".join("theotheroneisagoodmanstupidman")])
+def test_long_tokens_and_runs(reader, text):
+    assert "stupid" in reader.features(text)
+
+
+def test_pieces_are_joined(reader, monkeypatch):
+    token = ".".join(["1d10t", "cl0wn", "s7up1d"] * 40)
+    want = reader.decoder.restore(token), reader.decoder.restore(" ".join(token), gaps=True)
+    monkeypatch.setattr("linefold.llm.toxicity.JOINED", 7)
+    assert (reader.decoder.restore(token), reader.decoder.restore(" ".join(token), gaps=True)) == want
+    assert want[0].count("stupid") > 30
