@@ -1,26 +1,29 @@
 """Language-model scores from a probabilistic suffix tree.
 
-Training counts words and, level by level, what follows a context. A context of k words becomes a candidate if it
-holds ``context_share`` of all tokens, so there are at most 1 / context_share a level; it is retained if what follows it
-diverges from what follows its suffix (likelihood ratio against the number of distinct followers times the log of
-its count). Followers with ``follower_share`` of all tokens are explicit, at most 1 / follower_share a level. These bounds
-hold at every size and are why the tree can be collected and broadcast; all counting is done by Spark over all rows.
+Training counts words and, level by level, what follows a context. A context of k words is a candidate if it occurs
+``least_context`` times; it is retained if what follows it diverges from what follows its suffix (likelihood ratio against
+the number of distinct followers times the log of its count). Followers that occur ``least_follower`` times are explicit.
+Contexts, followers and words are Spark tables of any size, so the model grows with the text.
 
 Smoothing: P(s | context) = (n - DISCOUNT) / c + rest * P(s | suffix), down to the root
-P(s) = (n + ALPHA) / (N + ALPHA (V + 1)). Every position is scored at its longest retained suffix.
+P(s) = (n + ALPHA) / (N + ALPHA (V + 1)). Every position is scored at its longest retained suffix. Its log10 is a sum: that
+of the root, of the rest of every retained context, and, for an explicit follower, of P(s | context) / (rest * P(s | suffix)).
+So every part is looked up by itself: parts with ``part_share`` of all tokens are broadcast, all others are joined.
+
+Positions whose context is surely no candidate, or whose part surely isn't in a table, are left out early by a ``Sieve``: a
+bit array of bounded size. What it lets through is compared with the tables themselves, so results don't depend on it.
 
 The root holds every word. Words with ``hot_share`` of all tokens (at most 1 / hot_share) are broadcast; occurrences of
-all others are joined with their counts. A follower that isn't hot is never explicit, so its share of the sum is
-log10(rests) + log10 P(s), and the join can add the second part.
+all others are joined with their counts.
 
-Words are told apart by 64-bit hashes. A text ends with one end token, and starts after one; null and empty texts have only
+Words and contexts are told apart by 64-bit hashes. A text ends with one end token, and starts after one; null and empty texts have only
 the end. Every row gives a row, repeated rows and ids too; a null id counts as empty text. Without training rows
 every root probability is 1. Columns of the input other than id and text aren't read.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +31,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from linefold.llm.store import shared, stage
+from linefold.llm.store import drop, shared, small, stage
 
 ALPHA, DISCOUNT = 0.1, 0.5
 #: Tokens that a task works on at a time.
 HELD = 1_000_000
 #: The end token: a value of something that is no word.
 END = np.uint64(xxh3_64_intdigest(b" end ")).view(np.int64)
+#: Tells followers from contexts of the same words.
+FOLLOWER = 0x5DEECE66D1234567
+#: A sieve has 16 bits a code, up to 2^SIEVE_BITS.
+SIEVE_BITS = 27
+#: Spark setting: delete the shuffle files of a query at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def word_values(text: str | None) -> np.ndarray:
@@ -46,6 +55,17 @@ def word_values(text: str | None) -> np.ndarray:
     return out
 
 
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """A staged table, without the shuffle files that it was made from."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
+    try:
+        return stage(df, tag)
+    finally:
+        conf.set(CLEANUP, before)
+
+
 def find(ordered: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Places of the values in the ordered array, -1 for others."""
     if not len(ordered):
@@ -54,59 +74,59 @@ def find(ordered: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(ordered[at] == wanted, at, -1)
 
 
-@dataclass
-class Level:
-    """Contexts of one length. ``codes``: (context without its last word) * words + last word, ordered."""
+def chained(codes: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Codes of the contexts that end with one word more."""
+    x = codes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + words.view(np.uint64)
+    for shift, factor in ((32, 0xD6E8FEB86659FD93), (29, 0xBF58476D1CE4E5B9)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return (x ^ (x >> np.uint64(32))).view(np.int64)
 
-    codes: np.ndarray
-    retained: np.ndarray | None = None
-    rest: np.ndarray | None = None
-    followers: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    share: np.ndarray = field(default_factory=lambda: np.zeros(0))
+
+def contexts(values: np.ndarray, first: np.ndarray, depth: int):
+    """For each length, codes of the context before each position, and where there is one. ``first``: where texts start."""
+    before = np.empty_like(values)
+    before[1:] = values[:-1]
+    before[first] = END
+    at = np.arange(len(values)) - np.repeat(first, np.diff(np.append(first, len(values))))
+    codes = before
+    for k in range(depth):
+        if k:
+            longer = np.zeros_like(codes)
+            longer[1:] = chained(codes[:-1], values[:-1])
+            codes = longer
+        yield codes, at >= k
 
 
 @dataclass
-class Tree:
+class Root:
     words: np.ndarray
     counts: np.ndarray
     total: int
     distinct: int
-    levels: list[Level] = field(default_factory=list)
 
-    def root(self) -> np.ndarray:
+    def probabilities(self) -> np.ndarray:
         return (self.counts + ALPHA) / (self.total + ALPHA * (self.distinct + 1))
 
-    def states(self, ids: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
-        """For every level, the context that ends before each position, or -1. ``first``: where texts start."""
-        end = int(find(self.words, np.array([END]))[0])
-        before = np.empty_like(ids)
-        before[1:] = ids[:-1]
-        before[first] = end
-        depth = np.arange(len(ids)) - np.repeat(first, np.diff(np.append(first, len(ids))))
-        out: list[np.ndarray] = []
-        for k, level in enumerate(self.levels):
-            if k == 0:
-                codes = before
-            else:
-                longer = np.full_like(ids, -1)
-                longer[1:] = out[-1][:-1]
-                longer[depth < k] = -1
-                codes = np.where((longer >= 0) & (before >= 0), longer * len(self.words) + before, -1)
-            out.append(find(level.codes, codes))
-        return out
-
-    def follower_codes(self, state: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        return np.where((state >= 0) & (ids >= 0), state * len(self.words) + ids, -1)
 
-    def probabilities(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Of each position; for words that aren't hot the factor that their root probability takes."""
-        p = np.append(self.root(), 1.0)[ids]
-        for level, state in zip(self.levels, self.states(ids, first), strict=True):
-            at = find(level.followers, self.follower_codes(state, ids))
-            share = np.where(at >= 0, np.append(level.share, 0.0)[at], 0.0)
-            known = (state >= 0) & np.append(level.retained, False)[state]
-            p = np.where(known, share + np.append(level.rest, 1.0)[state] * p, p)
-        return p
+class Sieve:
+    """Bits of codes, two each. It lets every code of its table through, and few others as long as it isn't full."""
+
+    def __init__(self, table: DataFrame) -> None:
+        self.size = min(SIEVE_BITS, max(10, (16 * table.count()).bit_length()))
+        code, most = F.col("code"), F.lit((1 << self.size) - 1)
+        places = F.array(code.bitwiseAND(most), F.shiftrightunsigned(code, SIEVE_BITS).bitwiseAND(most))
+        place = F.col("place")
+        rows = table.select(F.explode(places).alias("place"))
+        rows = rows.select(F.shiftright(place, 6).alias("slot"), F.expr("shiftleft(1L, cast(place & 63 as int))").alias("bits"))
+        found = rows.groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
+        self.bits = np.zeros(1 << self.size - 6, np.int64)
+        self.bits[found.column("slot").to_numpy()] = found.column("bits").to_numpy()
+
+    def passes(self, codes: np.ndarray) -> np.ndarray:
+        most, out = (1 << self.size) - 1, True
+        for place in (codes & most, (codes.view(np.uint64) >> np.uint64(SIEVE_BITS)).view(np.int64) & most):
+            out = out & ((self.bits[place >> 6] >> (place & 63)) & 1 == 1)
+        return out
 
 
 def flat(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
@@ -152,12 +172,12 @@ def word_counts(docs: DataFrame) -> DataFrame:
             yield counted(np.concatenate(held))
 
     found = docs.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    return stage(found.withColumnRenamed("code", "word"), "words")
+    return written(found.withColumnRenamed("code", "word"), "words")
 
 
-def encoded(docs: DataFrame, tree: Tree) -> DataFrame:
+def encoded(docs: DataFrame, root: Root) -> DataFrame:
     """(row, id, learn, ids, cold): places of the hot words or -1, and the values of the others; the texts, read once more."""
-    held = shared(docs.sparkSession, tree.words)
+    held = shared(docs.sparkSession, root.words)
 
     def run(batches):
         words = held()
@@ -177,24 +197,66 @@ def encoded(docs: DataFrame, tree: Tree) -> DataFrame:
                     start, ids, cold, many = stop, [], [], 0
 
     found = docs.mapInArrow(run, "id long, learn boolean, ids array<int>, cold array<long>")
-    return stage(found.withColumn("row", F.monotonically_increasing_id()), "encoded")
+    return written(found.withColumn("row", F.monotonically_increasing_id()), "encoded")
 
 
-def follower_counts(corpus: DataFrame, tree: Tree) -> DataFrame:
-    """(code, n): code of a context of the last level and its hot follower, and -1 - context for all followers."""
-    held = shared(corpus.sparkSession, tree)
+def values_of(piece: pa.RecordBatch, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word values of encoded rows, where rows start, and the places of hot words or -1."""
+    ids, first = flat(piece, "ids")
+    values = np.append(words, 0)[ids]
+    values[ids < 0] = flat(piece, "cold")[0]
+    return values, first, ids
+
+
+def follower_counts(corpus: DataFrame, root: Root, sieve: Sieve, length: int) -> DataFrame:
+    """(context, word, n) of the contexts of a length that pass; word null: all that follows the context.
+
+    A word is the place of a hot one or the value of another. Rows leave in the order of contexts, which packs well.
+    """
+    held = shared(corpus.sparkSession, (root.words, sieve))
 
     def run(batches):
-        tree = held()
+        words, sieve = held()
         for batch in batches:
             for piece in pieces(batch, "ids"):
-                ids, first = flat(piece, "ids")
-                ids = ids.astype(np.int64)
-                state = tree.states(ids, first)[-1]
-                codes = tree.follower_codes(state, ids)
-                yield counted(np.concatenate([codes[codes >= 0], -1 - state[state >= 0]]))
+                values, first, ids = values_of(piece, words)
+                *_, (codes, there) = contexts(values, first, length)
+                at = np.flatnonzero(there & sieve.passes(codes))
+                codes, values, ids = codes[at], values[at], ids[at]
+                _, one, n = np.unique(chained(codes, values), return_index=True, return_counts=True)
+                order = np.argsort(codes[one])
+                one, n = one[order], n[order]
+                names = np.where(ids >= 0, ids, values)
+                every, many = np.unique(codes, return_counts=True)
+                arrays = [
+                    pa.array(np.concatenate([codes[one], every])),
+                    pa.chunked_array([pa.array(names[one]), pa.nulls(len(every), pa.int64())]).combine_chunks(),
+                    pa.array(np.concatenate([n, many]).astype(np.int64)),
+                ]
+                yield pa.RecordBatch.from_arrays(arrays, ["context", "word", "n"])
+
+    found = corpus.select("ids", "cold").mapInArrow(run, "context long, word long, n long")
+    return found.groupBy("context", "word").agg(F.sum("n").alias("n"))
+
+
+def with_codes(followers: DataFrame, root: Root) -> DataFrame:
+    """``followers(context, suffix, total, word, n)`` with the code of the context and the word, and of its suffix and the word."""
+    held = shared(followers.sparkSession, root.words)
+
+    def run(batches):
+        places = held()
+        for batch in batches:
+            context, suffix, word = (batch.column(i) for i in (0, 1, 3))
+            words = word.to_numpy()
+            hot = (words >= 0) & (words < len(places))
+            words = np.where(hot, np.append(places, 0)[np.where(hot, words, -1)], words)
+            code = chained(context.to_numpy(), words)
+            shorter = np.where(suffix.is_valid().to_numpy(False), chained(suffix.fill_null(0).to_numpy(), words), words)
+            arrays = [context, batch.column(2), batch.column(4), pa.array(code), pa.array(shorter)]
+            yield pa.RecordBatch.from_arrays(arrays, ["context", "total", "n", "code", "shorter"])
 
-    return corpus.select("ids").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    rows = followers.select("context", "suffix", "total", "word", "n")
+    return rows.mapInArrow(run, "context long, total long, n long, code long, shorter long")
 
 
 def arrays_of(rows: DataFrame, *names: str) -> list[np.ndarray]:
@@ -205,117 +267,127 @@ def arrays_of(rows: DataFrame, *names: str) -> list[np.ndarray]:
     return [c[order] for c in columns]
 
 
-def retain(tree: Tree, contexts: np.ndarray, followers: np.ndarray, n: np.ndarray) -> None:
-    """Fill the last level: which contexts diverge from their suffix, and the smoothed distributions."""
-    level, width = tree.levels[-1], len(tree.words)
-    context, symbol = followers // width, followers % width
-    suffix_ids = suffixes(tree)
-    parent = tree.root()[symbol]
-    for lower, state in zip(tree.levels[:-1], suffix_ids, strict=True):
-        own = state[context]
-        at = find(lower.followers, tree.follower_codes(own, symbol))
-        share = np.where(at >= 0, np.append(lower.share, 0.0)[at], 0.0)
-        known = (own >= 0) & np.append(lower.retained, False)[own]
-        parent = np.where(known, share + np.append(lower.rest, 1.0)[own] * parent, parent)
-    many = len(level.codes)
-    explicit = np.bincount(context, minlength=many)
-    held = np.bincount(context, n, many)
-    held_parent = np.minimum(np.bincount(context, parent, many), 1 - 1e-9)
-    ratio = np.bincount(context, n * np.log(n / contexts[context] / parent), many)
-    others = np.maximum(contexts - held, 0)
-    ratio += np.where(others > 0, others * np.log(np.maximum(others, 1) / contexts / (1 - held_parent)), 0)
-    level.retained = (explicit > 0) & (2 * ratio >= (explicit + 1) * np.log(contexts))
-    level.followers, level.share = followers, (n - DISCOUNT) / contexts[context]
-    level.rest = 1 - np.bincount(context, level.share, many)
-
-
-def suffixes(tree: Tree) -> list[np.ndarray]:
-    """For each context of the last level, its suffixes of every shorter length, or -1."""
-    width, words = len(tree.words), []
-    codes = tree.levels[-1].codes
-    for level in reversed(tree.levels[:-1]):
-        words.append(codes % width)
-        codes = level.codes[codes // width]
-    words.append(codes)
-    words.reverse()  # of each context, first word first
-    out = []
-    for length in range(1, len(words)):
-        state = words[-length]
-        state = find(tree.levels[0].codes, state)
-        for k in range(1, length):
-            nxt = words[len(words) - length + k]
-            state = find(tree.levels[k].codes, np.where(state >= 0, state * width + nxt, -1))
-        out.append(state)
-    return out
+def retained(followers: DataFrame) -> DataFrame:
+    """(context, total, rest) of the contexts that diverge from their suffix."""
+    n, total, parent = F.col("n"), F.col("total"), F.col("parent")
+    rows = followers.groupBy("context").agg(
+        F.first("total").alias("total"), F.count("*").alias("explicit"), F.sum("n").alias("held"), F.sum("parent").alias("held_parent"),
+        F.sum(n * F.log(n / total / parent)).alias("ratio"), F.sum((n - DISCOUNT) / total).alias("share"),
+    )
+    others = F.col("total") - F.col("held")
+    left = 1 - F.least("held_parent", F.lit(1 - 1e-9))
+    ratio = F.col("ratio") + F.when(others > 0, others * F.log(others / F.col("total") / left)).otherwise(0)
+    rows = rows.where(2 * ratio >= (F.col("explicit") + 1) * F.log("total"))
+    return rows.select("context", "total", (1 - F.col("share")).alias("rest"))
 
 
-def learn(counts: DataFrame, hot_share: float) -> Tree:
+def learn(counts: DataFrame, hot_share: float) -> Root:
     """The root."""
     total, distinct = counts.agg(F.sum("n"), F.count("*")).first()
     hot = counts.where(F.col("n") >= hot_share * (total or 0))
-    return Tree(*arrays_of(hot, "word", "n"), total or 0, distinct)
+    return Root(*arrays_of(hot, "word", "n"), total or 0, distinct)
 
 
-def grow(tree: Tree, corpus: DataFrame, depth: int, context_share: float, follower_share: float) -> None:
-    """Add levels of contexts, each from counts over the whole corpus."""
-    least_context = max(2, context_share * tree.total)
-    least_follower = max(2, follower_share * tree.total)
-    codes = np.flatnonzero(tree.counts >= least_context)
-    for _ in range(depth):
-        if not len(codes):
+def grow(root: Root, counts: DataFrame, corpus: DataFrame, depth: int, least_context: float, least_follower: float) -> DataFrame | None:
+    """(code, part, n): what contexts and followers add to the log10 of a probability. Each level is counted over the whole corpus."""
+    p = (F.col("n") + ALPHA) / F.lit(root.total + ALPHA * (root.distinct + 1))
+    parents = counts.select(F.col("word").alias("shorter"), p.alias("parent"))
+    known = counts.where(F.col("n") >= least_context).select(F.col("word").alias("context"), F.lit(None).cast("long").alias("suffix"))
+    parts = None
+    for length in range(1, depth + 1):
+        if known.isEmpty():
             break
-        tree.levels.append(Level(codes))
-        found = stage(follower_counts(corpus, tree), "followers")
-        total_of, context_n = arrays_of(found.where("code < 0"), "code", "n")
-        contexts = np.ones(len(codes))
-        contexts[-1 - total_of] = context_n
-        followers, n = arrays_of(found.where((F.col("code") >= 0) & (F.col("n") >= least_follower)), "code", "n")
-        retain(tree, contexts, followers, n.astype(float))
-        codes = followers[n >= least_context]
+        sieve = Sieve(known.select(F.col("context").alias("code")))
+        found = follower_counts(corpus, root, sieve, length)
+        least = F.when(F.col("word").isNull(), F.lit(least_context)).otherwise(F.lit(least_follower))
+        found = written(found.where(F.col("n") >= least), "followers")
+        totals = found.where("word is null").select("context", F.col("n").alias("total"))
+        totals = small(written(totals.join(small(known), "context"), "totals"))
+        rows = with_codes(found.where("word is not null").join(totals, "context"), root)
+        rows = written(rows.join(small(parents), "shorter"), "explicit")
+        kept = written(retained(rows), "retained")
+        share, below = (F.col("n") - DISCOUNT) / F.col("total"), F.col("rest") * F.col("parent")
+        explicit = rows.join(small(kept.select("context", "rest")), "context", "left")
+        own = F.coalesce(share + below, "parent")
+        level = written(explicit.select("code", "shorter", "n", own.alias("p"), F.log10(own / below).alias("part")), "level")
+        drop(found, rows, totals)
+        follower = F.col("code").bitwiseXOR(F.lit(FOLLOWER)).alias("code")
+        new = kept.select(F.col("context").alias("code"), F.log10("rest").alias("part"), F.col("total").alias("n"))
+        new = new.unionByName(level.where("part is not null").select(follower, "part", "n"))
+        parts = new if parts is None else parts.unionByName(new)
+        parents = level.select(F.col("code").alias("shorter"), F.col("p").alias("parent"))
+        known = level.where(F.col("n") >= least_context).select(F.col("code").alias("context"), F.col("shorter").alias("suffix"))
+    return parts
 
 
 def scores(
-    docs: DataFrame, may_learn: Column, depth: int = 3, hot_share: float = 1e-6, context_share: float = 2e-5,
-    follower_share: float = 2e-7, id_column: str = "doc_id", text_column: str = "text",
+    docs: DataFrame, may_learn: Column, depth: int = 3, hot_share: float = 1e-6, context_share: float = 0.0,
+    follower_share: float = 0.0, id_column: str = "doc_id", text_column: str = "text", least_context: int = 8, least_follower: int = 2,
+    part_share: float = 2e-7,
 ) -> DataFrame:
     """id, ``learn``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` (root only) and ``score`` of each row.
 
-    ``may_learn`` says which rows the model learns from. ``depth`` is the longest context.
+    ``may_learn`` says which rows the model learns from. ``depth`` is the longest context. ``context_share`` and
+    ``follower_share`` of all tokens, if given, are further least counts, for smaller models.
     """
     learn_from = F.coalesce(may_learn, F.lit(False)).alias("learn")
     rows = docs.select(F.col(id_column).cast("long").alias("id"), learn_from, F.col(text_column).cast("string").alias("text"))
     counts = word_counts(rows.where("learn"))
-    tree = learn(counts, hot_share)
-    corpus = encoded(rows, tree)
-    if tree.total:
-        grow(tree, corpus.where("learn"), depth, context_share, follower_share)
-    held = shared(docs.sparkSession, tree)
+    root = learn(counts, hot_share)
+    corpus = encoded(rows, root)
+    parts = None
+    if root.total:
+        least = max(least_context, context_share * root.total), max(least_follower, follower_share * root.total)
+        parts = grow(root, counts, corpus.where("learn"), depth, *least)
+    hot, sieve = (np.zeros(0, np.int64), np.zeros(0)), None
+    if parts is not None:
+        hot, sieve = arrays_of(parts.where(F.col("n") >= part_share * root.total), "code", "part"), Sieve(parts)
+    held = shared(docs.sparkSession, (root, hot, sieve))
 
     def run(batches):
-        tree = held()
-        root = np.append(np.log10(tree.root()), 0.0)
+        root, (codes, parts), sieve = held()
+        logs, parts = np.append(np.log10(root.probabilities()), 0.0), np.append(parts, 0.0)
         for batch in batches:
             for piece in pieces(batch, "ids"):
-                ids, first = flat(piece, "ids")
-                ids = ids.astype(np.int64)
+                values, first, ids = values_of(piece, root.words)
+                base, cold = logs[ids], [np.zeros((2, 0), np.int64)]
+                full = base.copy()
+
+                def add(at: np.ndarray, wanted: np.ndarray) -> None:
+                    place = find(codes, wanted)
+                    full[at] += parts[place]  # noqa: B023
+                    cold.append(np.stack([at[place < 0], wanted[place < 0]]))  # noqa: B023
+
+                for context, there in contexts(values, first, depth if sieve else 0):
+                    at = np.flatnonzero(there & sieve.passes(context))
+                    add(at, context[at])
+                    follower = chained(context[at], values[at]) ^ FOLLOWER
+                    passes = sieve.passes(follower)
+                    add(at[passes], follower[passes])
                 sizes = np.diff(np.append(first, len(ids))).astype(np.int64)
-                known = summed((ids >= 0).astype(np.int64), first).astype(np.int64)
-                base = summed(root[ids], first)
-                score = summed(np.log10(tree.probabilities(ids, first)), first) if tree.total else base
-                arrays = [*piece.columns[:3], *map(pa.array, (sizes, known, base, score))]
-                yield pa.RecordBatch.from_arrays(arrays, ["row", "id", "learn", "n_tokens", "hot", "base", "full"])
-
-    hot = corpus.select("row", "id", "learn", "ids").mapInArrow(
-        run, "row long, id long, learn boolean, n_tokens long, hot long, base double, full double"
+                known, sums, own = (summed(x, first) for x in ((ids >= 0).astype(np.int64), base, full))
+                at, wanted = np.concatenate(cold, 1)
+                order = np.argsort(at, kind="stable")
+                offsets = np.append(np.searchsorted(at[order], first), len(at)).astype(np.int32)
+                wanted = pa.ListArray.from_arrays(pa.array(offsets), pa.array(wanted[order]))
+                arrays = [*(piece.column(n) for n in ("row", "id", "learn")), *map(pa.array, (sizes, known.astype(np.int64), sums, own)), wanted]
+                yield pa.RecordBatch.from_arrays(arrays, ["row", "id", "learn", "n_tokens", "hot", "base", "full", "wanted"])
+
+    hot = corpus.select("row", "id", "learn", "ids", "cold").mapInArrow(
+        run, "row long, id long, learn boolean, n_tokens long, hot long, base double, full double, wanted array<long>"
     )
-    cold = corpus.select("row", F.explode("cold").alias("word"))
-    n = F.coalesce("n", F.lit(0))
-    log = F.log10((n + ALPHA) / F.lit(tree.total + ALPHA * (tree.distinct + 1)))
-    known = F.count(F.when(n > 0, 1))
-    cold = cold.join(counts, "word", "left").groupBy("row").agg(F.sum(log).alias("log"), known.alias("known"))
-    log, known = F.coalesce("log", F.lit(0.0)), F.coalesce("known", F.lit(0))
-    return hot.join(cold, "row", "left").select(
+    hot = written(hot, "scored")
+    n, none = F.coalesce("n", F.lit(0)), F.lit(0.0)
+    log = F.log10((n + ALPHA) / F.lit(root.total + ALPHA * (root.distinct + 1)))
+    cold = corpus.select("row", F.explode("cold").alias("word")).join(counts, "word", "left")
+    cold = cold.select("row", log.alias("log"), none.alias("part"), F.when(n > 0, 1).otherwise(0).alias("known"))
+    if parts is not None:
+        found = hot.select("row", F.explode("wanted").alias("code")).join(parts.where(F.col("n") < part_share * root.total), "code")
+        cold = cold.unionByName(found.select("row", none.alias("log"), "part", F.lit(0).alias("known")))
+    cold = cold.groupBy("row").agg(*(F.sum(c).alias(c) for c in ("log", "part", "known")))
+    log, part, known = (F.coalesce(c, F.lit(0)) for c in ("log", "part", "known"))
+    return hot.drop("wanted").join(cold, "row", "left").select(
         F.col("id").alias(id_column), "learn", "n_tokens", (F.col("hot") + known).alias("n_known"),
-        F.lit(tree.total).cast("long").alias("train_tokens"), (F.col("base") + log).alias("base_score"),
-        (F.col("full") + log).alias("score"),
+        F.lit(root.total).cast("long").alias("train_tokens"), (F.col("base") + log).alias("base_score"),
+        (F.col("full") + log + part).alias("score"),
     )

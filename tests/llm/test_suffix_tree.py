@@ -97,3 +97,17 @@ def test_odd_rows(spark, docs_of, odd_rows):
     untrained = scores(docs_of(odd_rows), F.lit(False)).collect()
     assert len(untrained) == len(odd_rows) and all(r.base_score == r.score == 0 and r.train_tokens == 0 for r in untrained)
     assert scores(docs_of([]), F.lit(True)).collect() == []
+
+
+def test_model_grows_with_the_text(spark, docs_of):
+    rows = corpus(3, 60) + [(100 + i, " ".join(f"r{j}" for j in range(i % 40, i % 40 + 3))) for i in range(400)]
+    # Counted least values, whatever the share of the text: the restatement with the same counts.
+    total = sum(len(tokens(t)) for _, t in rows)
+    want, contexts = restated(rows, lambda i: True, 3, 8 / total, 2 / total)
+    filler = [(9000, " ".join(f"f{j}" for j in range(600_000)))]
+    few = scores(docs_of(rows), F.lit(True))
+    assert contexts > 30 and result(few) == want
+    assert result(scores(docs_of(rows), F.lit(True), hot_share=0.01, part_share=0.01)) == want  # nearly all parts joined
+    total += 600_001
+    want, many = restated(rows + filler, lambda i: True, 3, 8 / total, 2 / total)
+    assert many >= contexts and result(scores(docs_of(rows + filler), F.lit(True))) == want
