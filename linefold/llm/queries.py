@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linefold.llm import (
+    bit_planes,
     decontamination,
     minhash,
     multi_index,
     packing,
+    periodic_runs,
     sharding,
     substring_dedup,
     suffix_tree,
@@ -20,12 +22,16 @@ from linefold.llm import (
     toxicity,
 )
 from linefold.llm import token_counts as tokens
-from linefold.llm.store import crc_mod, table
+from linefold.llm.store import crc_mod, fresh_path, table
 
 TOKENIZER = "byte_bpe_50k.json"
 CONTEXT_TOKENS = 512
+END_ID = 2
+LEAST_RUN = 24
 BUCKETS, BATCH_TOKENS = 16, 32_768
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
+#: Fixed value: words are what lies between ASCII white space.
+WORDS = r"[^\x20\x09-\x0D]+"
 #: Stands in for a secret that a deployment sets.
 PII_KEY = "a key of the deployment"
 TOXIC_SCORE = 0.3
@@ -104,6 +110,46 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def with_planted_loops(documents: DataFrame) -> DataFrame:
+    """``(doc_id, text)``, where a tenth of the texts repeat a period of theirs to the end; others are as they are."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    words, n = F.col("words"), F.size("words").cast("long")
+    docs = documents.select("doc_id", "text", h.alias("h"), F.floor(h / 10).alias("g"))
+    docs = docs.withColumn("words", F.when((F.col("h") % 10 == 0) & (F.col("text") != ""), F.regexp_extract_all("text", F.lit(WORDS), 0)))
+    looped = F.size("words") > 0
+    docs = docs.withColumn("a", F.when(looped, F.col("g") % n))
+    docs = docs.withColumn("p", F.when(looped, 1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8))))
+    at = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))
+    text = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: words[at(i)]), " ")
+    return docs.select("doc_id", F.when(looped, text).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of all documents, and digests of all runs and of the texts without repeats."""
+    found = periodic_runs.find_runs(with_planted_loops(table(spark, sf_dir, "documents")), LEAST_RUN)
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    best = F.col("best")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        best["start"].alias("start"),
+        best["length"].alias("length"),
+        best["period"].alias("period"),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, written as plane files and read back."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = fresh_path(spark, "token-ids")
+    bit_planes.write_ids(bit_planes.encoded(documents, public_tokenizers.path(TOKENIZER), END_ID), path)
+    found = bit_planes.read_ids(spark, path)
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_suffix_tree": op2_suffix_tree,
@@ -115,4 +161,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
     "op10_minhash": op10_minhash,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_bit_planes": op12_bit_planes,
 }

@@ -13,10 +13,15 @@ from pyspark.sql import functions as F
 from linefold.session import shared_dir
 
 
+def fresh_path(spark: SparkSession, tag: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once and read it back, so that later steps don't compute it again."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
