@@ -15,6 +15,7 @@ from linefold.llm import (
     multi_index,
     packing,
     periodic_runs,
+    prefix_trie,
     sharding,
     substring_dedup,
     suffix_tree,
@@ -22,7 +23,7 @@ from linefold.llm import (
     toxicity,
 )
 from linefold.llm import token_counts as tokens
-from linefold.llm.store import crc_mod, fresh_path, table
+from linefold.llm.store import crc_mod, fresh_path, stage, table
 
 TOKENIZER = "byte_bpe_50k.json"
 CONTEXT_TOKENS = 512
@@ -150,6 +151,27 @@ def op12_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def rebuilt(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Turns and ids of conversations that begin as the one with the id a multiple of 5 below theirs does."""
+    heads = F.pmod(F.crc32(F.col("conv_id").cast("string").cast("binary")), F.lit(9))
+    sizes = turns.groupBy("conv_id").agg((F.max("pos") + 1).alias("n"))
+    convs = sizes.select("conv_id", (F.col("conv_id") - F.col("conv_id") % 5).alias("first"), heads.alias("h"))
+    firsts = sizes.select(F.col("conv_id").alias("first"), F.col("n").alias("n_first"))
+    convs = convs.join(firsts, "first", "left").withColumn("n_head", F.least("h", F.coalesce("n_first", F.lit(0))))
+    begun = turns.filter((F.col("conv_id") % 5 == 0) & (F.col("pos") < 8)).withColumnRenamed("conv_id", "first")
+    head = begun.join(convs, "first").filter(F.col("pos") < F.col("n_head"))
+    tail = prefix_trie.meet(turns, convs, "conv_id", F.floor(F.col("pos") / 256)).filter(F.col("pos") >= F.col("h"))
+    tail = tail.withColumn("pos", F.col("pos") - F.col("h") + F.col("n_head"))
+    columns = ["conv_id", "pos", "digest", "bytes"]
+    return head.select(columns).unionByName(tail.select(columns)), convs.select("conv_id")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of all rebuilt conversations."""
+    turns, convs = rebuilt(stage(prefix_trie.turn_rows(table(spark, sf_dir, "conversations")), "turns"))
+    return prefix_trie.prefix_trie(turns, stage(convs, "convs"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_suffix_tree": op2_suffix_tree,
@@ -163,4 +185,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_minhash": op10_minhash,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_bit_planes": op12_bit_planes,
+    "op13_prefix_trie": op13_prefix_trie,
 }
