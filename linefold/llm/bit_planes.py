@@ -7,8 +7,8 @@ the manifest that the commit writes makes them part of the table, and files of l
 manifest has one line per file of ``FILE_IDS`` ids.
 
 A byte-level BPE never joins characters over the start of white space. Tasks cut texts there, encode each piece once with the
-tokenizers library, and remember short ones in a bounded table. Texts that hold a special string, and other kinds of tokenizers, go
-to the library whole.
+tokenizers library's model, pre-token by pre-token, and remember short ones in a bounded table. Texts that hold a special string or
+characters that Unicode versions may class apart, and other kinds of tokenizers, go to the library whole.
 
 Null and empty texts have no ids but the end id. Rows with one id keep the order of the input, rows without id come first. Every row
 gives a row. Other columns of the input don't matter and aren't kept.
@@ -18,12 +18,15 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 import uuid
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -32,15 +35,17 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from tokenizers import Tokenizer
 
 from linefold.llm.plane_files import BYTE, PlaneFile, PlaneFileWriter
-from linefold.llm.token_counts import check_spec
+from linefold.llm.token_counts import PRE_TOKEN, SURE, byte_letters, check_spec
 
 #: Fixed value: the white space of the Unicode standard.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 BLOCK = 1 << 16
 #: A file is closed after the document that brings it to so many ids, or documents.
 FILE_IDS, FILE_DOCS = 1 << 24, 1 << 20
-REMEMBERED, SHORT = 300_000, 48
-WORK_CHARS, BATCH_BYTES = 1 << 21, 1 << 24
+REMEMBERED, SHORT = 500_000, 48
+BATCH_BYTES = 1 << 22
+#: Fixed value: array code of unsigned 32-bit integers.
+WORD = "I"
 MANIFEST = "manifest.json"
 SCHEMA = "doc_id long, start long, n_tokens long, ids binary"
 
@@ -59,45 +64,49 @@ class Encoder:
         else:
             self.pieces_hold = True
         self.special = re.compile("|".join(re.escape(t["content"]) for t in json.loads(spec)["added_tokens"]) or "(?!)")
+        self.unsure = re.compile(f"[^\0-{SURE}]")
         self.cut = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+").findall
+        self.pre_tokens, self.letters = regex.compile(PRE_TOKEN).findall, byte_letters()
+        self.model = self.tokenizer.model
         self.known: dict[str, bytes] = {}
 
-    def library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text. Pieces not met before are encoded together."""
-        whole = [not self.pieces_hold or bool(self.special.search(t)) for t in texts]
-        cuts = [[t] if w else self.cut(t) for t, w in zip(texts, whole, strict=True)]
-        met = {p for pieces in cuts for p in pieces}
-        if len(self.known) > REMEMBERED:
-            self.known = {p: self.known[p] for p in met if p in self.known}
-        missing = list(met - self.known.keys())
-        self.known.update(zip(missing, self.library(missing), strict=True))
-        ids = [b"".join(map(self.known.__getitem__, pieces)) for pieces in cuts]
-        for piece in missing:
-            if len(piece) > SHORT:
-                del self.known[piece]
-        return ids
-
-
-def work_lists(texts: list[str]) -> Iterator[list[str]]:
-    """The texts in lists of about ``WORK_CHARS`` characters."""
-    held, size = [], 0
-    for text in texts:
-        held.append(text)
-        size += len(text)
-        if size >= WORK_CHARS:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
+    def library(self, text: str) -> bytes:
+        return array(WORD, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def piece(self, text: str) -> bytes:
+        """Ids of a piece, merged inside its pre-tokens."""
+        ids = []
+        for part in self.pre_tokens(text):
+            letters = part if part.isascii() and part.isprintable() else part.encode().decode("latin-1")
+            ids += [token.id for token in self.model.tokenize(letters.translate(self.letters))]
+        return array(WORD, ids).tobytes()
+
+    def goes_whole(self, text: str) -> bool:
+        if not self.pieces_hold or self.special.search(text):
+            return True
+        return bool(self.unsure.search(text)) and any(unicodedata.category(c) == "Cn" for c in set(text))
+
+    def encode(self, text: str) -> bytes:
+        if self.goes_whole(text):
+            return self.library(text)
+        pieces = self.cut(text)
+        ids = list(map(self.known.get, pieces))
+        at = -1
+        for _ in range(ids.count(None)):
+            at = ids.index(None, at + 1)
+            piece = pieces[at]
+            ids[at] = self.known.get(piece) or self.piece(piece)
+            if len(piece) <= SHORT:
+                if len(self.known) >= REMEMBERED:
+                    self.known.clear()
+                self.known[piece] = ids[at]
+        return b"".join(ids)
 
 
 def encoded(docs: DataFrame, tokenizer_file: str, end_id: int | None = None, text_column: str = "text") -> DataFrame:
     """``(doc_id, ids)`` in ascending order of ``doc_id`` over the partitions and inside them."""
     with open(tokenizer_file, encoding="utf-8") as file:
-        held = docs.sparkSession.sparkContext.broadcast(file.read())
+        held = docs.sparkSession.sparkContext.broadcast({"spec": file.read()})
     rows = docs.select(F.col("doc_id").cast("long"), F.col(text_column).alias("text"))
     # the place in the input parts rows of one id, however many there are
     rows = rows.withColumn("row", F.monotonically_increasing_id())
@@ -107,13 +116,19 @@ def encoded(docs: DataFrame, tokenizer_file: str, end_id: int | None = None, tex
     end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        encoder = Encoder(held.value)
+        # a Python worker keeps the value, and so the pieces it knows, for its later tasks
+        if "encoder" not in held.value:
+            held.value["encoder"] = Encoder(held.value["spec"])
+        encoder = held.value["encoder"]
         for batch in batches:
-            texts, place = [t or "" for t in batch.column(1).to_pylist()], 0
-            for part in work_lists(texts):
-                ids = pa.array([i + end for i in encoder.encode(part)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(place, len(part)), ids], ["doc_id", "ids"])
-                place += len(part)
+            ids, size, place = [], 0, 0
+            for i, text in enumerate(batch.column(1), 1):
+                ids.append(encoder.encode(text.as_py() or "") + end)
+                size += len(ids[-1])
+                if size >= BATCH_BYTES or i == len(batch):
+                    arrays = [batch.column(0).slice(place, len(ids)), pa.array(ids, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "ids"])
+                    ids, size, place = [], 0, i
 
     return rows.mapInArrow(run, "doc_id long, ids binary")
 
@@ -222,7 +237,9 @@ class PlanesReader(DataSourceReader):
         with store.open_input_stream(f"{folder}/{MANIFEST}") as file:
             return [FilePart(f["name"], f["first"]) for f in json.loads(file.read())["files"]]
 
-    def read(self, partition: FilePart) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: FilePart | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # the table has no files
+            return
         store, folder = at(self.path)
         types = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         names = ["doc_id", "start", "n_tokens", "ids"]

@@ -71,8 +71,58 @@ select w.doc_id, coalesce(n, 0) as n_shingles, component_id, w.doc_id = componen
 from w left join sizes using (doc_id) join (select a as doc_id, min(b) as component_id from reach group by a) c using (doc_id)
 """
 
+OP13 = r"""
+with own as (
+  select conv_id, row_number() over (
+      partition by conv_id order by turn nulls first,
+      sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 as pos,
+    coalesce(role, '') as role, coalesce(text, '') as text
+  from conversations where conv_id is not null
+), sizes as (
+  select conv_id, count(*) as n from own group by conv_id
+), crc as (
+  select conv_id, n, list_reduce(
+      [4294967295::bigint] || flatten(list_transform(string_split(cast(conv_id as varchar), ''),
+        lambda c: [ord(c)::bigint, -1, -1, -1, -1, -1, -1, -1, -1])),
+      lambda a, x: case when x >= 0 then xor(a, x) else xor(a >> 1, (a & 1) * 3988292384) end) as state
+  from sizes
+), convs as (
+  select conv_id, conv_id - conv_id % 5 as first, xor(state, 4294967295) % 9 as h from crc
+), heads as (
+  select c.conv_id, c.h, least(c.h, coalesce(s.n, 0)) as n_head from convs c left join sizes s on s.conv_id = c.first
+), turns as (
+  select c.conv_id, o.pos, o.role, o.text from convs c join own o on o.conv_id = c.first where o.pos < c.h
+  union all
+  select o.conv_id, o.pos - h.h + h.n_head, o.role, o.text from own o join heads h using (conv_id) where o.pos >= h.h
+), prefixes as (
+  select conv_id, cast(pos + 1 as bigint) as depth, strlen(text) as bytes, string_agg(sha256(strlen(role) || ':' || role || text), '') over (
+    partition by conv_id order by pos rows unbounded preceding) as key
+  from turns
+  union all
+  select conv_id, 0, 0, '' from convs
+), nodes as (
+  select key, any_value(depth) as depth, any_value(bytes) as bytes, min(conv_id) as conv_id, count(*) as n_convs
+  from prefixes group by key
+), family as (
+  select left(key, length(key) - 64) as key, count(*) as n_children from nodes where key <> '' group by 1
+), below as (
+  select p.key, sum((u.n_convs - 1) * u.bytes) as saved, count(*) filter (where f.key is null) as n_leaves
+  from nodes u left join family f using (key) join prefixes p on p.conv_id = u.conv_id and p.depth <= u.depth
+  group by p.key
+), ends as (
+  select key, string_agg(cast(conv_id as varchar), ',' order by conv_id) as ids
+  from (select conv_id, max_by(key, depth) as key from prefixes group by conv_id) group by key
+)
+select n.conv_id, n.depth, up.conv_id as parent_conv_id, cast(n.n_convs as bigint) as n_convs,
+  cast(coalesce(f.n_children, 0) as bigint) as n_children, cast(b.n_leaves as bigint) as n_leaves,
+  cast(b.saved as bigint) as saved_tokens, sha256(coalesce(e.ids, '')) as ends_sha256
+from nodes n join below b using (key) left join family f using (key) left join ends e using (key)
+left join nodes up on n.key <> '' and up.key = left(n.key, length(n.key) - 64)
+"""
+
 ORACLES: dict[str, str] = {
     "op7_substring_dedup": OP7,
     "op9_decontamination": OP9,
     "op10_minhash": OP10,
+    "op13_prefix_trie": OP13,
 }
