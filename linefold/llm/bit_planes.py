@@ -39,13 +39,17 @@ from linefold.llm.token_counts import PRE_TOKEN, SURE, byte_letters, check_spec
 
 #: Fixed value: the white space of the Unicode standard.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Marks that are pre-tokens of their own after a letter.
+MARKS = frozenset(".,;:!?")
 BLOCK = 1 << 16
 #: A file is closed after the document that brings it to so many ids, or documents.
 FILE_IDS, FILE_DOCS = 1 << 24, 1 << 20
-REMEMBERED, SHORT = 500_000, 48
+#: Pieces in each of two generations, and their longest.
+REMEMBERED, SHORT = 250_000, 48
 BATCH_BYTES = 1 << 22
 #: Fixed value: array code of unsigned 32-bit integers.
 WORD = "I"
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 MANIFEST = "manifest.json"
 SCHEMA = "doc_id long, start long, n_tokens long, ids binary"
 
@@ -69,18 +73,32 @@ class Encoder:
         self.pre_tokens, self.letters = regex.compile(PRE_TOKEN).findall, byte_letters()
         self.model = self.tokenizer.model
         self.known: dict[str, bytes] = {}
+        self.aged: dict[str, bytes] = {}
 
     def library(self, text: str) -> bytes:
         return array(WORD, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def piece(self, text: str) -> bytes:
         """Ids of a piece, merged inside its pre-tokens."""
+        if text[-1] in MARKS and text[-2:-1].isalpha():
+            return self.of(text[:-1]) + self.of(text[-1])
+        if text[0] == "\n" and text[1:2].isalpha():
+            return self.of("\n") + self.of(text[1:])
         ids = []
-        for part in self.pre_tokens(text):
-            letters = part if part.isascii() and part.isprintable() else part.encode().decode("latin-1")
-            ids += [token.id for token in self.model.tokenize(letters.translate(self.letters))]
+        # letters after at most one space are one pre-token
+        for part in (text,) if text[text[0] == " " :].isalpha() else self.pre_tokens(text):
+            ids += [token.id for token in self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))]
         return array(WORD, ids).tobytes()
 
+    def of(self, piece: str) -> bytes:
+        """Ids of a piece; short ones are remembered while they are met again."""
+        ids = self.known.get(piece) or self.aged.get(piece) or self.piece(piece)
+        if len(piece) <= SHORT:
+            if len(self.known) >= REMEMBERED:
+                self.known, self.aged = {}, self.known
+            self.known[piece] = ids
+        return ids
+
     def goes_whole(self, text: str) -> bool:
         if not self.pieces_hold or self.special.search(text):
             return True
@@ -94,12 +112,7 @@ class Encoder:
         at = -1
         for _ in range(ids.count(None)):
             at = ids.index(None, at + 1)
-            piece = pieces[at]
-            ids[at] = self.known.get(piece) or self.piece(piece)
-            if len(piece) <= SHORT:
-                if len(self.known) >= REMEMBERED:
-                    self.known.clear()
-                self.known[piece] = ids[at]
+            ids[at] = self.of(pieces[at])
         return b"".join(ids)
 
 
@@ -262,8 +275,16 @@ class PlanesReader(DataSourceReader):
 
 def write_ids(rows: DataFrame, path: str, block: int = BLOCK, planes: str = BYTE) -> None:
     """Write ``(doc_id, ids)`` rows in the order of their partitions."""
-    rows.sparkSession.dataSource.register(PlanesSource)
-    rows.select("doc_id", "ids").write.format("id_planes").options(path=path, block=block, planes=planes).mode("append").save()
+    spark = rows.sparkSession
+    spark.dataSource.register(PlanesSource)
+    writer = rows.select("doc_id", "ids").write.format("id_planes").options(path=path, block=block, planes=planes)
+    before = spark.conf.get(BATCH_CONF, None)
+    # texts differ a lot in length, so batches are bounded by bytes
+    spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
+    try:
+        writer.mode("append").save()
+    finally:
+        spark.conf.unset(BATCH_CONF) if before is None else spark.conf.set(BATCH_CONF, before)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
