@@ -54,23 +54,23 @@ def segment_report(segments: DataFrame) -> DataFrame:
 
 
 def segment_outputs(segments: DataFrame, max_bytes: int = MAX_OUTPUT_BYTES, bucket: int = BUCKET) -> DataFrame:
-    """Texts of the segments below the size limit, ready to condense. Larger ones have a ``reason`` and no
-    text; their chunks are in ``segments``.
+    """``(run_id, segment, part, output, reason)``: the text of each segment up to the size limit, with part 0, ready to condense.
 
-    A segment of any size is matched bucket by bucket before the small ones are put together.
+    Larger ones pass through unchanged: a row per chunk, with its ``seq`` as part and a ``reason``. A segment of any
+    size is matched bucket by bucket before the small ones are put together.
     """
     keys = ["run_id", "segment", SEG]
     rows = segments.withColumn(SEG, F.floor(F.col("seq") / bucket).cast("bigint"))
-    report = segment_report(segments).select("run_id", "segment", "n_bytes")
-    small = report.filter(F.col("n_bytes") <= max_bytes).drop("n_bytes")
-    large = report.filter(F.col("n_bytes") > max_bytes).drop("n_bytes")
-    buckets = rows.select(*keys).distinct().join(small, ["run_id", "segment"])
+    report = segment_report(segments).select("run_id", "segment", (F.col("n_bytes") > max_bytes).alias("large"))
+    buckets = rows.select(*keys).distinct().join(report, ["run_id", "segment"])
+    rows = rows.join(buckets, keys)
     parts = F.array_sort(F.collect_list(F.struct("seq", "chunk")))
-    texts = (
-        rows.join(buckets, keys)
-        .groupBy("run_id", "segment")
-        .agg(F.array_join(F.transform(parts, lambda p: p["chunk"]), "").alias("output"))
-        .withColumn("reason", F.lit(None).cast("string"))
+    texts = rows.filter(~F.coalesce("large", F.lit(False))).groupBy("run_id", "segment").agg(
+        F.array_join(F.transform(parts, lambda p: p["chunk"]), "").alias("output")
     )
-    without = large.withColumns({"output": F.lit(None).cast("string"), "reason": F.lit(OVERSIZE)})
-    return texts.unionByName(without)
+    none = F.lit(None).cast("string").alias("reason")
+    texts = texts.select("run_id", "segment", F.lit(0).cast("long").alias("part"), "output", none)
+    through = rows.filter("large").select(
+        "run_id", "segment", F.col("seq").cast("long").alias("part"), F.col("chunk").alias("output"), F.lit(OVERSIZE).alias("reason")
+    )
+    return texts.unionByName(through)

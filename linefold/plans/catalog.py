@@ -14,8 +14,8 @@ from ..operators import budget, chunks, contract, rows, shapes
 from ..operators.ordered import SEG, segment
 from ..session import shared_dir, spread
 from ..sources import events, history, outputs, registry, rules
+from ..streaming import late, runs, sinks
 from ..streaming import lines as stream_lines
-from ..streaming import sinks
 from . import condense as plan
 from . import fixtures as fx
 
@@ -641,10 +641,18 @@ def segment_outputs(spark, sf):
 
 @query
 def segment_outputs_large(spark, sf):
-    """With a limit that many segments exceed: they stay, with a reason."""
+    """With a limit that many segments exceed: their chunks pass through, with a reason."""
     return chunks.segment_outputs(chunks.stall_segments(fx.chunks(spark, sf), 6 * 3600), max_bytes=14)
 
 
+@query
+def condense_segments(spark, sf):
+    """Silent segments condensed by themselves; those over 2,000 bytes pass through."""
+    cut = chunks.stall_segments(fx.run_chunks(spark, sf), 2 * 3600)
+    texts = chunks.segment_outputs(cut, max_bytes=2000).withColumn("command", F.lit("unknown tool"))
+    return plan.condense_segments(texts)
+
+
 # the same over many short segments, so that borders are crossed
 
 
@@ -728,12 +736,78 @@ def stream_progress_filter(spark, sf):
     return _sink(spark, stream_lines.progress_errors(_run_lines(_stream(spark, sf, "events"))))
 
 
+STALL = 6 * 3600.0
+#: Event numbers are moved by up to this many seconds' worth of events before they are cut into micro-batches.
+DELAY = 2 * 3600.0
+HEARTBEAT = -1
+
+
+def _event_batches(spark, sf, n=4):
+    """The events as a stream of about ``n`` micro-batches, in which neighbours have changed places.
+
+    The last batch has one row of run ``HEARTBEAT``, years later, so that the watermark passes all others.
+    """
+    events = fx.read(spark, sf, "events").select("event_id", "ts", "user_id", "event_type")
+    total = events.agg(F.max("event_id")).first()[0] + 1
+    place = F.floor((F.col("event_id") + F.col("event_id") * 37 % 9) * n / total)
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    for i in range(n + 1):
+        part = events.filter(F.least(place, F.lit(n - 1)) == i)
+        if i == n:
+            end = F.max("ts") + F.make_dt_interval(days=F.lit(1000))
+            part = events.agg((F.max("event_id") + 1).alias("event_id"), end.alias("ts")).withColumns(
+                {"user_id": F.lit(HEARTBEAT).cast("long"), "event_type": F.lit("view")}
+            )
+        part.write.parquet(f"{base}/in/batch={i}")
+    files = len(spark.read.parquet(f"{base}/in").inputFiles())
+    # the last event of a run ends it
+    last = fx.read(spark, sf, "events").groupBy("user_id").agg(F.max("event_id").alias("last_id"))
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", max(1, files // (n + 1))).parquet(f"{base}/in/batch=*")
+    return stream.join(last, "user_id", "left").withColumn("eof", F.col("event_id") == F.col("last_id"))
+
+
 @query
 def stream_final_line(spark, sf):
-    base, stall = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}", 6 * 3600.0
-    job = sinks.stream_final_lines(_run_lines(_stream(spark, sf, "events")), f"{base}/out", f"{base}/checkpoint", stall)
-    job.awaitTermination()
-    return sinks.final_lines_of(spark, f"{base}/out", job.lastProgress["batchId"], stall)
+    lines = _run_lines(_event_batches(spark, sf).drop("eof"))
+    found = _sink(spark, runs.errors_and_final_lines(lines, DELAY, STALL)).filter("kind = 'final'")
+    return found.filter(F.col("run_id") != HEARTBEAT).select("run_id", "started", F.col("ts").alias("ended"), "line")
+
+
+@query
+def stream_assemble_chunks(spark, sf):
+    """Chunks over many micro-batches, out of order, give the lines of the batch query."""
+    source = fx.as_chunks(_event_batches(spark, sf), "eof")
+    found = _sink(spark, runs.lines_of_chunks(source, DELAY)).filter("not eof")
+    return found.filter(F.col("run_id") != HEARTBEAT).select("run_id", "pos", "line")
+
+
+@query
+def stream_stall_segments(spark, sf):
+    """Sessions of the chunks that are on time, and of those behind the watermark that were kept aside."""
+    source = fx.as_chunks(_event_batches(spark, sf))
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    late.split_late(source, base, f"{base}/checkpoint", DELAY).awaitTermination()
+    reader = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 2)
+    found = _sink(spark, late.stall_sessions(late.on_time(reader, base), STALL, DELAY))
+    everything = found.unionByName(late.stall_sessions(late.late_rows(spark, base), STALL))
+    return everything.filter(F.col("run_id") != HEARTBEAT).drop("first_seq", "last_seq")
+
+
+@query
+def stream_shown_lines(spark, sf):
+    """The whole run as one query: chunks, lines, what is safe of errors and final lines."""
+    line = F.concat(F.expr(fx.PROGRESS_LINE), F.lit("\n"))
+    source = _event_batches(spark, sf).select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), "ts", line.alias("chunk"))
+    found = _sink(spark, runs.shown_lines(source, DELAY, STALL))
+    return found.filter(F.col("run_id") != HEARTBEAT).select("run_id", "kind", "started", "ts", "line")
+
+
+@query
+def stream_condense_segments(spark, sf):
+    """Segments that a stream of chunks ends at silences, condensed by themselves."""
+    source = _event_batches(spark, sf).selectExpr("user_id as run_id", "event_id as seq", "ts", f"{fx.SEGMENT_LINES} as chunk")
+    texts = _sink(spark, runs.segments_of_chunks(source, DELAY, 2 * 3600.0, max_bytes=2000)).filter(F.col("run_id") != HEARTBEAT)
+    return plan.condense_segments(texts.withColumn("command", F.lit("unknown tool")))
 
 
 @query

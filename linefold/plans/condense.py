@@ -226,6 +226,21 @@ def condense_outputs(
     return passed.unionByName(live.drop("text", "tokens")).drop("p")
 
 
+def condense_segments(segments: DataFrame, **options) -> DataFrame:
+    """``(run_id, segment, part, reason, strategy, source, raw_tokens, compressed_tokens, result)``: every silent segment
+    condensed by itself.
+
+    ``segments`` has ``(run_id, segment, part, output, reason)`` of ``segment_outputs``, batch or stream, and ``command``. Rows with a reason
+    are pieces of segments over the size limit; they pass through. In order of segment and part the results are the run.
+    """
+    keyed = segments.withColumn("doc_id", F.struct("run_id", "segment"))
+    small = keyed.filter("reason is null").select("doc_id", "command", "output")
+    columns = ["reason", "strategy", "source", "raw_tokens", "compressed_tokens", "result"]
+    found = condense_outputs(small, **options).select("doc_id.*", F.lit(0).cast("long").alias("part"), *columns)
+    large = segments.filter("reason is not null").withColumn("result", F.col("output"))
+    return found.unionByName(large.select("run_id", "segment", "part", "reason", "result"), allowMissingColumns=True)
+
+
 def condense_tool_events(events: DataFrame, **options) -> DataFrame:
     """``(doc_id, value)``: the JSON answer to every shell event worth condensing, and envelopes that
     are answers already, unchanged. ``events(doc_id, value)`` in any dialect; others get no answer."""

@@ -156,11 +156,24 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def as_chunks(events: DataFrame, *more: str) -> DataFrame:
     """Terminal chunks: a third of them end a line."""
-    return read(spark, sf_dir, "events").selectExpr(
+    return events.selectExpr(
         "user_id as run_id",
         "event_id as seq",
         "ts",
         "concat('chunk ', event_type, case when event_id % 3 = 0 then '\\n' else '' end) as chunk",
+        *more,
     )
+
+
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_chunks(read(spark, sf_dir, "events"))
+
+
+SEGMENT_LINES = "array_join(transform(sequence(0, event_id % 30), i -> concat('line ', i % 4, ' ', event_type, '\\n')), '')"
+
+
+def run_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of many lines, whose silent segments are worth condensing."""
+    return read(spark, sf_dir, "events").selectExpr("user_id as run_id", "event_id as seq", "ts", f"{SEGMENT_LINES} as chunk")

@@ -372,6 +372,15 @@ CHUNKS = """chunks as (select user_id as run_id, event_id as seq, ts, 'chunk ' |
 SEGMENTS = f"""{CHUNKS}, gaps as (select *, case when epoch_us(ts) - lag(epoch_us(ts)) over (partition by run_id order by ts, seq) >= 21600000000 then 1 else 0 end as stall from chunks),
   segments as (select *, sum(stall) over (partition by run_id order by ts, seq rows unbounded preceding) as segment from gaps)"""
 
+RUN_SEGMENTS = SEGMENTS.replace(CHUNKS, """chunks as (select user_id as run_id, event_id as seq, ts,
+    array_to_string(list_transform(range(event_id % 30 + 1), lambda i: 'line ' || (i % 4) || ' ' || event_type || chr(10)), '') as chunk from events)""").replace("21600000000", "7200000000")
+SEGMENT_OUTPUTS = f"""{RUN_SEGMENTS}, run_sizes as (select run_id, segment, sum(strlen(chunk)) as n from segments group by run_id, segment),
+  outputs as (select run_id * 1000000 + segment as doc_id, 'unknown tool' as command, string_agg(chunk, '' order by ts, seq) as output
+    from segments join run_sizes using (run_id, segment) where n <= 2000 group by run_id, segment)"""
+SEGMENTS_CONDENSED = f"""with {CONDENSED.replace(OUTPUTS, SEGMENT_OUTPUTS)}
+    select cast(doc_id // 1000000 as bigint) as run_id, cast(doc_id % 1000000 as bigint) as segment, 0::bigint as part, reason, strategy, source, raw_tokens, compressed_tokens, result from results
+    union all select run_id, segment, seq, 'output exceeds the size limit', null, null, null, null, chunk from segments join run_sizes using (run_id, segment) where n > 2000"""
+
 ENTRIES = """entries as (select 'f' || (p_partkey % 3) || '.json' as file, 'tool ' || (p_partkey // 3) as prefix, p_partkey % 7 as kind, p_size from part)"""
 
 ORACLES: dict[str, str] = {
@@ -507,14 +516,19 @@ ORACLES: dict[str, str] = {
         parts as (select run_id, string_split(text, chr(10)) as p from runs)
         select run_id, pos, line from (select run_id, len(p) as n, unnest(range(len(p))) as pos, unnest(p) as line from parts) where pos < n - 1 or trim(line) <> ''""",
     "stall_segments": f"with {SEGMENTS} select run_id, segment, count(*) as n_chunks, sum(strlen(chunk)) as n_bytes, min(ts) as started, max(ts) as ended from segments group by run_id, segment",
-    "segment_outputs": f"with {SEGMENTS} select run_id, segment, string_agg(chunk, '' order by ts, seq) as output, cast(null as varchar) as reason from segments group by run_id, segment",
-    "segment_outputs_large": f"with {SEGMENTS}, texts as (select run_id, segment, string_agg(chunk, '' order by ts, seq) as output from segments group by run_id, segment) select run_id, segment, case when strlen(output) <= 14 then output end as output, case when strlen(output) > 14 then 'output exceeds the size limit' end as reason from texts",
+    "segment_outputs": f"with {SEGMENTS} select run_id, segment, 0::bigint as part, string_agg(chunk, '' order by ts, seq) as output, cast(null as varchar) as reason from segments group by run_id, segment",
+    "segment_outputs_large": f"""with {SEGMENTS}, sizes as (select run_id, segment, sum(strlen(chunk)) as n from segments group by run_id, segment)
+        select run_id, segment, 0::bigint as part, string_agg(chunk, '' order by ts, seq) as output, cast(null as varchar) as reason from segments join sizes using (run_id, segment) where n <= 14 group by run_id, segment
+        union all select run_id, segment, seq, chunk, 'output exceeds the size limit' from segments join sizes using (run_id, segment) where n > 14""",
     "stream_progress_filter": f"select user_id as run_id, event_id as seq, ts, {fx.PROGRESS_LINE} as line from events where event_type = 'error'",
     "stream_final_line": f"""with every as (select user_id as run_id, event_id as seq, ts, {fx.PROGRESS_LINE} as line, event_type not in ('error', 'view', 'click') as sig from events),
         gaps as (select *, case when ts - lag(ts) over (partition by run_id order by ts, seq) < interval 6 hour then 0 else 1 end as is_new from every),
         parts as (select *, sum(is_new) over (partition by run_id order by ts, seq rows unbounded preceding) as part from gaps),
         wins as (select run_id, part, min(ts) as started, max(ts) + interval 6 hour as ended, arg_max(line, seq) filter (where sig) as line from parts group by run_id, part)
         select run_id, started, ended, line from wins where line is not null""",
+    "condense_segments": SEGMENTS_CONDENSED,
+    "stream_condense_segments": SEGMENTS_CONDENSED,
+    "stream_stall_segments": f"with {SEGMENTS} select run_id, min(ts) as started, max(ts) as ended, count(*) as n_chunks, sum(strlen(chunk)) as n_bytes from segments group by run_id, segment",
     "stream_safe_emit": "select user_id as run_id, event_id as seq, ts, event_type as line from events where event_id % 5 >= 2",
     "stream_learn": f"with {FOLD} select {ENTRY} from registry",
     "condense_outputs": f"with {CONDENSED} select {RESULT_COLUMNS} from results",
@@ -539,6 +553,9 @@ ORACLES: dict[str, str] = {
           when doc_id % 2 = 0 and 3 + case when output = '' then 0 else 2 * len(parts) - (not regexp_matches(output, '\\n$'))::int end >= 15 then 'error output pass-through'
           when doc_id % 2 = 0 or len(parts) < 15 then 'minimal output' end as reason from flat""",
 }
+ORACLES["stream_assemble_chunks"] = ORACLES["assemble_chunks"]
+ORACLES["stream_shown_lines"] = f"""select run_id, 'error' as kind, ts as started, ts, line from ({ORACLES["stream_progress_filter"]})
+    union all select run_id, 'final', started, ended, line from ({ORACLES["stream_final_line"]})"""
 ORACLES |= {
     f"{name}_segments": ORACLES[name]
     for name in (

@@ -56,26 +56,6 @@ def final_lines(lines: DataFrame, stall: float = 2.0) -> DataFrame:
     return with_end(silences(lines, stall), stall)
 
 
-def carry_on(open_runs: DataFrame, sessions: DataFrame, stall: float) -> DataFrame:
-    """Sessions of new lines, put together with the runs left open before, one row each.
-
-    An open run goes on in the first of its new sessions unless the silence between is too long. Lines of
-    a run arrive in time order.
-    """
-    first = sessions.groupBy("run_id").agg(F.min("started").alias("started"))
-    old = open_runs.select("run_id", *[F.col(c).alias(f"old_{c}") for c in ("started", "last", "line")])
-    goes_on = F.coalesce(F.col("started") - F.col("old_last") < seconds(stall), F.lit(False))
-    joined = old.join(first, "run_id").filter(goes_on)
-    new = sessions.join(joined, ["run_id", "started"], "left")
-    new = new.select(
-        "run_id",
-        F.coalesce("old_started", "started").alias("started"),
-        F.greatest("last", "old_last").alias("last"),
-        F.coalesce("line", "old_line").alias("line"),
-    )
-    return new.unionByName(open_runs.join(joined, "run_id", "left_anti"))
-
-
 def safe_lines(lines: DataFrame, extra_patterns: list[str] | None = None) -> DataFrame:
     """Escapes removed; blank and sensitive lines dropped."""
     clean = lines.withColumn("line", strip_ansi(F.col("line")))

@@ -5,12 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.condense import Settings, condense_outputs
 from ..sources.registry import SEGMENT_CALLS, merge_registry
-from .lines import carry_on, silences, with_end
 
 
 def write_stream(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -25,7 +23,7 @@ def write_stream(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     )
 
 
-def _batches(df: DataFrame, checkpoint: str, work: Callable[[DataFrame, int], None]) -> StreamingQuery:
+def foreach_batch(df: DataFrame, checkpoint: str, work: Callable[[DataFrame, int], None]) -> StreamingQuery:
     return (
         df.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
@@ -39,37 +37,13 @@ def stream_condense(
     def work(batch: DataFrame, batch_id: int) -> None:
         condense_outputs(batch, settings=settings, **tables).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    return _batches(outputs, checkpoint, work)
+    return foreach_batch(outputs, checkpoint, work)
 
 
 def snapshot(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
     return spark.read.parquet(f"{path}/batch={batch_id}")
 
 
-def stream_final_lines(lines: DataFrame, path: str, checkpoint: str, stall: float = 2.0) -> StreamingQuery:
-    """Final lines of runs, complete at any time: silences that are over go to ``closed``, the runs still
-    open after a micro-batch to ``open`` (one row each). ``final_lines_of`` reads both."""
-
-    def work(batch: DataFrame, batch_id: int) -> None:
-        spark, sessions = batch.sparkSession, silences(batch, stall)
-        if batch_id > 0:
-            sessions = carry_on(spark.read.parquet(f"{path}/open/batch={batch_id - 1}"), sessions, stall)
-        sessions.write.mode("overwrite").parquet(f"{path}/all/batch={batch_id}")
-        stored = spark.read.parquet(f"{path}/all/batch={batch_id}")
-        latest = stored.groupBy("run_id").agg(F.max("started").alias("started"))
-        stored.join(latest, ["run_id", "started"]).write.mode("overwrite").parquet(f"{path}/open/batch={batch_id}")
-        closed = with_end(stored.join(latest, ["run_id", "started"], "left_anti"), stall)
-        closed.write.mode("overwrite").parquet(f"{path}/closed/batch={batch_id}")
-
-    return _batches(lines, checkpoint, work)
-
-
-def final_lines_of(spark: SparkSession, path: str, batch_id: int, stall: float = 2.0) -> DataFrame:
-    """All final lines up to a batch, those of open runs included (the end of the input ends a run)."""
-    closed = spark.read.parquet(f"{path}/closed").filter(F.col("batch") <= batch_id).drop("batch")
-    return closed.unionByName(with_end(snapshot(spark, f"{path}/open", batch_id), stall))
-
-
 def stream_learn(
     calls: DataFrame,
     path: str,
@@ -84,4 +58,4 @@ def stream_learn(
         before = initial if batch_id == 0 else snapshot(spark, path, batch_id - 1)
         merge_registry(batch, before, segment_calls).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    return _batches(calls, checkpoint, work)
+    return foreach_batch(calls, checkpoint, work)
