@@ -87,7 +87,9 @@ class Encoder:
         ids = []
         # letters after at most one space are one pre-token
         for part in (text,) if text[text[0] == " " :].isalpha() else self.pre_tokens(text):
-            ids += [token.id for token in self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))]
+            plain = part.isascii() and part.isalpha()
+            letters = part if plain else part.encode().decode("latin-1").translate(self.letters)
+            ids += [token.id for token in self.model.tokenize(letters)]
         return array(WORD, ids).tobytes()
 
     def of(self, piece: str) -> bytes:
@@ -102,7 +104,7 @@ class Encoder:
     def goes_whole(self, text: str) -> bool:
         if not self.pieces_hold or self.special.search(text):
             return True
-        return bool(self.unsure.search(text)) and any(unicodedata.category(c) == "Cn" for c in set(text))
+        return not text.isascii() and bool(self.unsure.search(text)) and any(unicodedata.category(c) == "Cn" for c in set(text))
 
     def encode(self, text: str) -> bytes:
         if self.goes_whole(text):
