@@ -5,7 +5,8 @@
 2. Document frequencies come from the index. Every window of an item picks its ``RAREST`` rarest words.
 3. The postings of these words, adjusted by their offsets in the item, are intersected: an alignment (document, item,
    shift) stays if all rarest words of one of its windows are there. Frequent words are never looked up.
-4. The alignments left are compared word by word with the text, and hits are counted there.
+4. The places of the text under the alignments of an item are compared with its windows, each place once, and hits are
+   counted as the union of spans.
 
 ``proximity_matches`` intersects the same postings within a distance instead of at fixed offsets.
 
@@ -46,11 +47,18 @@ def build_index(docs: DataFrame, vocabulary: DataFrame | None = None) -> DataFra
     return stage(postings.select("word", "doc", "pos"), "postings")
 
 
-def test_items(items: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """(item, words, ids) of the distinct items that have words."""
+def windows_of(words: Column, window: int) -> Column:
+    """The distinct windows of an item, as joined words."""
+    length = F.least(F.size(words), F.lit(window))
+    starts = F.sequence(F.lit(0), F.size(words) - length)
+    return F.array_distinct(F.transform(starts, lambda s: F.array_join(F.slice(words, s + 1, length), " ")))
+
+
+def test_items(items: DataFrame, id_column: str, text_column: str, window: int) -> DataFrame:
+    """(item, words, ids, grams) of the distinct items that have words, with their windows as ``grams``."""
     rows = items.select(F.col(id_column).cast("string").alias("id"), words_of(F.col(text_column)).alias("words"))
     rows = rows.where(F.size("words") > 0).groupBy("words").agg(F.collect_set("id").alias("ids"))
-    return stage(rows.select(F.xxhash64("words").alias("item"), "words", "ids"), "items")
+    return stage(rows.select(F.xxhash64("words").alias("item"), "words", "ids", windows_of(F.col("words"), window).alias("grams")), "items")
 
 
 def rarest(tests: DataFrame, frequencies: DataFrame, window: int) -> DataFrame:
@@ -65,8 +73,13 @@ def rarest(tests: DataFrame, frequencies: DataFrame, window: int) -> DataFrame:
         by_rarity = F.array_sort(F.transform(inside, lambda p: F.struct(p["n"], p["word"], p["pos"])))
         return F.when(by_rarity[0]["n"] > 0, F.transform(F.slice(by_rarity, 1, RAREST), lambda p: p["pos"]))
 
-    found = F.array_distinct(F.transform(F.sequence(F.lit(0), last), picks))
-    return listed.select("item", F.filter(found, lambda x: x.isNotNull()).alias("picks")).where(F.size("picks") > 0)
+    def gram(start: Column) -> Column:
+        return F.array_join(F.transform(F.slice("places", start + 1, F.lit(window)), lambda p: p["word"]), " ")
+
+    starts = F.transform(F.sequence(F.lit(0), last), lambda s: F.struct(gram(s).alias("gram"), s.alias("start"), picks(s).alias("pick")))
+    # equal windows of an item are looked for once, or an item that repeats itself would meet a text that does at every place
+    windows = listed.select("item", F.inline(starts)).groupBy("item", "gram").agg(F.min_by("pick", "start").alias("pick"))
+    return windows.where("pick is not null").groupBy("item").agg(F.collect_set("pick").alias("picks"))
 
 
 def alignments(index: DataFrame, tests: DataFrame, window: int) -> DataFrame:
@@ -82,13 +95,33 @@ def alignments(index: DataFrame, tests: DataFrame, window: int) -> DataFrame:
     return met.where(whole).select("doc", "item", "shift")
 
 
-def window_starts(words: Column, item: Column, shift: Column, window: int) -> Column:
-    """Places in the document at which a window of the item starts."""
-    length = F.least(F.size(item), F.lit(window))
-    starts = F.sequence(F.lit(0), F.size(item) - length)
-    fits = F.filter(starts, lambda s: (s + shift >= 0) & (s + shift + length <= F.size(words)))
-    equal = F.filter(fits, lambda s: F.slice(words, s + shift + 1, length) == F.slice(item, s + 1, length))
-    return F.transform(equal, lambda s: s + shift)
+def window_starts(words: Column, size: Column, grams: Column, shifts: Column, window: int) -> Column:
+    """Ascending places in the document, under an item of ``size`` words moved by the sorted ``shifts``, at which one of its windows starts."""
+    length = F.least(size, F.lit(window))
+    span = size - length
+
+    def under(shift: Column, i: Column) -> Column:
+        # what lies under the shift before is not looked at again
+        after = F.when(i > 0, F.element_at(shifts, F.greatest(i, F.lit(1))) + span + 1).otherwise(0)
+        low, high = F.greatest(F.lit(0), shift, after), F.least(shift + span, F.size(words) - length)
+        return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+
+    places = F.flatten(F.transform(shifts, under))
+    return F.filter(places, lambda p: F.array_contains(grams, F.array_join(F.slice(words, p + 1, length), " ")))
+
+
+def words_inside(spans: Column) -> Column:
+    """How many places the spans (start, stop) cover."""
+    none = F.struct(F.lit(0).alias("stop"), F.lit(0).alias("n"))
+    return F.aggregate(
+        F.array_sort(spans),
+        none,
+        lambda acc, x: F.struct(
+            F.greatest(acc["stop"], x["stop"]).alias("stop"),
+            (acc["n"] + F.greatest(F.lit(0), x["stop"] - F.greatest(acc["stop"], x["start"]))).alias("n"),
+        ),
+        lambda acc: acc["n"],
+    )
 
 
 def contamination(
@@ -100,30 +133,32 @@ def contamination(
     ``contaminated``: some word is hit, and at least one in ``one_in`` words. ``items`` lists the ids with a hit.
     """
     texts = keyed(docs, id_column, text_column)
-    tests = test_items(items, item_column, text_column)
+    tests = test_items(items, item_column, text_column, window)
     vocabulary = stage(tests.select(F.explode("words").alias("word")).distinct(), "vocabulary")
     index = build_index(texts.select("doc", "text"), vocabulary)
-    found = alignments(index, tests, window).join(small(tests), "item")
-    per_doc = found.groupBy("doc").agg(F.collect_list(F.struct("shift", "words", "ids")).alias("found"))
+    found = alignments(index, tests, window)
+    found = found.groupBy("doc", "item").agg(F.array_sort(F.collect_list("shift")).alias("shifts"))
+    found = found.join(small(tests.select("item", F.size("words").alias("size"), "grams", "ids")), "item")
+    per_doc = found.groupBy("doc").agg(F.collect_list(F.struct("shifts", "size", "grams", "ids")).alias("found"))
 
     rows = texts.join(per_doc, "doc", "left").select("id", words_of(F.col("text")).alias("words"), "found")
     hits = F.transform(
         F.coalesce("found", F.array()),
         lambda x: F.struct(
-            window_starts(F.col("words"), x["words"], x["shift"], window).alias("starts"),
-            F.least(F.size(x["words"]), F.lit(window)).alias("length"),
+            window_starts(F.col("words"), x["size"], x["grams"], x["shifts"], window).alias("starts"),
+            F.least(x["size"], F.lit(window)).alias("length"),
             x["ids"].alias("ids"),
         ),
     )
     rows = rows.select("id", F.size("words").alias("n_words"), F.filter(hits, lambda h: F.size(h["starts"]) > 0).alias("hits"))
-    covered = F.flatten(
-        F.transform("hits", lambda h: F.flatten(F.transform(h["starts"], lambda s: F.sequence(s, s + h["length"] - 1))))
+    spans = F.flatten(
+        F.transform("hits", lambda h: F.transform(h["starts"], lambda s: F.struct(s.alias("start"), (s + h["length"]).alias("stop"))))
     )
     listed = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["ids"]))))
     rows = rows.select(
         F.col("id").alias(id_column),
         F.col("n_words").cast("long").alias("n_words"),
-        F.size(F.array_distinct(covered)).cast("long").alias("n_hit"),
+        words_inside(spans).cast("long").alias("n_hit"),
         listed.alias("items"),
     )
     enough = (F.col("n_hit") > 0) & (one_in * F.col("n_hit") >= F.col("n_words"))

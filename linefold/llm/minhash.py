@@ -164,9 +164,11 @@ def shared_sizes(texts: DataFrame, classes: DataFrame, width: int) -> DataFrame:
     sets = texts.select("id", "text").mapInArrow(run, "id long, shingles array<long>")
     counted = sets.select("id", F.explode("shingles").alias("shingle")).groupBy("shingle")
     own = counted.agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1").groupBy("id").agg(F.count("*").alias("own"))
-    sizes = classes.groupBy("id").agg(F.max("n").alias("n"), F.count("*").alias("sets"))
-    shared = F.when(F.col("sets") == 1, F.col("n") - F.coalesce("own", F.lit(0)))
-    return sizes.join(texts.select("id").distinct(), "id").join(own, "id", "left").select("id", shared.alias("shared"))
+    sizes = classes.groupBy("id").agg(F.max("n").alias("n"))
+    # an id's texts, of its own class or not, are counted together
+    several = texts.groupBy("id").agg((F.min(F.xxhash64("text")) < F.max(F.xxhash64("text"))).alias("several"))
+    shared = F.when(~F.col("several"), F.col("n") - F.coalesce("own", F.lit(0)))
+    return sizes.join(several, "id").join(own, "id", "left").select("id", shared.alias("shared"))
 
 
 def crossing_pairs(left: DataFrame, percent: int) -> DataFrame:

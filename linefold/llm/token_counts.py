@@ -1,6 +1,6 @@
 """Token counts by a whole-token shortcut.
 
-A byte-level BPE encodes every pre-token by itself. ``prove_whole_tokens`` runs once, on the driver, and finds
+A byte-level BPE encodes every pre-token by itself. ``prove_whole_tokens`` runs once, in one task, and finds
 the vocabulary strings that are one pre-token and that the tokenizer encodes as exactly one token. Tasks cut
 texts into pre-tokens, count 1 for a proven string, and run the merges only for the rest (remembered in a
 bounded table). No shuffle; the only broadcast is the tokenizer itself.
@@ -16,7 +16,7 @@ import unicodedata
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
@@ -98,6 +98,16 @@ class TokenCounter:
         return len(parts) - 1 + sum(map(self.ordinary, parts))
 
 
+def proven_in_task(spark: SparkSession, spec: str) -> list[str]:
+    """``prove_whole_tokens`` in a task, so that the driver holds the strings only, not the tokenizer."""
+
+    def run(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(prove_whole_tokens(spec), pa.string())], ["piece"])
+
+    return [r.piece for r in spark.range(1, numPartitions=1).mapInArrow(run, "piece string").collect()]
+
+
 def check_spec(spec: str) -> None:
     """Raise unless the tokenizer is of the kind that the shortcut holds for."""
     whole = json.loads(spec)
@@ -117,12 +127,17 @@ def token_counts(
     with open(tokenizer_file, encoding="utf-8") as file:
         spec = file.read()
     check_spec(spec)
-    held = docs.sparkSession.sparkContext.broadcast((spec, prove_whole_tokens(spec)))
+    spark = docs.sparkSession
+    held = spark.sparkContext.broadcast({"spec": spec, "proven": proven_in_task(spark, spec)})
     place = docs.columns.index(text_column)
     kept = [i for i, name in enumerate(docs.columns) if keep is None or name in keep]
 
     def run(batches):
-        counter = TokenCounter(*held.value)
+        # a Python worker keeps the value, and so the counts it knows, for its later tasks
+        own = held.value
+        if "counter" not in own:
+            own["counter"] = TokenCounter(own["spec"], own["proven"])
+        counter = own["counter"]
         for batch in batches:
             n_bytes, n_tokens = [], []
             for text in batch.column(place):

@@ -290,7 +290,7 @@ def learn_weights(docs: DataFrame, sample: DataFrame, decoder: Decoder, least: i
 def toxicity(
     docs: DataFrame, labels: DataFrame, may_learn: Column, max_labelled: int = 100_000, least: int = 5, odds: float = 2.5
 ) -> DataFrame:
-    """``docs`` with ``score`` (0 to 1): the chance of label 1 given the restored text.
+    """``docs`` with ``score`` (0 to 1): the chance of label 1 given all telling features of the restored text.
 
     ``may_learn`` says, by ``doc_id``, which rows of documents and labels may be learnt from. A feature needs ``least`` toxic
     documents and a weight of ``odds``.
@@ -308,8 +308,7 @@ def toxicity(
         for batch in batches:
             scores = []
             for text in batch.column(batch.schema.get_field_index("text")):
-                hits = sorted((weights[f] for f in read.features(text.as_py())), reverse=True)
-                odds = prior + sum(hits[:3])
+                odds = prior + math.fsum(weights[f] for f in read.features(text.as_py()))
                 scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, odds)))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "score"])
 

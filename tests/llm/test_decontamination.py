@@ -3,6 +3,7 @@
 import random
 import re
 
+import pytest
 from linefold.llm.decontamination import build_index, contamination, proximity_matches
 from pyspark.sql import functions as F
 
@@ -64,3 +65,15 @@ def test_proximity(spark):
     found = proximity_matches(build_index(docs), queries, 3).select("query", "doc").distinct().orderBy("query", "doc")
     assert [tuple(r) for r in found.collect()] == [(1, 1), (1, 3), (2, 3)]
     assert build_index(docs).where(F.col("word") == "x").count() == 8
+
+
+@pytest.mark.parametrize("n", [7, 13, 20_000])
+def test_repetitive_texts(spark, docs_of, n):
+    """An item and a document of one repeated phrase: every place is an alignment."""
+    words = ["spam", "ham"] * n
+    docs = docs_of([(1, " ".join(words)), (2, "ham " * 12 + "spam"), (3, "x " + " ".join(words[:30]) + " y z")])
+    items = spark.createDataFrame([("a", "spam ham " * 100), ("b", "ham spam ham"), ("c", "ham " * 40)], "item_id string, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in contamination(docs, items).collect()}
+    assert got[1] == (2 * n, 2 * n, ["a", "b"] if n > 6 else ["b"])
+    assert got[2] == (13, 0, [])
+    assert got[3] == (3 + min(30, 2 * n), min(30, 2 * n), ["a", "b"])

@@ -81,3 +81,10 @@ def test_components_of_paths_and_stars(spark):
     nodes = {n for link in links if link[0] != link[1] for n in link}
     assert got == roots(nodes, [x for x in links if x[0] != x[1]])
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_ids_with_several_texts_keep_their_links(spark, docs_of):
+    a = " ".join(f"w{i}" for i in range(60))
+    near, other = a.replace("w59", "x"), " ".join(f"v{i}" for i in range(40))
+    got = near_duplicates(docs_of([(5, a), (7, near), (5, other), (3, other)]), width=4).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(3, 3), (5, 3), (7, 3)}
