@@ -3,7 +3,7 @@
 Streams have ``(run_id, seq, ts, ..., eof)``; ``eof`` is true on a run's last row. Rows may come late by ``delay`` seconds and in any
 order: state per run holds them until the watermark has passed them, and then takes them in the order of ``seq`` (as ``ts`` rises
 with ``seq``). Timers of event time tell silences of ``stall`` seconds or more. Rows still later than that are dropped by the watermark;
-``late.py`` splits them off beforehand so that none is lost. Rows without ``run_id``, ``seq`` or ``ts`` have no place in a run and are left out.
+``late.py`` splits them off beforehand so that none is lost (Spark's first watermark is the start of 1970). Rows without ``run_id``, ``seq`` or ``ts`` have no place in a run and are left out.
 
 State is bounded by the rows of ``delay`` seconds and, for lines, by ``max_line``: longer lines go out in numbered parts. Segments
 over ``max_bytes`` go out chunk by chunk.
@@ -178,7 +178,7 @@ class Segments(InOrder):
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
         self.place = handle.getValueState("place", "segment long, started long, size long")
-        self.pieces = handle.getListState("pieces", "seq long, at long, piece string")
+        self.pieces = handle.getListState("pieces", "seq long, piece string")
 
     def row(self, key, segment: int, started: int, part: int, at: int, text: str, reason: str | None) -> Row:
         return Row(run_id=key[0], segment=segment, started=timestamp(started), part=part, ts=timestamp(at), output=text, reason=reason)
@@ -187,20 +187,20 @@ class Segments(InOrder):
         segment, started, size = self.place.get() if self.place.exists() else (0, at, 0)
         started = at if started is None else started
         size += len((value or "").encode())
-        self.pieces.appendValue((seq, at, value or ""))
+        self.pieces.appendValue((seq, value or ""))
         if size > self.max_bytes:
-            yield from self.chunk_by_chunk(key, segment, started)
+            yield from self.chunk_by_chunk(key, segment, started, at)
         self.place.update((segment, started, size))
 
-    def chunk_by_chunk(self, key, segment: int, started: int) -> Iterator[Row]:
-        for seq, at, piece in self.pieces.get():
-            yield self.row(key, segment, started, seq, at, piece, OVERSIZE)
+    def chunk_by_chunk(self, key, segment: int, started: int, now: int) -> Iterator[Row]:
+        for seq, piece in list(self.pieces.get()):
+            yield self.row(key, segment, started, seq, now, piece, OVERSIZE)
         self.pieces.clear()
 
     def finish(self, key, at: int) -> Iterator[Row]:
         segment, started, size = self.place.get()
         if size <= self.max_bytes:
-            yield self.row(key, segment, started, 0, at, "".join(piece for _, _, piece in self.pieces.get()), None)
+            yield self.row(key, segment, started, 0, at, "".join(piece for _, piece in self.pieces.get()), None)
         self.pieces.clear()
         self.place.update((segment + 1, None, 0))
 
@@ -265,7 +265,7 @@ def segments_of_chunks(chunks: DataFrame, delay: float = 10.0, stall: float = 2.
     """``(run_id, seq, ts, chunk[, eof])`` as a stream to ``(run_id, segment, started, part, ts, output, reason)``.
 
     A segment up to ``max_bytes`` is one row at its end, with part 0. A larger one is a row per chunk, unchanged, with ``seq`` as part
-    and a reason, from the moment it passes the limit.
+    and a reason, from the moment it passes the limit. ``ts`` is the time at which a row goes out.
     """
     use_rocksdb(chunks.sparkSession)
     placed = _placed(chunks, delay, "chunk")

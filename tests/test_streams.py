@@ -1,11 +1,16 @@
 """Streams over several micro-batches give the rows of one batch."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
+from linefold.operators import chunks
+from linefold.plans import condense as plan
 from linefold.plans import fixtures as fx
 from linefold.sources import registry
 from linefold.streaming import lines as stream_lines
-from linefold.streaming import sinks
+from linefold.streaming import late, runs, sinks
 
 SF = "/root/testdata/sf0.001"
 ENTRY = ["command", "strategy", "calls", "confidence", "hot"]
@@ -32,14 +37,126 @@ def test_line_rules(spark, tmp_path):
     assert sorted(spark.read.parquet(out).collect()) == sorted(want.collect())
 
 
-def test_final_lines(spark, tmp_path):
-    batch, stream = events_in_files(spark, str(tmp_path / "in"))
-    out = str(tmp_path / "final")
-    job = sinks.stream_final_lines(progress_lines(stream), out, out + "-c", 6 * 3600.0)
+CHUNK_ROWS = "run_id int, seq long, t double, chunk string, eof boolean"
+
+
+def timed(spark, rows):
+    df = spark.createDataFrame(rows, CHUNK_ROWS)
+    return df.selectExpr("run_id", "seq", "timestamp_micros(cast(t * 1000000 as long)) as ts", "chunk", "eof")
+
+
+def chunk_batches(spark, folder, rows, n=5):
+    """Rows as a stream of ``n`` micro-batches, and a last one far in the future."""
+    step = -(-len(rows) // n)
+    for i in range(n):
+        timed(spark, rows[i * step : (i + 1) * step]).coalesce(1).write.parquet(f"{folder}/p{i}")
+    timed(spark, [(-1, 0, 9999.0, "", False)]).coalesce(1).write.parquet(f"{folder}/p{n}")
+    return spark.readStream.schema(timed(spark, []).schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
+
+
+def random_chunks(seed, shuffled=0.9):
+    """Chunks of five runs, in an order up to ``shuffled`` seconds off."""
+    rng, rows = random.Random(seed), []
+    for run in range(5):
+        t = 0.0
+        for seq in range(40):
+            t += rng.choice([0.1, 0.2, 0.5, 2.5])
+            text = "".join(rng.choice(["ab", "\n", "error: c", " ", "10%"]) for _ in range(rng.randint(0, 4)))
+            rows.append((run, seq, t, None if rng.random() < 0.05 else text, seq == 39))
+    return sorted(rows, key=lambda r: r[2] + rng.random() * shuffled)
+
+
+def streamed(df, out):
+    job = sinks.write_stream(df, out, out + "-c")
     job.awaitTermination()
-    assert job.lastProgress["batchId"] >= 3
-    found = sorted(tuple(r) for r in sinks.final_lines_of(spark, out, job.lastProgress["batchId"], 6 * 3600.0).collect())
-    assert found == sorted(tuple(r) for r in stream_lines.final_lines(progress_lines(batch), 6 * 3600.0).collect())
+    assert job.lastProgress["batchId"] >= 5
+    return df.sparkSession.read.parquet(out).filter("run_id >= 0")
+
+
+def test_lines_of_chunks_out_of_order(spark, tmp_path):
+    rows = random_chunks(1)
+    stream = chunk_batches(spark, str(tmp_path / "in"), rows)
+    got = streamed(runs.lines_of_chunks(stream, 1.0), str(tmp_path / "out"))
+    texts = timed(spark, rows).withColumn("chunk", F.coalesce("chunk", F.lit("")))
+    want = chunks.assemble_chunks(texts)
+    assert sorted(tuple(r) for r in got.filter("not eof").select("run_id", "pos", "line").collect()) == sorted(tuple(r) for r in want.collect())
+    assert got.filter("eof").count() == 5
+
+
+def test_endless_line_goes_out_in_parts(spark, tmp_path):
+    rows = [(1, i, 1 + i * 0.1, "abcdefg", False) for i in range(40)] + [(1, 40, 5.0, "hi\nlast", False), (1, 41, 5.1, "", True)]
+    stream = chunk_batches(spark, str(tmp_path / "in"), rows)
+    got = streamed(runs.lines_of_chunks(stream, 1.0, max_line=50), str(tmp_path / "out")).filter("not eof").orderBy("pos", "part").collect()
+    assert "".join(r.line for r in got if r.pos == 0) == "abcdefg" * 40 + "hi"
+    assert [r.part for r in got if r.pos == 0] == list(range(6)) and {len(r.line) for r in got[:5]} == {50}
+    assert [(r.pos, r.part, r.line) for r in got[6:]] == [(1, 0, "last")]
+
+
+def test_errors_and_final_lines(spark, tmp_path):
+    rows = [(r, s, t, (c or "").strip("\n") or None, False) for r, s, t, c, _ in random_chunks(2)]
+    stream = chunk_batches(spark, str(tmp_path / "in"), rows).withColumnRenamed("chunk", "line").drop("eof")
+    got = streamed(runs.errors_and_final_lines(stream, 1.0, 2.0), str(tmp_path / "out"))
+    lines = timed(spark, rows).withColumnRenamed("chunk", "line")
+    errors = stream_lines.progress_errors(lines).select("run_id", "seq", "line")
+    assert sorted(got.filter("kind = 'error'").select("run_id", "seq", "line").collect()) == sorted(errors.collect())
+    finals = got.filter("kind = 'final'").select("run_id", "started", F.col("ts").alias("ended"), "line")
+    assert sorted(finals.collect()) == sorted(stream_lines.final_lines(lines, 2.0).collect())
+
+
+def sessions_of(df):
+    return sorted(tuple(r) for r in df.filter("run_id >= 0").collect())
+
+
+def test_rows_behind_the_watermark_are_kept_aside(spark, tmp_path):
+    """Finals of the rows on time, and the late rows, are all rows; nothing is dropped in between."""
+    rows = random_chunks(3, shuffled=6.0)
+    stream = chunk_batches(spark, str(tmp_path / "in"), rows, 8)
+    base = str(tmp_path / "split")
+    late.split_late(stream, base, base + "/c", 0.5).awaitTermination()
+    kept_aside = late.late_rows(spark, base)
+    n_late = kept_aside.count()
+    assert 0 < n_late < len(rows)
+    reader = spark.readStream.schema(timed(spark, []).schema).option("maxFilesPerTrigger", 1)
+    got = streamed(late.stall_sessions(late.on_time(reader, base), 2.0, 0.5), str(tmp_path / "out"))
+    punctual = timed(spark, rows).join(kept_aside.select("run_id", "seq"), ["run_id", "seq"], "left_anti")
+    assert got.agg(F.sum("n_chunks")).first()[0] == len(rows) - n_late
+    assert sessions_of(got) == sessions_of(late.stall_sessions(punctual, 2.0))
+
+
+@pytest.mark.parametrize("limit", [10_000, 12])
+def test_silent_segments(spark, tmp_path, limit):
+    rows = [(r, s, t, c or "", False) for r, s, t, c, _ in random_chunks(4)]
+    stream = chunk_batches(spark, str(tmp_path / "in"), rows)
+    got = streamed(runs.segments_of_chunks(stream, 1.0, 2.0, limit), str(tmp_path / "out"))
+    want = chunks.segment_outputs(chunks.stall_segments(timed(spark, rows), 2.0), limit)
+    columns = ["run_id", "segment", "part", "output", "reason"]
+    assert sorted(map(tuple, got.select(columns).collect()), key=repr) == sorted(map(tuple, want.select(columns).collect()), key=repr)
+
+
+def test_shown_lines_and_restart(spark, tmp_path):
+    """A whole run; the stream stops after every file and goes on from its checkpoint."""
+    texts = ["Step a\n10", "%\n", "error: b\npass", "word: hunter2 token\nSte", "p c\n", "rest"]
+    rows = [(1, i, 1 + i * 0.2, t, False) for i, t in enumerate(texts)] + [(1, 6, 6.0, "Step d\n", True)]
+    out, folder = str(tmp_path / "out"), str(tmp_path / "in")
+    stream = None
+    for i, row in enumerate([*rows, (-1, 0, 9999.0, "", False)]):
+        timed(spark, [row]).coalesce(1).write.parquet(f"{folder}/p{i}")
+        stream = stream or spark.readStream.schema(timed(spark, []).schema).parquet(f"{folder}/*")
+        sinks.write_stream(runs.shown_lines(stream, 1.0, 2.0), out, out + "-c").awaitTermination()
+    got = spark.read.parquet(out).orderBy("ts").collect()
+    assert [(r.kind, r.line) for r in got] == [("error", "error: b"), ("final", "rest"), ("final", "Step d")]
+    assert got[1].ts.timestamp() % 60 == 4.0
+
+
+def test_condensed_segments_in_run_order(spark):
+    """Small segments are condensed, chunks of large ones pass through; together they are the run."""
+    many = "same line\n" * 40
+    rows = [(1, 0, 0.0, many, False), (1, 1, 9.0, many * 3, False), (1, 2, 9.5, many, False), (1, 3, 20.0, "a\nb", False), (2, 0, 0.0, None, False)]
+    cut = chunks.segment_outputs(chunks.stall_segments(timed(spark, rows), 2.0), 1000)
+    got = plan.condense_segments(cut.withColumn("command", F.lit("unknown tool"))).orderBy("run_id", "segment", "part").collect()
+    assert [(r.run_id, r.segment, r.part) for r in got] == [(1, 0, 0), (1, 1, 1), (1, 1, 2), (1, 2, 0), (2, 0, 0)]
+    assert "".join(r.result for r in got[1:3]) == many * 4 and got[1].reason == "output exceeds the size limit"
+    assert got[0].result.count("\n") == 25 and got[3].result == "a\nb"
 
 
 def test_swallowed_lines_are_no_silence(spark):
