@@ -13,8 +13,8 @@ from ..functions import safety, shape, text
 from ..operators import budget, chunks, contract, rows, shapes
 from ..operators.ordered import SEG, segment
 from ..session import shared_dir, spread
-from ..sources import events, history, outputs, registry, rules
-from ..streaming import late, runs, sinks
+from ..sources import events, history, outputs, registry, rules, stores
+from ..streaming import late, learning, runs, sinks
 from ..streaming import lines as stream_lines
 from . import condense as plan
 from . import fixtures as fx
@@ -553,6 +553,38 @@ def history_latest_each(spark, sf):
     return history.history_latest_each(_history(spark, sf))
 
 
+def _store(spark, tag):
+    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+@query
+def history_store(spark, sf):
+    """Two batches appended to a stored history, the second one twice; its newest hundred."""
+    path, width = _store(spark, "history"), 512
+    stores.append_to_store(_results(spark, sf).filter("doc_id % 2 = 0"), path, 1, width)
+    for _ in range(2):
+        stores.append_to_store(_results(spark, sf).filter("doc_id % 2 = 1"), path, 2, width)
+    stores.expire(spark, path, 100, width)
+    return stores.stored_history(spark, path, 100, width)
+
+
+@query
+def history_store_by_id(spark, sf):
+    path, width = _store(spark, "history"), 512
+    stores.append_to_store(_results(spark, sf), path, 1, width)
+    return stores.stored_by_id(spark, path, [1234], width)
+
+
+@query
+def registry_store(spark, sf):
+    """A call log folded into a stored registry in two versions, the second one twice."""
+    path, calls = _store(spark, "registry"), fx.calls(spark, sf)
+    stores.merge_into_store(calls.filter("seq < 4000"), path, 1)
+    for _ in range(2):
+        found = stores.merge_into_store(calls.filter("seq >= 4000"), path, 2)
+    return _entry_columns(found)
+
+
 @query
 def history_by_id(spark, sf):
     return history.history_by_id(_history(spark, sf), 1234)
@@ -742,14 +774,14 @@ DELAY = 2 * 3600.0
 HEARTBEAT = -1
 
 
-def _event_batches(spark, sf, n=4):
-    """The events as a stream of about ``n`` micro-batches, in which neighbours have changed places.
+def _event_batches(spark, sf, n=4, moved=9):
+    """The events as a stream of about ``n`` micro-batches, in which neighbours have changed places (``moved`` 1: none have).
 
     The last batch has one row of run ``HEARTBEAT``, years later, so that the watermark passes all others.
     """
     events = fx.read(spark, sf, "events").select("event_id", "ts", "user_id", "event_type")
     total = events.agg(F.max("event_id")).first()[0] + 1
-    place = F.floor((F.col("event_id") + F.col("event_id") * 37 % 9) * n / total)
+    place = F.floor((F.col("event_id") + F.col("event_id") * 37 % moved) * n / total)
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     for i in range(n + 1):
         part = events.filter(F.least(place, F.lit(n - 1)) == i)
@@ -835,7 +867,7 @@ def stream_condense(spark, sf):
 
 @query
 def stream_learn(spark, sf):
-    source = _stream(spark, sf, "events")
+    source = _event_batches(spark, sf, moved=1).filter(F.col("user_id") != HEARTBEAT)
     calls = source.selectExpr(
         "concat('cmd ', cast(user_id as string)) as command",
         "event_id as seq",
@@ -845,7 +877,6 @@ def stream_learn(spark, sf):
         "50 + event_id % 400 as comp",
         "ts",
     )
-    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    job = sinks.stream_learn(calls, f"{base}/out", f"{base}/checkpoint")
-    job.awaitTermination()
-    return _entry_columns(sinks.snapshot(spark, f"{base}/out", job.lastProgress["batchId"]))
+    checkpoint = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    learning.stream_learn(calls, checkpoint).awaitTermination()
+    return _entry_columns(learning.registry_of_state(spark, checkpoint))

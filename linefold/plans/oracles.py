@@ -556,6 +556,7 @@ ORACLES: dict[str, str] = {
 ORACLES["stream_assemble_chunks"] = ORACLES["assemble_chunks"]
 ORACLES["stream_shown_lines"] = f"""select run_id, 'error' as kind, ts as started, ts, line from ({ORACLES["stream_progress_filter"]})
     union all select run_id, 'final', started, ended, line from ({ORACLES["stream_final_line"]})"""
+ORACLES |= {"history_store": ORACLES["history_append"], "history_store_by_id": ORACLES["history_by_id"], "registry_store": ORACLES["merge_registry"]}
 ORACLES |= {
     f"{name}_segments": ORACLES[name]
     for name in (

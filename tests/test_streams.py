@@ -10,7 +10,7 @@ from linefold.plans import condense as plan
 from linefold.plans import fixtures as fx
 from linefold.sources import registry
 from linefold.streaming import lines as stream_lines
-from linefold.streaming import late, runs, sinks
+from linefold.streaming import late, learning, runs, sinks
 
 SF = "/root/testdata/sf0.001"
 ENTRY = ["command", "strategy", "calls", "confidence", "hot"]
@@ -171,15 +171,37 @@ def test_learning(spark, tmp_path):
     calls = stream.selectExpr(
         "concat('cmd ', cast(user_id as string)) as command", "event_id as seq", "event_type as shape", "100L as raw", "50L as comp", "ts"
     )
-    out = str(tmp_path / "registry")
-    job = sinks.stream_learn(calls, out, out + "-c", segment_calls=16)
+    checkpoint = str(tmp_path / "registry")
+    job = learning.stream_learn(calls, checkpoint)
     job.awaitTermination()
-    final = sinks.snapshot(spark, out, job.lastProgress["batchId"])
     assert job.lastProgress["batchId"] >= 3
     batch = fx.read(spark, SF, "events").selectExpr(
         "concat('cmd ', cast(user_id as string)) as command", "event_id as seq", "event_type as shape", "100L as raw", "50L as comp", "ts"
     )
-    assert sorted(final.select(*ENTRY).collect()) == sorted(registry.merge_registry(batch).select(*ENTRY).collect())
+    final, want = learning.registry_of_state(spark, checkpoint), registry.merge_registry(batch)
+    assert sorted(final.select(*ENTRY).collect()) == sorted(want.select(*ENTRY).collect())
+
+
+def test_learning_goes_on_from_a_registry(spark, tmp_path):
+    def calls_of(first, last):
+        rows = [(f"c{i % 3}", i, "list" if i % 5 else "table", i, i // 2) for i in range(first, last)]
+        df = spark.createDataFrame(rows, "command string, seq long, shape string, raw long, comp long")
+        return df.withColumn("ts", F.timestamp_seconds(F.col("seq")))
+
+    user = registry.merge_registry(calls_of(0, 30)).withColumn("user_override", F.col("command") == "c1")
+    calls_of(30, 90).coalesce(1).write.parquet(str(tmp_path / "in/0"))
+    stream = spark.readStream.schema(calls_of(0, 1).schema).parquet(str(tmp_path / "in/*"))
+    checkpoint = str(tmp_path / "state")
+    learning.stream_learn(stream, checkpoint, user).awaitTermination()
+    # a later run takes the state, not the table it once began with
+    calls_of(90, 100).coalesce(1).write.parquet(str(tmp_path / "in/1"))
+    learning.stream_learn(stream, checkpoint, user).awaitTermination()
+    want = registry.merge_registry(calls_of(90, 100), registry.merge_registry(calls_of(30, 90), user))
+    got = learning.registry_of_state(spark, checkpoint)
+    assert got.columns == want.columns
+    assert sorted(got.select(*ENTRY, "user_override", "last_seen").collect()) == sorted(want.select(*ENTRY, "user_override", "last_seen").collect())
+    averages = [{r.command: round(r.avg_raw_tokens, 6) for r in df.collect()} for df in (got, want)]
+    assert averages[0] == averages[1]
 
 
 def test_condensing(spark, tmp_path):
