@@ -9,25 +9,52 @@ from ..functions.text import MAX_OUTPUT_BYTES, OVERSIZE, strip as strip_text
 from .ordered import SEG, cut, in_segments, scan
 
 BUCKET = 1 << 16
+MAX_LINE = 1 << 20
 
 
-def assemble_chunks(chunks: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """``(run_id, seq, chunk)`` to ``(run_id, pos, line)``. Only ``\\n`` ends a line; the rest of a
-    chunk goes on in the next one, and a blank rest at the end of the run is dropped."""
-    pieces = F.split("chunk", "\n", -1)
-    df = chunks.select("run_id", "seq", pieces.alias("pieces"))
+def assemble_chunks(chunks: DataFrame, bucket: int = BUCKET, max_line: int = MAX_LINE) -> DataFrame:
+    """``(run_id, seq, chunk)`` to ``(run_id, pos, part, line)``. Only ``\\n`` ends a line; the rest of a
+    chunk goes on in the next one, and a blank rest at the end of the run is dropped.
+
+    ``pos`` numbers a run's lines. A line of more than ``max_line`` characters comes in numbered parts, so a run without line
+    ends is put together in many groups; every other line is its part 0.
+    """
+    df = chunks.select("run_id", "seq", F.split(F.coalesce("chunk", F.lit("")), "\n", -1).alias("pieces"))
     df = in_segments(df, F.floor(F.col("seq") / bucket), ("run_id",))
+    along = {"keys": ("run_id",), "order": ("seq",)}
     breaks = F.size("pieces") - 1
-    df = scan(df, sums={"ended": breaks}, totals={"all_ended": breaks}, keys=("run_id",), order=("seq",))
+    chars = F.aggregate("pieces", F.lit(0).cast("long"), lambda acc, p: acc + F.length(p))
+    rest = F.length(F.element_at("pieces", -1))
+    df = cut(scan(df, sums={"ended": breaks, "chars": chars}, totals={"all_ended": breaks, "all_chars": chars}, **along))
+    # characters before the line that an earlier chunk began
+    df = scan(df, last={"began": F.when(breaks > 0, F.col("chars") - rest)}, **along)
+    first = F.col("chars") - chars
     rows = df.select(
-        "run_id", "seq", "all_ended", (F.col("ended") - breaks).alias("first"), F.posexplode("pieces").alias("i", "piece")
+        "run_id", "seq", "all_ended", "all_chars", F.coalesce("began", F.lit(0)).alias("began"), first.alias("first"),
+        (F.col("ended") - breaks).alias("pos"), F.posexplode("pieces").alias("i", "piece"),
+    )
+    opens = F.col("i") > 0
+    offset = F.when(opens, F.lit(0)).otherwise(F.col("first") - F.col("began"))
+    length = F.length("piece")
+    last = F.col("pos") + F.col("i") == F.col("all_ended")
+    # the last line starts with its piece, or where an earlier chunk began it
+    size = F.when(opens, length + F.lit(0).cast("long")).otherwise(F.col("all_chars") - F.col("began"))
+    rows = rows.select(
+        "run_id", "seq", "i", "piece", (F.col("pos") + F.col("i")).alias("pos"), offset.alias("offset"), last.alias("last"), size.alias("size")
     )
-    rows = rows.withColumn("pos", F.col("first") + F.col("i"))
+    until = F.floor((F.col("offset") + F.greatest(length, F.lit(1)) - 1) / max_line)
+    rows = rows.withColumn("part", F.explode(F.sequence(F.floor(F.col("offset") / max_line), until)))
+    start = F.greatest(F.col("part") * max_line - F.col("offset"), F.lit(0)).cast("int")
+    stop = F.least((F.col("part") + 1) * max_line - F.col("offset"), length.cast("long")).cast("int")
+    rows = rows.withColumn("piece", F.substring("piece", start + 1, stop - start)).filter((F.col("piece") != "") | (F.col("offset") == 0))
     parts = F.array_sort(F.collect_list(F.struct("seq", "i", "piece")))
-    lines = rows.groupBy("run_id", "pos").agg(
-        F.array_join(F.transform(parts, lambda p: p["piece"]), "").alias("line"), F.any_value("all_ended").alias("n")
+    lines = rows.groupBy("run_id", "pos", "part").agg(
+        F.array_join(F.transform(parts, lambda p: p["piece"]), "").alias("line"),
+        F.any_value("last").alias("last"),
+        F.max("size").alias("size"),
     )
-    return lines.filter((F.col("pos") < F.col("n")) | (strip_text(F.col("line")) != "")).select("run_id", "pos", "line")
+    dropped = F.col("last") & (strip_text(F.col("line")) == "") & (F.col("part") == 0) & (F.col("size") <= max_line)
+    return lines.filter(~dropped).select("run_id", "pos", "part", "line")
 
 
 def stall_segments(chunks: DataFrame, gap_seconds: float = 2.0, bucket: int = BUCKET) -> DataFrame:

@@ -658,7 +658,13 @@ def condense_tool_events(spark, sf):
 
 @query
 def assemble_chunks(spark, sf):
-    return chunks.assemble_chunks(fx.chunks(spark, sf))
+    return chunks.assemble_chunks(fx.chunks(spark, sf)).drop("part")
+
+
+@query
+def assemble_chunks_parts(spark, sf):
+    """Lines over 20 characters in parts."""
+    return chunks.assemble_chunks(fx.chunks(spark, sf), max_line=20)
 
 
 @query
@@ -734,7 +740,7 @@ def error_trace_segments(spark, sf):
 
 @query
 def assemble_chunks_segments(spark, sf):
-    return chunks.assemble_chunks(fx.chunks(spark, sf), bucket=64)
+    return chunks.assemble_chunks(fx.chunks(spark, sf), bucket=64).drop("part")
 
 
 @query

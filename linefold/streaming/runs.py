@@ -19,11 +19,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.text import MAX_OUTPUT_BYTES, OVERSIZE, is_blank
+from ..operators.chunks import MAX_LINE
 from ..operators.shapes import is_progress_error
 from .lines import is_significant, safe_lines
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-MAX_LINE = 1 << 20
 _ZERO = datetime(1970, 1, 1, tzinfo=UTC)
 
 

@@ -153,3 +153,17 @@ def test_numbering_in_buckets(spark):
 def test_strip_alone(lines_of):
     lines = lines_of({1: ["a", "b1", "c"]})
     assert contract.always_strip(lines, ["b\\d"]).count() == 2
+
+
+def test_a_run_without_line_ends(spark):
+    """A hundred thousand chunks of one line, and lines and rests around the limit, in parts."""
+    endless = spark.range(100_000).selectExpr("1 as run_id", "id as seq", "cast(id % 10 as string) as chunk")
+    texts = ["abcde\n", "abcdef", "ghij\nklmno", "", "pq", "\n", "     ", " "]
+    short = spark.createDataFrame([(2, i, t) for i, t in enumerate(texts)] + [(3, 0, "  "), (3, 1, "   ")], "run_id int, seq long, chunk string")
+    got = chunks.assemble_chunks(endless.unionByName(short), bucket=4096, max_line=5).groupBy("run_id").agg(
+        F.sort_array(F.collect_list(F.struct("pos", "part", "line"))).alias("lines")
+    )
+    lines = {r.run_id: [tuple(x) for x in r.lines] for r in got.collect()}
+    assert lines[1] == [(0, i, "01234" if i % 2 == 0 else "56789") for i in range(20_000)]
+    assert lines[2] == [(0, 0, "abcde"), (1, 0, "abcde"), (1, 1, "fghij"), (2, 0, "klmno"), (2, 1, "pq"), (3, 0, "     "), (3, 1, " ")]
+    assert 3 not in lines
