@@ -871,6 +871,19 @@ def stream_condense(spark, sf):
     return out.select("doc_id", "reason", "strategy", "source", "raw_tokens", "compressed_tokens", "result")
 
 
+@query
+def stream_tool_events(spark, sf):
+    """Tool events in files of JSON lines, answered as text."""
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    tool_events(spark, sf).select("value").write.text(f"{base}/in")
+    source = spark.readStream.text(f"{base}/in")
+    sinks.stream_tool_events(source, base, f"{base}/checkpoint").awaitTermination()
+    answers = spark.read.text(f"{base}/answers").select("value")
+    text = F.coalesce(F.get_json_object("value", "$.content"), F.get_json_object("value", "$.reason"))
+    mark = F.coalesce(F.get_json_object("value", "$.type"), F.get_json_object("value", "$.decision"))
+    return answers.select(mark.alias("mark"), text.alias("text"))
+
+
 @query
 def stream_learn(spark, sf):
     source = _event_batches(spark, sf, moved=1).filter(F.col("user_id") != HEARTBEAT)

@@ -558,6 +558,7 @@ ORACLES["stream_shown_lines"] = f"""select run_id, 'error' as kind, ts as starte
     union all select run_id, 'final', started, ended, line from ({ORACLES["stream_final_line"]})"""
 ORACLES["assemble_chunks_parts"] = f"""select run_id, pos, cast(i as bigint) as part, substring(line, i * 20 + 1, 20) as line
     from (select *, unnest(range(greatest(1, (length(line) + 19) // 20))) as i from ({ORACLES["assemble_chunks"]}))"""
+ORACLES["stream_tool_events"] = f"select mark, text from ({ORACLES['condense_tool_events']})"
 ORACLES |= {"history_store": ORACLES["history_append"], "history_store_by_id": ORACLES["history_by_id"], "registry_store": ORACLES["merge_registry"]}
 ORACLES |= {
     f"{name}_segments": ORACLES[name]

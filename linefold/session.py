@@ -4,23 +4,28 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Session setting: a folder inside the shared one for what runs now.
+SCRATCH = "linefold.scratch.dir"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, named by ``spark.checkpoint.dir``.
 
     Only a local master may fall back to a temporary folder of its own machine.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    path = spark.conf.get(SCRATCH, None) or spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     path = tempfile.mkdtemp(prefix="linefold-")
-    spark.conf.set("spark.checkpoint.dir", path)
+    spark.conf.set(SCRATCH, path)
     return path
 
 
@@ -66,3 +71,17 @@ def folders_in(spark: SparkSession, path: str) -> list[str]:
 def delete_folder(spark: SparkSession, path: str) -> None:
     files, place = _file_system(spark, path)
     files.delete(place, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables of what runs inside go to a folder that is deleted at the end."""
+    shared = shared_dir(spark)
+    folder = f"{shared}/scratch-{uuid.uuid4().hex}"
+    before = spark.conf.get(SCRATCH, None)
+    spark.conf.set(SCRATCH, folder)
+    try:
+        yield
+    finally:
+        spark.conf.unset(SCRATCH) if before is None else spark.conf.set(SCRATCH, before)
+        delete_folder(spark, folder)

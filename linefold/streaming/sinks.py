@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..plans.condense import Settings, condense_outputs
+from ..plans.condense import Settings, condense_outputs, condense_tool_events
+from ..session import scratch, staged
 
 
 def write_stream(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -23,8 +25,14 @@ def write_stream(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
 
 
 def foreach_batch(df: DataFrame, checkpoint: str, work: Callable[[DataFrame, int], None]) -> StreamingQuery:
+    """Run ``work`` on every micro-batch; its intermediate tables go when it is done."""
+
+    def tidy(batch: DataFrame, batch_id: int) -> None:
+        with scratch(batch.sparkSession):
+            work(batch, batch_id)
+
     return (
-        df.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        df.writeStream.foreachBatch(tidy).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 
@@ -37,3 +45,22 @@ def stream_condense(
         condense_outputs(batch, settings=settings, **tables).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return foreach_batch(outputs, checkpoint, work)
+
+
+def stream_tool_events(lines: DataFrame, path: str, checkpoint: str, **options) -> StreamingQuery:
+    """Answer a stream of JSON lines ``(value)``, one tool event each.
+
+    Each micro-batch writes its JSON answers as text to ``answers`` and the lines that are no JSON objects, blank ones
+    aside, to ``corrupt``; a repeated batch replaces both. Events that need no answer get none.
+    """
+
+    def work(batch: DataFrame, batch_id: int) -> None:
+        parsed = F.try_parse_json("value")
+        shaped = F.coalesce(F.schema_of_variant(parsed).startswith("OBJECT"), F.lit(False))
+        rows = batch.filter(F.trim("value") != "").select(F.monotonically_increasing_id().alias("doc_id"), "value", shaped.alias("event"))
+        rows = staged(rows, "events")
+        answers = condense_tool_events(rows.filter("event").drop("event"), **options)
+        answers.select("value").write.mode("overwrite").text(f"{path}/answers/batch={batch_id}")
+        rows.filter("not event").select("value").write.mode("overwrite").text(f"{path}/corrupt/batch={batch_id}")
+
+    return foreach_batch(lines, checkpoint, work)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from linefold.operators import chunks
 from linefold.plans import condense as plan
 from linefold.plans import fixtures as fx
+from linefold.session import folders_in, shared_dir
 from linefold.sources import registry
 from linefold.streaming import lines as stream_lines
 from linefold.streaming import late, learning, runs, sinks
@@ -204,6 +205,26 @@ def test_learning_goes_on_from_a_registry(spark, tmp_path):
     assert averages[0] == averages[1]
 
 
+def test_tool_events(spark, tmp_path):
+    """Files of JSON lines: events are answered, broken lines set aside, and a repeated batch replaces its files."""
+    output = "\\n".join(["building the same target"] * 40)
+    event = '{"tool_name": "Bash", "tool_input": {"command": "make"}, "tool_response": {"output": "%s"}}' % output
+    answer = '{"type":"tool_result","content":"done"}'
+    for i, lines in enumerate([[event, "{broken", ""], [answer, event, event, "[1, 2]", "null"]]):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / f"in/{i}.jsonl").write_text("\n".join(lines) + "\n")
+    stream = spark.readStream.option("maxFilesPerTrigger", 1).text(str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    before = set(folders_in(spark, shared_dir(spark)))
+    job = sinks.stream_tool_events(stream, out, out + "-c")
+    job.awaitTermination()
+    assert job.lastProgress["batchId"] == 1
+    assert set(folders_in(spark, shared_dir(spark))) == before
+    values = [r.value for r in spark.read.text(out + "/answers").collect()]
+    assert len(values) == 4 and answer in values and sum("building" in v and "tool_result" in v for v in values) == 3
+    assert sorted(r.value for r in spark.read.text(out + "/corrupt").collect()) == ["[1, 2]", "null", "{broken"]
+
+
 def test_condensing(spark, tmp_path):
     docs = fx.outputs(spark, SF).limit(40)
     docs.write.parquet(str(tmp_path / "in"))
