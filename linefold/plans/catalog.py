@@ -445,6 +445,20 @@ def condense_outputs(spark, sf):
     return found.select("doc_id", "reason", "strategy", "source", "raw_tokens", "compressed_tokens", "result")
 
 
+@query
+def bypass(spark, sf):
+    """A quarter of the outputs asked to be left alone."""
+    found = plan.condense_outputs(fx.outputs(spark, sf).withColumn("bypass", F.col("doc_id") % 4 == 0))
+    return found.select("doc_id", "reason", "strategy", "source", "raw_tokens", "compressed_tokens", "result")
+
+
+@query
+def nonempty_guard(spark, sf):
+    """A contract that strips every line: the outputs come back."""
+    found = plan.condense_outputs(fx.outputs(spark, sf), settings=plan.Settings(always_strip=["^"]))
+    return found.select("doc_id", "reason", "strategy", "source", "raw_tokens", "compressed_tokens", "result")
+
+
 @query
 def condense_with_registry(spark, sf):
     found = plan.condense_outputs(_called(spark, sf), registry=_registry(spark, sf))

@@ -559,6 +559,12 @@ ORACLES["stream_shown_lines"] = f"""select run_id, 'error' as kind, ts as starte
 ORACLES["assemble_chunks_parts"] = f"""select run_id, pos, cast(i as bigint) as part, substring(line, i * 20 + 1, 20) as line
     from (select *, unnest(range(greatest(1, (length(line) + 19) // 20))) as i from ({ORACLES["assemble_chunks"]}))"""
 ORACLES["stream_tool_events"] = f"select mark, text from ({ORACLES['condense_tool_events']})"
+_LEFT = "case when doc_id % 4 = 0 then null else {0} end as {0}"
+ORACLES["bypass"] = f"""with {CONDENSED} select doc_id, case when doc_id % 4 = 0 then 'bypass' else reason end as reason,
+    {", ".join(_LEFT.format(c) for c in ("strategy", "source", "raw_tokens", "compressed_tokens"))},
+    case when doc_id % 4 = 0 then o.output else result end as result from results join outputs o using (doc_id)"""
+ORACLES["nonempty_guard"] = f"""with {CONDENSED} select doc_id, reason, strategy, source, raw_tokens, raw_tokens as compressed_tokens, o.output as result
+    from results join outputs o using (doc_id)"""
 ORACLES |= {"history_store": ORACLES["history_append"], "history_store_by_id": ORACLES["history_by_id"], "registry_store": ORACLES["merge_registry"]}
 ORACLES |= {
     f"{name}_segments": ORACLES[name]
