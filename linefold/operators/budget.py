@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import SPACES, count_tokens, explode_lines, line_tokens, strip as strip_text
-from .contract import always_keep, always_strip
-from .ordered import carried
-from .rows import collapse_runs, head_tail
+from ..functions.text import SPACES, count_tokens, explode_lines, line_array, line_tokens, strip as strip_text
+from .contract import KEEP_ORD, always_strip, kept_lines
+from .ordered import ranked_ends
+from .rows import collapse_runs
 
 # Ladder of line limits, second-chance limits, marker and its tokens.
 LADDER = (60, 40, 30, 20, 15, 10)
 LADDER_HEAD, LADDER_TAIL = 0.6, 0.3
+RUNGS = [(n, max(3, int(n * LADDER_HEAD)), max(2, int(n * LADDER_TAIL))) for n in LADDER]
 SECOND_CHANCE = (20, 12, 6)
 BUDGET_CUT = "... [token budget reached]"
 BUDGET_CUT_TOKENS = 3
@@ -24,45 +25,58 @@ def to_text(result: DataFrame, name: str = "text", keys: tuple[str, ...] = ("doc
     return result.groupBy(*keys).agg(F.array_join(F.transform(ordered, lambda r: r["line"]), "\n").alias(name))
 
 
-def ladder_candidates(lines: DataFrame, keep: list[str] | None = None, strip: list[str] | None = None) -> DataFrame:
-    """``(doc_id, rung, text, tokens)``: the generic rule at every limit of the ladder.
-
-    Runs are collapsed once; only the collapsed rows are repeated per rung.
-    """
-    rungs = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("rung"),
-                F.lit(n).alias("most"),
-                F.lit(max(3, int(n * LADDER_HEAD))).alias("head"),
-                F.lit(max(2, int(n * LADDER_TAIL))).alias("tail"),
-            )
-            for i, n in enumerate(LADDER)
-        ]
-    )
-    emitted = always_strip(collapse_runs(lines, 3), strip)
-    per_rung = emitted.select("*", F.inline(rungs))
-    keys = ("doc_id", "rung")
-    shown = head_tail(per_rung, F.col("most"), F.col("head"), F.col("tail"), keys=keys)
-    every = lines.withColumn("rung", F.explode(F.lit(list(range(len(LADDER))))))
-    shown = always_keep(shown, every, keep, keys) if keep or carried(lines) else shown
-    text = to_text(shown, keys=keys)
-    return text.filter("text <> ''").withColumn("tokens", count_tokens(F.col("text")))
+def _rung_marker(total: Column, head: int, tail: int) -> Column:
+    return F.concat(F.lit("... ["), (total - (head + tail)).cast("string"), F.lit(" more lines]"))
 
 
 def budget_ladder(
-    candidates: DataFrame, sizes: DataFrame, target: int
+    lines: DataFrame, sizes: DataFrame, target: int, keep: list[str] | None = None, strip: list[str] | None = None
 ) -> DataFrame:
-    """The smallest text seen on the way down the ladder, which stops at the first rung within
-    ``target``; only documents whose candidate beats ``sizes(doc_id, tokens)`` are returned."""
-    fits = F.min(F.when(F.col("tokens") <= target, F.col("rung")))
-    stop = candidates.groupBy("doc_id").agg(fits.alias("stop"))
-    tried = candidates.join(stop, "doc_id").filter(F.col("stop").isNull() | (F.col("rung") <= F.col("stop")))
-    best = tried.groupBy("doc_id").agg(
-        F.min_by(F.struct("text", "tokens"), F.struct("tokens", "rung")).alias("best")
+    """``(doc_id, text, tokens)``: the generic rule at the rung of the ladder with the fewest tokens, ties to the higher one.
+    The way down stops at the first rung within ``target``; only documents whose text beats ``sizes(doc_id, tokens)`` are returned.
+
+    A rung shows some of the rows at both ends that the first rung shows, so these rows, at most head and tail of the first rung, and
+    lines to keep are all that a document needs. Sums of tokens over them give the size of every rung; one text is put together.
+    """
+    emitted = always_strip(collapse_runs(lines, 3), strip)
+    _, head, tail = RUNGS[0]
+    rows = ranked_ends(emitted, head, tail).select("doc_id", "line", "idx", "total", (2 * F.col("idx")).alias("ord"))
+    wanted = kept_lines(lines, keep)
+    idx, total, line = F.col("idx"), F.col("total"), F.col("line")
+    if wanted is not None:
+        once = wanted.groupBy("doc_id", "line").agg((F.min("pos") + F.lit(KEEP_ORD)).alias("ord"))
+        rows = rows.unionByName(once, allowMissingColumns=True)
+        rows = rows.withColumn("total", F.coalesce(F.max("total").over(Window.partitionBy("doc_id")), F.lit(0)))
+    shown = []
+    for most, head, tail in RUNGS:
+        at_ends = F.coalesce((idx <= head) | (idx > total - tail), F.lit(False))
+        if wanted is not None:
+            seen = F.max(at_ends).over(Window.partitionBy("doc_id", "line"))
+            seen = seen | ((total > most) & (line == _rung_marker(total, head, tail)))
+            at_ends = at_ends | (idx.isNull() & ~seen)
+        shown.append(at_ends)
+    rows = rows.withColumns({"cost": line_tokens(line), "at": F.array(*shown)})
+    spent = [F.sum(F.when(F.col("at")[i], F.col("cost")).otherwise(0)) for i in range(len(RUNGS))]
+    docs = rows.groupBy("doc_id").agg(
+        F.max("total").alias("total"), F.array(*spent).alias("spent"), F.collect_list(F.struct("ord", "line", "at")).alias("rows")
     )
-    better = best.join(sizes.withColumnRenamed("tokens", "now"), "doc_id").filter(F.col("best.tokens") < F.col("now"))
-    return better.select("doc_id", F.col("best.text").alias("text"), F.col("best.tokens").alias("tokens"))
+    rungs = []
+    for i, (most, head, tail) in enumerate(RUNGS):
+        marker = _rung_marker(total, head, tail)
+        marked = total > most
+        tokens = F.greatest(F.lit(1).cast("bigint"), F.col("spent")[i] + F.when(marked, line_tokens(marker)).otherwise(0))
+        place = F.struct(F.lit(2 * head + 1).cast("bigint").alias("ord"), F.when(marked, marker).alias("line"))
+        rungs.append(F.struct(tokens.alias("tokens"), F.lit(i).alias("rung"), place.alias("marker")))
+    docs = docs.withColumn("rungs", F.array(*rungs))
+    within = F.transform(F.filter("rungs", lambda r: r["tokens"] <= target), lambda r: r["rung"])
+    docs = docs.withColumn("stop", F.coalesce(F.array_min(within), F.lit(len(RUNGS) - 1)))
+    docs = docs.withColumn("best", F.array_min(F.filter("rungs", lambda r: r["rung"] <= F.col("stop"))))
+    docs = docs.join(sizes.select("doc_id", F.col("tokens").alias("now")), "doc_id").filter(F.col("best.tokens") < F.col("now"))
+    picked = F.filter("rows", lambda x: F.element_at(x["at"], F.col("best.rung") + 1))
+    parts = F.concat(F.transform(picked, lambda x: F.struct(x["ord"].alias("ord"), x["line"].alias("line"))), F.array("best.marker"))
+    text = F.array_join(F.transform(F.array_sort(parts), lambda x: x["line"]), "\n")  # a missing marker is null and left out
+    found = docs.select("doc_id", text.alias("text"), F.col("best.tokens").alias("tokens"))
+    return found.filter("text <> ''")
 
 
 def _running(tokens: Column, order: str = "pos") -> Column:
@@ -95,7 +109,9 @@ def fit_to_budget(texts: DataFrame, budget: int, text: str = "text") -> DataFram
     """Texts over the budget, cut by lines, else by words."""
     over = texts.filter(count_tokens(F.col(text)) > budget)
     by_lines = fit_lines(over, budget, text)
-    by_words = fit_words(over, budget, text).withColumnRenamed("text", "words")
+    # one line alone may be over the budget: only then are words taken apart
+    first = F.coalesce(line_tokens(F.get(line_array(F.col(text)), F.lit(0))), F.lit(0)) + BUDGET_CUT_TOKENS > budget
+    by_words = fit_words(over.filter(first), budget, text).withColumnRenamed("text", "words")
     both = over.select("doc_id", F.col(text).alias("full"))
     both = both.join(by_lines, "doc_id", "left").join(by_words, "doc_id", "left")
     return both.select("doc_id", F.coalesce("text", "words", "full").alias("text"))

@@ -54,6 +54,13 @@ def always_strip(rows: DataFrame, strip: list[str] | None = None) -> DataFrame:
     return rows.filter(~matches_any(F.col("line"), strip, _column(rows, "always_strip")))
 
 
+def kept_lines(lines: DataFrame, keep: list[str] | None = None) -> DataFrame | None:
+    """The lines that must stay, or None without such rules."""
+    if not _has_rules(lines, "always_keep", keep or []):
+        return None
+    return lines.filter(matches_any(F.col("line"), keep or [], _column(lines, "always_keep")))
+
+
 def always_keep(
     result: DataFrame, lines: DataFrame, keep: list[str] | None = None, keys: Sequence[str] = ("doc_id",)
 ) -> DataFrame:
@@ -61,13 +68,11 @@ def always_keep(
 
     Both sides are brought to one row per (document, text) before they meet.
     """
-    keep = keep or []
-    if not _has_rules(lines, "always_keep", keep):
+    wanted = kept_lines(lines, keep)
+    if wanted is None:
         return result
-    wanted = (
-        lines.filter(matches_any(F.col("line"), keep, _column(lines, "always_keep")))
-        .groupBy(*keys, "line")
-        .agg((F.min("pos") + F.lit(KEEP_ORD)).alias("ord"), *[F.any_value(c).alias(c) for c in carried(lines)])
+    wanted = wanted.groupBy(*keys, "line").agg(
+        (F.min("pos") + F.lit(KEEP_ORD)).alias("ord"), *[F.any_value(c).alias(c) for c in carried(lines)]
     )
     # the result is read twice from here
     result = cut(result, is_segmented(lines))

@@ -410,10 +410,8 @@ def budget_ladder(spark, sf):
     sizes = docs.select("doc_id", text.count_tokens(F.col("output")).alias("tokens")).filter("tokens > 300")
     docs = docs.join(sizes.select("doc_id"), "doc_id", "left_semi")
     large = text.oversize(F.col("output"))
-    whole = budget.ladder_candidates(text.explode_lines(docs.filter(~large)))
-    rungs = whole.unionByName(budget.ladder_candidates(segment(text.explode_lines(docs.filter(large)))))
-    found = budget.budget_ladder(rungs, sizes, 300)
-    return found.select("doc_id", "text", "tokens")
+    whole = budget.budget_ladder(text.explode_lines(docs.filter(~large)), sizes, 300)
+    return whole.unionByName(budget.budget_ladder(segment(text.explode_lines(docs.filter(large))), sizes, 300))
 
 
 @query

@@ -160,8 +160,7 @@ def _guarded(routed: DataFrame, condensed: DataFrame, settings: Settings) -> Dat
     if target > 0:
         over = sizes.filter((F.col("raw_tokens") > target) & (F.col("tokens") > target))
         lines = explode_lines(live.join(over.select("doc_id"), "doc_id", "left_semi"), keep=("doc_id", "p"))
-        rungs = staged(budget.ladder_candidates(lines, keep, strip), "rungs")
-        found = budget.budget_ladder(rungs, over.select("doc_id", "tokens"), target)
+        found = budget.budget_ladder(lines, over.select("doc_id", "tokens"), target, keep, strip)
         best = staged(_replace(best, found), "laddered")
         sizes = sizes.select("doc_id", "raw_tokens").join(best.select("doc_id", "tokens"), "doc_id", "left")
         sizes = sizes.withColumn("tokens", F.coalesce("tokens", "raw_tokens"))

@@ -1,6 +1,7 @@
 """Worked examples of every condensing rule, and whole = segmented on random documents."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -167,3 +168,48 @@ def test_a_run_without_line_ends(spark):
     assert lines[1] == [(0, i, "01234" if i % 2 == 0 else "56789") for i in range(20_000)]
     assert lines[2] == [(0, 0, "abcde"), (1, 0, "abcde"), (1, 1, "fghij"), (2, 0, "klmno"), (2, 1, "pq"), (3, 0, "     "), (3, 1, " ")]
     assert 3 not in lines
+
+
+def ladder_by_hand(lines, now, target, keep, strip):
+    """The ladder as its rule says it: one text per rung, on the way down the smallest."""
+    collapsed, i = [], 0
+    rows = [line.strip() for line in lines if line.strip()]
+    while i < len(rows):
+        n = next((k for k in range(i, len(rows)) if rows[k] != rows[i]), len(rows)) - i
+        collapsed += [f"{rows[i]} [repeated {n}x]"] if n >= 3 else rows[i : i + n]
+        i += n
+    collapsed = [line for line in collapsed if not re.search(strip, line)]
+    best = None
+    for most in (60, 40, 30, 20, 15, 10):
+        head, tail = max(3, int(most * 0.6)), max(2, int(most * 0.3))
+        shown = list(collapsed)
+        if len(shown) > head + tail:
+            more = [f"... [{len(shown) - head - tail} more lines]"] if len(shown) > most else []
+            shown = [*shown[:head], *more, *shown[-tail:]]
+        shown += list(dict.fromkeys(line for line in lines if re.search(keep, line) and line not in shown))
+        text = "\n".join(shown)
+        tokens = max(1, len(re.findall(r"[a-z0-9]+", text)))
+        if text and tokens < (best[1] if best else now):
+            best = (text, tokens)
+        if text and tokens <= target:
+            break
+    return best
+
+
+@pytest.mark.parametrize("seed, target", [(0, 12), (2, 60)])
+def test_ladder_against_every_rung(spark, lines_of, seed, target):
+    """Documents of no, few and many lines, repeats, blanks, kept lines at the ends, lost ones, and one that reads like a marker."""
+    rng = random.Random(seed)
+    pool = ["a b c", "k one", " k one", "x", "drop me", "", "  ", "k two three four", "... [7 more lines]", "b b", "d e f g h"]
+    docs = {i: [rng.choice(pool) if rng.random() < 0.5 else f"l{j} w" for j in range(rng.choice([0, 1, 5, 12, 25, 64, 150]))] for i in range(40)}
+    docs |= {100: ["drop me"] * 30, 101: ["", "k one"] + ["drop me"] * 30, 102: ["x", "y"] * 60, 103: [f"... [{n} more lines]" for n in range(90)]}
+    now = {i: 40 for i in docs}
+    keep, strip = r"^ ?k|^$|^\.\.\. \[7 ", "drop"
+    sizes = spark.createDataFrame(list(now.items()), "doc_id long, tokens long")
+    for form in (lines_of(docs), segment(lines_of(docs), 7)):
+        for kept, stripped in (([keep], [strip]), (None, None)):
+            found = budget.budget_ladder(form, sizes, target, kept, stripped).collect()
+            want = {i: ladder_by_hand(v, now[i], target, keep if kept else r"(?!)", strip if kept else r"(?!)") for i, v in docs.items()}
+            got = {r.doc_id: [r.text, r.tokens] for r in found}
+            assert {i: v[0] for i, v in got.items()} == {i: v[0] for i, v in want.items() if v}
+            assert {i: v[1] for i, v in got.items()} == {i: v[1] for i, v in want.items() if v}
