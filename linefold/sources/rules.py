@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions.shape import SHAPES, detect
 from ..functions.text import base_command_key
+from ..session import staged
 from .registry import usable_entries
 
 PARAMS = T.StructType(
@@ -65,7 +66,7 @@ SEEDS = [
 STRATEGIES = ("generic", *SHAPES)
 EXTENSION_KEYS = ["strategy", "params", "streamable", "user_override"]
 
-BROADCAST_RULES = 100_000
+BROADCAST_BYTES, ROW_BYTES = 64 << 20, 512
 
 
 def seeds(spark: SparkSession) -> DataFrame:
@@ -129,21 +130,22 @@ def match_prefix(df: DataFrame, rules: DataFrame, command: str = "command", into
     """Add ``into``: the rule with the longest prefix of whole words, or null. Of rules that repeat a
     prefix one counts, the greatest.
 
-    One equi-join per prefix length, longest first, in place of a ``startswith`` join. The
-    rule table is broadcast only below a checked number of rules.
+    One equi-join per prefix length, longest first, in place of a ``startswith`` join. Rules are broadcast only
+    below a checked number of bytes; beyond it the joins are salted by ``doc_id``, so a hot command is split.
     """
     others = [c for c in rules.columns if c != "prefix"]
     single = rules.groupBy("prefix").agg(F.max(F.struct(*others)).alias("_rule"))
     rules = single.select(*[F.col(c) if c == "prefix" else F.col(f"_rule.{c}") for c in rules.columns])
     words = F.size(F.split("prefix", " "))
-    size = rules.agg(F.count("*").alias("n"), F.max(words).alias("words")).first()
+    size = rules.agg(_bytes(rules).alias("bytes"), F.max(words).alias("words")).first()
     found = []
     for k in range(size["words"] or 0, 0, -1):
         level = rules.filter(words == k).select(F.col("prefix").alias("_prefix"), F.struct(*rules.columns).alias(f"_rule{k}"))
-        if size["n"] <= BROADCAST_RULES:
-            level = F.broadcast(level)
-        key = F.substring_index(F.col(command), " ", k)
-        df = df.join(level, key == F.col("_prefix"), "left").drop("_prefix")
+        df = df.withColumn("_prefix", F.substring_index(F.col(command), " ", k))
+        if size["bytes"] <= BROADCAST_BYTES:
+            df = df.join(F.broadcast(level), "_prefix", "left").drop("_prefix")
+        else:
+            df = salted_lookup(df, level, "_prefix").drop("_prefix")
         found.append(f"_rule{k}")
     if not found:
         return df.withColumn(into, F.lit(None).cast(T.StructType(rules.schema.fields)))
@@ -162,6 +164,20 @@ def merge_contract(global_patterns: list[str], command_patterns: Column) -> Colu
     return F.concat(first, F.coalesce(command_patterns, F.array().cast("array<string>")))
 
 
+def _bytes(table: DataFrame) -> Column:
+    """An upper estimate of what the rows take as a hash table: their JSON and a fixed part each."""
+    return F.sum(F.octet_length(F.to_json(F.struct(*table.columns))) + ROW_BYTES)
+
+
+def lookup(df: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Left join to a table with one row per key, stored once. Below a checked number of bytes it is broadcast,
+    and the text of ``df`` isn't shuffled."""
+    table = staged(table, "lookup")
+    if (table.agg(_bytes(table).alias("bytes")).first()["bytes"] or 0) <= BROADCAST_BYTES:
+        return df.join(F.broadcast(table), key, "left")
+    return salted_lookup(df, table, key)
+
+
 def salted_lookup(
     df: DataFrame, table: DataFrame, key: str, row_id: str = "doc_id", salts: int = 16
 ) -> DataFrame:
@@ -176,7 +192,7 @@ def salted_lookup(
 def lookup_registry(df: DataFrame, registry: DataFrame) -> DataFrame:
     """Add ``entry``: the usable registry entry of the exact command, or null."""
     entries = usable_entries(registry).select("command", F.struct("strategy", "source", "params", "user_override", "hot").alias("entry"))
-    return salted_lookup(df, entries, "command")
+    return lookup(df, entries, "command")
 
 
 def lookup_base_key(df: DataFrame, registry: DataFrame) -> DataFrame:
@@ -188,7 +204,7 @@ def lookup_base_key(df: DataFrame, registry: DataFrame) -> DataFrame:
         .agg(F.max_by(F.struct("strategy", "source", "params"), F.struct("last_seen", "command")).alias("base_entry"))
     )
     keyed = df.withColumn("base_key", base_command_key(F.col("command")))
-    return salted_lookup(keyed, entries, "base_key").drop("base_key")
+    return lookup(keyed, entries, "base_key").drop("base_key")
 
 
 def resolve_strategy(

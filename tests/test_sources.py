@@ -1,6 +1,7 @@
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from linefold.sources import events, history, registry, rules
@@ -64,7 +65,12 @@ def test_merge_continues_and_respects_the_user(spark):
     assert (row.strategy, row.confidence, row.calls) == ("table", 0.5, 80)
 
 
-def test_reset_summary_and_lookup(spark):
+@pytest.fixture(params=[0, 64 << 20], ids=["salted", "broadcast"])
+def bound(request, monkeypatch):
+    monkeypatch.setattr(rules, "BROADCAST_BYTES", request.param)
+
+
+def test_reset_summary_and_lookup(spark, bound):
     rows = [("a b -x", i, "list", 100, 40) for i in range(12)] + [("c", i, "diff", 10, 20) for i in range(2)]
     calls = as_calls(spark, rows)
     reg = registry.merge_registry(calls)
@@ -81,7 +87,7 @@ def test_reset_summary_and_lookup(spark):
     assert base == {1: "list", 2: "list", 3: None}
 
 
-def test_longest_prefix_and_extensions(spark):
+def test_longest_prefix_and_extensions(spark, bound):
     asked = ["git log -5", "git logs", "npm run build", "npm run", "ls", "lsof", "my tool x"]
     outputs = spark.createDataFrame([(i, c) for i, c in enumerate(asked)], "doc_id long, command string")
     entries = [
