@@ -15,12 +15,14 @@ indexed.
 
 Vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do rows without an id, nor
 vectors of another length than the most frequent one. Repeated rows count once; rows with a query's id are no candidates
-of it. Ties go to the smaller id. Other columns aren't read.
+of it. An id with several vectors is one query and one candidate, by the pair of vectors that lie nearest. Ties go to the
+smaller id. Other columns aren't read.
 """
 
 from __future__ import annotations
 
 import heapq
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -48,9 +50,20 @@ def centroids(half: np.ndarray, many: int) -> np.ndarray:
 
 
 def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances, up to ``tolerance``. Both sides are moved to the middle of ``b``: far from the origin the
+    difference of the large norms would lose the digits of small distances."""
+    middle = b.mean(0)
+    a, b = a - middle, b - middle
     return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0)
 
 
+def tolerance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A bound of the rounding of ``squared`` for each row of ``a``, by the norms after the move."""
+    middle = b.mean(0)
+    norms = ((a - middle) ** 2).sum(1) + ((b - middle) ** 2).sum(1).max()
+    return 8 * (a.shape[1] + 8) * np.finfo(np.float64).eps * norms
+
+
 def nearest(a: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return squared(a, centres).argmin(1)
 
@@ -94,10 +107,12 @@ def entries_of(rows: DataFrame, k: int) -> DataFrame:
 
 
 def search(
-    vectors: DataFrame, is_query: Column, k: int = 10, share: float = 0.65, least: int = 1000,
+    vectors: DataFrame, is_query: Column, k: int = 10, share: float = 0.65, least: int | None = None,
     id_column: str = "vec_id", vector_column: str = "embedding",
 ) -> DataFrame:
-    """(query_id, rank, id, score): the ``k`` nearest found of each row that ``is_query`` (on ``id``) holds for."""
+    """(query_id, rank, id, score): the ``k`` nearest found of each row that ``is_query`` (on ``id``) holds for.
+
+    Cells are visited until they hold ``share`` of the distinct vectors and ``least`` of them (4 * ``k`` if not given)."""
     spark = vectors.sparkSession
     rows = usable(vectors, id_column, vector_column)
     entries = stage(entries_of(rows, k), "entries")
@@ -127,7 +142,7 @@ def search(
     for row in celled.groupBy("cell").count().collect():  # at most CENTROIDS^2 rows
         sizes[row.cell] = row["count"]
     places = blocks(sizes)
-    wanted = max(least, int(np.ceil(share * sizes.sum())))
+    wanted = max(4 * k if least is None else least, int(np.ceil(share * sizes.sum())))
     queries = rows.where(is_query)
     parts = max(1, -(-queries.count() // QUERY_BLOCK))
     plan = spark.sparkContext.broadcast((books, sizes, places, wanted))
@@ -167,6 +182,7 @@ def search(
     pairs = placed.groupBy("block", "part").cogroup(visits.groupBy("block", "part"))
     found = pairs.applyInPandas(best, "query_id long, id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "id")
+    found = found.repartition("query_id").groupBy("query_id", "id").agg(F.min("score").alias("score"))
     found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return found.select("query_id", "rank", F.col("id").alias(id_column), "score")
 
@@ -193,16 +209,21 @@ def best_of(entry: pd.DataFrame, query: pd.DataFrame, k: int) -> pd.DataFrame:
         vectors = np.array(entry["v"].tolist(), dtype=np.float64)
         cells, ids = entry["cell"].to_numpy(), entry["ids"].tolist()
         asked = np.array(query["q"].tolist(), dtype=np.float64)
+        again = len({x for some in ids for x in some}) < sum(map(len, ids))  # an id has several vectors here
         for start in range(0, len(asked), 256):
             rough = squared(asked[start : start + 256], vectors)
+            slack = tolerance(asked[start : start + 256], vectors)
             for i, row in enumerate(rough, start):
                 inside = np.unpackbits(np.frombuffer(query["cells"].iloc[i], np.uint8))[cells] > 0
                 at = np.flatnonzero(inside)
-                if len(at) > k + 1:
+                if len(at) > k + 1 and not again:
                     edge = np.partition(row[at], k)[k]
-                    at = at[row[at] <= edge + 1e-7 * (1 + edge)]
+                    at = at[~(row[at] > edge + 2 * slack[i - start])]
                 exact = np.sqrt(((vectors[at] - asked[i]) ** 2).sum(1))
                 own = int(query["query_id"].iloc[i])
                 near = sorted((float(d), int(x)) for a, d in zip(at, exact, strict=True) for x in ids[a] if x != own)
-                out += [(own, x, d) for d, x in dict.fromkeys(near)][:k]
+                best: dict[int, float] = {}
+                for d, x in near:
+                    best.setdefault(x, d)
+                out += [(own, x, best[x]) for x in islice(best, k)]
     return pd.DataFrame(out, columns=["query_id", "id", "score"]).astype({"query_id": "int64", "id": "int64", "score": "float64"})

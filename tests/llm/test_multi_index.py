@@ -28,11 +28,11 @@ def table(spark, rows):
     return spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<float>, v string")
 
 
-def test_small_tables_are_exact_and_ties_go_to_smaller_ids(spark):
+def test_whole_share_is_exact_and_ties_go_to_smaller_ids(spark):
     rng = np.random.default_rng(0)
     rows = {i: rng.integers(-2, 3, 4).astype(float).tolist() for i in range(300)}
     rows = {i: v if any(v) else [1.0, 0, 0, 0] for i, v in rows.items()}
-    got = result(search(table(spark, rows.items()), F.col("id") % 20 == 0))
+    got = result(search(table(spark, rows.items()), F.col("id") % 20 == 0, share=1.0))
     assert got == brute(rows, range(0, 300, 20), 10)
 
 
@@ -52,6 +52,39 @@ def test_recall_and_blocks(spark, monkeypatch):
     assert got[1000] == [(i, 0.0) for i in [5, *range(1001, 1010)]]
 
 
+def test_small_tables_go_through_the_index(spark, monkeypatch):
+    held = []
+    monkeypatch.setattr(multi_index, "blocks", lambda sizes: held.append(sizes) or blocks(sizes))
+    rng = np.random.default_rng(3)
+    rows = {i: rng.normal(size=8).tolist() for i in range(400)}
+    got, want = result(search(table(spark, rows.items()), F.col("id") % 5 == 0)), brute(rows, range(0, 400, 5), 10)
+    recall = np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 10 for q in want])
+    assert 0.9 <= recall < 1
+    assert (held[0] > 0).sum() > 50
+
+
+def test_small_distances_far_from_the_origin(spark):
+    rng = np.random.default_rng(4)
+    rows = {i: (10_000 + 0.01 * rng.normal(size=64)).tolist() for i in range(600)}
+    df = spark.createDataFrame(list(rows.items()), "vec_id long, embedding array<double>")
+    assert result(search(df, F.col("id") % 20 == 0, share=1.0)) == brute(rows, range(0, 600, 20), 10)
+
+
+def test_ids_with_several_vectors(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(i), rng.integers(1, 9, 3).astype(float).tolist()) for i in rng.integers(0, 60, 300)]
+    want = {}
+    for q in {i for i, _ in rows if i % 10 == 0}:
+        near = {}
+        for own in (v for i, v in rows if i == q):
+            for i, v in rows:
+                if i != q:
+                    d = float(np.sqrt(((np.array(v) - np.array(own)) ** 2).sum()))
+                    near[i] = min(d, near.get(i, d))
+        want[q] = [(i, d) for d, i in sorted((d, i) for i, d in near.items())[:10]]
+    assert result(search(table(spark, rows), F.col("id") % 10 == 0, share=1.0)) == want
+
+
 def test_vectors_that_take_no_part(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, None), (2, []), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (None, [1.0, 1.0]),
