@@ -17,6 +17,7 @@ from datetime import UTC, datetime, timedelta
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ListState
 
 from ..functions.text import MAX_OUTPUT_BYTES, OVERSIZE, is_blank
 from ..operators.chunks import MAX_LINE
@@ -24,6 +25,8 @@ from ..operators.shapes import is_progress_error
 from .lines import is_significant, safe_lines
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Rows in one value of a list state.
+PACK = 1000
 _ZERO = datetime(1970, 1, 1, tzinfo=UTC)
 
 
@@ -40,7 +43,10 @@ class InOrder(StatefulProcessor):
     """Takes a run's rows in the order of ``seq`` when the watermark has passed them.
 
     Rows have ``seq``, ``at`` (microseconds), ``eof`` and the ``payload`` column. Subclasses say what a row (``take``), a silence and the
-    end of the run give.
+    end of the run give; their state is read (``load``) and written (``save``) once for all rows that are taken together.
+
+    Every access to state is a round trip to the JVM, so a run costs a few of them a micro-batch, however many rows it has: rows are held in
+    packs, and read back when the watermark has passed the earliest; one timer waits for the next row or silence.
     """
 
     payload = "line"
@@ -50,49 +56,73 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getMapState("held", "seq long", "at long, value string, eof boolean")
-        self.last = handle.getValueState("last", "at long")
+        # time of the last row taken, earliest time of the rows held, next timer (milliseconds)
+        self.run = handle.getValueState("run", "last long, first long, wake long")
+        self.held = handle.getListState("held", "pack array<struct<seq: long, at: long, value: string, eof: boolean>>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        for row in rows:
-            self.held.updateValue((row["seq"],), (row["at"], row[self.payload], bool(row["eof"])))
-            self.wake(row["at"])
-        yield from self.release(key, timerValues.getCurrentWatermarkInMs() * 1000)
+        new = [(row["seq"], row["at"], row[self.payload], bool(row["eof"])) for row in rows]
+        yield from self.release(key, timerValues.getCurrentWatermarkInMs() * 1000, new)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        yield from self.release(key, timerValues.getCurrentWatermarkInMs() * 1000)
+        yield from self.release(key, timerValues.getCurrentWatermarkInMs() * 1000, [], expiredTimerInfo.getExpiryTimeInMs())
 
     def close(self) -> None:
         pass
 
-    def wake(self, micros: int) -> None:
-        self.handle.registerTimer(-(-micros // 1000))
-
-    def release(self, key, passed: int) -> Iterator[Row]:
-        held = sorted((seq, *value) for (seq,), value in self.held.iterator())
-        final = max((seq for seq, at, _, _ in held if at <= passed), default=None)
-        for seq, at, value, eof in held:
-            if final is None or seq > final:
-                break
-            yield from self.end_silence(key, at)
-            yield from self.take(key, seq, at, value)
-            self.last.update((max(at, self.last.get()[0] if self.last.exists() else at),))
-            if eof:
-                yield from self.finish(key, at)
-                self.last.clear()
-            self.held.removeKey((seq,))
-        yield from self.end_silence(key, passed)
-        if self.stall is not None and self.last.exists():
-            self.wake(self.last.get()[0] + self.stall)
+    def release(self, key, passed: int, new: list[tuple], expired: int | None = None) -> Iterator[Row]:
+        before = self.run.get() or (None, None, None)
+        self.last, first, wake = before
+        wake = None if wake == expired else wake
+        first = min([row[1] for row in new] + ([] if first is None else [first]), default=None)
+        taken = first is not None and first <= passed
+        silent = self.is_silent(passed)
+        if taken or silent:
+            self.load()
+        if taken:
+            held = {row[0]: tuple(row) for (pack,) in self.held.get() for row in pack}
+            held.update((row[0], row) for row in new)
+            ordered = [held[seq] for seq in sorted(held)]
+            final = max((seq for seq, at, _, _ in ordered if at <= passed), default=None)
+            n = 0 if final is None else sum(row[0] <= final for row in ordered)
+            for seq, at, value, eof in ordered[:n]:
+                yield from self.end_silence(key, at)
+                yield from self.take(key, seq, at, value)
+                self.last = at if self.last is None else max(at, self.last)
+                if eof:
+                    yield from self.finish(key, at)
+                    self.last = None
+            left = ordered[n:]
+            first = min((row[1] for row in left), default=None)
+            self.held.put(packs(left)) if left else self.held.clear()
+        elif new:
+            self.held.appendList(packs(new))
+        if taken or silent:
+            yield from self.end_silence(key, passed)
+            self.save()
+        due = [] if first is None else [first]
+        if self.stall is not None and self.last is not None:
+            due.append(self.last + self.stall)
+        if due and (wake is None or -(-min(due) // 1000) < wake):
+            wake = -(-min(due) // 1000)
+            self.handle.registerTimer(wake)
+        if (self.last, first, wake) != tuple(before):
+            self.run.update((self.last, first, wake))
+
+    def is_silent(self, now: int) -> bool:
+        return self.stall is not None and self.last is not None and now - self.last >= self.stall
 
     def end_silence(self, key, now: int) -> Iterator[Row]:
         """What a silence gives that is over by ``now``."""
-        if self.stall is None or not self.last.exists():
-            return
-        last = self.last.get()[0]
-        if now - last >= self.stall:
-            yield from self.finish(key, last + self.stall)
-            self.last.clear()
+        if self.is_silent(now):
+            yield from self.finish(key, self.last + self.stall)
+            self.last = None
+
+    def load(self) -> None:
+        raise NotImplementedError
+
+    def save(self) -> None:
+        raise NotImplementedError
 
     def take(self, key, seq: int, at: int, value: str | None) -> Iterator[Row]:
         raise NotImplementedError
@@ -101,6 +131,35 @@ class InOrder(StatefulProcessor):
         raise NotImplementedError
 
 
+def packs(rows: list[tuple]) -> list[tuple]:
+    """Rows as values of a list state."""
+    return [(rows[i : i + PACK],) for i in range(0, len(rows), PACK)]
+
+
+class Kept:
+    """Values of a list state that grow at the end; those of earlier micro-batches are read only when needed."""
+
+    def __init__(self, state: ListState, some: bool) -> None:
+        self.state, self.some, self.unread, self.new = state, some, some, []
+
+    def add(self, *value) -> None:
+        self.new.append(value)
+
+    def all(self) -> list[tuple]:
+        if self.unread:
+            self.new, self.unread = [*self.state.get(), *self.new], False
+        return self.new
+
+    def clear(self) -> None:
+        self.new, self.unread = [], False
+
+    def save(self) -> None:
+        if self.some and not self.unread:
+            self.state.put(self.new) if self.new else self.state.clear()
+        elif self.new:
+            self.state.appendList(self.new)
+
+
 class Lines(InOrder):
     """Lines of a run's chunks; the unfinished one is carried as pieces."""
 
@@ -115,35 +174,45 @@ class Lines(InOrder):
         self.place = handle.getValueState("place", "pos long, part long, size long")
         self.rest = handle.getListState("rest", "piece string")
 
+    def load(self) -> None:
+        self.pos, self.part, self.size = self.place.get() or (0, 0, 0)
+        self.pieces = Kept(self.rest, self.size > 0)
+
+    def save(self) -> None:
+        self.pieces.save()
+        self.place.update((self.pos, self.part, self.size))
+
     def row(self, key, pos: int, part: int, at: int, line: str | None, eof: bool) -> Row:
         return Row(run_id=key[0], pos=pos, part=part, ts=timestamp(at), line=line, eof=eof)
 
     def joined(self) -> str:
-        return "".join(piece for (piece,) in self.rest.get()) if self.rest.exists() else ""
+        return "".join(piece for (piece,) in self.pieces.all())
 
     def take(self, key, seq: int, at: int, value: str | None) -> Iterator[Row]:
-        pos, part, size = self.place.get() if self.place.exists() else (0, 0, 0)
         first, *others = (value or "").split("\n")
-        size = self.add(first, size)
+        self.add(first)
         for piece in others:
-            for text, number in self.parts(self.joined(), part, whole=True):
-                yield self.row(key, pos, number, at, text, False)
-            self.rest.clear()
-            pos, part, size = pos + 1, 0, self.add(piece, 0)
-        if size > self.max_line:
+            for text, number in self.parts(self.joined(), self.part, whole=True):
+                yield self.row(key, self.pos, number, at, text, False)
+            self.begin(self.pos + 1, piece)
+        if self.size > self.max_line:
             text = self.joined()
+            part = self.part
             for piece, number in self.parts(text, part, whole=False):
-                yield self.row(key, pos, number, at, piece, False)
+                yield self.row(key, self.pos, number, at, piece, False)
                 part = number + 1
-            left = text[len(text) // self.max_line * self.max_line :]
-            self.rest.clear()
-            size = self.add(left, 0)
-        self.place.update((pos, part, size))
+            self.begin(self.pos, text[len(text) // self.max_line * self.max_line :], part)
+
+    def begin(self, pos: int, piece: str, part: int = 0) -> None:
+        """The unfinished line is ``piece`` so far."""
+        self.pieces.clear()
+        self.pos, self.part, self.size = pos, part, 0
+        self.add(piece)
 
-    def add(self, piece: str, size: int) -> int:
+    def add(self, piece: str) -> None:
         if piece:
-            self.rest.appendValue((piece,))
-        return size + len(piece)
+            self.pieces.add(piece)
+        self.size += len(piece)
 
     def parts(self, text: str, first: int, whole: bool) -> Iterator[tuple[str, int]]:
         """Parts of a line of at most ``max_line`` characters, the last one too if the line is ``whole``."""
@@ -154,7 +223,7 @@ class Lines(InOrder):
             yield text[i * self.max_line : (i + 1) * self.max_line], first + i
 
     def finish(self, key, at: int) -> Iterator[Row]:
-        pos, part, _ = self.place.get() if self.place.exists() else (0, 0, 0)
+        pos, part = self.pos, self.part
         text = self.joined()
         if text.strip() or (part and text):
             for piece, number in self.parts(text, part, whole=True):
@@ -162,8 +231,7 @@ class Lines(InOrder):
             pos += 1
         # the end goes on to the next operator as a row without a line
         yield self.row(key, pos, 0, at, None, True)
-        self.rest.clear()
-        self.place.update((pos + 1, 0, 0))
+        self.begin(pos + 1, "")
 
 
 class Segments(InOrder):
@@ -177,32 +245,34 @@ class Segments(InOrder):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.place = handle.getValueState("place", "segment long, started long, size long")
-        self.pieces = handle.getListState("pieces", "seq long, piece string")
+        self.place = handle.getValueState("place", "segment long, started long, size long, kept boolean")
+        self.chunks = handle.getListState("pieces", "seq long, piece string")
+
+    def load(self) -> None:
+        self.segment, self.started, self.size, kept = self.place.get() or (0, None, 0, False)
+        self.pieces = Kept(self.chunks, kept)
+
+    def save(self) -> None:
+        self.pieces.save()
+        self.place.update((self.segment, self.started, self.size, bool(self.pieces.unread or self.pieces.new)))
 
     def row(self, key, segment: int, started: int, part: int, at: int, text: str, reason: str | None) -> Row:
         return Row(run_id=key[0], segment=segment, started=timestamp(started), part=part, ts=timestamp(at), output=text, reason=reason)
 
     def take(self, key, seq: int, at: int, value: str | None) -> Iterator[Row]:
-        segment, started, size = self.place.get() if self.place.exists() else (0, at, 0)
-        started = at if started is None else started
-        size += len((value or "").encode())
-        self.pieces.appendValue((seq, value or ""))
-        if size > self.max_bytes:
-            yield from self.chunk_by_chunk(key, segment, started, at)
-        self.place.update((segment, started, size))
-
-    def chunk_by_chunk(self, key, segment: int, started: int, now: int) -> Iterator[Row]:
-        for seq, piece in list(self.pieces.get()):
-            yield self.row(key, segment, started, seq, now, piece, OVERSIZE)
-        self.pieces.clear()
+        self.started = at if self.started is None else self.started
+        self.size += len((value or "").encode())
+        self.pieces.add(seq, value or "")
+        if self.size > self.max_bytes:
+            for number, piece in self.pieces.all():
+                yield self.row(key, self.segment, self.started, number, at, piece, OVERSIZE)
+            self.pieces.clear()
 
     def finish(self, key, at: int) -> Iterator[Row]:
-        segment, started, size = self.place.get()
-        if size <= self.max_bytes:
-            yield self.row(key, segment, started, 0, at, "".join(piece for _, piece in self.pieces.get()), None)
+        if self.size <= self.max_bytes:
+            yield self.row(key, self.segment, self.started, 0, at, "".join(piece for _, piece in self.pieces.all()), None)
         self.pieces.clear()
-        self.place.update((segment + 1, None, 0))
+        self.segment, self.started, self.size = self.segment + 1, None, 0
 
 
 class ErrorsAndFinal(InOrder):
@@ -213,23 +283,29 @@ class ErrorsAndFinal(InOrder):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.open = handle.getValueState("open", "started long, seq long, line string")
+        self.place = handle.getValueState("open", "started long, seq long, line string")
+
+    def load(self) -> None:
+        self.open = self.place.get()
+
+    def save(self) -> None:
+        self.place.clear() if self.open is None else self.place.update(self.open)
 
     def take(self, key, seq: int, at: int, value: str | None) -> Iterator[Row]:
-        started, best, line = self.open.get() if self.open.exists() else (at, None, None)
+        started, best, line = self.open or (at, None, None)
         kind, text = (value[0], value[1:]) if value else ("-", None)
         if kind == "e":
             yield Row(run_id=key[0], kind="error", seq=seq, started=timestamp(at), ts=timestamp(at), line=text)
         elif kind == "s":
             best, line = seq, text
-        self.open.update((started, best, line))
+        self.open = (started, best, line)
 
     def finish(self, key, at: int) -> Iterator[Row]:
-        if self.open.exists():
-            started, seq, line = self.open.get()
+        if self.open is not None:
+            started, seq, line = self.open
             if line is not None:
                 yield Row(run_id=key[0], kind="final", seq=seq, started=timestamp(started), ts=timestamp(at), line=line)
-            self.open.clear()
+            self.open = None
 
 
 def _placed(df: DataFrame, delay: float | None, *columns: str) -> DataFrame:

@@ -244,3 +244,70 @@ def test_a_table_of_many_files_is_streamed_whole(spark, tmp_path, as_folder):
         docs.toPandas().to_parquet(tmp_path / "documents.parquet")
     (tmp_path / "documents.parquet.old").mkdir()
     assert catalog.QUERIES["stream_condense"](spark, str(tmp_path)).count() == 12
+
+
+class CountedState:
+    """State of one run in memory, and how often it is accessed."""
+
+    def __init__(self):
+        self.values, self.timers, self.accesses = {}, set(), 0
+
+    def variable(self, name, *_):
+        return CountedVariable(self, name)
+
+    getValueState = getListState = getMapState = variable
+
+    def registerTimer(self, millis):
+        self.accesses += 1
+        self.timers.add(millis)
+
+
+class CountedVariable:
+    def __init__(self, state, name):
+        self.state, self.name = state, name
+
+    def __getattr__(self, call):
+        def access(*args):
+            values = self.state.values
+            self.state.accesses += 1
+            if call in ("update", "put"):
+                values[self.name] = args[0]
+            elif call == "updateValue":
+                values.setdefault(self.name, {})[args[0]] = args[1]
+            elif call == "removeKey":
+                del values[self.name][args[0]]
+            elif call == "iterator":
+                return iter(list(values.get(self.name, {}).items()))
+            elif call in ("appendList", "appendValue"):
+                values.setdefault(self.name, []).extend(args[0] if call == "appendList" else args)
+            elif call == "clear":
+                values.pop(self.name, None)
+            elif call == "exists":
+                return self.name in values
+            elif call == "get":
+                found = values.get(self.name)
+                return iter(found or []) if self.name in ("held", "rest", "pieces") else found
+
+        return access
+
+
+class Clock:
+    def __init__(self, millis):
+        self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: millis
+
+
+@pytest.mark.parametrize("make", [lambda: runs.Lines(2.0, 50), lambda: runs.Segments(2.0, 90_000), lambda: runs.ErrorsAndFinal(2.0)])
+def test_accesses_to_state_do_not_grow_with_the_rows(make):
+    def accesses(n):
+        processor, state = make(), CountedState()
+        processor.init(state)
+        rows = [{"seq": i, "at": 1_000_000 + i * 1000, "eof": False, "chunk": "ab\n", "line": "sab"} for i in range(n)]
+        found = list(processor.handleInputRows((1,), iter(rows), Clock(0)))
+        assert not found
+        while state.timers:
+            state.timers.remove(at := min(state.timers))
+            found += processor.handleExpiredTimer((1,), Clock(9_000_000), Clock(at))
+        assert found
+        return state.accesses
+
+    assert accesses(800) == accesses(10) < 20
