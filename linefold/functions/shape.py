@@ -19,8 +19,9 @@ FRACTION = r"\p{Nd}+/\p{Nd}+"
 PROGRESS_WORDS = r"(?iu)downloading|fetching|step|layer"
 TEST_WORDS = r"PASSED|FAILED|ERROR|ok|FAIL"
 CHANGED_LINE = r"(?md)^[+-](?![+-])"
-KEY_COLON = r"(?md)^[\p{L}\p{N}_][\p{L}\p{N}_ \t\n]+:[ \t\n]+[^ \t\n]"
-KEY_EQUALS = r"(?md)^[\p{L}\p{N}_][\p{L}\p{N}_ \t\n]+=[ \t\n]*[^ \t\n]"
+# possessive: what follows is in none of the classes, so that giving characters back never helps
+KEY_COLON = r"(?md)^[\p{L}\p{N}_][\p{L}\p{N}_ \t\n]++:[ \t\n]++[^ \t\n]"
+KEY_EQUALS = r"(?md)^[\p{L}\p{N}_][\p{L}\p{N}_ \t\n]++=[ \t\n]*+[^ \t\n]"
 TABLE_RULE = r"^[- \t|+]+\z"
 COLUMN_GAP = r"[ \t]{2,}|\t|\|"
 MIN_SCORE = 0.5
@@ -38,6 +39,17 @@ def _hits(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
+def _keys(text: Column, pattern: str, sign: str) -> Column:
+    """Hits of a key's pattern; a key goes over lines, so each line would be tried to the end of a text without the sign."""
+    return F.when(~F.contains(text, F.lit(sign)), F.lit(0)).otherwise(_hits(text, pattern))
+
+
+def _near(lines: Column, length: Column) -> Column:
+    """Number of lines within 20 characters of a length."""
+    # the outer lambda binds the length: inside the inner one it would be computed for every line
+    return F.get(F.transform(F.array(length), lambda a: F.size(F.filter(lines, lambda ln: F.abs(F.length(ln) - a) <= 20))), F.lit(0))
+
+
 def _is_frame(line: Column) -> Column:
     return F.contains(line, F.lit('File "')) | F.contains(line, F.lit("at line"))
 
@@ -48,7 +60,7 @@ def sample_frame(outputs: DataFrame, text: str = "output") -> DataFrame:
     df = outputs.withColumn("s_lines", lines)
     df = df.withColumn("s_text", F.array_join("s_lines", "\n")).withColumn("s_n", F.size("s_lines"))
     total_chars = F.aggregate("s_lines", F.lit(0), lambda acc, ln: acc + F.length(ln))
-    df = df.withColumn("s_avg", total_chars / F.col("s_n"))
+    df = df.withColumn("s_avg", total_chars / F.nullif(F.col("s_n"), F.lit(0)))
     s, spaced = F.col("s_text"), plain_spaces(F.col("s_text"))
     columns = F.transform(
         F.filter(F.slice("s_lines", 1, 10), lambda ln: ~is_blank(ln)), lambda ln: _hits(plain_spaces(ln), COLUMN_GAP) + 1
@@ -64,7 +76,7 @@ def sample_frame(outputs: DataFrame, text: str = "output") -> DataFrame:
     return df.withColumn(
         "s",
         F.struct(
-            F.size(F.filter("s_lines", lambda ln: F.abs(F.length(ln) - F.col("s_avg")) <= 20)).alias("similar"),
+            _near(F.col("s_lines"), F.col("s_avg")).alias("similar"),
             _hits(s, ":").alias("colons"),
             _hits(s, CHANGED_LINE).alias("changed"),
             (_hits(s, PERCENT) + _hits(s, FRACTION)).alias("fractions"),
@@ -73,8 +85,8 @@ def sample_frame(outputs: DataFrame, text: str = "output") -> DataFrame:
             _hits(F.lower(s), "test").alias("test_names"),
             _hits(s, "@@").alias("hunks"),
             (_hits(s, "---") + _hits(s, r"\+\+\+")).alias("file_marks"),
-            _hits(spaced, KEY_COLON).alias("kv_colon"),
-            _hits(spaced, KEY_EQUALS).alias("kv_equals"),
+            _keys(spaced, KEY_COLON, ":").alias("kv_colon"),
+            _keys(spaced, KEY_EQUALS, "=").alias("kv_equals"),
             (_hits(s, 'File "') + _hits(s, "at line")).alias("frames"),
             (F.contains(s, F.lit("Traceback")) | F.contains(s, F.lit("Exception"))).alias("trace_word"),
             F.exists(

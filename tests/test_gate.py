@@ -76,3 +76,21 @@ def test_shapes(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "i int, output string")
     found = [(r.shape, r.confidence) for r in shape.detect(df).orderBy("i").collect()]
     assert found == list(cases.values())
+
+
+def test_mean_length_is_computed_once_an_output(spark):
+    """Inside the lambda over lines it would be summed over all lines for every line."""
+    docs = spark.range(2).selectExpr("id as doc_id", "repeat('a line\\n', 30) as output")
+    plan = shape.detect(docs)._jdf.queryExecution().optimizedPlan().toString()
+    within = plan.split("abs((cast(length(")[1].split("<= 20.0")[0]
+    assert "aggregate(" not in within
+
+
+def test_keys_go_over_lines(spark):
+    """The counts of keys are those of the plain patterns, which give characters back."""
+    texts = ["a b: c\nd=e", "a\nb\nc: d\ne f = g", ":x\na:\n b", "a a\na\n", "", "a == b\nc: : d\ne:  \n", "a=\n\nb", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, output string")
+    colon, equals = (p.replace("++", "+").replace("*+", "*") for p in (shape.KEY_COLON, shape.KEY_EQUALS))
+    want = df.select(F.regexp_count("output", F.lit(colon)), F.regexp_count("output", F.lit(equals)))
+    got = df.select(shape._keys(F.col("output"), shape.KEY_COLON, ":"), shape._keys(F.col("output"), shape.KEY_EQUALS, "="))
+    assert list(map(tuple, got.collect())) == list(map(tuple, want.collect()))
