@@ -61,15 +61,29 @@ def _range_of(entry_id: Column, width: int) -> Column:
     return F.floor(entry_id / width).cast("long")
 
 
+def _ranges(spark: SparkSession, path: str, batch: int) -> list[int]:
+    return _numbers(spark, f"{path}/batch={batch}", "ids")
+
+
+def _read_ranges(spark: SparkSession, path: str, wanted: list[tuple[int, int]]) -> DataFrame:
+    """The entries of ranges ``(batch, range)``; no other folder of the store is listed."""
+    folders = [f"{path}/batch={batch}/ids={i}" for batch, i in wanted]
+    return spark.read.option("basePath", path).parquet(*folders or [path])
+
+
+def _newest_id(spark: SparkSession, path: str, batch: int) -> int:
+    """The largest id of a batch, which is in its last range; 0 if it has none."""
+    ranges = _ranges(spark, path, batch)
+    return _read_ranges(spark, path, [(batch, ranges[-1])]).agg(F.max("id")).first()[0] if ranges else 0
+
+
 def append_to_store(results: DataFrame, path: str, batch: int, width: int = IDS) -> None:
     """Number a batch's results after those of all smaller batches, and write them in ranges of ``width`` ids."""
     spark = results.sparkSession
     before = [b for b in _numbers(spark, path, "batch") if b < batch]
     first = 1
     if before:
-        # the newest ids are in the last range of the last batch
-        last = spark.read.parquet(path).filter(F.col("batch") == before[-1])
-        first += last.agg(F.max("id")).first()[0] or 0
+        first += _newest_id(spark, path, before[-1])
     entries = numbered(results, first).withColumns({"batch": F.lit(batch), "ids": _range_of(F.col("id"), width)})
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     _write(entries.repartitionByRange(parts, "id").sortWithinPartitions("ids", "id"), path, "batch", "ids")
@@ -77,18 +91,19 @@ def append_to_store(results: DataFrame, path: str, batch: int, width: int = IDS)
 
 def stored_history(spark: SparkSession, path: str, max_entries: int = 0, width: int = IDS) -> DataFrame:
     """All entries, or the newest ``max_entries``: older ranges aren't read."""
-    history = spark.read.parquet(path)
-    if max_entries > 0:
-        newest = history.filter(F.col("batch") == _numbers(spark, path, "batch")[-1]).agg(F.max("id")).first()[0] or 0
-        least = newest - max_entries + 1
-        history = history.filter((F.col("ids") >= least // width) & (F.col("id") >= least))
-    return history.select(*HISTORY_COLUMNS)
+    if max_entries <= 0:
+        return spark.read.parquet(path).select(*HISTORY_COLUMNS)
+    batches = _numbers(spark, path, "batch")
+    least = _newest_id(spark, path, batches[-1]) - max_entries + 1 if batches else 0
+    wanted = [(b, i) for b in batches for i in _ranges(spark, path, b) if i >= least // width]
+    return _read_ranges(spark, path, wanted).filter(F.col("id") >= least).select(*HISTORY_COLUMNS)
 
 
 def stored_by_id(spark: SparkSession, path: str, ids: list[int], width: int = IDS) -> DataFrame:
     """The entries with these ids: one partition range and a pushed filter each."""
-    ranges = sorted({i // width for i in ids})
-    return spark.read.parquet(path).filter(F.col("ids").isin(ranges) & F.col("id").isin(ids)).select(*HISTORY_COLUMNS)
+    ranges = {i // width for i in ids}
+    wanted = [(b, i) for b in _numbers(spark, path, "batch") for i in _ranges(spark, path, b) if i in ranges]
+    return _read_ranges(spark, path, wanted).filter(F.col("id").isin(ids)).select(*HISTORY_COLUMNS)
 
 
 def expire(spark: SparkSession, path: str, max_entries: int, width: int = IDS) -> int:
@@ -96,8 +111,8 @@ def expire(spark: SparkSession, path: str, max_entries: int, width: int = IDS) -
     batches = _numbers(spark, path, "batch")
     if not batches:
         return 0
-    newest = spark.read.parquet(path).filter(F.col("batch") == batches[-1]).agg(F.max("id")).first()[0] or 0
-    old = [f"{path}/batch={b}/ids={r}" for b in batches for r in _numbers(spark, f"{path}/batch={b}", "ids") if (r + 1) * width <= newest - max_entries + 1]
+    newest = _newest_id(spark, path, batches[-1])
+    old = [f"{path}/batch={b}/ids={r}" for b in batches for r in _ranges(spark, path, b) if (r + 1) * width <= newest - max_entries + 1]
     for folder in old:
         delete_folder(spark, folder)
     return len(old)

@@ -76,3 +76,27 @@ def test_registry_versions(spark, tmp_path):
     assert stores.registry_version(spark, path, 1) is None
     assert stores.registry_version(spark, path).agg(F.sum("calls")).first()[0] == 91
     assert stores.drop_versions(spark, path, 0) == [2, 3]
+
+
+def test_reads_list_only_the_ranges_they_need(spark, tmp_path):
+    """More ranges than Spark lists on the driver: a lookup lists and opens its own."""
+    path, n = str(tmp_path / "many"), 60
+    rows = spark.range(n).selectExpr(
+        "id as doc_id", "'c' as command", "'list' as strategy", "'seed' as source", "'r' as raw_output", "'c' as compressed_output",
+        "2L as raw_tokens", "1L as compressed_tokens", "timestamp_seconds(id) as created_at",
+    )
+    stores.append_to_store(rows, path, 1, 1)
+    context, tracker = spark.sparkContext, spark.sparkContext.statusTracker()
+    for group, read in [
+        ("lookup", lambda: stores.stored_by_id(spark, path, [7], 1)),
+        ("newest", lambda: stores.stored_history(spark, path, 2, 1)),
+        ("next", lambda: stores.append_to_store(rows.limit(1), path, 2, 1)),
+    ]:
+        context.setJobGroup(group, group)
+        found = read()
+        stages = [s for job in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(job).stageIds]
+        context.setLocalProperty("spark.jobGroup.id", None)
+        assert max((tracker.getStageInfo(s).numTasks for s in stages if tracker.getStageInfo(s)), default=0) < n // 2
+        if group != "next":
+            assert sorted(r.id for r in found.collect()) == ([7] if group == "lookup" else [n - 1, n])
+    assert stores.stored_by_id(spark, path, [n + 1], 1).count() == 1 and stores.stored_by_id(spark, path, [999], 1).count() == 0
