@@ -68,6 +68,8 @@ SENSITIVE_WORDS = [
     "openssl",
     "/etc/",
 ]
+# Characters that are rare in texts, rarest first.
+RARE = "_$-./2vkbpcgywmf"
 # Characters that match a plain letter when case is ignored.
 FOLDED, PLAIN = "\u017f\u0131\u0130\u212a", "siik"
 SENSITIVE_COMMANDS = ["printenv", "declare", "env", "set", "history", "fc"]
@@ -88,15 +90,28 @@ def _any_pattern(text: Column, patterns: list[str]) -> Column:
     return text.rlike("(?iuUd)" + "|".join(f"(?:{p})" for p in patterns))
 
 
-def sensitive_text(text: Column, extra_patterns: list[str] | None = None) -> Column:
-    """A pattern matches, whatever the case. The regex runs only on texts with one of its words."""
-    folded = F.lower(F.translate(text, FOLDED, PLAIN))
+def any_word(words: list[str]) -> str:
+    """A pattern that finds any of the words in one pass: a rare character of each word first, then what is around it."""
+
+    def quoted(part: str) -> str:
+        return "".join(c if c.isalnum() else "\\" + c for c in part)
 
-    def holds_word(t: Column) -> Column:
-        return reduce(or_, [F.contains(t, F.lit(word)) for word in SENSITIVE_WORDS])
+    around: dict[str, list[str]] = {}
+    for word in words:
+        rare = min(word, key=lambda c: RARE.find(c) if c in RARE else len(RARE))
+        at = word.index(rare)
+        before = f"(?<={quoted(word[: at + 1])})" if at else ""
+        around.setdefault(rare, []).append(before + quoted(word[at + 1 :]))
+    each = [f"(?<={quoted(c)})(?:{'|'.join(rest)})" for c, rest in around.items()]
+    return f"[{''.join(map(quoted, around))}](?:{'|'.join(each)})"
 
-    # the lambda binds the folded text, so that it is computed once, also under a CASE
-    suspect = F.exists(F.array(folded), holds_word)
+
+def sensitive_text(text: Column, extra_patterns: list[str] | None = None) -> Column:
+    """A pattern matches, whatever the case. The regex runs only on texts with one of its words."""
+    holds_folded = reduce(or_, [F.contains(text, F.lit(c)) for c in FOLDED])
+    odd = (F.octet_length(text) > F.length(text)) & holds_folded
+    folded = F.lower(F.when(odd, F.translate(text, FOLDED, PLAIN)).otherwise(text))
+    suspect = folded.rlike(any_word(SENSITIVE_WORDS))
     hit = suspect & _any_pattern(text, SENSITIVE_PATTERNS)
     for pattern in java_patterns(extra_patterns or []).values():  # a bad one is skipped, as a rule of the gate
         hit = hit | text.rlike("(?iuUd)" + pattern)

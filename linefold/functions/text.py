@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Line terminators, whitespace and token delimiters of the text rules.
-LINE_BREAK = r"\r\n|[\n-\r\x1c-\x1e\x85\u2028\u2029]"
+# (the class comes first and lists its characters, which Java looks up in one step)
+LINE_BREAK = r"[\n\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029](?:(?<=\r)\n)?"
 LINE_ENDS = "\n\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029"
 SPACES = r" \t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACE_CHARS = (
@@ -73,14 +74,24 @@ def base_command_key(command: Column) -> Column:
     return F.substring_index(command, " ", 2)
 
 
+def blanked(text: Column) -> Column:
+    return F.translate(text, DELIMITERS, " " * len(DELIMITERS))
+
+
+def first_tokens(text: Column, n: int, rest: str) -> Column:
+    """The text up to its ``n``-th token and what ``rest``, a pattern, matches from there; a text with fewer tokens is whole."""
+    head = F.length(F.regexp_extract(blanked(text), f"^(?: *+[^ ]++){{{n}}}+", 0))
+    part = F.concat(F.left(text, head), F.regexp_extract(F.substring(text, head + 1, F.length(text)), f"^{rest}", 0))
+    return F.when(head > 0, part).otherwise(text)
+
+
 def line_tokens(text: Column) -> Column:
     """Token runs in a piece of text. Line breaks delimit, so counts add over lines.
 
     Delimiters become blanks first: the count then needs a two-way class only, which is
     several times faster than a class of all Unicode delimiters.
     """
-    blanked = F.translate(text, DELIMITERS, " " * len(DELIMITERS))
-    return F.regexp_count(blanked, F.lit("[^ ]+")).cast("bigint")
+    return F.regexp_count(blanked(text), F.lit("[^ ]+")).cast("bigint")
 
 
 def count_tokens(text: Column) -> Column:

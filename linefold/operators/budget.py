@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import SPACES, count_tokens, explode_lines, line_array, line_tokens, strip as strip_text
+from ..functions.text import LINE_ENDS, SPACES, count_tokens, explode_lines, first_tokens, line_array, line_tokens, strip as strip_text
 from .contract import KEEP_ORD, always_strip, kept_lines
 from .ordered import ranked_ends
 from .rows import collapse_runs
@@ -87,6 +87,8 @@ def _running(tokens: Column, order: str = "pos") -> Column:
 
 def fit_lines(texts: DataFrame, budget: int, text: str = "text") -> DataFrame:
     """Longest line prefix that leaves room for the marker; documents without one are missing."""
+    # no line after the first that goes over the budget is kept
+    texts = texts.select("doc_id", first_tokens(F.col(text), max(1, budget + 1), f"[^{LINE_ENDS}]*+").alias(text))
     lines = explode_lines(texts, text)
     lines = lines.withColumn("used", _running(line_tokens(F.col("line"))))
     kept = lines.filter(F.col("used") + BUDGET_CUT_TOKENS <= budget)
@@ -97,7 +99,9 @@ def fit_lines(texts: DataFrame, budget: int, text: str = "text") -> DataFrame:
 
 def fit_words(texts: DataFrame, budget: int, text: str = "text") -> DataFrame:
     """Longest word prefix within the budget, at least one word."""
-    words = F.split(strip_text(F.col(text)), f"[{SPACES}]+", -1)
+    # no word after the first that goes over the budget is kept
+    head = first_tokens(strip_text(F.col(text)), max(1, budget + 1), f"[^{SPACES}]*+")
+    words = F.split(head, f"[{SPACES}]+", -1)
     rows = texts.filter(strip_text(F.col(text)) != "").select("doc_id", F.posexplode(words).alias("pos", "word"))
     rows = rows.withColumn("used", F.greatest(F.lit(1).cast("bigint"), _running(line_tokens(F.col("word")))))
     kept = rows.filter((F.col("pos") == 0) | (F.col("used") <= budget))

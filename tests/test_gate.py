@@ -94,3 +94,11 @@ def test_keys_go_over_lines(spark):
     want = df.select(F.regexp_count("output", F.lit(colon)), F.regexp_count("output", F.lit(equals)))
     got = df.select(shape._keys(F.col("output"), shape.KEY_COLON, ":"), shape._keys(F.col("output"), shape.KEY_EQUALS, "="))
     assert list(map(tuple, got.collect())) == list(map(tuple, want.collect()))
+
+
+def test_one_pass_finds_every_sensitive_word_and_nothing_else(spark):
+    words = [p + w + q for w in safety.SENSITIVE_WORDS for p, q in (("", ""), ("xx ", " yy"), ("a", "b\n"))]
+    parts = [w[1:] for w in safety.SENSITIVE_WORDS if len(w) > 3] + [w[:-1] for w in safety.SENSITIVE_WORDS if len(w) > 3]
+    df = spark.createDataFrame([(t,) for t in [*words, *parts, "", "plain text"]], "t string")
+    found = df.select("t", F.col("t").rlike(safety.any_word(safety.SENSITIVE_WORDS)).alias("hit")).collect()
+    assert {r.t: r.hit for r in found} == {r.t: any(w in r.t for w in safety.SENSITIVE_WORDS) for r in found}

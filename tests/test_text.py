@@ -54,3 +54,17 @@ def test_ansi_and_commands(spark):
 def test_upper(spark):
     df = spark.createDataFrame([("NAME  ID",), ("123",), ("Name",), ("",)], "s string")
     assert [r[0] for r in df.select(text.is_upper(F.col("s"))).collect()] == [True, False, False, False]
+
+
+def test_first_tokens_end_with_a_whole_word_or_line(spark):
+    texts = ["a b-c d\ne f", "--x, (y z) w", "one", "", " \n a\n\nb", "中文 k:v w"]
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    for n in (1, 2, 3, 9):
+        words = df.select(text.first_tokens(F.col("s"), n, f"[^{text.SPACES}]*+")).collect()
+        lines = df.select(text.first_tokens(F.col("s"), n, f"[^{text.LINE_ENDS}]*+")).collect()
+        for whole, (by_word,), (by_line,) in zip(texts, words, lines, strict=True):
+            tokens = list(re.finditer("[^" + re.escape(text.DELIMITERS) + "]+", whole))
+            at = tokens[n - 1].end() if len(tokens) >= n else len(whole)
+            rest = whole[at:]
+            assert by_word == whole[:at] + re.match(f"[^{text.SPACES}]*", rest)[0] or at == len(whole) and by_word == whole
+            assert by_line == whole[:at] + re.match(f"[^{text.LINE_ENDS}]*", rest)[0] or at == len(whole) and by_line == whole
