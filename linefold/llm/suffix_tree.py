@@ -320,6 +320,10 @@ def grow(root: Root, counts: DataFrame, corpus: DataFrame, depth: int, least_con
     return parts
 
 
+def by_row(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("row").agg(*(F.sum(c).alias(c) for c in ("log", "part", "known")))
+
+
 def scores(
     docs: DataFrame, may_learn: Column, depth: int = 3, hot_share: float = 1e-6, context_share: float = 0.0,
     follower_share: float = 0.0, id_column: str = "doc_id", text_column: str = "text", least_context: int = 8, least_follower: int = 2,
@@ -381,10 +385,14 @@ def scores(
     log = F.log10((n + ALPHA) / F.lit(root.total + ALPHA * (root.distinct + 1)))
     cold = corpus.select("row", F.explode("cold").alias("word")).join(counts, "word", "left")
     cold = cold.select("row", log.alias("log"), none.alias("part"), F.when(n > 0, 1).otherwise(0).alias("known"))
+    # sums are stored one after the other, and what they were made from goes: shuffle files of all joins at once take the most disk
+    cold = written(by_row(cold), "cold")
+    drop(corpus, counts)
     if parts is not None:
         found = hot.select("row", F.explode("wanted").alias("code")).join(parts.where(F.col("n") < part_share * root.total), "code")
-        cold = cold.unionByName(found.select("row", none.alias("log"), "part", F.lit(0).alias("known")))
-    cold = cold.groupBy("row").agg(*(F.sum(c).alias(c) for c in ("log", "part", "known")))
+        found = written(by_row(found.select("row", none.alias("log"), "part", F.lit(0).alias("known"))), "found")
+        drop(parts)
+        cold = by_row(cold.unionByName(found))
     log, part, known = (F.coalesce(c, F.lit(0)) for c in ("log", "part", "known"))
     return hot.drop("wanted").join(cold, "row", "left").select(
         F.col("id").alias(id_column), "learn", "n_tokens", (F.col("hot") + known).alias("n_known"),

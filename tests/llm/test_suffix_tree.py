@@ -111,3 +111,16 @@ def test_model_grows_with_the_text(spark, docs_of):
     total += 600_001
     want, many = restated(rows + filler, lambda i: True, 3, 8 / total, 2 / total)
     assert many >= contexts and result(scores(docs_of(rows + filler), F.lit(True))) == want
+
+
+def test_tables_of_the_model_are_gone_when_scores_are_read(spark, tmp_path):
+    spark.conf.set("linefold.scratch.dir", str(tmp_path))
+    try:
+        texts = [(i, " ".join(f"w{(i * 7 + j) % 5} r{i}-{j % 3}" for j in range(40))) for i in range(60)]
+        docs = spark.createDataFrame(texts, "doc_id long, text string")
+        found = scores(docs, F.col("doc_id") % 10 != 0)
+        assert found.count() == 60
+    finally:
+        spark.conf.unset("linefold.scratch.dir")
+    left = {p.name.split("-")[0] for p in tmp_path.iterdir()}
+    assert left.isdisjoint({"encoded", "words", "level", "retained"})
