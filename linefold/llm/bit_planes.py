@@ -45,7 +45,7 @@ BLOCK = 1 << 16
 #: A file is closed after the document that brings it to so many ids, or documents.
 FILE_IDS, FILE_DOCS = 1 << 24, 1 << 20
 #: Pieces in each of two generations, and their longest.
-REMEMBERED, SHORT = 250_000, 48
+REMEMBERED, SHORT = 400_000, 48
 BATCH_BYTES = 1 << 22
 #: Fixed value: array code of unsigned 32-bit integers.
 WORD = "I"
@@ -69,8 +69,13 @@ class Encoder:
             self.pieces_hold = True
         self.special = re.compile("|".join(re.escape(t["content"]) for t in json.loads(spec)["added_tokens"]) or "(?!)")
         self.unsure = re.compile(f"[^\0-{SURE}]")
-        self.cut = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+").findall
+        # a mark between a letter or number and white space is a piece, so that words with and without one are the same piece
+        marks, ends = "".join(sorted(MARKS)), f"(?=[{WHITE}]|\\Z)"
+        word = f"[{WHITE}]*+[^{WHITE}{marks}]++(?<=[^\\W_])(?=[{marks}]{ends})"
+        mark = f"(?<=[^\\W_])[{marks}]{ends}"
+        self.cut = re.compile(f"{word}|{mark}|[{WHITE}]*[^{WHITE}]+|[{WHITE}]+").findall
         self.pre_tokens, self.letters = regex.compile(PRE_TOKEN).findall, byte_letters()
+        self.space = " ".translate(self.letters)
         self.model = self.tokenizer.model
         self.known: dict[str, bytes] = {}
         self.aged: dict[str, bytes] = {}
@@ -84,12 +89,17 @@ class Encoder:
             return self.of(text[:-1]) + self.of(text[-1])
         if text[0] == "\n" and text[1:2].isalpha():
             return self.of("\n") + self.of(text[1:])
+        word = text[text[0] == " " :]
+        letters = word.isalpha()
+        # letters after at most one space are one pre-token; ASCII letters stand for themselves
+        if letters and word.isascii():
+            found = self.model.tokenize(word if len(word) == len(text) else self.space + word)
+            return array(WORD, [token.id for token in found]).tobytes()
         ids = []
-        # letters after at most one space are one pre-token
-        for part in (text,) if text[text[0] == " " :].isalpha() else self.pre_tokens(text):
+        for part in (text,) if letters else self.pre_tokens(text):
             plain = part.isascii() and part.isalpha()
-            letters = part if plain else part.encode().decode("latin-1").translate(self.letters)
-            ids += [token.id for token in self.model.tokenize(letters)]
+            part = part if plain else part.encode().decode("latin-1").translate(self.letters)
+            ids += [token.id for token in self.model.tokenize(part)]
         return array(WORD, ids).tobytes()
 
     def of(self, piece: str) -> bytes:

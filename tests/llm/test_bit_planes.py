@@ -131,3 +131,11 @@ def test_query_by_the_library(spark):
         row = got[doc_id]
         assert (row.start, row.n_tokens, row.ids_crc32) == (place, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         place += len(ids)
+
+
+def test_words_with_and_without_a_mark_are_one_piece():
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        encoder = Encoder(file.read())
+    for text in ("one, two. one two! 7: x2; ab.c, (d), café. \n\nEnd.\nnext, a,, b², , !", "a.", ".", " .", "a .b", "it's, _x_, 中文. ½;"):
+        assert encoder.encode(text) == encoder.library(text)
+    assert encoder.cut("one, two. one") == ["one", ",", " two", ".", " one"]
