@@ -8,7 +8,12 @@ Contexts, followers and words are Spark tables of any size, so the model grows w
 Smoothing: P(s | context) = (n - DISCOUNT) / c + rest * P(s | suffix), down to the root
 P(s) = (n + ALPHA) / (N + ALPHA (V + 1)). Every position is scored at its longest retained suffix. Its log10 is a sum: that
 of the root, of the rest of every retained context, and, for an explicit follower, of P(s | context) / (rest * P(s | suffix)).
-So every part is looked up by itself: parts with ``part_share`` of all tokens are broadcast, all others are joined.
+So every part is looked up by itself, a level at a time, and a level's tables go when the next one has been made from them.
+Parts with ``part_share`` of all tokens are broadcast, all others are joined.
+
+What is counted or looked up travels as arrays: a task sorts some ``HELD`` tokens, sums what is alike and deals it to buckets by the
+leading bits of its code. Buckets are as many as the text asks for, about ``HELD`` tokens each; a bucket's arrays meet
+the table's rows of that bucket.
 
 Positions whose context is surely no candidate, or whose part surely isn't in a table, are left out early by a ``Sieve``: a
 bit array of bounded size. What it lets through is compared with the tables themselves, so results don't depend on it.
@@ -23,10 +28,13 @@ every root probability is 1. Columns of the input other than id and text aren't
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
@@ -40,19 +48,37 @@ HELD = 1_000_000
 END = np.uint64(xxh3_64_intdigest(b" end ")).view(np.int64)
 #: Tells followers from contexts of the same words.
 FOLLOWER = 0x5DEECE66D1234567
-#: A sieve has 16 bits a code, up to 2^SIEVE_BITS.
-SIEVE_BITS = 27
+#: A sieve has 16 bits a code, up to 2^SIEVE_BITS. Tasks exchange it in segments of so many numbers of 64 bits.
+SIEVE_BITS, SEGMENT = 27, 1 << 13
+#: Bytes of text that are split at a time.
+SPLIT = 8_000_000
 #: Spark setting: delete the shuffle files of a query at its end.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def word_values(text: str | None) -> np.ndarray:
-    """64-bit values of the words, cut at ASCII white space, A-Z lower-cased, and the end."""
-    words = (text or "").encode().lower().split()
-    out = np.empty(len(words) + 1, np.int64)
-    out[:-1] = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)
-    out[-1] = END
-    return out
+def tokenized(texts: pa.Array):
+    """Slices of the texts: where they start and stop, values of the distinct tokens, the place of each token among them, tokens per text.
+
+    Words are cut at ASCII white space, A-Z lower-cased; every text ends with the end token.
+    """
+    bounds = np.append(0, np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)))
+    start = 0
+    while start < len(texts):
+        stop = max(start + 1, int(np.searchsorted(bounds, bounds[start] + SPLIT, "right")) - 1)
+        words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts[start:stop], "")))
+        found = words.flatten().dictionary_encode()
+        distinct = found.dictionary.cast(pa.binary()).to_pylist()
+        place = found.indices.to_numpy()
+        # white space at either end of a text leaves an empty word
+        real = place != (distinct.index(b"") if b"" in distinct else -1)
+        sizes = np.add.reduceat(real, words.offsets.to_numpy()[:-1], dtype=np.int64) + 1
+        places = np.full(int(sizes.sum()), len(distinct), np.int64)
+        word = np.ones(len(places), bool)
+        word[np.cumsum(sizes) - 1] = False
+        places[word] = place[real]
+        values = np.fromiter(map(xxh3_64_intdigest, distinct), np.uint64, len(distinct)).view(np.int64)
+        yield start, stop, np.append(values, END), places, sizes
+        start = stop
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
@@ -66,12 +92,37 @@ def written(df: DataFrame, tag: str) -> DataFrame:
         conf.set(CLEANUP, before)
 
 
-def find(ordered: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Places of the values in the ordered array, -1 for others."""
-    if not len(ordered):
-        return np.full(len(wanted), -1, np.int64)
-    at = np.minimum(np.searchsorted(ordered, wanted), len(ordered) - 1)
-    return np.where(ordered[at] == wanted, at, -1)
+class Lookup:
+    """Finds values in an ordered array of hashes: each stands at the slot its place in their range names, or at the next free one."""
+
+    def __init__(self, ordered: np.ndarray) -> None:
+        span = int(ordered[-1]) - int(ordered[0]) if len(ordered) else 0
+        self.shift = max(0, span.bit_length() - (2 * len(ordered)).bit_length())
+        self.low = ordered[0] >> self.shift if len(ordered) else 0
+        at = np.arange(len(ordered))
+        slot = np.maximum.accumulate((ordered >> self.shift) - self.low - at) + at
+        size = int(slot[-1]) + 2 if len(slot) else 1
+        self.keys, self.places = np.zeros(size, np.int64), np.full(size, -1, np.int32)
+        self.keys[slot], self.places[slot] = ordered, at
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """Places of the values, -1 for others."""
+        out, left = np.full(len(wanted), -1, np.int64), np.arange(len(wanted))
+        slot = np.clip(wanted >> self.shift, self.low, self.low + len(self.keys) - 1) - self.low
+        while len(left):
+            place, key = self.places[slot], self.keys[slot]
+            hit = (key == wanted) & (place >= 0)
+            out[left[hit]] = place[hit]
+            more = np.flatnonzero((place >= 0) & (key < wanted))
+            left, slot, wanted = left[more], slot[more] + 1, wanted[more]
+        return out
+
+
+def alike(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the codes, and where in it each distinct one starts."""
+    order = np.argsort(codes)
+    codes = codes[order]
+    return order, np.flatnonzero(np.append(True, codes[1:] != codes[:-1])[: len(codes)])
 
 
 def chained(codes: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -104,27 +155,50 @@ class Root:
     total: int
     distinct: int
 
-    def probabilities(self) -> np.ndarray:
-        return (self.counts + ALPHA) / (self.total + ALPHA * (self.distinct + 1))
+    def logs(self) -> np.ndarray:
+        """log10 of the probabilities of the hot words, and at the end that of an unknown one."""
+        return np.log10((np.append(self.counts, 0) + ALPHA) / (self.total + ALPHA * (self.distinct + 1)))
+
+    def bits(self) -> int:
+        """Leading bits of a code that name its bucket."""
+        return max(1, (self.total // HELD).bit_length())
 
 
 class Sieve:
     """Bits of codes, two each. It lets every code of its table through, and few others as long as it isn't full."""
 
     def __init__(self, table: DataFrame) -> None:
-        self.size = min(SIEVE_BITS, max(10, (16 * table.count()).bit_length()))
-        code, most = F.col("code"), F.lit((1 << self.size) - 1)
-        places = F.array(code.bitwiseAND(most), F.shiftrightunsigned(code, SIEVE_BITS).bitwiseAND(most))
-        place = F.col("place")
-        rows = table.select(F.explode(places).alias("place"))
-        rows = rows.select(F.shiftright(place, 6).alias("slot"), F.expr("shiftleft(1L, cast(place & 63 as int))").alias("bits"))
-        found = rows.groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
-        self.bits = np.zeros(1 << self.size - 6, np.int64)
-        self.bits[found.column("slot").to_numpy()] = found.column("bits").to_numpy()
+        self.size = size = min(SIEVE_BITS, max(10, (16 * table.count()).bit_length()))
+        length = 1 << size - 6
+
+        def run(batches):
+            bits = np.zeros(length, np.int64)
+            for batch in batches:
+                for place in Sieve.places(batch.column(0).to_numpy(), size):
+                    np.bitwise_or.at(bits, place >> 6, 1 << (place & 63))
+            for segment, start in enumerate(range(0, length, SEGMENT)):
+                if (own := bits[start : start + SEGMENT]).any():
+                    yield pa.RecordBatch.from_arrays([pa.array([segment]), pa.array([own.tobytes()], pa.binary())], ["segment", "bits"])
+
+        def joined(segment: pa.Table) -> pa.Table:
+            bits = np.bitwise_or.reduce([np.frombuffer(b, np.int64) for b in segment.column("bits").to_pylist()])
+            return pa.table({"segment": segment.column("segment")[:1], "bits": pa.array([bits.tobytes()], pa.binary())})
+
+        kind = "segment long, bits binary"
+        found = table.select("code").mapInArrow(run, kind).groupBy("segment").applyInArrow(joined, kind).toArrow()
+        self.bits = np.zeros(length, np.int64)
+        for segment, bits in zip(*(found.column(c).to_pylist() for c in ("segment", "bits"))):
+            own = np.frombuffer(bits, np.int64)
+            self.bits[segment * SEGMENT : segment * SEGMENT + len(own)] = own
+
+    @staticmethod
+    def places(codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        most = (1 << size) - 1
+        return codes & most, (codes.view(np.uint64) >> np.uint64(SIEVE_BITS)).view(np.int64) & most
 
     def passes(self, codes: np.ndarray) -> np.ndarray:
-        most, out = (1 << self.size) - 1, True
-        for place in (codes & most, (codes.view(np.uint64) >> np.uint64(SIEVE_BITS)).view(np.int64) & most):
+        out = True
+        for place in Sieve.places(codes, self.size):
             out = out & ((self.bits[place >> 6] >> (place & 63)) & 1 == 1)
         return out
 
@@ -147,57 +221,53 @@ def pieces(batch: pa.RecordBatch, name: str):
         start = stop
 
 
-def summed(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    return np.add.reduceat(values, first) if len(first) else np.zeros(0)
+def dealt(buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of ordered buckets and offsets of their lists."""
+    starts = np.flatnonzero(np.append(True, buckets[1:] != buckets[:-1])[: len(buckets)])
+    return buckets[starts], np.append(starts, len(buckets)).astype(np.int32)
 
 
-def counted(codes: np.ndarray) -> pa.RecordBatch:
-    found, n = np.unique(codes, return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], ["code", "n"])
+def lists(offsets: np.ndarray, *values: np.ndarray) -> list[pa.Array]:
+    return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(v)) for v in values]
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n) of all texts, ends included."""
 
     def run(batches):
-        held, many = [], 0
         for batch in batches:
-            for text in batch.column(0):
-                held.append(word_values(text.as_py()))
-                many += len(held[-1])
-                if many >= HELD:
-                    yield counted(np.concatenate(held))
-                    held, many = [], 0
-        if held:
-            yield counted(np.concatenate(held))
+            for _, _, values, places, _ in tokenized(batch.column(0)):
+                n = np.bincount(places, minlength=len(values))
+                yield pa.RecordBatch.from_arrays([pa.array(values[n > 0]), pa.array(n[n > 0])], ["code", "n"])
 
     found = docs.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
     return written(found.withColumnRenamed("code", "word"), "words")
 
 
 def encoded(docs: DataFrame, root: Root) -> DataFrame:
-    """(row, id, learn, ids, cold): places of the hot words or -1, and the values of the others; the texts, read once more."""
-    held = shared(docs.sparkSession, root.words)
+    """(row, id, learn, n_tokens, hot, base, ids, cold): places of the hot words or -1, and the values of the others.
+
+    ``hot`` counts hot words, and ``base`` is the root's log10, with all others as unknown. The texts are read once more.
+    """
+    held = shared(docs.sparkSession, root)
 
     def run(batches):
-        words = held()
-        names = ["id", "learn", "ids", "cold"]
+        root = held()
+        words, logs = Lookup(root.words), root.logs()
         for batch in batches:
-            start, ids, cold, many = 0, [], [], 0
-            for stop, text in enumerate(batch.column(2), 1):
-                values = word_values(text.as_py())
-                at = find(words, values)
-                ids.append(at.astype(np.int32))
-                cold.append(values[at < 0])
-                many += len(at)
-                if many >= HELD or stop == batch.num_rows:
-                    own = batch.slice(start, stop - start).columns[:2]
-                    arrays = [*own, pa.array(ids, pa.list_(pa.int32())), pa.array(cold, pa.list_(pa.int64()))]
-                    yield pa.RecordBatch.from_arrays(arrays, names)
-                    start, ids, cold, many = stop, [], [], 0
-
-    found = docs.mapInArrow(run, "id long, learn boolean, ids array<int>, cold array<long>")
-    return written(found.withColumn("row", F.monotonically_increasing_id()), "encoded")
+            for start, stop, values, places, sizes in tokenized(batch.column(2)):
+                ids = words.find(values)[places]
+                first = np.cumsum(sizes) - sizes
+                cold = np.cumsum(ids < 0)
+                hot = sizes - np.diff(cold[first + sizes - 1], prepend=0)
+                offsets = np.append(first, len(ids))
+                sums = [pa.array(sizes), pa.array(hot), pa.array(np.add.reduceat(logs[ids], first))]
+                own = batch.slice(start, stop - start).columns[:2]
+                arrays = lists(offsets.astype(np.int32), ids.astype(np.int32)) + lists(np.append(0, cold)[offsets].astype(np.int32), values[places[ids < 0]])
+                yield pa.RecordBatch.from_arrays([*own, *sums, *arrays], ["id", "learn", "n_tokens", "hot", "base", "ids", "cold"])
+
+    kind = "id long, learn boolean, n_tokens long, hot long, base double, ids array<int>, cold array<long>"
+    return written(docs.mapInArrow(run, kind).withColumn("row", F.monotonically_increasing_id()), "encoded")
 
 
 def values_of(piece: pa.RecordBatch, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -208,12 +278,29 @@ def values_of(piece: pa.RecordBatch, words: np.ndarray) -> tuple[np.ndarray, np.
     return values, first, ids
 
 
-def follower_counts(corpus: DataFrame, root: Root, sieve: Sieve, length: int) -> DataFrame:
-    """(context, word, n) of the contexts of a length that pass; word null: all that follows the context.
+def flattened(table: pa.Table, *names: str) -> list[np.ndarray]:
+    """Values of list columns, one list after the other."""
+    return [table.column(n).combine_chunks().flatten().to_numpy(zero_copy_only=False) for n in names]
+
+
+def ordered(table: pa.Table, *names: str) -> list[np.ndarray]:
+    """Columns in the order of the first."""
+    columns = [table.column(n).to_numpy() for n in names]
+    order = np.argsort(columns[0], kind="stable")
+    return [c[order] for c in columns]
 
-    A word is the place of a hot one or the value of another. Rows leave in the order of contexts, which packs well.
+
+def bucket_of(code: str, bits: int) -> Column:
+    return F.shiftright(code, 64 - bits).alias("bucket")
+
+
+def follower_counts(corpus: DataFrame, root: Root, known: DataFrame, length: int, least: float) -> DataFrame:
+    """(context, total, n, code, shorter) of what follows the ``known(context, suffix, total)`` at least so often.
+
+    ``code`` tells the context and the word, ``shorter`` its suffix and the word, or the word alone.
     """
-    held = shared(corpus.sparkSession, (root.words, sieve))
+    bits = root.bits()
+    held = shared(corpus.sparkSession, (root.words, Sieve(known.select(F.col("context").alias("code")))))
 
     def run(batches):
         words, sieve = held()
@@ -223,48 +310,132 @@ def follower_counts(corpus: DataFrame, root: Root, sieve: Sieve, length: int) ->
                 *_, (codes, there) = contexts(values, first, length)
                 at = np.flatnonzero(there & sieve.passes(codes))
                 codes, values, ids = codes[at], values[at], ids[at]
-                _, one, n = np.unique(chained(codes, values), return_index=True, return_counts=True)
-                order = np.argsort(codes[one])
-                one, n = one[order], n[order]
-                names = np.where(ids >= 0, ids, values)
-                every, many = np.unique(codes, return_counts=True)
-                arrays = [
-                    pa.array(np.concatenate([codes[one], every])),
-                    pa.chunked_array([pa.array(names[one]), pa.nulls(len(every), pa.int64())]).combine_chunks(),
-                    pa.array(np.concatenate([n, many]).astype(np.int64)),
-                ]
-                yield pa.RecordBatch.from_arrays(arrays, ["context", "word", "n"])
-
-    found = corpus.select("ids", "cold").mapInArrow(run, "context long, word long, n long")
-    return found.groupBy("context", "word").agg(F.sum("n").alias("n"))
-
-
-def with_codes(followers: DataFrame, root: Root) -> DataFrame:
-    """``followers(context, suffix, total, word, n)`` with the code of the context and the word, and of its suffix and the word."""
-    held = shared(followers.sparkSession, root.words)
+                order, starts = alike(chained(codes, values))
+                one, n = order[starts], np.diff(np.append(starts, len(order)))
+                order = np.argsort(codes[one])  # packs well, and orders the buckets
+                one, n = one[order], n[order].astype(np.int64)
+                buckets, offsets = dealt(codes[one] >> (64 - bits))
+                # a word is the place of a hot one or the value of another
+                arrays = lists(offsets, codes[one], np.where(ids >= 0, ids, values)[one], n)
+                yield pa.RecordBatch.from_arrays([pa.array(buckets), *arrays], ["bucket", "contexts", "words", "n"])
+
+    def count(found: pa.Table, known: pa.Table) -> pa.Table:
+        words, _ = held()
+        context, word, n = flattened(found, "contexts", "words", "n")
+        first = pa.array(np.argsort(known.column("context").to_numpy()))
+        known = known.take(first)
+        place = Lookup(known.column("context").to_numpy()).find(context)
+        there = place >= 0
+        context, word, n, place = context[there], word[there], n[there], place[there]
+        hot = (word >= 0) & (word < len(words))
+        word = np.where(hot, np.append(words, 0)[np.where(hot, word, -1)], word)
+        code = chained(context, word)
+        order, starts = alike(code)
+        n = np.add.reduceat(n[order], starts) if len(starts) else n
+        one = order[starts][n >= least]
+        n = n[n >= least]
+        order = np.argsort(context[one])
+        one, n = one[order], n[order]
+        suffix = known.column("suffix").combine_chunks()
+        longer, suffix = suffix.is_valid().to_numpy(False)[place[one]], suffix.fill_null(0).to_numpy()[place[one]]
+        shorter = np.where(longer, chained(suffix, word[one]), word[one])
+        total = known.column("total").to_numpy()[place[one]]
+        return pa.table({"context": context[one], "total": total, "n": n, "code": code[one], "shorter": shorter})
+
+    found = corpus.select("ids", "cold").mapInArrow(run, "bucket long, contexts array<long>, words array<long>, n array<long>")
+    known = known.select("context", "suffix", "total", bucket_of("context", bits))
+    kind = "context long, total long, n long, code long, shorter long"
+    return found.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(count, kind)
+
+
+def looked_up(corpus: DataFrame, root: Root, parts: DataFrame, length: int, least: float | None) -> DataFrame:
+    """(row, part, known): the sum of the ``parts(code, part, n)`` that a row's positions have, and their number.
+
+    Length 0 looks up the words that aren't hot, others the contexts of that length and their followers. Parts with at least the given
+    n are broadcast.
+    """
+    bits = root.bits()
+    hot, sieve = (np.zeros(0, np.int64), np.zeros(0)), None
+    if length:
+        hot, sieve = arrays_of(parts.where(F.col("n") >= least), "code", "part"), Sieve(parts)
+        parts = parts.where(F.col("n") < least)
+    held = shared(corpus.sparkSession, (root.words, hot, sieve))
 
     def run(batches):
-        places = held()
+        words, (hot, shares), sieve = held()
+        hot = Lookup(hot)
         for batch in batches:
-            context, suffix, word = (batch.column(i) for i in (0, 1, 3))
-            words = word.to_numpy()
-            hot = (words >= 0) & (words < len(places))
-            words = np.where(hot, np.append(places, 0)[np.where(hot, words, -1)], words)
-            code = chained(context.to_numpy(), words)
-            shorter = np.where(suffix.is_valid().to_numpy(False), chained(suffix.fill_null(0).to_numpy(), words), words)
-            arrays = [context, batch.column(2), batch.column(4), pa.array(code), pa.array(shorter)]
-            yield pa.RecordBatch.from_arrays(arrays, ["context", "total", "n", "code", "shorter"])
-
-    rows = followers.select("context", "suffix", "total", "word", "n")
-    return rows.mapInArrow(run, "context long, total long, n long, code long, shorter long")
+            for piece in pieces(batch, "ids"):
+                values, first, ids = values_of(piece, words)
+                if length:
+                    *_, (codes, there) = contexts(values, first, length)
+                    at = np.flatnonzero(there & sieve.passes(codes))
+                    follower = chained(codes[at], values[at]) ^ FOLLOWER
+                    passes = sieve.passes(follower)
+                    codes, at = np.append(codes[at], follower[passes]), np.append(at, at[passes])
+                else:
+                    at = np.flatnonzero(ids < 0)
+                    codes = values[at]
+                places = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(np.append(first, len(ids))))[at]
+                place = hot.find(codes)
+                found = place >= 0
+                sums = np.bincount(places[found], shares[place[found]], len(first)).astype(np.float64)
+                codes, places = codes[~found], places[~found]
+                bucket = codes >> (64 - bits)
+                order = np.argsort(bucket.astype(np.int16) if bits < 16 else bucket, kind="stable")
+                buckets, offsets = dealt(bucket[order])
+                # the rows themselves come first, in some bucket
+                rows = piece.column("row").to_numpy()
+                own = np.append(0, np.full(len(buckets) + 1, len(rows))).astype(np.int32)
+                buckets = np.append(rows[0] % (1 << bits) - (1 << bits - 1), buckets)
+                arrays = [pa.array(buckets), pa.array(np.full(len(buckets), rows[0])), *lists(own, rows, sums)]
+                arrays += lists(np.append(0, offsets).astype(np.int32), places[order], codes[order])
+                yield pa.RecordBatch.from_arrays(arrays, ["bucket", "piece", "rows", "sums", "places", "codes"])
+
+    def look(wanted: pa.Table, parts: pa.Table) -> pa.Table:
+        known, shares = ordered(parts, "code", "part")
+        codes, places = flattened(wanted, "codes", "places")
+        place = Lookup(known).find(codes)
+        found = place >= 0
+        line = np.repeat(np.arange(len(wanted)), pc.list_value_length(wanted.column("codes")).to_numpy())
+        order, starts = alike(line[found] << 32 | places[found])
+        one = np.flatnonzero(found)[order][starts]
+        own = np.flatnonzero(pc.list_value_length(wanted.column("rows")).to_numpy())
+        lines, offsets = dealt(line[one])
+        n = np.diff(np.append(starts, len(order)))
+        part = np.add.reduceat(shares[place[found]][order], starts) if len(starts) else np.zeros(0)
+        none = np.zeros(len(own), np.int32)
+        rows = wanted.column("rows").combine_chunks().take(pa.array(own))
+        sums = wanted.column("sums").combine_chunks().take(pa.array(own))
+        places, known = lists(np.append(none, offsets).astype(np.int32), places[one], n)
+        arrays = {
+            "piece": wanted.column("piece").to_numpy()[np.append(own, lines)],
+            "rows": pa.concat_arrays([rows, pa.nulls(len(lines), rows.type)]),
+            "places": places, "known": known, "sums": pa.concat_arrays([sums, *lists(offsets, part)]),
+        }
+        return pa.table(arrays)
+
+    def gather(piece: pa.Table) -> pa.Table:
+        own = pc.is_valid(piece.column("rows"))
+        others = piece.filter(pc.invert(own))
+        rows, sums = flattened(piece.filter(own), "rows", "sums")
+        places, part, known = flattened(others, "places", "sums", "known")
+        part = sums + np.bincount(places, part, len(rows))
+        return pa.table({"row": rows, "part": part, "known": np.bincount(places, known, len(rows)).astype(np.int64)})
+
+    found = corpus.select("row", "ids", "cold").mapInArrow(
+        run, "bucket long, piece long, rows array<long>, sums array<double>, places array<int>, codes array<long>"
+    )
+    parts = parts.select("code", "part", bucket_of("code", bits))
+    found = found.groupBy("bucket").cogroup(parts.groupBy("bucket")).applyInArrow(
+        look, "piece long, rows array<long>, places array<int>, known array<long>, sums array<double>"
+    )
+    return written(found.groupBy("piece").applyInArrow(gather, "row long, part double, known long"), "found")
 
 
 def arrays_of(rows: DataFrame, *names: str) -> list[np.ndarray]:
     """Columns of a table of proven size, ordered by the first."""
-    table = rows.select(*names).toArrow()
-    columns = [table.column(n).to_numpy() for n in names]
-    order = np.argsort(columns[0], kind="stable")
-    return [c[order] for c in columns]
+    return ordered(rows.select(*names).toArrow(), *names)
 
 
 def retained(followers: DataFrame) -> DataFrame:
@@ -288,40 +459,38 @@ def learn(counts: DataFrame, hot_share: float) -> Root:
     return Root(*arrays_of(hot, "word", "n"), total or 0, distinct)
 
 
-def grow(root: Root, counts: DataFrame, corpus: DataFrame, depth: int, least_context: float, least_follower: float) -> DataFrame | None:
-    """(code, part, n): what contexts and followers add to the log10 of a probability. Each level is counted over the whole corpus."""
+def grow(
+    root: Root, counts: DataFrame, corpus: DataFrame, depth: int, least_context: float, least_follower: float, least_part: float
+) -> Iterator[DataFrame]:
+    """For each level, (row, part, known): what its contexts and followers add to a row's log10. Each level is counted over the whole corpus.
+
+    A context is followed as often as it occurs, unless it ends with the end; then nothing follows, and none is counted.
+    """
     p = (F.col("n") + ALPHA) / F.lit(root.total + ALPHA * (root.distinct + 1))
-    parents = counts.select(F.col("word").alias("shorter"), p.alias("parent"))
-    known = counts.where(F.col("n") >= least_context).select(F.col("word").alias("context"), F.lit(None).cast("long").alias("suffix"))
-    parts = None
+    former, parents = counts, counts.select(F.col("word").alias("shorter"), p.alias("parent"))
+    known = counts.where(F.col("n") >= least_context)
+    known = known.select(F.col("word").alias("context"), F.lit(None).cast("long").alias("suffix"), F.col("n").alias("total"))
     for length in range(1, depth + 1):
         if known.isEmpty():
             break
-        sieve = Sieve(known.select(F.col("context").alias("code")))
-        found = follower_counts(corpus, root, sieve, length)
-        least = F.when(F.col("word").isNull(), F.lit(least_context)).otherwise(F.lit(least_follower))
-        found = written(found.where(F.col("n") >= least), "followers")
-        totals = found.where("word is null").select("context", F.col("n").alias("total"))
-        totals = small(written(totals.join(small(known), "context"), "totals"))
-        rows = with_codes(found.where("word is not null").join(totals, "context"), root)
+        rows = follower_counts(corpus.where("learn"), root, known, length, least_follower)
         rows = written(rows.join(small(parents), "shorter"), "explicit")
+        drop(former)
         kept = written(retained(rows), "retained")
         share, below = (F.col("n") - DISCOUNT) / F.col("total"), F.col("rest") * F.col("parent")
         explicit = rows.join(small(kept.select("context", "rest")), "context", "left")
         own = F.coalesce(share + below, "parent")
         level = written(explicit.select("code", "shorter", "n", own.alias("p"), F.log10(own / below).alias("part")), "level")
-        drop(found, rows, totals)
+        drop(rows)
         follower = F.col("code").bitwiseXOR(F.lit(FOLLOWER)).alias("code")
-        new = kept.select(F.col("context").alias("code"), F.log10("rest").alias("part"), F.col("total").alias("n"))
-        new = new.unionByName(level.where("part is not null").select(follower, "part", "n"))
-        parts = new if parts is None else parts.unionByName(new)
-        parents = level.select(F.col("code").alias("shorter"), F.col("p").alias("parent"))
-        known = level.where(F.col("n") >= least_context).select(F.col("code").alias("context"), F.col("shorter").alias("suffix"))
-    return parts
-
-
-def by_row(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("row").agg(*(F.sum(c).alias(c) for c in ("log", "part", "known")))
+        parts = kept.select(F.col("context").alias("code"), F.log10("rest").alias("part"), F.col("total").alias("n"))
+        parts = parts.unionByName(level.where("part is not null").select(follower, "part", "n"))
+        yield looked_up(corpus, root, parts, length, least_part)
+        drop(kept)
+        former, parents = level, level.select(F.col("code").alias("shorter"), F.col("p").alias("parent"))
+        known = level.where(F.col("n") >= least_context)
+        known = known.select(F.col("code").alias("context"), F.col("shorter").alias("suffix"), F.col("n").alias("total"))
+    drop(former)
 
 
 def scores(
@@ -339,63 +508,19 @@ def scores(
     counts = word_counts(rows.where("learn"))
     root = learn(counts, hot_share)
     corpus = encoded(rows, root)
-    parts = None
-    if root.total:
-        least = max(least_context, context_share * root.total), max(least_follower, follower_share * root.total)
-        parts = grow(root, counts, corpus.where("learn"), depth, *least)
-    hot, sieve = (np.zeros(0, np.int64), np.zeros(0)), None
-    if parts is not None:
-        hot, sieve = arrays_of(parts.where(F.col("n") >= part_share * root.total), "code", "part"), Sieve(parts)
-    held = shared(docs.sparkSession, (root, hot, sieve))
-
-    def run(batches):
-        root, (codes, parts), sieve = held()
-        logs, parts = np.append(np.log10(root.probabilities()), 0.0), np.append(parts, 0.0)
-        for batch in batches:
-            for piece in pieces(batch, "ids"):
-                values, first, ids = values_of(piece, root.words)
-                base, cold = logs[ids], [np.zeros((2, 0), np.int64)]
-                full = base.copy()
-
-                def add(at: np.ndarray, wanted: np.ndarray) -> None:
-                    place = find(codes, wanted)
-                    full[at] += parts[place]  # noqa: B023
-                    cold.append(np.stack([at[place < 0], wanted[place < 0]]))  # noqa: B023
-
-                for context, there in contexts(values, first, depth if sieve else 0):
-                    at = np.flatnonzero(there & sieve.passes(context))
-                    add(at, context[at])
-                    follower = chained(context[at], values[at]) ^ FOLLOWER
-                    passes = sieve.passes(follower)
-                    add(at[passes], follower[passes])
-                sizes = np.diff(np.append(first, len(ids))).astype(np.int64)
-                known, sums, own = (summed(x, first) for x in ((ids >= 0).astype(np.int64), base, full))
-                at, wanted = np.concatenate(cold, 1)
-                order = np.argsort(at, kind="stable")
-                offsets = np.append(np.searchsorted(at[order], first), len(at)).astype(np.int32)
-                wanted = pa.ListArray.from_arrays(pa.array(offsets), pa.array(wanted[order]))
-                arrays = [*(piece.column(n) for n in ("row", "id", "learn")), *map(pa.array, (sizes, known.astype(np.int64), sums, own)), wanted]
-                yield pa.RecordBatch.from_arrays(arrays, ["row", "id", "learn", "n_tokens", "hot", "base", "full", "wanted"])
-
-    hot = corpus.select("row", "id", "learn", "ids", "cold").mapInArrow(
-        run, "row long, id long, learn boolean, n_tokens long, hot long, base double, full double, wanted array<long>"
-    )
-    hot = written(hot, "scored")
-    n, none = F.coalesce("n", F.lit(0)), F.lit(0.0)
-    log = F.log10((n + ALPHA) / F.lit(root.total + ALPHA * (root.distinct + 1)))
-    cold = corpus.select("row", F.explode("cold").alias("word")).join(counts, "word", "left")
-    cold = cold.select("row", log.alias("log"), none.alias("part"), F.when(n > 0, 1).otherwise(0).alias("known"))
-    # sums are stored one after the other, and what they were made from goes: shuffle files of all joins at once take the most disk
-    cold = written(by_row(cold), "cold")
-    drop(corpus, counts)
-    if parts is not None:
-        found = hot.select("row", F.explode("wanted").alias("code")).join(parts.where(F.col("n") < part_share * root.total), "code")
-        found = written(by_row(found.select("row", none.alias("log"), "part", F.lit(0).alias("known"))), "found")
-        drop(parts)
-        cold = by_row(cold.unionByName(found))
-    log, part, known = (F.coalesce(c, F.lit(0)) for c in ("log", "part", "known"))
-    return hot.drop("wanted").join(cold, "row", "left").select(
-        F.col("id").alias(id_column), "learn", "n_tokens", (F.col("hot") + known).alias("n_known"),
-        F.lit(root.total).cast("long").alias("train_tokens"), (F.col("base") + log).alias("base_score"),
-        (F.col("full") + log + part).alias("score"),
+    # against an unknown word, as which ``encoded`` takes them
+    cold = counts.where(F.col("n") < hot_share * root.total)
+    cold = cold.select(F.col("word").alias("code"), F.log10((F.col("n") + ALPHA) / ALPHA).alias("part"))
+    words = looked_up(corpus, root, cold, 0, None)
+    least = max(least_context, context_share * root.total), max(least_follower, follower_share * root.total)
+    found = list(grow(root, counts, corpus, depth, *least, part_share * root.total))
+    found = [words.select("row", F.col("part").alias("log"), "part", "known"), *(f.select("row", F.lit(0.0), "part", F.lit(0)) for f in found)]
+    sums = reduce(DataFrame.union, found).groupBy("row").agg(*(F.sum(c).alias(c) for c in ("log", "part", "known")))
+    found = corpus.select("row", "id", "learn", "n_tokens", "hot", "base").join(sums, "row").select(
+        F.col("id").alias(id_column), "learn", "n_tokens", (F.col("hot") + F.col("known")).alias("n_known"),
+        F.lit(root.total).cast("long").alias("train_tokens"), (F.col("base") + F.col("log")).alias("base_score"),
+        (F.col("base") + F.col("part")).alias("score"),
     )
+    found = written(found, "scored")
+    drop(corpus)
+    return found
