@@ -227,18 +227,44 @@ def dealt(buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return buckets[starts], np.append(starts, len(buckets)).astype(np.int32)
 
 
-def lists(offsets: np.ndarray, *values: np.ndarray) -> list[pa.Array]:
-    return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(v)) for v in values]
+def blobs(offsets: np.ndarray, *values: np.ndarray) -> list[pa.Array]:
+    """Lists of numbers as binary values, which Spark moves as they are."""
+    return [
+        pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer((offsets * v.itemsize).astype(np.int32)), pa.py_buffer(v)])
+        for v in map(np.ascontiguousarray, values)
+    ]
+
+
+def unpacked(table: pa.Table, name: str, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of a binary column, one row after the other, and how many each row has."""
+    column = table.column(name)
+    values = [np.frombuffer(x.as_buffer(), kind) for x in column if x.is_valid]
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy() // np.dtype(kind).itemsize
+    return np.concatenate([np.zeros(0, kind), *values]), sizes
+
+
+def merged(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """(code, n) of several counts."""
+    codes, n = map(np.concatenate, zip(*held))
+    order, starts = alike(codes)
+    return pa.RecordBatch.from_arrays([pa.array(codes[order][starts]), pa.array(np.add.reduceat(n[order], starts))], ["code", "n"])
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n) of all texts, ends included."""
 
     def run(batches):
+        held, many = [], 0
         for batch in batches:
             for _, _, values, places, _ in tokenized(batch.column(0)):
                 n = np.bincount(places, minlength=len(values))
-                yield pa.RecordBatch.from_arrays([pa.array(values[n > 0]), pa.array(n[n > 0])], ["code", "n"])
+                held.append((values[n > 0], n[n > 0]))
+                many += len(values)
+                if many >= HELD:
+                    yield merged(held)
+                    held, many = [], 0
+        if held:
+            yield merged(held)
 
     found = docs.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
     return written(found.withColumnRenamed("code", "word"), "words")
@@ -261,9 +287,13 @@ def encoded(docs: DataFrame, root: Root) -> DataFrame:
                 cold = np.cumsum(ids < 0)
                 hot = sizes - np.diff(cold[first + sizes - 1], prepend=0)
                 offsets = np.append(first, len(ids))
+                ends = np.append(0, cold)[offsets].astype(np.int32)
                 sums = [pa.array(sizes), pa.array(hot), pa.array(np.add.reduceat(logs[ids], first))]
                 own = batch.slice(start, stop - start).columns[:2]
-                arrays = lists(offsets.astype(np.int32), ids.astype(np.int32)) + lists(np.append(0, cold)[offsets].astype(np.int32), values[places[ids < 0]])
+                arrays = [
+                    pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32))),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(values[places[ids < 0]])),
+                ]
                 yield pa.RecordBatch.from_arrays([*own, *sums, *arrays], ["id", "learn", "n_tokens", "hot", "base", "ids", "cold"])
 
     kind = "id long, learn boolean, n_tokens long, hot long, base double, ids array<int>, cold array<long>"
@@ -278,11 +308,6 @@ def values_of(piece: pa.RecordBatch, words: np.ndarray) -> tuple[np.ndarray, np.
     return values, first, ids
 
 
-def flattened(table: pa.Table, *names: str) -> list[np.ndarray]:
-    """Values of list columns, one list after the other."""
-    return [table.column(n).combine_chunks().flatten().to_numpy(zero_copy_only=False) for n in names]
-
-
 def ordered(table: pa.Table, *names: str) -> list[np.ndarray]:
     """Columns in the order of the first."""
     columns = [table.column(n).to_numpy() for n in names]
@@ -313,25 +338,27 @@ def follower_counts(corpus: DataFrame, root: Root, known: DataFrame, length: int
                 order, starts = alike(chained(codes, values))
                 one, n = order[starts], np.diff(np.append(starts, len(order)))
                 order = np.argsort(codes[one])  # packs well, and orders the buckets
-                one, n = one[order], n[order].astype(np.int64)
+                one, n = one[order], n[order].astype(np.int32)
                 buckets, offsets = dealt(codes[one] >> (64 - bits))
-                # a word is the place of a hot one or the value of another
-                arrays = lists(offsets, codes[one], np.where(ids >= 0, ids, values)[one], n)
-                yield pa.RecordBatch.from_arrays([pa.array(buckets), *arrays], ["bucket", "contexts", "words", "n"])
+                hot = ids[one].astype(np.int32)
+                cold = blobs(np.append(0, np.cumsum(hot < 0))[offsets], values[one][hot < 0])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(buckets), *blobs(offsets, codes[one], hot, n), *cold], ["bucket", "contexts", "words", "n", "cold"]
+                )
 
     def count(found: pa.Table, known: pa.Table) -> pa.Table:
         words, _ = held()
-        context, word, n = flattened(found, "contexts", "words", "n")
+        context, hot, n, cold = (unpacked(found, c, k)[0] for c, k in (("contexts", np.int64), ("words", np.int32), ("n", np.int32), ("cold", np.int64)))
+        word = np.append(words, 0)[hot]
+        word[hot < 0] = cold
         first = pa.array(np.argsort(known.column("context").to_numpy()))
         known = known.take(first)
         place = Lookup(known.column("context").to_numpy()).find(context)
         there = place >= 0
         context, word, n, place = context[there], word[there], n[there], place[there]
-        hot = (word >= 0) & (word < len(words))
-        word = np.where(hot, np.append(words, 0)[np.where(hot, word, -1)], word)
         code = chained(context, word)
         order, starts = alike(code)
-        n = np.add.reduceat(n[order], starts) if len(starts) else n
+        n = np.add.reduceat(n[order], starts, dtype=np.int64) if len(starts) else np.zeros(0, np.int64)
         one = order[starts][n >= least]
         n = n[n >= least]
         order = np.argsort(context[one])
@@ -342,7 +369,7 @@ def follower_counts(corpus: DataFrame, root: Root, known: DataFrame, length: int
         total = known.column("total").to_numpy()[place[one]]
         return pa.table({"context": context[one], "total": total, "n": n, "code": code[one], "shorter": shorter})
 
-    found = corpus.select("ids", "cold").mapInArrow(run, "bucket long, contexts array<long>, words array<long>, n array<long>")
+    found = corpus.select("ids", "cold").mapInArrow(run, "bucket long, contexts binary, words binary, n binary, cold binary")
     known = known.select("context", "suffix", "total", bucket_of("context", bits))
     kind = "context long, total long, n long, code long, shorter long"
     return found.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(count, kind)
@@ -354,7 +381,7 @@ def looked_up(corpus: DataFrame, root: Root, parts: DataFrame, length: int, leas
     Length 0 looks up the words that aren't hot, others the contexts of that length and their followers. Parts with at least the given
     n are broadcast.
     """
-    bits = root.bits()
+    bits = max(1, root.bits() - 2)  # few of a text's positions are asked for
     hot, sieve = (np.zeros(0, np.int64), np.zeros(0)), None
     if length:
         hot, sieve = arrays_of(parts.where(F.col("n") >= least), "code", "part"), Sieve(parts)
@@ -388,47 +415,43 @@ def looked_up(corpus: DataFrame, root: Root, parts: DataFrame, length: int, leas
                 rows = piece.column("row").to_numpy()
                 own = np.append(0, np.full(len(buckets) + 1, len(rows))).astype(np.int32)
                 buckets = np.append(rows[0] % (1 << bits) - (1 << bits - 1), buckets)
-                arrays = [pa.array(buckets), pa.array(np.full(len(buckets), rows[0])), *lists(own, rows, sums)]
-                arrays += lists(np.append(0, offsets).astype(np.int32), places[order], codes[order])
+                arrays = [pa.array(buckets), pa.array(np.full(len(buckets), rows[0])), *blobs(own, rows, sums)]
+                arrays += blobs(np.append(0, offsets), places[order], codes[order])
                 yield pa.RecordBatch.from_arrays(arrays, ["bucket", "piece", "rows", "sums", "places", "codes"])
 
     def look(wanted: pa.Table, parts: pa.Table) -> pa.Table:
         known, shares = ordered(parts, "code", "part")
-        codes, places = flattened(wanted, "codes", "places")
+        (codes, sizes), (places, _) = unpacked(wanted, "codes", np.int64), unpacked(wanted, "places", np.int32)
         place = Lookup(known).find(codes)
-        found = place >= 0
-        line = np.repeat(np.arange(len(wanted)), pc.list_value_length(wanted.column("codes")).to_numpy())
-        order, starts = alike(line[found] << 32 | places[found])
-        one = np.flatnonzero(found)[order][starts]
-        own = np.flatnonzero(pc.list_value_length(wanted.column("rows")).to_numpy())
+        found = np.flatnonzero(place >= 0)
+        places, shares = places[found], shares[place[found]]
+        line = np.repeat(np.arange(len(wanted)), sizes)[found]
+        order, starts = alike(line << 32 | places)
+        one = order[starts]
         lines, offsets = dealt(line[one])
-        n = np.diff(np.append(starts, len(order)))
-        part = np.add.reduceat(shares[place[found]][order], starts) if len(starts) else np.zeros(0)
-        none = np.zeros(len(own), np.int32)
-        rows = wanted.column("rows").combine_chunks().take(pa.array(own))
-        sums = wanted.column("sums").combine_chunks().take(pa.array(own))
-        places, known = lists(np.append(none, offsets).astype(np.int32), places[one], n)
-        arrays = {
-            "piece": wanted.column("piece").to_numpy()[np.append(own, lines)],
-            "rows": pa.concat_arrays([rows, pa.nulls(len(lines), rows.type)]),
-            "places": places, "known": known, "sums": pa.concat_arrays([sums, *lists(offsets, part)]),
-        }
-        return pa.table(arrays)
+        part = np.add.reduceat(shares[order], starts) if len(starts) else np.zeros(0)
+        n = np.diff(np.append(starts, len(order))).astype(np.int32)
+        counts = [offsets, n] if not length else [offsets * 0, n[:0]]
+        piece = wanted.column("piece").to_numpy()
+        answers = pa.table([pa.array(piece[lines]), *blobs(offsets, places[one], part), *blobs(*counts)], ["piece", "places", "sums", "known"])
+        own = wanted.filter(pc.greater(pc.binary_length(wanted.column("rows")), 0)).select(["piece", "rows", "sums"])
+        return pa.concat_tables([own, answers], promote_options="default").select(["piece", "rows", "places", "sums", "known"])
 
     def gather(piece: pa.Table) -> pa.Table:
         own = pc.is_valid(piece.column("rows"))
-        others = piece.filter(pc.invert(own))
-        rows, sums = flattened(piece.filter(own), "rows", "sums")
-        places, part, known = flattened(others, "places", "sums", "known")
-        part = sums + np.bincount(places, part, len(rows))
-        return pa.table({"row": rows, "part": part, "known": np.bincount(places, known, len(rows)).astype(np.int64)})
+        others, own = piece.filter(pc.invert(own)), piece.filter(own)
+        (rows, _), (sums, _), (places, _), (part, _), (n, _) = (
+            unpacked(t, c, k) for t, c, k in ((own, "rows", np.int64), (own, "sums", np.float64), (others, "places", np.int32), (others, "sums", np.float64), (others, "known", np.int32))
+        )
+        known = np.bincount(places, n, len(rows)) if len(n) else np.zeros(len(rows))
+        return pa.table({"row": rows, "part": sums + np.bincount(places, part, len(rows)), "known": known.astype(np.int64)})
 
     found = corpus.select("row", "ids", "cold").mapInArrow(
-        run, "bucket long, piece long, rows array<long>, sums array<double>, places array<int>, codes array<long>"
+        run, "bucket long, piece long, rows binary, sums binary, places binary, codes binary"
     )
     parts = parts.select("code", "part", bucket_of("code", bits))
     found = found.groupBy("bucket").cogroup(parts.groupBy("bucket")).applyInArrow(
-        look, "piece long, rows array<long>, places array<int>, known array<long>, sums array<double>"
+        look, "piece long, rows binary, places binary, sums binary, known binary"
     )
     return written(found.groupBy("piece").applyInArrow(gather, "row long, part double, known long"), "found")
 
