@@ -12,8 +12,8 @@ So every part is looked up by itself, a level at a time, and a level's tables go
 Parts with ``part_share`` of all tokens are broadcast, all others are joined.
 
 What is counted or looked up travels as arrays: a task sorts some ``HELD`` tokens, sums what is alike and deals it to buckets by the
-leading bits of its code. Buckets are as many as the text asks for, about ``HELD`` tokens each; a bucket's arrays meet
-the table's rows of that bucket.
+leading bits of its code. Buckets are as many as the text asks for, one for ``HELD`` tokens, or for some four times as many in lookups;
+a bucket's arrays meet the table's rows of that bucket.
 
 Positions whose context is surely no candidate, or whose part surely isn't in a table, are left out early by a ``Sieve``: a
 bit array of bounded size. What it lets through is compared with the tables themselves, so results don't depend on it.
@@ -348,7 +348,8 @@ def follower_counts(corpus: DataFrame, root: Root, known: DataFrame, length: int
 
     def count(found: pa.Table, known: pa.Table) -> pa.Table:
         words, _ = held()
-        context, hot, n, cold = (unpacked(found, c, k)[0] for c, k in (("contexts", np.int64), ("words", np.int32), ("n", np.int32), ("cold", np.int64)))
+        kinds = {"contexts": np.int64, "words": np.int32, "n": np.int32, "cold": np.int64}
+        context, hot, n, cold = (unpacked(found, name, kind)[0] for name, kind in kinds.items())
         word = np.append(words, 0)[hot]
         word[hot < 0] = cold
         first = pa.array(np.argsort(known.column("context").to_numpy()))
@@ -440,9 +441,9 @@ def looked_up(corpus: DataFrame, root: Root, parts: DataFrame, length: int, leas
     def gather(piece: pa.Table) -> pa.Table:
         own = pc.is_valid(piece.column("rows"))
         others, own = piece.filter(pc.invert(own)), piece.filter(own)
-        (rows, _), (sums, _), (places, _), (part, _), (n, _) = (
-            unpacked(t, c, k) for t, c, k in ((own, "rows", np.int64), (own, "sums", np.float64), (others, "places", np.int32), (others, "sums", np.float64), (others, "known", np.int32))
-        )
+        rows, sums = unpacked(own, "rows", np.int64)[0], unpacked(own, "sums", np.float64)[0]
+        places, part = unpacked(others, "places", np.int32)[0], unpacked(others, "sums", np.float64)[0]
+        n, _ = unpacked(others, "known", np.int32)
         known = np.bincount(places, n, len(rows)) if len(n) else np.zeros(len(rows))
         return pa.table({"row": rows, "part": sums + np.bincount(places, part, len(rows)), "known": known.astype(np.int64)})
 

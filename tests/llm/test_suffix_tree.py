@@ -4,6 +4,9 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
+from linefold.llm import suffix_tree
 from linefold.llm.suffix_tree import ALPHA, DISCOUNT, scores
 from pyspark.sql import functions as F
 
@@ -124,3 +127,49 @@ def test_tables_of_the_model_are_gone_when_scores_are_read(spark, tmp_path):
         spark.conf.unset("linefold.scratch.dir")
     left = {p.name.split("-")[0] for p in tmp_path.iterdir()}
     assert left.isdisjoint({"encoded", "words", "level", "retained"})
+
+
+def test_a_level_is_gone_when_the_next_is_made(spark, docs_of, tmp_path, monkeypatch):
+    seen, stage = [], suffix_tree.stage
+
+    def spy(df, tag):
+        out = stage(df, tag)
+        seen.append((tag, [p.name.split("-")[0] for p in tmp_path.iterdir()]))
+        return out
+
+    monkeypatch.setattr(suffix_tree, "stage", spy)
+    spark.conf.set("linefold.scratch.dir", str(tmp_path))
+    try:
+        scores(docs_of(corpus(5, 150)), F.col("doc_id") % 10 != 0)
+    finally:
+        spark.conf.unset("linefold.scratch.dir")
+    assert sum(tag == "level" for tag, _ in seen) == 3
+    assert all(there.count("level") <= 1 for tag, there in seen if tag != "level")
+    last = next(there for tag, there in seen if tag == "scored")
+    assert set(last) <= {"encoded", "found", "scored"}
+
+
+def test_lookup_finds_what_a_search_finds():
+    rng = np.random.default_rng(4)
+    for low, high in ((-(2**63), 2**63 - 1), (2**56, 2**57), (2**63 - 10_000, 2**63 - 1), (-(2**63), 10_000 - 2**63)):
+        for n in (0, 1, 2, 1000):
+            ordered = np.unique(rng.integers(low, high, n))
+            ends = np.array([-(2**63), -1, 0, 2**63 - 1])
+            wanted = np.concatenate([ordered, rng.integers(low, high, 500), rng.integers(-(2**63), 2**63 - 1, 500), ends])
+            places = {int(v): i for i, v in enumerate(ordered)}
+            assert suffix_tree.Lookup(ordered).find(wanted).tolist() == [places.get(int(v), -1) for v in wanted]
+
+
+def test_tokens_of_odd_texts():
+    texts = [None, "", " \t\x0b\x0c\r\n", " A b\x0bÀ\x1cB\x85 b\xa0a ", "x" * 50, "a  b\u2028c"] * 3
+    for split in (1, 60, 10_000):
+        suffix_tree.SPLIT, before = split, suffix_tree.SPLIT
+        try:
+            found = list(suffix_tree.tokenized(pa.array(texts, pa.string())))
+        finally:
+            suffix_tree.SPLIT = before
+        assert [s[0] for s in found] == [0, *(s[1] for s in found)][:-1] and found[-1][1] == len(texts)
+        values = np.concatenate([v[p] for _, _, v, p, _ in found]).tolist()
+        want = [[suffix_tree.xxh3_64_intdigest(w) for w in tokens(t)[:-1]] for t in texts]
+        want = [[*np.array(w, np.uint64).view(np.int64).tolist(), int(suffix_tree.END)] for w in want]
+        assert values == sum(want, []) and np.concatenate([s[4] for s in found]).tolist() == [len(w) for w in want]
