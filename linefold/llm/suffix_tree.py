@@ -50,10 +50,13 @@ END = np.uint64(xxh3_64_intdigest(b" end ")).view(np.int64)
 FOLLOWER = 0x5DEECE66D1234567
 #: A sieve has 16 bits a code, up to 2^SIEVE_BITS. Tasks exchange it in segments of so many numbers of 64 bits.
 SIEVE_BITS, SEGMENT = 27, 1 << 13
+#: Values that are looked up at a time.
+BLOCK = 1 << 16
 #: Bytes of text that are split at a time.
 SPLIT = 8_000_000
-#: Spark setting: delete the shuffle files of a query at its end.
+#: Spark settings: delete the shuffle files of a query at its end; bytes of a batch that tasks get.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 1 << 22
 
 
 def tokenized(texts: pa.Array):
@@ -82,14 +85,17 @@ def tokenized(texts: pa.Array):
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """A staged table, without the shuffle files that it was made from."""
+    """A staged table, without the shuffle files that it was made from. Its tasks get rows in batches of bounded size."""
     conf = df.sparkSession.conf
-    before = conf.get(CLEANUP, "false")
-    conf.set(CLEANUP, "true")
+    own = {CLEANUP: "true", BATCH_CONF: str(BATCH_BYTES)}
+    before = {name: conf.get(name, None) for name in own}
+    for name, value in own.items():
+        conf.set(name, value)
     try:
         return stage(df, tag)
     finally:
-        conf.set(CLEANUP, before)
+        for name, value in before.items():
+            conf.unset(name) if value is None else conf.set(name, value)
 
 
 class Lookup:
@@ -107,7 +113,10 @@ class Lookup:
 
     def find(self, wanted: np.ndarray) -> np.ndarray:
         """Places of the values, -1 for others."""
-        out, left = np.full(len(wanted), -1, np.int64), np.arange(len(wanted))
+        return np.concatenate([np.zeros(0, np.int32), *(self.found(wanted[i : i + BLOCK]) for i in range(0, len(wanted), BLOCK))])
+
+    def found(self, wanted: np.ndarray) -> np.ndarray:
+        out, left = np.full(len(wanted), -1, np.int32), np.arange(len(wanted))
         slot = np.clip(wanted >> self.shift, self.low, self.low + len(self.keys) - 1) - self.low
         while len(left):
             place, key = self.places[slot], self.keys[slot]
@@ -127,25 +136,29 @@ def alike(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def chained(codes: np.ndarray, words: np.ndarray) -> np.ndarray:
     """Codes of the contexts that end with one word more."""
-    x = codes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + words.view(np.uint64)
+    x = codes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x += words.view(np.uint64)
     for shift, factor in ((32, 0xD6E8FEB86659FD93), (29, 0xBF58476D1CE4E5B9)):
-        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-    return (x ^ (x >> np.uint64(32))).view(np.int64)
+        x ^= x >> np.uint64(shift)
+        x *= np.uint64(factor)
+    x ^= x >> np.uint64(32)
+    return x.view(np.int64)
 
 
-def contexts(values: np.ndarray, first: np.ndarray, depth: int):
-    """For each length, codes of the context before each position, and where there is one. ``first``: where texts start."""
+def context(values: np.ndarray, first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the contexts of one length before each position, and where there is one. ``first``: where texts start."""
     before = np.empty_like(values)
     before[1:] = values[:-1]
     before[first] = END
     at = np.arange(len(values)) - np.repeat(first, np.diff(np.append(first, len(values))))
+    there = at >= length - 1
+    del at
     codes = before
-    for k in range(depth):
-        if k:
-            longer = np.zeros_like(codes)
-            longer[1:] = chained(codes[:-1], values[:-1])
-            codes = longer
-        yield codes, at >= k
+    for _ in range(length - 1):
+        longer = np.zeros_like(codes)
+        longer[1:] = chained(codes[:-1], values[:-1])
+        codes = longer
+    return codes, there
 
 
 @dataclass
@@ -197,9 +210,10 @@ class Sieve:
         return codes & most, (codes.view(np.uint64) >> np.uint64(SIEVE_BITS)).view(np.int64) & most
 
     def passes(self, codes: np.ndarray) -> np.ndarray:
-        out = True
-        for place in Sieve.places(codes, self.size):
-            out = out & ((self.bits[place >> 6] >> (place & 63)) & 1 == 1)
+        out = np.ones(len(codes), bool)
+        for start in range(0, len(codes), BLOCK):
+            for place in Sieve.places(codes[start : start + BLOCK], self.size):
+                out[start : start + BLOCK] &= (self.bits[place >> 6] >> (place & 63)) & 1 == 1
         return out
 
 
@@ -211,16 +225,21 @@ def flat(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
     return values, (offsets - offsets[0])[:-1]
 
 
-def pieces(batch: pa.RecordBatch, name: str):
-    """The batch in slices of about ``HELD`` values of a list column, at least a row each."""
-    offsets = batch.column(batch.schema.get_field_index(name)).offsets.to_numpy()
+def slices(offsets: np.ndarray):
+    """Where to cut rows whose values have these offsets, so that about ``HELD`` values are together, at least a row each."""
     start = 0
-    while start < batch.num_rows:
+    while start < len(offsets) - 1:
         stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + HELD, "right")) - 1)
-        yield batch.slice(start, stop - start)
+        yield start, stop
         start = stop
 
 
+def pieces(batch: pa.RecordBatch, name: str):
+    """The batch in slices by the values of a list column."""
+    for start, stop in slices(batch.column(batch.schema.get_field_index(name)).offsets.to_numpy()):
+        yield batch.slice(start, stop - start)
+
+
 def dealt(buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct values of ordered buckets and offsets of their lists."""
     starts = np.flatnonzero(np.append(True, buckets[1:] != buckets[:-1])[: len(buckets)])
@@ -235,6 +254,13 @@ def blobs(offsets: np.ndarray, *values: np.ndarray) -> list[pa.Array]:
     ]
 
 
+def parted(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about ``BATCH_BYTES``, at least a row each."""
+    step = max(1, rows.num_rows * BATCH_BYTES // max(1, rows.nbytes))
+    for start in range(0, rows.num_rows, step):
+        yield rows.slice(start, step)
+
+
 def unpacked(table: pa.Table, name: str, kind: type) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of a binary column, one row after the other, and how many each row has."""
     column = table.column(name)
@@ -325,29 +351,33 @@ def follower_counts(corpus: DataFrame, root: Root, known: DataFrame, length: int
     ``code`` tells the context and the word, ``shorter`` its suffix and the word, or the word alone.
     """
     bits = root.bits()
-    held = shared(corpus.sparkSession, (root.words, Sieve(known.select(F.col("context").alias("code")))))
+    broadcast = corpus.sparkSession.sparkContext.broadcast
+    hot_words, let_through = broadcast(root.words), broadcast(Sieve(known.select(F.col("context").alias("code"))))
 
     def run(batches):
-        words, sieve = held()
+        words, sieve = hot_words.value, let_through.value
         for batch in batches:
             for piece in pieces(batch, "ids"):
                 values, first, ids = values_of(piece, words)
-                *_, (codes, there) = contexts(values, first, length)
+                codes, there = context(values, first, length)
                 at = np.flatnonzero(there & sieve.passes(codes))
                 codes, values, ids = codes[at], values[at], ids[at]
                 order, starts = alike(chained(codes, values))
                 one, n = order[starts], np.diff(np.append(starts, len(order)))
                 order = np.argsort(codes[one])  # packs well, and orders the buckets
                 one, n = one[order], n[order].astype(np.int32)
+                del at, there, order, starts
                 buckets, offsets = dealt(codes[one] >> (64 - bits))
                 hot = ids[one].astype(np.int32)
                 cold = blobs(np.append(0, np.cumsum(hot < 0))[offsets], values[one][hot < 0])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(buckets), *blobs(offsets, codes[one], hot, n), *cold], ["bucket", "contexts", "words", "n", "cold"]
+                yield from parted(
+                    pa.RecordBatch.from_arrays(
+                        [pa.array(buckets), *blobs(offsets, codes[one], hot, n), *cold], ["bucket", "contexts", "words", "n", "cold"]
+                    )
                 )
 
     def count(found: pa.Table, known: pa.Table) -> pa.Table:
-        words, _ = held()
+        words = hot_words.value
         kinds = {"contexts": np.int64, "words": np.int32, "n": np.int32, "cold": np.int64}
         context, hot, n, cold = (unpacked(found, name, kind)[0] for name, kind in kinds.items())
         word = np.append(words, 0)[hot]
@@ -368,7 +398,8 @@ def follower_counts(corpus: DataFrame, root: Root, known: DataFrame, length: int
         longer, suffix = suffix.is_valid().to_numpy(False)[place[one]], suffix.fill_null(0).to_numpy()[place[one]]
         shorter = np.where(longer, chained(suffix, word[one]), word[one])
         total = known.column("total").to_numpy()[place[one]]
-        return pa.table({"context": context[one], "total": total, "n": n, "code": code[one], "shorter": shorter})
+        rows = pa.record_batch({"context": context[one], "total": total, "n": n, "code": code[one], "shorter": shorter})
+        return pa.Table.from_batches(parted(rows), rows.schema)
 
     found = corpus.select("ids", "cold").mapInArrow(run, "bucket long, contexts binary, words binary, n binary, cold binary")
     known = known.select("context", "suffix", "total", bucket_of("context", bits))
@@ -387,24 +418,27 @@ def looked_up(corpus: DataFrame, root: Root, parts: DataFrame, length: int, leas
     if length:
         hot, sieve = arrays_of(parts.where(F.col("n") >= least), "code", "part"), Sieve(parts)
         parts = parts.where(F.col("n") < least)
-    held = shared(corpus.sparkSession, (root.words, hot, sieve))
+    held = corpus.sparkSession.sparkContext.broadcast((root.words, hot, sieve))
 
     def run(batches):
-        words, (hot, shares), sieve = held()
+        words, (hot, shares), sieve = held.value
         hot = Lookup(hot)
         for batch in batches:
             for piece in pieces(batch, "ids"):
                 values, first, ids = values_of(piece, words)
                 if length:
-                    *_, (codes, there) = contexts(values, first, length)
+                    codes, there = context(values, first, length)
                     at = np.flatnonzero(there & sieve.passes(codes))
-                    follower = chained(codes[at], values[at]) ^ FOLLOWER
+                    codes = codes[at]
+                    follower = chained(codes, values[at]) ^ FOLLOWER
                     passes = sieve.passes(follower)
-                    codes, at = np.append(codes[at], follower[passes]), np.append(at, at[passes])
+                    codes, at = np.append(codes, follower[passes]), np.append(at, at[passes])
+                    del there, follower, passes
                 else:
                     at = np.flatnonzero(ids < 0)
                     codes = values[at]
                 places = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(np.append(first, len(ids))))[at]
+                del values, ids, at
                 place = hot.find(codes)
                 found = place >= 0
                 sums = np.bincount(places[found], shares[place[found]], len(first)).astype(np.float64)
@@ -418,25 +452,29 @@ def looked_up(corpus: DataFrame, root: Root, parts: DataFrame, length: int, leas
                 buckets = np.append(rows[0] % (1 << bits) - (1 << bits - 1), buckets)
                 arrays = [pa.array(buckets), pa.array(np.full(len(buckets), rows[0])), *blobs(own, rows, sums)]
                 arrays += blobs(np.append(0, offsets), places[order], codes[order])
-                yield pa.RecordBatch.from_arrays(arrays, ["bucket", "piece", "rows", "sums", "places", "codes"])
+                yield from parted(pa.RecordBatch.from_arrays(arrays, ["bucket", "piece", "rows", "sums", "places", "codes"]))
 
     def look(wanted: pa.Table, parts: pa.Table) -> pa.Table:
         known, shares = ordered(parts, "code", "part")
-        (codes, sizes), (places, _) = unpacked(wanted, "codes", np.int64), unpacked(wanted, "places", np.int32)
-        place = Lookup(known).find(codes)
-        found = np.flatnonzero(place >= 0)
-        places, shares = places[found], shares[place[found]]
-        line = np.repeat(np.arange(len(wanted)), sizes)[found]
-        order, starts = alike(line << 32 | places)
-        one = order[starts]
-        lines, offsets = dealt(line[one])
-        part = np.add.reduceat(shares[order], starts) if len(starts) else np.zeros(0)
-        n = np.diff(np.append(starts, len(order))).astype(np.int32)
-        counts = [offsets, n] if not length else [offsets * 0, n[:0]]
+        lookup = Lookup(known)
         piece = wanted.column("piece").to_numpy()
-        answers = pa.table([pa.array(piece[lines]), *blobs(offsets, places[one], part), *blobs(*counts)], ["piece", "places", "sums", "known"])
-        own = wanted.filter(pc.greater(pc.binary_length(wanted.column("rows")), 0)).select(["piece", "rows", "sums"])
-        return pa.concat_tables([own, answers], promote_options="default").select(["piece", "rows", "places", "sums", "known"])
+        sizes = pc.fill_null(pc.binary_length(wanted.column("codes")), 0).to_numpy() // 8
+        found = [wanted.filter(pc.greater(pc.binary_length(wanted.column("rows")), 0)).select(["piece", "rows", "sums"])]
+        for start, stop in slices(np.append(0, np.cumsum(sizes, dtype=np.int64))):
+            own = wanted.slice(start, stop - start)
+            place = lookup.find(unpacked(own, "codes", np.int64)[0])
+            at = np.flatnonzero(place >= 0)
+            part, places = shares[place[at]], unpacked(own, "places", np.int32)[0][at]
+            line = np.repeat(np.arange(start, stop), sizes[start:stop])[at]
+            order, starts = alike(line << 32 | places)
+            one = order[starts]
+            lines, offsets = dealt(line[one])
+            part = np.add.reduceat(part[order], starts) if len(starts) else np.zeros(0)
+            n = np.diff(np.append(starts, len(order))).astype(np.int32)
+            counts = [offsets, n] if not length else [offsets * 0, n[:0]]
+            answers = [pa.array(piece[lines]), *blobs(offsets, places[one], part), *blobs(*counts)]
+            found.append(pa.table(answers, ["piece", "places", "sums", "known"]))
+        return pa.concat_tables(found, promote_options="default").select(["piece", "rows", "places", "sums", "known"])
 
     def gather(piece: pa.Table) -> pa.Table:
         own = pc.is_valid(piece.column("rows"))

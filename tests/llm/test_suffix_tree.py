@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -173,3 +174,35 @@ def test_tokens_of_odd_texts():
         want = [[suffix_tree.xxh3_64_intdigest(w) for w in tokens(t)[:-1]] for t in texts]
         want = [[*np.array(w, np.uint64).view(np.int64).tolist(), int(suffix_tree.END)] for w in want]
         assert values == sum(want, []) and np.concatenate([s[4] for s in found]).tolist() == [len(w) for w in want]
+
+
+def test_lookups_hold_little_beside_what_they_find():
+    rng, n = np.random.default_rng(5), 1_000_000
+    ordered, wanted = np.unique(rng.integers(-(2**63), 2**63 - 1, 1000)), rng.integers(-(2**63), 2**63 - 1, n)
+    lookup, sieve = suffix_tree.Lookup(ordered), object.__new__(suffix_tree.Sieve)
+    sieve.size, sieve.bits = 10, rng.integers(-(2**63), 2**63 - 1, 16)
+    for call in (lambda: lookup.find(wanted), lambda: sieve.passes(wanted)):
+        tracemalloc.start()
+        try:
+            call()
+            assert tracemalloc.get_traced_memory()[1] < 20 * n
+        finally:
+            tracemalloc.stop()
+
+
+def test_batches_are_bounded(spark, docs_of, tmp_path, monkeypatch):
+    seen, stage = [], suffix_tree.stage
+
+    def spy(df, tag):
+        seen.append(df.sparkSession.conf.get(suffix_tree.BATCH_CONF))
+        return stage(df, tag)
+
+    monkeypatch.setattr(suffix_tree, "stage", spy)
+    before = spark.conf.get(suffix_tree.BATCH_CONF, None)
+    scores(docs_of(corpus(6, 60)), F.col("doc_id") % 10 != 0)
+    assert set(seen) == {str(suffix_tree.BATCH_BYTES)} and spark.conf.get(suffix_tree.BATCH_CONF, None) == before
+    rows = pa.record_batch({"a": pa.array([b"x" * 100_000] * 100, pa.binary())})
+    found = list(suffix_tree.parted(rows))
+    assert pa.Table.from_batches(found).equals(pa.Table.from_batches([rows]))
+    assert len(found) > 1 and max(f.nbytes for f in found) <= suffix_tree.BATCH_BYTES
+    assert list(suffix_tree.parted(rows.slice(0, 0))) == []
