@@ -45,7 +45,7 @@ BLOCK = 1 << 16
 #: A file is closed after the document that brings it to so many ids, or documents.
 FILE_IDS, FILE_DOCS = 1 << 24, 1 << 20
 #: Pieces in each of two generations, and their longest.
-REMEMBERED, SHORT = 400_000, 48
+REMEMBERED, SHORT = 600_000, 48
 BATCH_BYTES = 1 << 22
 #: Fixed value: array code of unsigned 32-bit integers.
 WORD = "I"
@@ -69,9 +69,10 @@ class Encoder:
             self.pieces_hold = True
         self.special = re.compile("|".join(re.escape(t["content"]) for t in json.loads(spec)["added_tokens"]) or "(?!)")
         self.unsure = re.compile(f"[^\0-{SURE}]")
-        # a mark between a letter or number and white space is a piece, so that words with and without one are the same piece
+        # a mark between a letter or number and white space is a piece, so that words with and without one are the same piece;
+        # most words have none, and are found in one pass
         marks, ends = "".join(sorted(MARKS)), f"(?=[{WHITE}]|\\Z)"
-        word = f"[{WHITE}]*+[^{WHITE}{marks}]++(?<=[^\\W_])(?=[{marks}]{ends})"
+        word = f"[{WHITE}]*+[^{WHITE}{marks}]++(?:{ends}|(?<=[^\\W_])(?=[{marks}]{ends}))"
         mark = f"(?<=[^\\W_])[{marks}]{ends}"
         self.cut = re.compile(f"{word}|{mark}|[{WHITE}]*[^{WHITE}]+|[{WHITE}]+").findall
         self.pre_tokens, self.letters = regex.compile(PRE_TOKEN).findall, byte_letters()
@@ -83,28 +84,30 @@ class Encoder:
     def library(self, text: str) -> bytes:
         return array(WORD, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def merged(self, letters: str) -> bytes:
+        """Ids of a pre-token, given by the letters that stand for its bytes."""
+        return array(WORD, [token.id for token in self.model.tokenize(letters)]).tobytes()
+
     def piece(self, text: str) -> bytes:
         """Ids of a piece, merged inside its pre-tokens."""
+        spaced = text[0] == " "
+        word = text[1:] if spaced else text
+        # letters after at most one space are one pre-token; ASCII letters stand for themselves
+        if word.isalpha():
+            if not word.isascii():
+                word = word.encode().decode("latin-1").translate(self.letters)
+            return self.merged(self.space + word if spaced else word)
         if text[-1] in MARKS and text[-2:-1].isalpha():
             return self.of(text[:-1]) + self.of(text[-1])
         if text[0] == "\n" and text[1:2].isalpha():
             return self.of("\n") + self.of(text[1:])
-        word = text[text[0] == " " :]
-        letters = word.isalpha()
-        # letters after at most one space are one pre-token; ASCII letters stand for themselves
-        if letters and word.isascii():
-            found = self.model.tokenize(word if len(word) == len(text) else self.space + word)
-            return array(WORD, [token.id for token in found]).tobytes()
-        ids = []
-        for part in (text,) if letters else self.pre_tokens(text):
-            plain = part.isascii() and part.isalpha()
-            part = part if plain else part.encode().decode("latin-1").translate(self.letters)
-            ids += [token.id for token in self.model.tokenize(part)]
-        return array(WORD, ids).tobytes()
+        parts = self.pre_tokens(text)
+        return b"".join([self.merged(part.encode().decode("latin-1").translate(self.letters)) for part in parts])
 
     def of(self, piece: str) -> bytes:
         """Ids of a piece; short ones are remembered while they are met again."""
-        ids = self.known.get(piece) or self.aged.get(piece) or self.piece(piece)
+        # pieces that come here are rarely among the latest
+        ids = self.aged.get(piece) or self.known.get(piece) or self.piece(piece)
         if len(piece) <= SHORT:
             if len(self.known) >= REMEMBERED:
                 self.known, self.aged = {}, self.known

@@ -2,6 +2,7 @@
 
 import io
 import random
+import re
 import zlib
 
 import numpy as np
@@ -139,3 +140,25 @@ def test_words_with_and_without_a_mark_are_one_piece():
     for text in ("one, two. one two! 7: x2; ab.c, (d), café. \n\nEnd.\nnext, a,, b², , !", "a.", ".", " .", "a .b", "it's, _x_, 中文. ½;"):
         assert encoder.encode(text) == encoder.library(text)
     assert encoder.cut("one, two. one") == ["one", ",", " two", ".", " one"]
+
+
+def test_half_a_million_words_are_merged_once():
+    with open(FILE, encoding="utf-8") as file:
+        encoder = Encoder(file.read())
+    merged, piece = [], encoder.piece
+    encoder.piece = lambda text: merged.append(text) or piece(text)
+    texts = [" ".join(f"w{i}" for i in range(k, k + 1000)) for k in range(0, 500_000, 1000)]
+    first = [encoder.encode(text) for text in texts]
+    once = len(merged)
+    assert [encoder.encode(text) for text in texts] == first and len(merged) == once
+    assert first[7] == encoder.library(texts[7])
+
+
+def test_most_words_are_cut_in_one_pass():
+    """A word without a mark is found by the first alternative, and so is one before a mark."""
+    with open(FILE, encoding="utf-8") as file:
+        encoder = Encoder(file.read())
+    first = re.compile(encoder.cut.__self__.pattern.partition("|(?<=[^\\W_])[")[0])
+    for piece in ("one", " two", " -three-", "\n\nfour"):
+        assert first.match(piece + " x").group() == piece and first.match(piece).group() == piece
+    assert first.match(" two, x").group() == " two" and not first.match("(d), x")
